@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, pii, simhash
+from corvane.llm import decontam, mixing, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,5 +41,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id"), quality.FOLDS).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_pii, op7_simhash, op8_mixing)}
+    return {f.__name__: f for f in (op4_pii, op5_decontam, op7_simhash, op8_mixing, op9_quality)}
