@@ -4,8 +4,7 @@ Vectors of length one are projected on random directions; each projection is
 an array sorted by value. A query opens a window around its own value in every array and widens all of
 them together (virtual rehashing). A vector that falls into a window collides once
 for that array; the ones that collide often enough are verified with their exact cosine.
-The windows widen until enough vectors have been verified and the nearest ones found
-lie within the radius that the windows stand for.
+The windows widen until a base and a share of the vectors have been verified.
 
 Vectors are dealt out by hash into blocks of bounded size, and the queries into
 chunks; a task holds one block, its arrays and one chunk of queries. Equal vectors
@@ -24,13 +23,15 @@ from corvane.llm.storage import materialise
 #: Vectors in a block and queries in a chunk, on average.
 BLOCK, CHUNK = 16384, 4096
 #: Arrays, and the collisions from which a vector is verified, as a share of them.
-ARRAYS, COLLIDE = 96, 0.6
+ARRAYS, COLLIDE = 128, 0.6
 #: Radii (lengths are 1): the first, and the growth from one to the next.
-RADIUS, GROWTH = 0.25, 1.3
-#: Half the width of a window over the radius: 0.6 * ARRAYS collisions are likely within it and unlikely at 1.5 times it.
+RADIUS, GROWTH = 0.6, 1.08
+#: Half the width of a window over the radius; a vector at the radius collides with probability 0.66.
 HALF_WIDTH = 0.95
 #: Vectors verified for each query and block, at least: a base and a share of the block.
-VERIFY, VERIFY_SHARE = 64, 0.02
+VERIFY, VERIFY_SHARE = 256, 0.04
+#: Queries whose collision counts are held at a time.
+TOGETHER = 128
 
 
 def directions(dim: int, arrays: int = ARRAYS, seed: int = 7) -> np.ndarray:
@@ -52,37 +53,29 @@ class Block:
         dots = (self.vectors[which] * query).sum(1)
         return dots / (self.norms[which] * np.sqrt((query * query).sum()))
 
-    def search(self, query: np.ndarray, k: int, collide: float = COLLIDE, verify: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of all verified vectors, at least ``k`` if there are as many."""
+    def search(self, queries: np.ndarray, k: int, collide: float = COLLIDE, verify: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and cosines of all verified vectors, at least ``k`` if there are as many."""
         n, arrays = self.vectors.shape[0], self.values.shape[0]
         enough = min(n, max(k, VERIFY + int(VERIFY_SHARE * n) if verify is None else verify))
-        at = (query / np.sqrt((query * query).sum())) @ self.axes
-        counts, done = np.zeros(n, np.int32), np.zeros(n, bool)
-        low = high = None
-        found, scores, radius, need = [], [], RADIUS, int(np.ceil(collide * arrays))
-        while True:
-            left = np.fromiter((np.searchsorted(self.values[j], at[j] - HALF_WIDTH * radius, "left") for j in range(arrays)), np.int64, arrays)
-            right = np.fromiter((np.searchsorted(self.values[j], at[j] + HALF_WIDTH * radius, "right") for j in range(arrays)), np.int64, arrays)
+        need = int(np.ceil(collide * arrays))
+        at = np.ascontiguousarray(((queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.axes).T)
+        counts, done = np.zeros((len(queries), n), np.int32), np.zeros((len(queries), n), bool)
+        open_, radius, low, high = np.arange(len(queries)), RADIUS, None, None
+        while open_.size:
+            left = np.stack([np.searchsorted(v, x[open_] - HALF_WIDTH * radius, "left") for v, x in zip(self.values, at, strict=True)], axis=1)
+            right = np.stack([np.searchsorted(v, x[open_] + HALF_WIDTH * radius, "right") for v, x in zip(self.values, at, strict=True)], axis=1)
             if low is None:
                 low = high = left
-            opened = [self.order[j, left[j] : low[j]] for j in range(arrays)] + [self.order[j, high[j] : right[j]] for j in range(arrays)]
-            counts += np.bincount(np.concatenate(opened), minlength=n).astype(np.int32)
-            low, high = left, right
-            fresh = np.flatnonzero((counts >= need) & ~done)
-            if fresh.size:
-                done[fresh] = True
-                found.append(fresh)
-                scores.append(self.cosines(query, fresh))
-            total = sum(x.size for x in found)
-            if total == n:
-                break
-            if total >= enough:
-                best = np.concatenate(scores)
-                kth = np.partition(best, -k)[-k] if best.size > k else best.min()
-                if np.sqrt(max(0.0, 2 - 2 * kth)) <= radius * GROWTH or total >= 4 * enough:
-                    break
+            more = np.ones(open_.size, bool)
+            for i, q in enumerate(open_.tolist()):
+                bounds = zip(left[i].tolist(), low[i].tolist(), high[i].tolist(), right[i].tolist(), strict=True)
+                opened = [part for row, (a, b, c, d) in zip(self.order, bounds, strict=True) for part in (row[a:b], row[c:d])]
+                counts[q] += np.bincount(np.concatenate(opened), minlength=n).astype(np.int32)
+                done[q] = counts[q] >= need
+                more[i] = np.count_nonzero(done[q]) < enough
+            open_, low, high = open_[more], left[more], right[more]
             radius *= GROWTH
-        return np.concatenate(found), np.concatenate(scores)
+        return [(places, self.cosines(q, places)) for q, places in ((q, np.flatnonzero(d)) for q, d in zip(queries, done, strict=True))]
 
 
 def _search(k: int, keep: int):
@@ -93,14 +86,15 @@ def _search(k: int, keep: int):
         if data.num_rows and queries.num_rows:
             stack = lambda t: np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
             block, ids = Block(stack(data)), data.column("ids").to_pylist()
-            for q, vector in zip(queries.column("query_id").to_pylist(), stack(queries), strict=True):
-                # one more than k: the query's own vector is among them
-                places, scores = block.search(vector, keep)
-                first = np.array([ids[p][0] for p in places])
-                for at in np.lexsort((first, -scores))[:keep]:
-                    out[0].append(q)
-                    out[1].append(ids[places[at]])
-                    out[2].append(float(scores[at]))
+            asked, vectors = queries.column("query_id").to_pylist(), stack(queries)
+            first = np.array([x[0] for x in ids])
+            for s in range(0, len(asked), TOGETHER):
+                # one more than k: the query's own vector may be among them
+                for q, (places, scores) in zip(asked[s : s + TOGETHER], block.search(vectors[s : s + TOGETHER], keep), strict=True):
+                    for at in np.lexsort((first[places], -scores))[:keep]:
+                        out[0].append(q)
+                        out[1].append(ids[places[at]])
+                        out[2].append(float(scores[at]))
         return pa.table([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return fn

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontam, mixing, pii, quality, simhash
+from corvane.llm import ann, decontam, mixing, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return ann.nearest(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_pii, op5_decontam, op7_simhash, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op4_pii, op5_decontam, op7_simhash, op8_mixing, op9_quality, op10_ann)}
