@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, decontam, mixing, pii, quality, simhash
+from corvane.llm import ann, decontam, mixing, pii, quality, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,4 +59,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pii, op5_decontam, op7_simhash, op8_mixing, op9_quality, op10_ann)}
+    return {f.__name__: f for f in (op4_pii, op5_decontam, op6_urls, op7_simhash, op8_mixing, op9_quality, op10_ann)}
