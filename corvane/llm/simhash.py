@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -103,3 +103,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         "ids",
     )
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of smallest ``doc_id``.
+
+    Rows without an id count as having a large one made of their text, so they go
+    where an identified row is near. Rows that share an id are one document: the one whose text has
+    the smallest hash stays, once. All columns stay.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    rows = docs.withColumn("_id", own)
+    near = near_duplicates(spark, rows, "_id", "text", words, radius)
+    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    once = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    return rows.join(keep, "_id").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
