@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, decontam, mixing, pii, quality, simhash, urls
+from corvane.llm import ann, decontam, mixing, paragraphs, pii, quality, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pii.pii_spans(F.col("text")).alias("found"))
@@ -59,4 +63,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op4_pii, op5_decontam, op6_urls, op7_simhash, op8_mixing, op9_quality, op10_ann)}
+    return {f.__name__: f for f in (op1_paragraphs, op4_pii, op5_decontam, op6_urls, op7_simhash, op8_mixing, op9_quality, op10_ann)}
