@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, decontam, lm, mixing, paragraphs, pii, quality, simhash, urls
+from corvane.llm import ann, decontam, licenses, lm, mixing, paragraphs, pii, quality, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pii.pii_spans(F.col("text")).alias("found"))
@@ -67,4 +71,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_paragraphs, op2_lm, op4_pii, op5_decontam, op6_urls, op7_simhash, op8_mixing, op9_quality, op10_ann)}
+    return {f.__name__: f for f in (op1_paragraphs, op2_lm, op3_licenses, op4_pii, op5_decontam, op6_urls, op7_simhash, op8_mixing, op9_quality, op10_ann)}
