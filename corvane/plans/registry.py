@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from corvane.plans import retrieval
+
+MODULES = (retrieval,)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25_topk(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
