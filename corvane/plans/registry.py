@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import retrieval
+from corvane.plans import answers, graphs, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, graphs, answers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
