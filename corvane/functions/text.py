@@ -109,4 +109,10 @@ def saturating_int(value: Column) -> Column:
 
 
 def valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value and nothing else.
+
+    The parser stops after the first value; within an array and within an object, what follows is an error.
+    """
+    in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(F.try_parse_json(text).isNotNull() & in_array & in_object, F.lit(False))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import answers, graphs, retrieval
+from corvane.plans import answers, graphs, retrieval, states
 
-MODULES = (retrieval, graphs, answers)
+MODULES = (retrieval, graphs, answers, states)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
