@@ -17,6 +17,7 @@ from corvane.functions.text import escape_markup, fold_name
 from corvane.operators.dense import dense_score, squared_distance
 from corvane.operators.lexical import DECIMALS
 from corvane.settings import MAX_EDGES, MAX_FRONTIER
+from corvane.sources.shared import stored
 
 EDGE = ("edge_id", "source_node_id", "target_node_id", "relation_type", "weight")
 
@@ -55,6 +56,8 @@ def neighbourhood(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
     found = None
     for _ in range(hops):
         hop = touching(edges, frontier)
+        if max_edges is not None or max_frontier is not None:
+            hop = stored(hop, "hop")  # it is counted now and used again
         found = hop if found is None else found.union(hop).distinct()
         frontier = ends(hop).join(visited, ["query_id", "entity_id"], "left_anti")
         if max_edges is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.errors import EmptyEvidence, NoEvidenceFits
 from corvane.functions.text import escape_markup, estimate_tokens, suspicious
+from corvane.sources.shared import stored
 
 # The policies that open a prompt.
 POLICY = (
@@ -117,6 +118,7 @@ def assemble(questions: DataFrame, blocks: DataFrame, facts: DataFrame | None =
         number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "edge_id"))
         body = render_graph_fact(F.col("entity_a"), F.col("relation_type"), F.col("entity_b"), F.col("score"))
         rows = rows.unionByName(facts.select("query_id", F.lit("graph").alias("kind"), number.alias("position"), "score", body.alias("body"), F.lit(None).cast("string").alias("id")))
+    rows = stored(rows, "candidates")
     has = rows.groupBy("query_id").agg(F.max((F.col("kind") == "graph").cast("int")).alias("_facts"), F.max((F.col("kind") == "evidence").cast("int")).alias("_evidence"))
     asked = questions.join(has, "query_id", "left").withColumn("_facts", F.coalesce(F.col("_facts") == 1, F.lit(False)))
     missing = asked.where(F.coalesce("_evidence", F.lit(0)) == 0).first()
@@ -126,6 +128,7 @@ def assemble(questions: DataFrame, blocks: DataFrame, facts: DataFrame | None =
     allowed = F.greatest(F.lit(0), F.lit(prompt_tokens - answer_tokens) - estimate_tokens(base))
     asked = asked.select("query_id", base.alias("base"), allowed.alias("allowed"))
     ordered = interleaved(rows, graph_weight).withColumn("tokens", estimate_tokens(F.col("body")).cast("long")).join(asked, "query_id")
+    ordered = stored(ordered, "ordered")
     late = ordered.where("priority = 0 and tokens > allowed").select("query_id", "tokens", "allowed").first()
     if late:
         raise NoEvidenceFits(f"query {late['query_id']}: the first block takes {late['tokens']} tokens of {late['allowed']}")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import answers, graphs, retrieval, states
+from corvane.plans import answers, graphs, retrieval, states, workflows
 
-MODULES = (retrieval, graphs, answers, states)
+MODULES = (retrieval, graphs, answers, states, workflows)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
