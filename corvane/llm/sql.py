@@ -1,7 +1,29 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+The others learn models, hash with XXH64, or follow links to their end; tests hold them against plain versions.
+"""
 
 from __future__ import annotations
 
+MIXING = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+weights AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0 * source_size AS most FROM sources),
+ranked AS (
+  SELECT *, most / w AS ratio,
+         (1.5 * sum(source_size) OVER () - (sum(most) OVER filled - most)) / (sum(w) OVER () - (sum(w) OVER filled - w)) AS level
+  FROM weights WINDOW filled AS (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+chosen AS (SELECT arg_min(level, ratio) AS level FROM ranked WHERE level <= ratio * (1 + 1e-12)),
+targets AS (SELECT source, source_size, round(least(w * coalesce(chosen.level, 'inf'::DOUBLE), most), 6) AS target FROM ranked, chosen),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs, CAST(floor(target) AS BIGINT) - epochs * source_size AS rest FROM targets),
+placed AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, p.epochs, p.rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": MIXING}
