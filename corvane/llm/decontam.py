@@ -22,9 +22,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-#: Spaced seeds, fixed: 1 is read, 0 is ignored.
-MASKS = ("111101110011", "110111011101", "101110111011", "111011101101", "110011111011", "101101101111")
 SPAN = 12
+
+
+def masks(span: int) -> tuple[str, ...]:
+    """The six spaced seeds of a span: 1 is read, 0 is ignored.
+
+    Each reads the places of two residues modulo 4, so whatever two words of a span are
+    substituted, one seed ignores both.
+    """
+    return tuple("".join("1" if k % 4 in (a, b) else "0" for k in range(span)) for a in range(4) for b in range(a + 1, 4))
+
+
 #: Words of an item that must be seen together, and the share of them that must agree.
 WINDOW, AGREE = 20, 0.8
 #: Items of fewer words match nothing.
@@ -74,12 +83,12 @@ class Tests(NamedTuple):
 
 
 def index(items: list[tuple[object, bytes]]) -> Tests:
-    """Items shorter than the masks are one seed of all their words."""
+    """Items shorter than the span have seeds as long as themselves."""
     words = [word_hashes(t) for _, t in items]
-    masks = MASKS + tuple(sorted({"1" * w.size for w in words if LEAST <= w.size < SPAN}))
+    spans = sorted({min(w.size, SPAN) for w in words if w.size >= LEAST})
     hashes, item, place = [], [], []
     for k, w in enumerate(words):
-        for m in MASKS if w.size >= SPAN else ("1" * w.size,) if w.size >= LEAST else ():
+        for m in masks(min(w.size, SPAN)) if w.size >= LEAST else ():
             h = seed_hashes(w, m)
             hashes.append(h)
             item.append(np.full(h.size, k))
@@ -89,7 +98,7 @@ def index(items: list[tuple[object, bytes]]) -> Tests:
     present = np.zeros(1 << 22, dtype=bool)
     present[(flat[0] >> np.uint64(42)).astype(np.int64)] = True
     starts = np.concatenate([[0], np.cumsum([w.size for w in words])]).astype(np.int64)
-    return Tests([i for i, _ in items], np.concatenate(words) if words else np.empty(0, np.uint64), starts, masks, flat[0][order], flat[1][order], flat[2][order], present)
+    return Tests([i for i, _ in items], np.concatenate(words) if words else np.empty(0, np.uint64), starts, tuple(m for n in spans for m in masks(n)), flat[0][order], flat[1][order], flat[2][order], present)
 
 
 def _verify(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray, window: int, agree: float) -> tuple[int, int, int] | None:
