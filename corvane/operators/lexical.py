@@ -47,15 +47,17 @@ def statistics(tok: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return tok.agg(F.count("*").alias("n"), *[F.greatest(F.lit(1.0), F.sum(F.size(f)) / n).alias(f"avg_{f}") for f in fields])
 
 
+def _tagged(field: str) -> Column:
+    return F.transform(field, lambda t: F.struct(F.lit(field).alias("field"), F.size(field).alias("length"), t.alias("term")))
+
+
 def postings(tok: DataFrame, fields: tuple[str, ...] = FIELDS, wanted: DataFrame | None = None) -> DataFrame:
     """``term, field, tf, length`` by chunk: how often a term is in a field of so many terms.
 
     With ``wanted`` (``term``) only those terms; they are filtered before the shuffle.
     """
-    flat = None
-    for f in fields:
-        part = tok.select(*KEY, F.lit(f).alias("field"), F.size(f).alias("length"), F.explode(f).alias("term"))
-        flat = part if flat is None else flat.unionByName(part)
+    # one pass over the chunks: the fields' terms stand in one array
+    flat = tok.select(*KEY, F.explode(F.concat(*map(_tagged, fields))).alias("_p")).select(*KEY, "_p.*")
     if wanted is not None:
         flat = flat.join(wanted, "term", "left_semi")
     return flat.groupBy(*KEY, "field", "length", "term").agg(F.count("*").alias("tf"))
