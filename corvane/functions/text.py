@@ -116,3 +116,18 @@ def valid_json(text: Column) -> Column:
     in_array = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
     return F.coalesce(F.try_parse_json(text).isNotNull() & in_array & in_object, F.lit(False))
+
+
+def unknown_keys(text: Column, known: list[str]) -> Column:
+    """Keys of a JSON object that aren't among the known ones; null for what is no object."""
+    return F.array_sort(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, known))))
+
+
+def strict_json(text: Column, schema: str) -> Column:
+    """A JSON object of the schema's fields alone; anything else fails the query."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema).fieldNames()
+    ok = valid_json(text) & F.coalesce(F.size(unknown_keys(text, fields)) == 0, F.lit(False))
+    parsed = F.from_json(text, schema, {"mode": "FAILFAST"})
+    return F.when(ok, parsed).otherwise(F.raise_error(F.concat(F.lit("malformed object or unknown key in: "), F.substring(text, 1, 80))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from typing import Protocol
 
 import numpy as np
@@ -38,6 +39,31 @@ class Extractor(Protocol):
     def extract(self, chunks: DataFrame) -> DataFrame: ...
 
 
+class TransientError(Exception):
+    """A provider's failure that may pass: a time-out, a full queue, a broken connection."""
+
+
+def with_retries(call, attempts: int, first_wait: float = 1.0, sleep=time.sleep):
+    """``call()`` with up to ``attempts`` tries, the same each time; only transient failures are tried again, after doubling waits."""
+    for k in range(attempts):
+        try:
+            return call()
+        except TransientError:
+            if k + 1 == attempts:
+                raise
+            sleep(first_wait * 2**k)
+
+
+class RetryingGenerator:
+    """A generator that is asked again once after a transient failure."""
+
+    def __init__(self, generator: Generator, attempts: int = 2, first_wait: float = 1.0):
+        self.generator, self.attempts, self.first_wait = generator, attempts, first_wait
+
+    def answer(self, prompts: DataFrame) -> DataFrame:
+        return with_retries(lambda: self.generator.answer(prompts), self.attempts, self.first_wait)
+
+
 class HashEmbedder:
     """Signed hashing of words into a vector of length one; of no words, the first unit vector."""
 

@@ -155,6 +155,12 @@ def lossy_decode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(tx.lossy_text(F.col("text").cast("binary"))).alias("text_md5"))
 
 
+def strict_json_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that a strict reader of the events' properties would refuse."""
+    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"z": 1, "a": 2, '), F.substring("props", 2, 99))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", F.array_join(tx.unknown_keys(props, ["k"]), ",").alias("unknown"))
+
+
 def stream_status_available_now(spark: SparkSession, d: str) -> DataFrame:
     """The state machine run as a stream over the events until all are read."""
     return jobs.run_status(spark, d).select("document_id", "status", "seq")
@@ -170,7 +176,7 @@ QUERIES = {
     for f in (
         status_state_machine, status_merge_replay, status_lookup, staged_latest_generation, staged_successor_generation, staged_row_validation, replace_document, upload_frames,
         event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
-        store_inspection_facts, count_consistency, header_sanitize, lossy_decode, stream_status_available_now, stream_event_windows,
+        store_inspection_facts, count_consistency, header_sanitize, lossy_decode, strict_json_keys, stream_status_available_now, stream_event_windows,
     )
 }
 
@@ -233,5 +239,6 @@ SELECT document_id, chunk_count, edge_count, contiguous, finite, stale_ends, con
 SELECT document_id, gateway, gateway + CASE WHEN document_id LIKE '%7' THEN 1 ELSE 0 END AS metadata, store FROM a LEFT JOIN b USING (document_id) WHERE document_id LIKE '%7' OR store IS DISTINCT FROM gateway""",
     "header_sanitize": "SELECT doc_id, substring(regexp_replace(substring(text, 1, 300), '[^!-~]', '', 'g'), 1, 64) AS header FROM documents",
     "lossy_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "strict_json_keys": """SELECT event_id, array_to_string(list_sort(list_filter(json_keys(CASE WHEN event_id % 3 = 0 THEN '{"z": 1, "a": 2, ' || substring(props, 2, 99) ELSE props END), lambda x: x <> 'k')), ',') AS unknown FROM events""",
     "stream_event_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 }

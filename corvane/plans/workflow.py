@@ -7,6 +7,8 @@ ending the run, which then goes on with a notice.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -149,3 +151,16 @@ def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0
     rows = resolved.join(old, "entity_id", "left").withColumn("name_vector", F.coalesce("_v", embedder.embed(F.col("name")))).drop("_v")
     rows = stored(rows, "entities")
     store.upsert_graph(ids, rows, entities.mapped_relations(related, named, resolved))
+
+
+def with_time_limit(spark, seconds: float, run):
+    """``run()`` with its Spark jobs cancelled once the time is over; the cancelled job's error is raised."""
+    tag = f"corvane-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, spark.sparkContext.cancelJobsWithTag, [tag])
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return run()
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)

@@ -102,6 +102,7 @@ def ingest_folder(spark: SparkSession, folder: str, store, chunk_size: int = 500
         chunks = chunking.chunk_documents(docs)
         store.replace_documents(docs.select("document_id", "raw_content"), chunks, chunking.chunk_edges(chunks))
 
-    source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", FILES_PER_BATCH).load(folder)
+    files = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(files).option("maxFilesPerTrigger", FILES_PER_BATCH).load(folder)
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{store.root}/_ingest").trigger(availableNow=True).start()
     query.awaitTermination()
