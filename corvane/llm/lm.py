@@ -9,9 +9,9 @@ to right: the state is carried, failure arcs are taken until an arc fits, and th
 weights add up.
 
 No machine holds the model. Texts are dealt into blocks of bounded size; each block counts its
-own n-grams, those counts are added up by n-gram over all blocks, and each block
-gets back the totals of the n-grams that occur in it, which is the part of the automaton that its
-texts can visit.
+own n-grams and sends them, packed, to ranges of n-gram hashes; a range adds up the counts of all
+blocks and sends back what the others add to each. With that and its own counts a block has the part of the
+automaton that its texts can visit.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -28,6 +29,8 @@ ORDER, PRIOR, ADDED = 2, 4.0, 0.1
 FOLDS = 10
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 6_000_000
+#: N-grams of all blocks in a range, about.
+RANGE_KEYS = 3_000_000
 #: Tokens that one lane of the traversal reads; a longer text is read by several lanes.
 LANE = 256
 #: The end token; no word holds a blank.
@@ -198,25 +201,80 @@ def _raw(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("raw").to_pylist()]
 
 
-def _count(order: int):
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by their bytes of equal weight, compressed; small ones take little room."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes))
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def _train(table: pa.Table) -> np.ndarray:
+    return ~np.array(table.column("held_out").to_pylist(), bool)
+
+
+def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range of hashes begins among ascending keys, and where the last ends."""
+    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
+    return np.concatenate([[0], inner, [keys.size]]).astype(np.int64)
+
+
+def _count(order: int, bits: int):
+    """The packed n-grams of a block, one row for each range."""
+
     def fn(table: pa.Table) -> pa.Table:
-        keys, counts = count(read(_raw(table), order), ~np.array(table.column("held_out").to_pylist(), bool))
-        number = pa.array(np.full(keys.size, table.column("block")[0].as_py(), np.int32))
-        return pa.table([number, pa.array(keys.view(np.int64)), pa.array(counts)], names=["block", "key", "train"])
+        keys, counts = count(read(_raw(table), order), _train(table))
+        by = np.argsort(keys, kind="stable")
+        keys, counts = keys[by], counts[by]
+        cuts = _ranges(keys, bits)
+        parts = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        number = table.column("block")[0].as_py()
+        return pa.table({
+            "range": pa.array([r for r, _, _ in parts], pa.int64()), "block": pa.array([number] * len(parts), pa.int32()),
+            "keys": pa.array([_pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()), "counts": pa.array([_pack(counts[a:b]) for _, a, b in parts], pa.binary()),
+        })
 
     return fn
 
 
-def _score(order: int, tokens: int, types: int, prior: float):
+def _add(table: pa.Table) -> pa.Table:
+    """What the other blocks add to each count of a block's part of the range, in the order of its keys; nothing if all add nothing."""
+    keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+    own = np.concatenate([_unpack(c) for c in table.column("counts").to_pylist()])
+    inverse = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    others = np.bincount(inverse, own).astype(np.uint64)[inverse] - own
+    out: list[list] = [[], [], []]
+    at, number = 0, table.column("range")[0].as_py()
+    for block, k in zip(table.column("block").to_pylist(), keys, strict=True):
+        more = others[at : at + k.size]
+        at += k.size
+        if more.any():
+            for column, value in zip(out, (block, number, _pack(more)), strict=True):
+                column.append(value)
+    return pa.table({"block": pa.array(out[0], pa.int32()), "range": pa.array(out[1], pa.int64()), "others": pa.array(out[2], pa.binary())})
+
+
+def _score(order: int, bits: int, tokens: int, types: int, prior: float):
     def fn(texts: pa.Table, known: pa.Table) -> pa.Table:
         block = read(_raw(texts), order)
-        keys = known.column("key").to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        keys, amounts = keys[by], known.column("total").to_numpy()[by]
-        totals = []
-        for k in block.keys:
-            at = np.minimum(np.searchsorted(keys, k), max(0, keys.size - 1))
-            totals.append(np.where(keys[at] == k, amounts[at], 0) if keys.size else np.zeros(k.size, np.int64))
+        keys, amounts = count(block, _train(texts))
+        by = np.argsort(keys, kind="stable")
+        cuts = _ranges(keys[by], bits)
+        for r, others in zip(known.column("range").to_pylist(), known.column("others").to_pylist(), strict=True):
+            amounts[by[cuts[r] : cuts[r + 1]]] += _unpack(others).astype(np.int64)
+        totals = np.split(amounts, np.cumsum([k.size for k in block.keys])[:-1])
         a = build(block, totals, tokens, types, prior)
         sizes = np.diff(np.append(block.starts, block.tokens.size))
         text = np.repeat(np.arange(sizes.size), sizes)
@@ -259,7 +317,7 @@ def held_out(id_col, folds: int = FOLDS):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
     """Scores of all ``docs`` (``doc_id, text``) by a model of those outside the held-out fold.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``base_score`` uses
@@ -274,9 +332,11 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float
     texts = docs.select(F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", raw.alias("raw"), out.alias("held_out"))
     types = docs.where(~out).select(raw.alias("raw")).mapInArrow(_types, "key long, n long")
     types = types.groupBy("key").agg(F.sum("n").alias("n")).agg(F.count("key").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    counts = texts.groupBy("block").applyInArrow(_count(order), "block int, key long, train long")
-    totals = counts.withColumn("total", F.sum("train").over(Window.partitionBy("key"))).where("total > 0").select("block", "key", "total")
+    # a text of n bytes has fewer than n / 2 tokens, n / 5 in prose; each is the end of one n-gram of each order
+    bits = max(0, (int(size) // 5 * order // range_keys).bit_length())
+    counts = texts.groupBy("block").applyInArrow(_count(order, bits), "range long, block int, keys binary, counts binary")
+    others = counts.groupBy("range").applyInArrow(_add, "block int, range long, others binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(order, types.tokens, types.types, prior), schema)
+    scored = texts.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score(order, bits, types.tokens, types.types, prior), schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(types.tokens).cast("long").alias("train_tokens"), "base_score", "score")
