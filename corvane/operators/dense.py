@@ -37,7 +37,8 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int, filters: Filters |
     is applied before the shuffle.
     """
     rows = chunks.where(matches(filters)) if filters else chunks
-    pairs = rows.select(*keys, "embedding").join(queries.select("query_id", "vector"), F.size("embedding") == F.size("vector"))
+    # no equality of one side's value with the other's: that would be a join by the length, with one key for all rows
+    pairs = rows.select(*keys, "embedding").join(queries.select("query_id", "vector"), F.size("embedding") - F.size("vector") == 0)
     found = pairs.select("query_id", *keys, F.round(squared_distance(F.col("embedding"), F.col("vector")), DECIMALS).alias("distance"))
     found = found.withColumn("score", dense_score(F.col("distance")))
     order = Window.partitionBy("query_id").orderBy("distance", *keys)

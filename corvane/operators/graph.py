@@ -138,7 +138,7 @@ def seed_by_name(vertices: DataFrame, name: str) -> str:
 
 def nearest_seed(vertices: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """``query_id, entity_id, score`` of the vertex whose ``name_vector`` is nearest, if its score is ``least`` or more."""
-    pairs = vertices.select("entity_id", "name_vector").join(queries.select("query_id", "vector"), F.size("name_vector") == F.size("vector"))
+    pairs = vertices.select("entity_id", "name_vector").join(queries.select("query_id", "vector"), F.size("name_vector") - F.size("vector") == 0)
     rows = pairs.select("query_id", "entity_id", F.round(squared_distance(F.col("name_vector"), F.col("vector")), DECIMALS).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "entity_id")
     best = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
