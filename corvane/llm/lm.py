@@ -322,14 +322,14 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``base_score`` uses
     single tokens alone; ``score`` is the automaton's log10 probability of the text. Null texts are empty: their only
-    token is the end. Rows without an id are trained on. Rows that share an id share a block. An empty table gives no rows; where
+    token is the end. Rows without an id are trained on. Rows equal in id and text share a block. An empty table gives no rows; where
     nothing is trained on, every token is unknown. N-grams are told apart by 64-bit hashes.
     """
     out = held_out(F.col("doc_id"), folds)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
-    texts = docs.select(F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", raw.alias("raw"), out.alias("held_out"))
+    texts = docs.select(F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", raw.alias("raw"), out.alias("held_out"))
     types = docs.where(~out).select(raw.alias("raw")).mapInArrow(_types, "key long, n long")
     types = types.groupBy("key").agg(F.sum("n").alias("n")).agg(F.count("key").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     # a text of n bytes has fewer than n / 2 tokens, n / 5 in prose; each is the end of one n-gram of each order
