@@ -155,6 +155,32 @@ def lossy_decode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(tx.lossy_text(F.col("text").cast("binary"))).alias("text_md5"))
 
 
+def legacy_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Staged rows of the schema before generations, which all become the first."""
+    legacy = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("filename"))
+    return legacy.withColumn("generation", F.lit(1).cast("long"))
+
+
+def count_rows_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table of a store that meet a condition, as the inspector counts them."""
+    rows = chunks(spark, d)
+    return rows.where("document_id = '7' and content_type = 'application/json'").agg(F.count("*").alias("n")).union(rows.where("chunk_index > 3").agg(F.count("*")))
+
+
+def saturating_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that stop at the largest integer, and budgets that stop at 0."""
+    wide = F.col("o_orderkey") * 700_000
+    return table(spark, d, "orders").select("o_orderkey", tx.saturating_int(wide).alias("n_tokens"), tx.saturating_int(F.lit(8192) - F.col("o_orderkey")).alias("left_over"))
+
+
+def response_json_projection(spark: SparkSession, d: str) -> DataFrame:
+    """What a client gets of an answer: its fields without those of the variants."""
+    turn = table(spark, d, "conversations").where("role = 'assistant'")
+    snapshot = F.struct(F.col("conv_id").alias("document_count"), F.lit(1).alias("variant_count"), F.col("role").alias("model"))
+    answer = turn.select("conv_id", "turn", F.struct(F.substring("text", 1, 30).alias("answer"), F.array(F.lit("[1]")).alias("citations"), snapshot.dropFields("variant_count").alias("snapshot")).alias("r"))
+    return answer.select("conv_id", "turn", F.to_json("r").alias("response"))
+
+
 def strict_json_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys that a strict reader of the events' properties would refuse."""
     props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"z": 1, "a": 2, '), F.substring("props", 2, 99))).otherwise(F.col("props"))
@@ -176,7 +202,7 @@ QUERIES = {
     for f in (
         status_state_machine, status_merge_replay, status_lookup, staged_latest_generation, staged_successor_generation, staged_row_validation, replace_document, upload_frames,
         event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
-        store_inspection_facts, count_consistency, header_sanitize, lossy_decode, strict_json_keys, stream_status_available_now, stream_event_windows,
+        store_inspection_facts, count_consistency, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, stream_status_available_now, stream_event_windows,
     )
 }
 
@@ -239,6 +265,11 @@ SELECT document_id, chunk_count, edge_count, contiguous, finite, stale_ends, con
 SELECT document_id, gateway, gateway + CASE WHEN document_id LIKE '%7' THEN 1 ELSE 0 END AS metadata, store FROM a LEFT JOIN b USING (document_id) WHERE document_id LIKE '%7' OR store IS DISTINCT FROM gateway""",
     "header_sanitize": "SELECT doc_id, substring(regexp_replace(substring(text, 1, 300), '[^!-~]', '', 'g'), 1, 64) AS header FROM documents",
     "lossy_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "legacy_migration": "SELECT o_orderkey AS document_id, o_orderstatus AS filename, CAST(1 AS BIGINT) AS generation FROM orders",
+    "count_rows_predicate": f"WITH {CHUNKS_SQL} SELECT count(*) AS n FROM chunks WHERE document_id = '7' AND content_type = 'application/json' UNION ALL SELECT count(*) FROM chunks WHERE chunk_index > 3",
+    "saturating_token_counts": "SELECT o_orderkey, CAST(greatest(0, least(o_orderkey * 700000, 2147483647)) AS INTEGER) AS n_tokens, CAST(greatest(0, 8192 - o_orderkey) AS INTEGER) AS left_over FROM orders",
+    "response_json_projection": """SELECT conv_id, turn, '{"answer":' || to_json(substring(text, 1, 30)) || ',"citations":["[1]"],"snapshot":{"document_count":' || conv_id || ',"model":"assistant"}}' AS response
+FROM conversations WHERE role = 'assistant'""",
     "strict_json_keys": """SELECT event_id, array_to_string(list_sort(list_filter(json_keys(CASE WHEN event_id % 3 = 0 THEN '{"z": 1, "a": 2, ' || substring(props, 2, 99) ELSE props END), lambda x: x <> 'k')), ',') AS unknown FROM events""",
     "stream_event_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 }
