@@ -170,24 +170,21 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     all_ = materialise(spark, texts.mapInArrow(_cut_all, f"id long, {PARAGRAPHS}"), "paragraphs")
     rows = all_.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
     found = materialise(spark, candidates(rows, block), "candidates")
-    # one place of each paragraph that has to be verified
+    # the documents between which each paragraph occurs; in the first one it is looked up where it has to be verified
+    spread = materialise(spark, all_.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")), "spread")
     items = found.select(F.col("item").alias("content")).distinct()
-    place = all_.join(items, "content").groupBy("content").agg(F.min("id").alias("id"))
-    wanted = place.groupBy("id").agg(F.collect_set("content").alias("wanted"))
+    wanted = spread.join(items, "content").groupBy(F.col("first").alias("id")).agg(F.collect_set("content").alias("wanted"))
     sets = texts.join(wanted, "id").select("raw", "wanted").mapInArrow(_shingles_of, "item long, shingles array<long>")
     sets = materialise(spark, sets.dropDuplicates(["item"]), "shingles")
     links = linked(found.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
     classes = materialise(spark, connected_components(spark, links), "classes")
-    counts = all_.groupBy("content").agg(F.min(F.struct("id", "no")).alias("least"), F.max("id").alias("last"))
-    counts = counts.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
-    counts = materialise(spark, counts.select("content", "class_id", "least", "last"), "counts")
-    wide = counts.groupBy("class_id").agg(F.min("least").alias("first"), F.max("last").alias("last")).where(F.col("first.id") != F.col("last"))
-    known = materialise(spark, counts.select("content", "class_id").join(wide.select("class_id", "first"), "class_id"), "repeated")
+    spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
+    spread = materialise(spark, spread.select("content", "class_id", "first", "last"), "spread_classes")
+    wide = spread.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
+    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", "first"), "class_id"), "repeated")
     hits = all_.select("id", "no", "start_word", "n_words", "content").join(known, "content")
     runs = hits.withColumn("_run", F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no", "start_word")))
-    runs = runs.withColumn("_words", F.sum("n_words").over(Window.partitionBy("id", "_run"))).where(F.col("_words") >= run)
+    stays = (F.col("id") == F.col("first")) & (F.row_number().over(Window.partitionBy("id", "class_id").orderBy("no", "start_word")) == 1)
+    runs = runs.withColumn("removed", ~stays).withColumn("_words", F.sum("n_words").over(Window.partitionBy("id", "_run"))).where(F.col("_words") >= run)
     real = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
-    return runs.select(
-        real("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", real("first.id").alias("first_doc_id"),
-        (F.struct("id", "no") != F.struct("first.id", "first.no")).alias("removed"),
-    )
+    return runs.select(real("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", real("first").alias("first_doc_id"), "removed")
