@@ -150,6 +150,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
     host, path = host_and_path(F.col("url"))
     rows = pages.where("url is not null").withColumn("_host", host).withColumn("_path", path)
     rows = rows.where(F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(False)))
+    # by their hash about twice as many as are wanted, so that what tasks send doesn't grow with their number
+    share = min(1.0, 2 * sample / max(1, pages.count()))
+    rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     chosen = rows.select("url", "_host", "_path", labelled(F.col("_host")).alias("y")).orderBy(F.xxhash64("url", "page_id"), "url").limit(sample)
     plain = features(F.col("url"), F.col("_host"), F.col("_path"), {}, 0.0)
     data = chosen.select(suffix(F.col("_host")).alias("suffix"), "y", *[c.alias(n) for n, c in plain.items()]).collect()
