@@ -20,6 +20,7 @@ from xxhash import xxh64_intdigest
 
 from corvane.llm.blocking import BLOCK, candidates, linked
 from corvane.llm.components import connected_components
+from corvane.llm.similar import SIMILAR, similar_groups
 from corvane.llm.storage import materialise
 
 SEED = 42
@@ -105,16 +106,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of smallest ``doc_id``.
 
-    Rows without an id count as having a large one made of their text, so they go
+    Texts link if their five-word shingles have a Jaccard similarity of ``similar`` or more; fingerprints
+    decide nothing here. Rows without an id count as having a large one made of their text, so they go
     where an identified row is near. Rows that share an id are one document: the one whose text has
     the smallest hash stays, once. All columns stay.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
-    rows = docs.withColumn("_id", own)
-    near = near_duplicates(spark, rows, "_id", "text", words, radius)
-    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    once = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    rows = docs.withColumn("_id", own).withColumn("_text", F.xxhash64("text"))
+    texts = rows.select(F.col("_id").alias("id"), F.col("_text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
+    groups = similar_groups(spark, texts, similar)
+    keep = groups.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("kept")).select(F.col("kept.id").alias("_id")).distinct()
+    once = Window.partitionBy("_id").orderBy("_text")
     return rows.join(keep, "_id").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
