@@ -107,17 +107,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one of smallest ``doc_id``.
+    """``docs`` with one row of each group of near duplicates: the one of smallest ``doc_id`` and text hash.
 
     Texts link if their five-word shingles have a Jaccard similarity of ``similar`` or more; fingerprints
-    decide nothing here. Rows without an id count as having a large one made of their text, so they go
-    where an identified row is near. Rows that share an id are one document: the one whose text has
-    the smallest hash stays, once. All columns stay.
+    decide nothing here. A document is an id with a text: unrelated texts that share an id all stay. Rows
+    without an id count as having a large one made of their text, so they go where an identified row is near.
+    Of rows equal in id and text one stays. All columns stay.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
     rows = docs.withColumn("_id", own).withColumn("_text", F.xxhash64("text"))
     texts = rows.select(F.col("_id").alias("id"), F.col("_text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
     groups = similar_groups(spark, texts, similar)
-    keep = groups.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("kept")).select(F.col("kept.id").alias("_id")).distinct()
-    once = Window.partitionBy("_id").orderBy("_text")
-    return rows.join(keep, "_id").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    keep = groups.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("kept")).select(F.col("kept.id").alias("_id"), F.col("kept.text_hash").alias("_text"))
+    once = Window.partitionBy("_id", "_text").orderBy(F.xxhash64(*docs.columns))
+    return rows.join(keep, ["_id", "_text"]).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)

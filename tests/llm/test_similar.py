@@ -54,3 +54,11 @@ def test_texts_of_few_words_link_only_if_equal(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(spark, docs).collect()) == [0, 2, 3, 5]
     assert np.unique(similar.shingles(b"")[1]).size == 1
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=30)) for _ in range(20)]
+    rows = [(7, t, "a") for t in texts] + [(7, texts[0], "b"), (8, texts[1], "a"), (3, texts[2], "a")]
+    kept = simhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, t) for k, t in enumerate(texts) if k != 2] + [(3, texts[2])])
