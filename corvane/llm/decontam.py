@@ -3,7 +3,9 @@
 Words are hashed; a fixed mask over a span of words ignores some positions, so
 two passages that differ there still have the same hash. Test hashes are
 joined with the documents' hashes, and each hit is verified on its diagonal: some
-window of the test item must agree with the document in most of its words.
+window of the test item must agree with the document in most of its words. The
+masks of a window cover every set of substitutions that this allows, so no such
+window is without a hit.
 
 The test side goes to the executors in parts of a proven size. A benchmark beyond one
 part's size takes several passes over the documents, and none of it is left out.
@@ -12,6 +14,7 @@ part's size takes several passes over the documents, and none of it is left out.
 from __future__ import annotations
 
 import string
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -22,25 +25,39 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-SPAN = 12
+#: Words of an item that must be seen together, and the share of them that must agree.
+WINDOW, AGREE = 20, 0.8
+#: Items of fewer words match nothing.
+LEAST = 5
+#: Characters of benchmark text in one pass; each word has up to 15 seeds.
+PASS_CHARS = 1_600_000
+SLAB = 1 << 20
+
 
+def allowed(size: int, agree: float) -> int:
+    """Words of a window that may differ."""
+    return size - int(np.ceil(agree * size - 1e-9))
 
-def masks(span: int) -> tuple[str, ...]:
-    """The six spaced seeds of a span: 1 is read, 0 is ignored.
 
-    Each reads the places of two residues modulo 4, so whatever two words of a span are
-    substituted, one seed ignores both.
+def masks(span: int, wrong: int) -> tuple[str, ...]:
+    """The spaced seeds of a span: 1 is read, 0 is ignored.
+
+    The span is dealt into blocks, two more than the words that may differ. Each seed reads
+    all blocks but as many as those words; wherever they stand, one seed ignores all their blocks.
     """
-    return tuple("".join("1" if k % 4 in (a, b) else "0" for k in range(span)) for a in range(4) for b in range(a + 1, 4))
+    blocks = min(wrong + 2, span)
+    block = [k * blocks // span for k in range(span)]
+    return tuple("".join("0" if b in out else "1" for b in block) for out in combinations(range(blocks), wrong))
 
 
-#: Words of an item that must be seen together, and the share of them that must agree.
-WINDOW, AGREE = 20, 0.8
-#: Items of fewer words match nothing.
-LEAST = 5
-#: Characters of benchmark text in one pass.
-PASS_CHARS = 4_000_000
-SLAB = 1 << 20
+def span_for(size: int, window: int, agree: float) -> int:
+    """The least span in which as many words may differ as in the window of an item of ``size`` words.
+
+    Any window begins with such a span, and all lengths that allow as many have the same masks.
+    """
+    size = min(size, window)
+    return next(n for n in range(1, size + 1) if allowed(n, agree) == allowed(size, agree)) if size < window else size
+
 
 _FOLD = bytes.maketrans(
     (string.ascii_uppercase + string.punctuation + "\x00").encode(), (string.ascii_lowercase + " " * (len(string.punctuation) + 1)).encode()
@@ -82,14 +99,18 @@ class Tests(NamedTuple):
     present: np.ndarray
 
 
-def index(items: list[tuple[object, bytes]]) -> Tests:
-    """Items shorter than the span have seeds as long as themselves."""
+def index(items: list[tuple[object, bytes]], window: int = WINDOW, agree: float = AGREE) -> Tests:
+    """Every place of an item where a window begins has the seeds of that window."""
     words = [word_hashes(t) for _, t in items]
-    spans = sorted({min(w.size, SPAN) for w in words if w.size >= LEAST})
-    hashes, item, place = [], [], []
+    used, hashes, item, place = set(), [], [], []
     for k, w in enumerate(words):
-        for m in masks(min(w.size, SPAN)) if w.size >= LEAST else ():
-            h = seed_hashes(w, m)
+        if w.size < LEAST:
+            continue
+        span = span_for(w.size, window, agree)
+        windows = w.size - min(w.size, window) + 1
+        for m in masks(span, allowed(span, agree)):
+            h = seed_hashes(w, m)[:windows]
+            used.add(m)
             hashes.append(h)
             item.append(np.full(h.size, k))
             place.append(np.arange(h.size))
@@ -98,7 +119,7 @@ def index(items: list[tuple[object, bytes]]) -> Tests:
     present = np.zeros(1 << 22, dtype=bool)
     present[(flat[0] >> np.uint64(42)).astype(np.int64)] = True
     starts = np.concatenate([[0], np.cumsum([w.size for w in words])]).astype(np.int64)
-    return Tests([i for i, _ in items], np.concatenate(words) if words else np.empty(0, np.uint64), starts, tuple(m for n in spans for m in masks(n)), flat[0][order], flat[1][order], flat[2][order], present)
+    return Tests([i for i, _ in items], np.concatenate(words) if words else np.empty(0, np.uint64), starts, tuple(sorted(used)), flat[0][order], flat[1][order], flat[2][order], present)
 
 
 def _verify(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray, window: int, agree: float) -> tuple[int, int, int] | None:
@@ -124,31 +145,33 @@ def _verify(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray, window: in
 def find_hits(text: bytes, tests: Tests, window: int = WINDOW, agree: float = AGREE) -> list[dict]:
     """One entry for each item of which a window is in the text, in item order."""
     doc = word_hashes(text)
-    items, diagonals = [], []
+    # windows may begin before the text or end after it by as many words as may differ
+    edge = np.zeros(allowed(window, agree), np.uint64)
+    padded = np.concatenate([edge, doc, edge])
+    found = []
     for m in tests.masks:
-        h = seed_hashes(doc, m)
+        h = seed_hashes(padded, m)
         at = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
         left, right = np.searchsorted(tests.hashes, h[at], "left"), np.searchsorted(tests.hashes, h[at], "right")
         counts = right - left
         if counts.any():
             flat = np.repeat(left, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            items.append(tests.item[flat])
-            diagonals.append(np.repeat(at, counts) - tests.place[flat])
-    if not items:
+            found.append(np.unique(np.stack([tests.item[flat], np.repeat(at, counts) - edge.size - tests.place[flat]]), axis=1))
+    if not found:
         return []
-    pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)]), axis=1)
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     hits = []
     for k in np.unique(pairs[0]):
-        found = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], pairs[1][pairs[0] == k], window, agree)
-        if found:
-            hits.append({"item_id": tests.ids[k], "matched": found[0], "window": found[1], "start_word": found[2]})
+        best = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], pairs[1][pairs[0] == k], window, agree)
+        if best:
+            hits.append({"item_id": tests.ids[k], "matched": best[0], "window": best[1], "start_word": best[2]})
     return hits
 
 
 HIT = [("matched", T.LongType()), ("window", T.LongType()), ("start_word", T.LongType())]
 
 
-def passages(spark: SparkSession, benchmark: DataFrame, chars: int = PASS_CHARS) -> list:
+def passages(spark: SparkSession, benchmark: DataFrame, chars: int = PASS_CHARS, window: int = WINDOW, agree: float = AGREE) -> list:
     """Broadcast parts of the benchmark, each of about ``chars`` characters.
 
     Items go to a part by a hash of their text. A single item larger than that is a part with more.
@@ -157,7 +180,7 @@ def passages(spark: SparkSession, benchmark: DataFrame, chars: int = PASS_CHARS)
     n = max(1, -(-int(total) // chars))
     part = F.pmod(F.xxhash64("text"), F.lit(n))
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("raw"), part.alias("part"))
-    return [spark.sparkContext.broadcast(index(sorted((r.item_id, bytes(r.raw)) for r in rows.where(F.col("part") == k).collect()))) for k in range(n)]
+    return [spark.sparkContext.broadcast(index(sorted((r.item_id, bytes(r.raw)) for r in rows.where(F.col("part") == k).collect()), window, agree)) for k in range(n)]
 
 
 def hits(text: Column, part, item_type: T.DataType, window: int = WINDOW, agree: float = AGREE) -> Column:
@@ -183,7 +206,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
     """
     item_type = benchmark.schema["item_id"].dataType
     out = None
-    for part in passages(spark, benchmark):
+    for part in passages(spark, benchmark, window=window, agree=agree):
         found = docs.select("doc_id", F.explode(hits(F.col("text"), part, item_type, window, agree)).alias("hit")).select("doc_id", "hit.*")
         out = found if out is None else out.unionByName(found)
     return out
@@ -192,6 +215,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """``docs`` without the rows in which some benchmark passage is; all columns stay."""
     item_type = benchmark.schema["item_id"].dataType
-    for part in passages(spark, benchmark):
+    for part in passages(spark, benchmark, window=window, agree=agree):
         docs = docs.where(F.size(hits(F.col("text"), part, item_type, window, agree)) == 0)
     return docs
