@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.storage import materialise
+
 #: (host, path, verdict), fixed.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Terms of the registered name that mark a training URL as unwanted.
@@ -58,17 +60,16 @@ def labelled(host: Column) -> Column:
     return F.when(name.rlike("(^|-)(" + "|".join(TERMS) + ")(-|$)"), 1.0).otherwise(0.0)
 
 
-def features(url: Column, host: Column, path: Column, suffix_rates: dict[str, float], prior: float) -> dict[str, Column]:
+def features(url: Column, host: Column, path: Column, suffix_rate: Column) -> dict[str, Column]:
     u = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(u), F.lit(1))
     kept = lambda text, pattern: F.length(F.regexp_replace(text, pattern, ""))
     share = lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))) / n
     entropy = F.aggregate(F.array_distinct(F.filter(F.split(u, ""), lambda c: c != "")), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
     labels = F.split(host, r"\.")
-    rates = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(suffix_rates.items()) for x in kv])[suffix(host)], F.lit(prior)) if suffix_rates else F.lit(prior)
     columns = (
         F.length(u), F.length(host), F.length(path), kept(path, "[^/]"), kept(u, "[^0-9]") / n, entropy, kept(u, "[^=]"), F.size(labels),
-        F.array_max(F.transform(labels, F.length)), kept(host, "[^-]"), kept(u, "[A-Za-z0-9]") / n, u.startswith("https:").cast("int"), rates,
+        F.array_max(F.transform(labels, F.length)), kept(host, "[^-]"), kept(u, "[A-Za-z0-9]") / n, u.startswith("https:").cast("int"), suffix_rate,
     )
     return {name: c.cast("double") for name, c in zip(FEATURES, columns, strict=True)}
 
@@ -136,35 +137,40 @@ def _expression(tree: Node) -> Column:
 
 
 class Model(NamedTuple):
+    """``suffix_rates``: ``_suffix, _rate``, one row for each suffix of enough training pages."""
+
     base: float
     trees: list
-    suffix_rates: dict
+    suffix_rates: DataFrame
     prior: float
 
 
+def _with_rates(rows: DataFrame, host: str, rates: DataFrame, prior: float) -> DataFrame:
+    return rows.withColumn("_suffix", suffix(F.col(host))).join(rates, "_suffix", "left").withColumn("_rate", F.coalesce("_rate", F.lit(prior)))
+
+
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` of the pages outside the held-out fold, in the order of a hash of url and id.
+    """Trees of at most ``sample`` of the pages outside the held-out fold, in the order of a hash of url and id.
 
-    Suffix statistics are smoothed shares of unwanted URLs in that sample; an unseen suffix has the mean.
+    Suffix statistics are smoothed shares of unwanted URLs among all pages outside that fold; a suffix of
+    fewer than ``LEAST`` has the mean.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.where("url is not null").withColumn("_host", host).withColumn("_path", path)
     rows = rows.where(F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(False)))
+    counts = rows.groupBy(suffix(F.col("_host")).alias("_suffix")).agg(F.sum(labelled(F.col("_host"))).alias("unwanted"), F.count("*").alias("n"))
+    counts = materialise(pages.sparkSession, counts, "suffixes")
+    total = counts.agg(F.coalesce(F.sum("unwanted"), F.lit(0.0)).alias("unwanted"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    prior = float((total.unwanted + 0.5) / (total.n + 1.0))
+    rates = counts.where(F.col("n") >= LEAST).select("_suffix", ((F.col("unwanted") + 10 * prior) / (F.col("n") + 10)).alias("_rate"))
     # by their hash about twice as many as are wanted, so that what tasks send doesn't grow with their number
     share = min(1.0, 2 * sample / max(1, pages.count()))
     rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = rows.select("url", "_host", "_path", labelled(F.col("_host")).alias("y")).orderBy(F.xxhash64("url", "page_id"), "url").limit(sample)
-    plain = features(F.col("url"), F.col("_host"), F.col("_path"), {}, 0.0)
-    data = chosen.select(suffix(F.col("_host")).alias("suffix"), "y", *[c.alias(n) for n, c in plain.items()]).collect()
+    chosen = rows.select("url", "page_id", "_host", "_path", labelled(F.col("_host")).alias("y")).orderBy(F.xxhash64("url", "page_id"), "url").limit(sample)
+    found = features(F.col("url"), F.col("_host"), F.col("_path"), F.col("_rate"))
+    data = _with_rates(chosen, "_host", rates, prior).orderBy(F.xxhash64("url", "page_id"), "url").select("y", *[c.alias(n) for n, c in found.items()]).collect()
     y = np.array([r.y for r in data], float)
-    prior = float((y.sum() + 0.5) / (y.size + 1.0))
-    counts: dict[str, list[float]] = {}
-    for r in data:
-        c = counts.setdefault(r.suffix, [0.0, 0.0])
-        c[0] += r.y
-        c[1] += 1
-    rates = {s: (a + 10 * prior) / (b + 10) for s, (a, b) in counts.items() if b >= LEAST}
-    x = np.array([[*r[2:-1], rates.get(r.suffix, prior)] for r in data], float).reshape(-1, len(FEATURES))
+    x = np.array([r[1:] for r in data], float).reshape(-1, len(FEATURES))
     return Model(*fit_trees(x, y), rates, prior)
 
 
@@ -178,7 +184,8 @@ def judge(pages: DataFrame, model: Model, rules=RULES, threshold: float = THRESH
     clean = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = host_and_path(F.col("url"))
     rows = clean.withColumn("host", host).withColumn("path", path)
-    found = features(F.col("url"), F.col("host"), F.col("path"), model.suffix_rates, model.prior)
+    rows = _with_rates(rows, "host", model.suffix_rates, model.prior)
+    found = features(F.col("url"), F.col("host"), F.col("path"), F.col("_rate"))
     rows = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in found.items()]))
     margin = F.lit(model.base)
     for tree in model.trees:
