@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-ORDER, PRIOR, ADDED = 2, 4.0, 0.1
+ORDER, PRIOR, ADDED = 3, 4.0, 0.1
 FOLDS = 10
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 6_000_000
