@@ -5,8 +5,8 @@ line is cut further at places that its words alone determine: where the hash of
 a word and the one before is the smallest for some words around. Copies of a
 passage are cut alike whatever stands around them. Each such paragraph has MinHash bands over
 its word shingles; paragraphs that share a band are verified with their exact
-Jaccard similarity, linked paragraphs form classes, and those that occur in several
-documents in runs of enough words are repeats, of which the first occurrence stays.
+Jaccard similarity, linked paragraphs form classes, and those that occur at several
+places in runs of enough words are repeats, of which the first occurrence stays.
 
 Equal paragraphs are one item from the start, so copies never form pairs.
 """
@@ -159,8 +159,8 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
 
     Returns ``doc_id, paragraph`` (its number among those of five words or more), ``start_word,
     n_words, class_id`` (equal for similar paragraphs), ``first_doc_id`` and ``removed`` (false for the
-    occurrence of the smallest doc_id and paragraph, which stays). A paragraph counts if its class is in two
-    documents or more and it stands in a run of such paragraphs of ``run`` words or more in all.
+    occurrence of the smallest doc_id and paragraph, which stays). A paragraph counts if its class is at two
+    places or more, of one document or of several, and it stands in a run of such paragraphs of ``run`` words or more in all.
     Words are split at ASCII blanks, A-Z lower-cased. Null and empty texts, and those of less than five words, have no
     paragraphs. Rows without an id count as having an id made of their text; their ``doc_id`` is null.
     Rows that share an id are one document. Other columns are not looked at; an empty table gives no rows.
@@ -170,10 +170,11 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     all_ = materialise(spark, texts.mapInArrow(_cut_all, f"id long, {PARAGRAPHS}"), "paragraphs")
     rows = all_.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
     found = materialise(spark, candidates(rows, block), "candidates")
-    # the documents between which each paragraph occurs; in the first one it is looked up where it has to be verified
-    spread = materialise(spark, all_.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")), "spread")
+    # the places between which each paragraph occurs; in the first document it is looked up where it has to be verified
+    place = F.struct("id", "start_word")
+    spread = materialise(spark, all_.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")), "spread")
     items = found.select(F.col("item").alias("content")).distinct()
-    wanted = spread.join(items, "content").groupBy(F.col("first").alias("id")).agg(F.collect_set("content").alias("wanted"))
+    wanted = spread.join(items, "content").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("content").alias("wanted"))
     sets = texts.join(wanted, "id").select("raw", "wanted").mapInArrow(_shingles_of, "item long, shingles array<long>")
     sets = materialise(spark, sets.dropDuplicates(["item"]), "shingles")
     links = linked(found.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
@@ -181,7 +182,7 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
     spread = materialise(spark, spread.select("content", "class_id", "first", "last"), "spread_classes")
     wide = spread.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
-    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", "first"), "class_id"), "repeated")
+    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", F.col("first.id").alias("first")), "class_id"), "repeated")
     hits = all_.select("id", "no", "start_word", "n_words", "content").join(known, "content")
     runs = hits.withColumn("_run", F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no", "start_word")))
     stays = (F.col("id") == F.col("first")) & (F.row_number().over(Window.partitionBy("id", "class_id").orderBy("no", "start_word")) == 1)
