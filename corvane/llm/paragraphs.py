@@ -44,31 +44,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Cut(NamedTuple):
-    """Paragraphs of ``SHINGLE`` words or more: first word, words, hash, and band keys (one row each); ``shingles`` is one hash for each word at which one starts."""
+    """Paragraphs of ``SHINGLE`` words or more: first word, words, hash, and band keys (one row each); ``shingles`` is one hash for each word at which one starts.
+    ``whole`` tells which are whole lines; ``lines`` are the lines that are no single paragraph."""
 
     start: np.ndarray
     words: np.ndarray
     content: np.ndarray
     keys: np.ndarray
     shingles: np.ndarray
+    whole: np.ndarray
+    lines: Cut | None
 
 
-def cut(text: bytes) -> Cut:
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many each line with words has."""
     lines = [line.split() for line in text.lower().split(b"\n")]
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     sizes = sizes[sizes > 0]
     n = int(sizes.sum())
+    return _mix(np.fromiter((xxh64_intdigest(w) for line in lines for w in line), np.uint64, n)), sizes
+
+
+def _windows_at(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each run of ``width`` words."""
+    total = np.full(max(0, h.size - width + 1), width, np.uint64)
+    for k in range(width):
+        total = _mix(total * _BASE + h[k : k + total.size])
+    return total
+
+
+def cut(text: bytes) -> Cut:
+    h, sizes = _words(text)
+    n = h.size
     none = np.empty(0, np.uint64)
     if n < SHINGLE:
-        return Cut(none.astype(np.int64), none.astype(np.int64), none, none.reshape(0, BANDS), none)
-    h = _mix(np.fromiter((xxh64_intdigest(w) for line in lines for w in line), np.uint64, n))
+        return Cut(none.astype(np.int64), none.astype(np.int64), none, none.reshape(0, BANDS), none, none.astype(bool), None)
     v = h.copy()
     v[1:] = _mix(h[1:] + h[:-1] * _ODD[0])
     line_starts = np.cumsum(sizes) - sizes
     v = np.maximum(v, np.uint64(1))
     v[line_starts] = 0
     top = np.full(AROUND, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([top, v, top])
+    # the end of the text cuts like the end of a line, whose next word is 0
+    padded = np.concatenate([top, v, np.zeros(AROUND, np.uint64)])
     is_cut = v < padded[AROUND - 1 : AROUND - 1 + n]
     for k in range(AROUND - 1):
         is_cut &= v < padded[k : k + n]
@@ -82,41 +100,58 @@ def cut(text: bytes) -> Cut:
     powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE, np.uint64))])
     backs = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE, np.uint64))])
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:n])])
-    content = _mix((sums[end] - sums[start]) * backs[start] + (end - start).astype(np.uint64))
     shingles = _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * backs[: n - SHINGLE + 1])
-    keys = np.zeros((start.size, BANDS), np.uint64)
-    if start.size:
-        # minima over the shingles that lie within a paragraph; the odd slices are what lies between
-        bounds = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
-        for b in range(BANDS):
-            key = np.full(start.size, b + 1, np.uint64)
-            for r in range(ROWS):
-                values = np.append(_mix(shingles * _ODD[b * ROWS + r]), np.iinfo(np.uint64).max)
-                key = _mix(key * _BASE + np.minimum.reduceat(values, bounds)[::2])
-            keys[:, b] = key
-    return Cut(start, end - start, content, keys, shingles)
 
+    def content(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((sums[end] - sums[start]) * backs[start] + (end - start).astype(np.uint64))
+
+    def keys(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        found = np.zeros((start.size, BANDS), np.uint64)
+        if start.size:
+            # minima over the shingles that lie within a paragraph; the odd slices are what lies between
+            bounds = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
+            for b in range(BANDS):
+                key = np.full(start.size, b + 1, np.uint64)
+                for r in range(ROWS):
+                    values = np.append(_mix(shingles * _ODD[b * ROWS + r]), np.iinfo(np.uint64).max)
+                    key = _mix(key * _BASE + np.minimum.reduceat(values, bounds)[::2])
+                found[:, b] = key
+        return found
 
-PARAGRAPHS = "no int, start_word long, n_words long, content long, keys array<long>"
+    line_end = np.zeros(n, np.int64)
+    line_end[line_starts] = line_starts + sizes
+    whole = line_end[start] == end
+    other = sizes >= SHINGLE
+    other[np.isin(line_starts, start[whole])] = False
+    line_start, ends = line_starts[other], (line_starts + sizes)[other]
+    lines = Cut(line_start, ends - line_start, content(line_start, ends), keys(line_start, ends), shingles, np.ones(line_start.size, bool), None)
+    return Cut(start, end - start, content(start, end), keys(start, end), shingles, whole, lines)
+
+
+PARAGRAPHS = "no int, whole boolean, start_word long, n_words long, content long, keys array<long>"
 
 
 def _cut_all(batches):
+    """All paragraphs of each text, and its lines that are no single paragraph, which have no number."""
     for batch in batches:
         ids, texts = batch.columns
         cuts = [cut(t.as_py() or b"") for t in texts]
-        counts = np.array([c.start.size for c in cuts])
-        join = lambda field: np.concatenate([getattr(c, field) for c in cuts]) if cuts else np.empty(0, np.int64)
+        parts = [(k, c, np.arange(c.start.size), False) for k, c in enumerate(cuts)] + [(k, c.lines, np.zeros(c.lines.start.size, np.int64), True) for k, c in enumerate(cuts) if c.lines]
+        join = lambda field: np.concatenate([getattr(c, field) for _, c, _, _ in parts]) if parts else np.empty(0, np.int64)
+        each = lambda values, kind: np.repeat(np.array(values, kind), [c.start.size for _, c, _, _ in parts])
         keys = join("keys").reshape(-1).view(np.int64)
+        no = np.concatenate([x for _, _, x, _ in parts]) if parts else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(np.repeat(np.arange(len(cuts)), counts))),
-                pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts.size else np.empty(0, np.int32)),
+                ids.take(pa.array(each([k for k, *_ in parts], np.int64))),
+                pa.array(no.astype(np.int32), mask=each([x for *_, x in parts], bool)),
+                pa.array(join("whole").astype(bool)),
                 pa.array(join("start")),
                 pa.array(join("words")),
                 pa.array(join("content").view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys)),
             ],
-            names=["id", "no", "start_word", "n_words", "content", "keys"],
+            names=["id", "no", "whole", "start_word", "n_words", "content", "keys"],
         )
 
 
@@ -126,13 +161,32 @@ def _shingles_of(batches):
         items, sets = [], []
         for text, wanted in zip(batch.column("raw"), batch.column("wanted").to_pylist(), strict=True):
             c, wanted = cut(text.as_py() or b""), set(wanted)
-            for s, n, content in zip(c.start, c.words, c.content.view(np.int64).tolist(), strict=True):
-                if content in wanted:
-                    items.append(content)
-                    sets.append(np.unique(c.shingles[s : s + n - SHINGLE + 1]).view(np.int64))
+            for part in (c, c.lines) if c.lines else (c,):
+                for s, n, content in zip(part.start, part.words, part.content.view(np.int64).tolist(), strict=True):
+                    if content in wanted:
+                        items.append(content)
+                        sets.append(np.unique(c.shingles[s : s + n - SHINGLE + 1]).view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["item", "shingles"])
 
 
+def _around(width: int):
+    """A hash of each run of ``width`` words in which a given paragraph lies, and where the run starts."""
+
+    def fn(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for i, text, spans in zip(batch.column("id").to_pylist(), batch.column("raw"), batch.column("spans").to_pylist(), strict=True):
+                found = _windows_at(_words(text.as_py() or b"")[0], width).view(np.int64)
+                for span in spans:
+                    a, n = span["start_word"], span["n_words"]
+                    for at in range(max(0, a + n - width), min(a, found.size - 1) + 1):
+                        for column, value in zip(out, (i, a, at, found[at]), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start_word", "at", "window"])
+
+    return fn
+
+
 def _near(similar: float):
     def near_in(table: pa.Table):
         sets = table.column("shingles").combine_chunks()
@@ -154,13 +208,14 @@ def _near(similar: float):
     return near_in
 
 
-def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run: int = RUN, line_run: int = RUN, block: int = BLOCK) -> DataFrame:
     """The repeated paragraphs of ``docs`` (``doc_id, text``), one row each.
 
-    Returns ``doc_id, paragraph`` (its number among those of five words or more), ``start_word,
+    Returns ``doc_id, paragraph`` (its number among those of five words or more; null for a line that is several), ``start_word,
     n_words, class_id`` (equal for similar paragraphs), ``first_doc_id`` and ``removed`` (false for the
     occurrence of the smallest doc_id and paragraph, which stays). A paragraph counts if its class is at two
-    places or more, of one document or of several, and it stands in a run of such paragraphs of ``run`` words or more in all.
+    places or more, of one document or of several, and it stands in a run of such paragraphs of ``run`` words or more in all, or in ``run``
+    words that are repeated as they are, or if it is a whole line of ``line_run`` words or more.
     Words are split at ASCII blanks, A-Z lower-cased. Null and empty texts, and those of less than five words, have no
     paragraphs. Rows without an id count as having an id made of their text; their ``doc_id`` is null.
     Rows that share an id are one document. Other columns are not looked at; an empty table gives no rows.
@@ -171,8 +226,9 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     rows = all_.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
     found = materialise(spark, candidates(rows, block), "candidates")
     # the places between which each paragraph occurs; in the first document it is looked up where it has to be verified
-    place = F.struct("id", "start_word")
-    spread = materialise(spark, all_.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")), "spread")
+    end = (F.col("start_word") + F.col("n_words")).alias("end")
+    places = (F.min(F.struct("id", "start_word", end)).alias("first"), F.max(F.struct("id", "start_word")).alias("last"), F.min(F.struct("id", end)).alias("ended"))
+    spread = materialise(spark, all_.groupBy("content").agg(*places), "spread")
     items = found.select(F.col("item").alias("content")).distinct()
     wanted = spread.join(items, "content").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("content").alias("wanted"))
     sets = texts.join(wanted, "id").select("raw", "wanted").mapInArrow(_shingles_of, "item long, shingles array<long>")
@@ -180,12 +236,24 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     links = linked(found.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
     classes = materialise(spark, connected_components(spark, links), "classes")
     spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
-    spread = materialise(spark, spread.select("content", "class_id", "first", "last"), "spread_classes")
-    wide = spread.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
-    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", F.col("first.id").alias("first")), "class_id"), "repeated")
-    hits = all_.select("id", "no", "start_word", "n_words", "content").join(known, "content")
-    runs = hits.withColumn("_run", F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no", "start_word")))
-    stays = (F.col("id") == F.col("first")) & (F.row_number().over(Window.partitionBy("id", "class_id").orderBy("no", "start_word")) == 1)
-    runs = runs.withColumn("removed", ~stays).withColumn("_words", F.sum("n_words").over(Window.partitionBy("id", "_run"))).where(F.col("_words") >= run)
+    spread = materialise(spark, spread.select("content", "class_id", "first", "last", "ended"), "spread_classes")
+    # a line and a paragraph in it can be of one class: two places are where one begins after the other ended
+    wide = spread.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("ended").alias("ended"))
+    wide = wide.where((F.col("last.id") > F.col("ended.id")) | (F.col("last.start_word") >= F.col("ended.end")))
+    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", F.col("first").alias("at")), "class_id"), "repeated")
+    hits = all_.select("id", "no", "whole", "start_word", "n_words", "content").join(known, "content")
+    stays = (F.col("id") == F.col("at.id")) & (F.col("start_word") < F.col("at.end"))
+    hits = hits.withColumn("removed", ~stays).withColumn("first", F.col("at.id"))
+    runs = hits.where("no is not null").withColumn("_run", F.col("no") - F.dense_rank().over(Window.partitionBy("id").orderBy("no")))
+    runs = materialise(spark, runs.withColumn("_words", F.sum("n_words").over(Window.partitionBy("id", "_run"))), "runs")
+    counts = (F.col("_words") >= run) | (F.col("whole") & (F.col("n_words") >= line_run))
+    short = runs.where(~counts).groupBy("id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    around = texts.join(short, "id").select("id", "raw", "spans").mapInArrow(_around(run), "id long, start_word long, at long, window long")
+    around = materialise(spark, around, "around")
+    again = around.groupBy("window").agg(F.min(F.struct("id", "at")).alias("a"), F.max(F.struct("id", "at")).alias("b")).where("a <> b")
+    longer = around.join(again, "window").select("id", "start_word").distinct().withColumn("_longer", F.lit(True))
+    runs = runs.join(longer, ["id", "start_word"], "left").where(counts | F.col("_longer"))
+    columns = ["id", "no", "start_word", "n_words", "class_id", "first", "removed"]
+    runs = runs.select(*columns).unionByName(hits.where(F.col("no").isNull() & (F.col("n_words") >= line_run)).select(*columns))
     real = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
     return runs.select(real("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", real("first").alias("first_doc_id"), "removed")

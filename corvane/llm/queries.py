@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return paragraphs.repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), line_run=paragraphs.SHINGLE)
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
