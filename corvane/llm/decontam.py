@@ -14,6 +14,7 @@ part's size takes several passes over the documents, and none of it is left out.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -39,15 +40,20 @@ def allowed(size: int, agree: float) -> int:
     return size - int(np.ceil(agree * size - 1e-9))
 
 
+def _blocks(span: int, wrong: int) -> list[int]:
+    """The block of each word of a span: two blocks more than the words that may differ."""
+    blocks = min(wrong + 2, span)
+    return [k * blocks // span for k in range(span)]
+
+
 def masks(span: int, wrong: int) -> tuple[str, ...]:
     """The spaced seeds of a span: 1 is read, 0 is ignored.
 
-    The span is dealt into blocks, two more than the words that may differ. Each seed reads
-    all blocks but as many as those words; wherever they stand, one seed ignores all their blocks.
+    Each seed reads all blocks but as many as the words that may differ; wherever they
+    stand, one seed ignores all their blocks.
     """
-    blocks = min(wrong + 2, span)
-    block = [k * blocks // span for k in range(span)]
-    return tuple("".join("0" if b in out else "1" for b in block) for out in combinations(range(blocks), wrong))
+    block = _blocks(span, wrong)
+    return tuple("".join("0" if b in out else "1" for b in block) for out in combinations(range(block[-1] + 1), wrong))
 
 
 def span_for(size: int, window: int, agree: float) -> int:
@@ -74,16 +80,17 @@ def _multipliers(seed: int, n: int) -> np.ndarray:
     return np.array([xxh64_intdigest(f"{seed}:{k}") | 1 for k in range(n)], np.uint64)
 
 
-def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    """One hash for each place at which the mask fits."""
-    n = words.size - len(mask) + 1
+def seed_hashes(words: np.ndarray, span: int, wrong: int) -> Iterator[np.ndarray]:
+    """By mask one hash for each place at which the span fits; the blocks' sums are shared by the masks."""
+    n = words.size - span + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    total, times = np.zeros(n, np.uint64), _multipliers(int("1" + mask, 2), len(mask))
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            total += words[k : k + n] * times[k]
-    return total
+        return
+    block, times = _blocks(span, wrong), _multipliers(span, span)
+    sums = np.zeros((block[-1] + 1, n), np.uint64)
+    for k, b in enumerate(block):
+        sums[b] += words[k : k + n] * times[k]
+    for out in combinations(range(block[-1] + 1), wrong):
+        yield sum((sums[b] for b in range(1, block[-1] + 1) if b not in out), sums[0] if 0 not in out else np.zeros(n, np.uint64))
 
 
 class Tests(NamedTuple):
@@ -92,7 +99,7 @@ class Tests(NamedTuple):
     ids: list
     words: np.ndarray
     starts: np.ndarray
-    masks: tuple[str, ...]
+    spans: tuple[tuple[int, int], ...]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -108,9 +115,9 @@ def index(items: list[tuple[object, bytes]], window: int = WINDOW, agree: float
             continue
         span = span_for(w.size, window, agree)
         windows = w.size - min(w.size, window) + 1
-        for m in masks(span, allowed(span, agree)):
-            h = seed_hashes(w, m)[:windows]
-            used.add(m)
+        used.add((span, allowed(span, agree)))
+        for h in seed_hashes(w, span, allowed(span, agree)):
+            h = h[:windows]
             hashes.append(h)
             item.append(np.full(h.size, k))
             place.append(np.arange(h.size))
@@ -149,8 +156,7 @@ def find_hits(text: bytes, tests: Tests, window: int = WINDOW, agree: float = AG
     edge = np.zeros(allowed(window, agree), np.uint64)
     padded = np.concatenate([edge, doc, edge])
     found = []
-    for m in tests.masks:
-        h = seed_hashes(padded, m)
+    for h in (h for span, wrong in tests.spans for h in seed_hashes(padded, span, wrong)):
         at = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
         left, right = np.searchsorted(tests.hashes, h[at], "left"), np.searchsorted(tests.hashes, h[at], "right")
         counts = right - left
