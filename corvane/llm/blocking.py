@@ -1,23 +1,35 @@
 """Links between the items that share a bucket, without emitting pairs.
 
-Rows (bucket, item) are sorted by bucket and read as runs. A run of one item
-says nothing and is dropped at once. The items of a longer run are searched
-from a first item outwards, against those not reached yet, and only the
-spanning links come out: at most one less than the items. A run longer than
-``block`` is dealt out as pairs of blocks over many tasks, so no task holds
-more than two blocks and no link is lost.
+Rows (bucket, item) are sorted by bucket and numbered as they stream by: an item that is
+alone says nothing and is dropped, and every ``block`` items of a bucket are a part. A bucket of one part is
+searched as it is, one of more as pairs of parts over many tasks. Buckets that hold a large
+share of all rows are found by a sketch beforehand; their items are first split by a
+further key that no link crosses, if the caller has one, and dealt into parts by hash, so no task sees
+such a bucket whole. A search goes from a first item outwards, against those not reached yet, and only the spanning
+links come out: at most one less than the items. No link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.storage import materialise
+
 BLOCK = 8192
+#: Buckets that are dealt out by item at most, and entries of the sketch that finds them; a bucket beyond them streams through one task.
+HOT, TRACKED = 1000, 16384
+
+
+def same(left: str, right: str, *names: str) -> Column:
+    """The condition that columns of two aliased frames are equal, nulls too."""
+    return reduce(and_, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
 
 def spanning_links(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -37,7 +49,7 @@ def spanning_links(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> lis
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables that hold whole runs of equal keys, with where each run starts."""
+    """Tables that hold whole runs of equal keys, with where each run starts; the runs are of bounded size."""
     kept: list[pa.RecordBatch] = []
 
     def starts(table: pa.Table) -> np.ndarray:
@@ -69,48 +81,68 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         yield table, starts(table)
 
 
-CANDIDATES = "bucket long, item long, i int, j int"
-
+NUMBERED = "bucket long, item long, part int"
 
-def _candidates(block: int):
-    out_schema = pa.schema([("bucket", pa.int64()), ("item", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
-    def emit(bucket, item, i, j):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int64()), pa.array(item, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], schema=out_schema
-        )
+def _numbered(block: int):
+    """Distinct items of buckets with two or more, each with its part; of a bucket only the place is remembered."""
 
     def fn(batches):
-        for table, _ in _runs(batches, ["bucket"]):
-            bucket, item = table.column("bucket").to_numpy(), table.column("item").to_numpy()
-            new = np.ones(bucket.size, dtype=bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (item[1:] != item[:-1])
-            bucket, item = bucket[new], item[new]
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            sizes = np.diff(np.append(at, bucket.size))
-            small = np.repeat((sizes >= 2) & (sizes <= block), sizes)
-            if small.any():
-                zero = np.zeros(int(small.sum()), dtype=np.int32)
-                yield emit(bucket[small], item[small], zero, zero)
-            for k in np.flatnonzero(sizes > block):
-                run, parts = item[at[k] : at[k] + sizes[k]], -(-int(sizes[k]) // block)
-                for i in range(parts):
-                    for j in range(i + 1, parts):
-                        both = np.concatenate([run[i * block : (i + 1) * block], run[j * block : (j + 1) * block]])
-                        same = np.ones(both.size)
-                        yield emit(same.astype(np.int64) * bucket[at[k]], both, same * i, same * j)
+        held, last, count = np.empty((2, 0), np.int64), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([batch.column("bucket").to_numpy(), batch.column("item").to_numpy()])], axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+            if not held.size and last is not None:
+                new[0] = (rows[0, 0], rows[1, 0]) != last
+            rows = rows[:, new]
+            if not rows.size:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            sizes = np.diff(np.append(starts, rows.shape[1]))
+            before = np.zeros(starts.size, np.int64)
+            if last is not None and rows[0, 0] == last[0]:
+                before[0] = count
+            total = before + sizes
+            place = np.arange(rows.shape[1]) + np.repeat(before - starts, sizes)
+            out = np.repeat(total >= 2, sizes)
+            last = (rows[0, -1], rows[1, -1])
+            held, count = (rows[:, -1:], 0) if total[-1] == 1 else (held[:, :0], int(total[-1]))
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0, out]), pa.array(rows[1, out]), pa.array((place[out] // block).astype(np.int32))], names=["bucket", "item", "part"])
 
     return fn
 
 
-def candidates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Items of buckets with two different items or more, each with its blocks.
+def candidates(spark: SparkSession, rows: DataFrame, block: int = BLOCK, split: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Items of buckets with two different items or more, each once for every pair of parts it is in.
 
-    ``rows``: ``bucket`` and ``item`` (long, not null), repeats allowed.
-    Returns ``bucket, item, i, j``; a task of ``linked`` takes one bucket, i, j.
+    ``rows``: ``bucket`` and ``item`` (long, not null), repeats allowed. ``split(bucket, item)`` is an array of keys of which
+    any two items that should link share one; buckets of a large share of the rows are cut by it.
+    Returns ``bucket, item, i, j``; a task of ``linked`` takes one bucket, i, j, which has no more than about two blocks.
     """
-    dealt = rows.select("bucket", "item").repartition("bucket").sortWithinPartitions("bucket", "item")
-    return dealt.mapInArrow(_candidates(block), CANDIDATES)
+    rows = rows.select("bucket", "item")
+    top = rows.agg(F.expr(f"approx_top_k(bucket, {HOT}, {TRACKED})").alias("top")).first().top or []
+    hot = [x["item"] for x in top if x["count"] > block]
+    cold = rows.where(~F.col("bucket").isin(hot)) if hot else rows
+    numbered = cold.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_numbered(block), NUMBERED)
+    if hot:
+        own = materialise(spark, rows.where(F.col("bucket").isin(hot)).distinct(), "hot")
+        if split is None:
+            sizes = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).alias("parts"))
+            dealt = own.join(F.broadcast(sizes), "bucket")  # at most HOT rows
+            numbered = numbered.unionByName(dealt.select("bucket", "item", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part")))
+    found = materialise(spark, numbered, "buckets")
+    large = found.where("part > 0").groupBy("bucket").agg((F.max("part") + 1).alias("parts"))
+    other = F.explode(F.when(F.col("parts").isNull(), F.array("part")).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))).alias("other")
+    pairs = found.join(large, "bucket", "left").select("bucket", "item", "part", other)
+    pairs = pairs.select("bucket", "item", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    if hot and split is not None:
+        cut = own.select(F.explode(split(F.col("bucket"), F.col("item"))).alias("bucket"), "item")
+        pairs = pairs.unionByName(candidates(spark, cut, block))
+    return pairs
 
 
 def linked(found: DataFrame, near_in: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.blocking import BLOCK, candidates, linked
+from corvane.llm.blocking import BLOCK, candidates, linked, same
 from corvane.llm.components import connected_components
-from corvane.llm.storage import materialise
+from corvane.llm.storage import discard, materialise
+from corvane.llm.words import joined, mix, powers
 
 #: Words on either side among which a cut is the smallest, so that paragraphs within a line have more words than that.
 AROUND = 7
@@ -35,57 +36,59 @@ RUN = 16
 
 _ODD = np.array([xxh64_intdigest(f"minhash {k}") | 1 for k in range(BANDS * ROWS)], np.uint64)
 _BASE = np.uint64(xxh64_intdigest("base") | 5)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
 
 
 class Cut(NamedTuple):
-    """Paragraphs of ``SHINGLE`` words or more: first word, words, hash, and band keys (one row each); ``shingles`` is one hash for each word at which one starts.
-    ``whole`` tells which are whole lines; ``lines`` are the lines that are no single paragraph."""
+    """Paragraphs of ``SHINGLE`` words or more of some texts, then the lines of as many words that are no single paragraph (``line``).
+
+    ``text``: which text; ``no``: the number within it (lines: 0); ``start``: the first word within it; ``words``; ``content``: a hash;
+    ``whole``: a paragraph that is a line; ``keys``: band keys, ``BANDS`` among paragraphs and as many among lines; ``at``: the place in ``shingles``, which has one
+    hash for each word at which one starts.
+    """
 
+    text: np.ndarray
+    no: np.ndarray
     start: np.ndarray
     words: np.ndarray
     content: np.ndarray
+    whole: np.ndarray
+    line: np.ndarray
     keys: np.ndarray
+    at: np.ndarray
     shingles: np.ndarray
-    whole: np.ndarray
-    lines: Cut | None
 
 
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and how many each line with words has."""
-    lines = [line.split() for line in text.lower().split(b"\n")]
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    sizes = sizes[sizes > 0]
-    n = int(sizes.sum())
-    return _mix(np.fromiter((xxh64_intdigest(w) for line in lines for w in line), np.uint64, n)), sizes
+#: Contents that a task remembers; what it forgets is sent anew.
+REMEMBERED = 1 << 20
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words; of each line with words, how many it has and its text."""
+    found, text, start, raw = joined(texts)
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    first, sizes = np.unique(np.searchsorted(ends, start), return_index=True, return_counts=True)[1:]
+    return found, sizes, text[first]
 
 
 def _windows_at(h: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of ``width`` words."""
     total = np.full(max(0, h.size - width + 1), width, np.uint64)
     for k in range(width):
-        total = _mix(total * _BASE + h[k : k + total.size])
+        total = mix(total * _BASE + h[k : k + total.size])
     return total
 
 
-def cut(text: bytes) -> Cut:
-    h, sizes = _words(text)
+def cut(texts: list[bytes], banded: bool = True) -> Cut:
+    """Texts together are cut as each alone, as no cut looks beyond its line; keys are empty unless ``banded``."""
+    h, sizes, text_of = _words(texts)
     n = h.size
-    none = np.empty(0, np.uint64)
-    if n < SHINGLE:
-        return Cut(none.astype(np.int64), none.astype(np.int64), none, none.reshape(0, BANDS), none, none.astype(bool), None)
     v = h.copy()
-    v[1:] = _mix(h[1:] + h[:-1] * _ODD[0])
+    v[1:] = mix(h[1:] + h[:-1] * _ODD[0])
     line_starts = np.cumsum(sizes) - sizes
     v = np.maximum(v, np.uint64(1))
     v[line_starts] = 0
     top = np.full(AROUND, np.iinfo(np.uint64).max, np.uint64)
-    # the end of the text cuts like the end of a line, whose next word is 0
+    # the end of the texts cuts like the end of a line, whose next word is 0
     padded = np.concatenate([top, v, np.zeros(AROUND, np.uint64)])
     is_cut = v < padded[AROUND - 1 : AROUND - 1 + n]
     for k in range(AROUND - 1):
@@ -93,80 +96,98 @@ def cut(text: bytes) -> Cut:
     for k in range(AROUND + 1, 2 * AROUND + 1):
         is_cut &= v <= padded[k : k + n]
     is_cut[line_starts] = True
-    start = np.flatnonzero(is_cut)
-    end = np.append(start[1:], n)
-    long_enough = end - start >= SHINGLE
-    start, end = start[long_enough], end[long_enough]
-    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE, np.uint64))])
-    backs = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE, np.uint64))])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:n])])
-    shingles = _mix((sums[SHINGLE:] - sums[:-SHINGLE]) * backs[: n - SHINGLE + 1])
-
-    def content(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((sums[end] - sums[start]) * backs[start] + (end - start).astype(np.uint64))
-
-    def keys(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        found = np.zeros((start.size, BANDS), np.uint64)
-        if start.size:
-            # minima over the shingles that lie within a paragraph; the odd slices are what lies between
-            bounds = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
-            for b in range(BANDS):
-                key = np.full(start.size, b + 1, np.uint64)
-                for r in range(ROWS):
-                    values = np.append(_mix(shingles * _ODD[b * ROWS + r]), np.iinfo(np.uint64).max)
-                    key = _mix(key * _BASE + np.minimum.reduceat(values, bounds)[::2])
-                found[:, b] = key
-        return found
+    piece = np.flatnonzero(is_cut)
+    piece_end = np.append(piece[1:], n)[: piece.size]
+    long_enough = piece_end - piece >= SHINGLE
+    piece, piece_end = piece[long_enough], piece_end[long_enough]
+    base, backs = powers(n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * base[:n], dtype=np.uint64)])
+    shingles = mix((sums[SHINGLE:] - sums[:-SHINGLE]) * backs[: max(0, n - SHINGLE + 1)]) if n >= SHINGLE else np.empty(0, np.uint64)
 
     line_end = np.zeros(n, np.int64)
     line_end[line_starts] = line_starts + sizes
-    whole = line_end[start] == end
+    whole = line_end[piece] == piece_end
     other = sizes >= SHINGLE
-    other[np.isin(line_starts, start[whole])] = False
-    line_start, ends = line_starts[other], (line_starts + sizes)[other]
-    lines = Cut(line_start, ends - line_start, content(line_start, ends), keys(line_start, ends), shingles, np.ones(line_start.size, bool), None)
-    return Cut(start, end - start, content(start, end), keys(start, end), shingles, whole, lines)
-
-
-PARAGRAPHS = "no int, whole boolean, start_word long, n_words long, content long, keys array<long>"
+    other[np.isin(line_starts, piece[whole])] = False
+    start, end = np.concatenate([piece, line_starts[other]]), np.concatenate([piece_end, (line_starts + sizes)[other]])
+    line = np.arange(start.size) >= piece.size
+    content = mix((sums[end] - sums[start]) * backs[start] + (end - start).astype(np.uint64))
+    text = text_of[np.searchsorted(line_starts, start, "right") - 1] if n else start
+    first = np.zeros(len(texts), np.int64)
+    new = np.concatenate([[True], text_of[1:] != text_of[:-1]])[: text_of.size]
+    first[text_of[new]] = line_starts[new]
+    pieces_before = np.searchsorted(text[~line], np.arange(len(texts)))
+    no = np.where(line, 0, np.arange(start.size) - pieces_before[text])
+    keys = np.zeros((start.size if banded else 0, 2 * BANDS), np.uint64)
+    if keys.size:
+        # minima over the shingles that lie within a paragraph; the odd slices are what lies between
+        bounds = np.stack([start, end - SHINGLE + 1], axis=1).ravel()
+        for b in range(BANDS):
+            key = np.full(start.size, b + 1, np.uint64)
+            for r in range(ROWS):
+                values = np.append(mix(shingles * _ODD[b * ROWS + r]), np.iinfo(np.uint64).max)
+                key = mix(key * _BASE + np.minimum.reduceat(values, bounds)[::2])
+            keys[:, b], keys[:, BANDS + b] = key, mix(key + _ODD[1])
+    return Cut(text, no, start - first[text], end - start, content, np.concatenate([whole, np.ones(int(line.sum()), bool)]), line, keys, start, shingles)
+
+
+def _slabs(texts: pa.Array, size: int = 1 << 20):
+    """Places and values of some texts at a time, of about ``size`` bytes in all or one text."""
+    group, total = [], 0
+    for k, t in enumerate(texts):
+        group.append(t.as_py() or b"")
+        total += len(group[-1])
+        if total >= size:
+            yield k + 1 - len(group), group
+            group, total = [], 0
+    if group:
+        yield len(texts) - len(group), group
+
+
+PARAGRAPHS = "id long, text_hash long, no int, whole boolean, start_word long, n_words long, content long, keys array<long>"
 
 
 def _cut_all(batches):
-    """All paragraphs of each text, and its lines that are no single paragraph, which have no number."""
+    """All paragraphs of each text, and its lines that are no single paragraph, which have no number; of equal ones in a task the first has keys."""
+    seen: set[int] = set()
     for batch in batches:
-        ids, texts = batch.columns
-        cuts = [cut(t.as_py() or b"") for t in texts]
-        parts = [(k, c, np.arange(c.start.size), False) for k, c in enumerate(cuts)] + [(k, c.lines, np.zeros(c.lines.start.size, np.int64), True) for k, c in enumerate(cuts) if c.lines]
-        join = lambda field: np.concatenate([getattr(c, field) for _, c, _, _ in parts]) if parts else np.empty(0, np.int64)
-        each = lambda values, kind: np.repeat(np.array(values, kind), [c.start.size for _, c, _, _ in parts])
-        keys = join("keys").reshape(-1).view(np.int64)
-        no = np.concatenate([x for _, _, x, _ in parts]) if parts else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(each([k for k, *_ in parts], np.int64))),
-                pa.array(no.astype(np.int32), mask=each([x for *_, x in parts], bool)),
-                pa.array(join("whole").astype(bool)),
-                pa.array(join("start")),
-                pa.array(join("words")),
-                pa.array(join("content").view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys)),
-            ],
-            names=["id", "no", "whole", "start_word", "n_words", "content", "keys"],
-        )
+        for begin, texts in _slabs(batch.column("raw")):
+            c = cut(texts)
+            content, owner = c.content.view(np.int64), pa.array(c.text + begin)
+            fresh = np.zeros(content.size, bool)
+            fresh[np.unique(content, return_index=True)[1]] = True
+            fresh[[k for k in np.flatnonzero(fresh).tolist() if int(content[k]) in seen]] = False
+            seen = (seen if len(seen) < REMEMBERED else set()) | set(content[fresh].tolist())
+            wanted = np.repeat(np.stack([fresh & ~c.line, fresh & c.whole], axis=1), BANDS, axis=1)
+            sizes = np.concatenate([[0], np.cumsum(wanted.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(owner),
+                    batch.column("text_hash").take(owner),
+                    pa.array(c.no.astype(np.int32), mask=c.line),
+                    pa.array(c.whole),
+                    pa.array(c.start),
+                    pa.array(c.words),
+                    pa.array(content),
+                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(c.keys[wanted].view(np.int64))),
+                ],
+                names=["id", "text_hash", "no", "whole", "start_word", "n_words", "content", "keys"],
+            )
 
 
 def _shingles_of(batches):
     """The sorted distinct shingles of the wanted paragraphs of each text."""
     for batch in batches:
-        items, sets = [], []
-        for text, wanted in zip(batch.column("raw"), batch.column("wanted").to_pylist(), strict=True):
-            c, wanted = cut(text.as_py() or b""), set(wanted)
-            for part in (c, c.lines) if c.lines else (c,):
-                for s, n, content in zip(part.start, part.words, part.content.view(np.int64).tolist(), strict=True):
-                    if content in wanted:
-                        items.append(content)
-                        sets.append(np.unique(c.shingles[s : s + n - SHINGLE + 1]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["item", "shingles"])
+        for begin, texts in _slabs(batch.column("raw")):
+            c = cut(texts, banded=False)
+            content = c.content.view(np.int64)
+            wanted = batch.column("wanted").slice(begin, len(texts)).flatten().to_numpy()
+            items, place = np.unique(content, return_index=True)
+            place = place[np.isin(items, wanted)]
+            sets = [np.unique(c.shingles[a : a + n - SHINGLE + 1]).view(np.int64) for a, n in zip(c.at[place].tolist(), c.words[place].tolist(), strict=True)]
+            sizes = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(content[place]), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["item", "shingles"])
 
 
 def _around(width: int):
@@ -174,15 +195,17 @@ def _around(width: int):
 
     def fn(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for i, text, spans in zip(batch.column("id").to_pylist(), batch.column("raw"), batch.column("spans").to_pylist(), strict=True):
-                found = _windows_at(_words(text.as_py() or b"")[0], width).view(np.int64)
+            owner, out = [], [[], [], []]
+            for k, (text, spans) in enumerate(zip(batch.column("raw"), batch.column("spans").to_pylist(), strict=True)):
+                found = _windows_at(_words([text.as_py() or b""])[0], width).view(np.int64)
                 for span in spans:
                     a, n = span["start_word"], span["n_words"]
-                    for at in range(max(0, a + n - width), min(a, found.size - 1) + 1):
-                        for column, value in zip(out, (i, a, at, found[at]), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["id", "start_word", "at", "window"])
+                    at = np.arange(max(0, a + n - width), min(a, found.size - 1) + 1)
+                    owner.append(np.full(at.size, k))
+                    for column, value in zip(out, (np.full(at.size, a), at, found[at]), strict=True):
+                        column.append(value)
+            owner, *out = (np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in (owner, *out))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), batch.column("text_hash").take(pa.array(owner)), *map(pa.array, out)], names=["id", "text_hash", "start_word", "at", "window"])
 
     return fn
 
@@ -215,45 +238,51 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     n_words, class_id`` (equal for similar paragraphs), ``first_doc_id`` and ``removed`` (false for the
     occurrence of the smallest doc_id and paragraph, which stays). A paragraph counts if its class is at two
     places or more, of one document or of several, and it stands in a run of such paragraphs of ``run`` words or more in all, or in ``run``
-    words that are repeated as they are, or if it is a whole line of ``line_run`` words or more.
+    words that are repeated as they are, or if it is a whole line of ``line_run`` words or more; ``run=0`` takes all.
     Words are split at ASCII blanks, A-Z lower-cased. Null and empty texts, and those of less than five words, have no
-    paragraphs. Rows without an id count as having an id made of their text; their ``doc_id`` is null.
-    Rows that share an id are one document. Other columns are not looked at; an empty table gives no rows.
+    paragraphs. A document is an id with a text: rows equal in both count once, so a text repeated under one id is no repeat, and different texts of
+    an id are different documents. Rows without an id come after all others. Other columns are not looked at; an empty table gives no rows.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("id")
-    texts = docs.select(own, F.col("text").cast("binary").alias("raw"))
-    all_ = materialise(spark, texts.mapInArrow(_cut_all, f"id long, {PARAGRAPHS}"), "paragraphs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
+    doc = ("id", "text_hash")
+    at = lambda *more: F.struct(F.col("id").isNull().alias("no_id"), *doc, *more)
+    all_ = materialise(spark, texts.mapInArrow(_cut_all, PARAGRAPHS), "paragraphs")
     rows = all_.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
-    found = materialise(spark, candidates(rows, block), "candidates")
+    found = materialise(spark, candidates(spark, rows, block), "candidates")
+    # only what stands at two places or shares a band with something else can be in a class that counts
+    items = found.select(F.col("item").alias("content")).distinct()
+    several = all_.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    relevant = materialise(spark, several.union(items).distinct(), "relevant")
+    near = materialise(spark, all_.select(*doc, "no", "whole", "start_word", "n_words", "content").join(relevant, "content", "left_semi"), "near")
+    discard(spark, all_, relevant)
     # the places between which each paragraph occurs; in the first document it is looked up where it has to be verified
     end = (F.col("start_word") + F.col("n_words")).alias("end")
-    places = (F.min(F.struct("id", "start_word", end)).alias("first"), F.max(F.struct("id", "start_word")).alias("last"), F.min(F.struct("id", end)).alias("ended"))
-    spread = materialise(spark, all_.groupBy("content").agg(*places), "spread")
-    items = found.select(F.col("item").alias("content")).distinct()
-    wanted = spread.join(items, "content").groupBy(F.col("first.id").alias("id")).agg(F.collect_set("content").alias("wanted"))
-    sets = texts.join(wanted, "id").select("raw", "wanted").mapInArrow(_shingles_of, "item long, shingles array<long>")
-    sets = materialise(spark, sets.dropDuplicates(["item"]), "shingles")
+    spread = near.groupBy("content").agg(F.min(at("start_word", end)).alias("first"), F.max(at("start_word")).alias("last"), F.min(at(end)).alias("ended"))
+    spread = materialise(spark, spread, "spread")
+    wanted = spread.join(items, "content").groupBy("first.id", "first.text_hash").agg(F.collect_set("content").alias("wanted"))
+    looked_up = texts.alias("l").join(wanted.alias("r"), same("l", "r", *doc)).select("l.raw", "r.wanted")
+    sets = materialise(spark, looked_up.mapInArrow(_shingles_of, "item long, shingles array<long>").dropDuplicates(["item"]), "shingles")
     links = linked(found.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
     classes = materialise(spark, connected_components(spark, links), "classes")
     spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
-    spread = materialise(spark, spread.select("content", "class_id", "first", "last", "ended"), "spread_classes")
     # a line and a paragraph in it can be of one class: two places are where one begins after the other ended
-    wide = spread.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("ended").alias("ended"))
-    wide = wide.where((F.col("last.id") > F.col("ended.id")) | (F.col("last.start_word") >= F.col("ended.end")))
-    known = materialise(spark, spread.select("content", "class_id").join(wide.select("class_id", F.col("first").alias("at")), "class_id"), "repeated")
-    hits = all_.select("id", "no", "whole", "start_word", "n_words", "content").join(known, "content")
-    stays = (F.col("id") == F.col("at.id")) & (F.col("start_word") < F.col("at.end"))
-    hits = hits.withColumn("removed", ~stays).withColumn("first", F.col("at.id"))
-    runs = hits.where("no is not null").withColumn("_run", F.col("no") - F.dense_rank().over(Window.partitionBy("id").orderBy("no")))
-    runs = materialise(spark, runs.withColumn("_words", F.sum("n_words").over(Window.partitionBy("id", "_run"))), "runs")
-    counts = (F.col("_words") >= run) | (F.col("whole") & (F.col("n_words") >= line_run))
-    short = runs.where(~counts).groupBy("id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    around = texts.join(short, "id").select("id", "raw", "spans").mapInArrow(_around(run), "id long, start_word long, at long, window long")
-    around = materialise(spark, around, "around")
-    again = around.groupBy("window").agg(F.min(F.struct("id", "at")).alias("a"), F.max(F.struct("id", "at")).alias("b")).where("a <> b")
-    longer = around.join(again, "window").select("id", "start_word").distinct().withColumn("_longer", F.lit(True))
-    runs = runs.join(longer, ["id", "start_word"], "left").where(counts | F.col("_longer"))
+    wide = spread.groupBy("class_id").agg(F.min("first").alias("at"), F.max("last").alias("last"), F.min("ended").alias("ended"))
+    apart = ~(F.struct("last.id", "last.text_hash").eqNullSafe(F.struct("ended.id", "ended.text_hash")))
+    wide = wide.where(apart | (F.col("last.start_word") >= F.col("ended.end"))).select("class_id", "at")
+    known = materialise(spark, spread.select("content", "class_id").join(wide, "class_id"), "repeated")
+    hits = near.join(known, "content").dropDuplicates([*doc, "start_word", "n_words"])
+    stays = F.struct(*doc).eqNullSafe(F.struct("at.id", "at.text_hash")) & (F.col("start_word") < F.col("at.end"))
+    hits = materialise(spark, hits.withColumn("removed", ~stays).withColumn("first", F.col("at.id")).drop("at"), "hits")
+    runs = hits.where("no is not null").withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*doc).orderBy("no")))
+    runs = materialise(spark, runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*doc, "run"))), "runs")
+    counts = (F.col("run_words") >= run) | (F.col("whole") & (F.col("n_words") >= line_run))
+    short = runs.where(~counts).groupBy(*doc).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    looked_up = texts.alias("l").join(short.alias("r"), same("l", "r", *doc)).select("l.id", "l.text_hash", "l.raw", "r.spans")
+    around = materialise(spark, looked_up.mapInArrow(_around(run), "id long, text_hash long, start_word long, at long, window long"), "around")
+    again = around.groupBy("window").agg(F.min(at("at")).alias("a"), F.max(at("at")).alias("b")).where("a <> b").select("window")
+    longer = around.join(again, "window").select(*doc, "start_word").distinct()
     columns = ["id", "no", "start_word", "n_words", "class_id", "first", "removed"]
-    runs = runs.select(*columns).unionByName(hits.where(F.col("no").isNull() & (F.col("n_words") >= line_run)).select(*columns))
-    real = lambda c: F.when(F.col(c) < (1 << 62), F.col(c))
-    return runs.select(real("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", real("first").alias("first_doc_id"), "removed")
+    extended = runs.where(~counts).alias("l").join(longer.alias("r"), same("l", "r", *doc, "start_word"), "left_semi").select(*columns)
+    lines = hits.where(F.col("no").isNull() & (F.col("n_words") >= line_run))
+    out = runs.where(counts).select(*columns).unionByName(extended).unionByName(lines.select(*columns))
+    return out.select(F.col("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", F.col("first").alias("first_doc_id"), "removed")

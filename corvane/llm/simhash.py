@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.blocking import BLOCK, candidates, linked
+from corvane.llm.blocking import BLOCK, candidates, linked, same
 from corvane.llm.components import connected_components
 from corvane.llm.similar import SIMILAR, similar_groups
 from corvane.llm.storage import materialise
@@ -82,6 +82,12 @@ def _near(radius: int):
     return near_in
 
 
+def _splits(radius: int):
+    """Fingerprints within the radius agree in at least one of radius + 1 parts of their bits."""
+    parts = [sum(1 << b for b in range(p, 64, radius + 1)) for p in range(radius + 1)]
+    return lambda bucket, fp: F.array(*[F.xxhash64(bucket, F.lit(k), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(parts)])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id``, ``fp`` and ``component_id``.
 
@@ -94,7 +100,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     prints = materialise(spark, fingerprints(docs, id_col, text_col, words), "prints")
     first = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius))])
-    found = candidates(first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block)
+    found = candidates(spark, first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block, _splits(radius))
     groups = materialise(spark, connected_components(spark, linked(found, _near(radius))), "groups")
     smallest = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
@@ -111,13 +117,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similar: float =
 
     Texts link if their five-word shingles have a Jaccard similarity of ``similar`` or more; fingerprints
     decide nothing here. A document is an id with a text: unrelated texts that share an id all stay. Rows
-    without an id count as having a large one made of their text, so they go where an identified row is near.
-    Of rows equal in id and text one stays. All columns stay.
+    without an id come last, so they go where an identified row is near. Null and empty texts are near each other.
+    Of rows equal in id and text one stays. All columns stay, whatever their names; an empty table gives no rows.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
-    rows = docs.withColumn("_id", own).withColumn("_text", F.xxhash64("text"))
-    texts = rows.select(F.col("_id").alias("id"), F.col("_text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
-    groups = similar_groups(spark, texts, similar)
-    keep = groups.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("kept")).select(F.col("kept.id").alias("_id"), F.col("kept.text_hash").alias("_text"))
-    once = Window.partitionBy("_id", "_text").orderBy(F.xxhash64(*docs.columns))
-    return rows.join(keep, ["_id", "_text"]).withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    groups = similar_groups(spark, rows.select("id", "text_hash", F.col("row.text").cast("binary").alias("raw")), similar)
+    keep = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("kept")).select("kept.id", "kept.text_hash")
+    once = Window.partitionBy("id", "text_hash").orderBy(F.xxhash64("row"))
+    kept = rows.alias("l").join(keep.alias("r"), same("l", "r", "id", "text_hash")).select("l.*")
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")

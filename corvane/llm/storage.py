@@ -1,7 +1,8 @@
 """Tables written in the folder that the whole cluster shares.
 
 Long lineages are cut by writing Parquet under ``spark.checkpoint.dir``, so
-a lost executor costs a re-read and nothing is recomputed from the start.
+a lost executor costs a re-read and nothing is recomputed from the start. The
+shuffle files of a written table go once it stands.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Makes Spark remove a query's shuffle files at its end; it is read when a frame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
 
 
@@ -36,7 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it."""
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        own = df.select("*")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    own.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path
     return stored
