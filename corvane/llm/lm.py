@@ -8,7 +8,7 @@ arc to the state of h' that costs log10(m / (c(h) + m)). A text is read once fro
 to right: the state is carried, failure arcs are taken until an arc fits, and the
 weights add up.
 
-No machine holds the model. Texts are dealt into blocks of bounded size; each block counts its
+No machine holds the model. Texts are dealt into blocks of bounded size as they are read, and each block is stored as tokens; it counts its
 own n-grams and sends them, packed, to ranges of n-gram hashes; a range adds up the counts of all
 blocks and sends back what the others add to each. With that and its own counts a block has the part of the
 automaton that its texts can visit.
@@ -20,21 +20,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from corvane.llm.storage import materialise
+from corvane.llm.words import joined
+
 ORDER, PRIOR, ADDED = 3, 4.0, 0.1
 FOLDS = 10
-#: Bytes of text in a block, on average.
+#: Bytes of text from which a block is full.
 BLOCK_BYTES = 6_000_000
 #: N-grams of all blocks in a range, about.
 RANGE_KEYS = 3_000_000
 #: Tokens that one lane of the traversal reads; a longer text is read by several lanes.
 LANE = 256
-#: The end token; no word holds a blank.
-END = b"\n"
+#: The hash of the end token.
+END = np.uint64(xxh64_intdigest("end of text"))
 
 _ODD = np.uint64(xxh64_intdigest("gram") | 1)
 
@@ -44,12 +49,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Block(NamedTuple):
     """Token ids of all texts end to end, each text's first place, and by order of the n-grams: for each
     place the n-gram that ends there (-1: the text is too short), and for each n-gram its hash, its context's
@@ -64,29 +63,35 @@ class Block(NamedTuple):
     suffix: list[np.ndarray]
 
 
-def read(texts: list[bytes], order: int) -> Block:
-    """Lower-cases A-Z, splits at ASCII blanks and adds the end token to each text."""
-    ids, parts = _Ids(), []
-    end = ids[END]
-    for t in texts:
-        words = t.lower().split()
-        words.append(END)
-        parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-    assert end == 0
-    sizes = np.array([p.size for p in parts], np.int64)
-    tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
+def tokenise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers of all texts, the tokens of each text, and the hash of each number's token; frequent ones have small numbers.
+
+    Lower-cases A-Z, splits at ASCII blanks and adds the end token to each text.
+    """
+    found, text, _, _ = joined(texts)
+    sizes = np.bincount(text, minlength=len(texts)) + 1
+    ends = np.cumsum(sizes) - 1
+    all_ = np.full(found.size + len(texts), END)
+    all_[np.delete(np.arange(all_.size), ends)] = found
+    hashes, number, times = np.unique(all_, return_inverse=True, return_counts=True)
+    by = np.argsort(-times, kind="stable")
+    rank = np.empty(by.size, np.int64)
+    rank[by] = np.arange(by.size)
+    return rank[number], sizes, hashes[by]
+
+
+def grams(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int) -> Block:
     starts = np.cumsum(sizes) - sizes
     place = np.arange(tokens.size) - np.repeat(starts, sizes)
-    hashes = np.fromiter(map(xxh64_intdigest, ids), np.uint64, len(ids))
-    none = np.zeros(len(ids), np.int64)
-    block = Block(tokens, starts, [tokens], [_mix(hashes)], [none], [np.arange(len(ids))], [none])
+    none = np.zeros(hashes.size, np.int64)
+    block = Block(tokens, starts, [tokens], [_mix(hashes)], [none], [np.arange(hashes.size)], [none])
     for n in range(2, order + 1):
         at = np.flatnonzero(place >= n - 1)
-        pairs = block.gram[-1][at - 1] * len(ids) + tokens[at]
+        pairs = block.gram[-1][at - 1] * hashes.size + tokens[at]
         found, first, back = np.unique(pairs, return_index=True, return_inverse=True)
         gram = np.full(tokens.size, -1, np.int64)
         gram[at] = back
-        context, last = found // len(ids), found % len(ids)
+        context, last = found // hashes.size, found % hashes.size
         block.suffix.append(block.gram[-1][at[first]])
         block.gram.append(gram)
         block.keys.append(_mix(block.keys[-1][context] * _ODD + hashes[last] + np.uint64(n)))
@@ -95,15 +100,20 @@ def read(texts: list[bytes], order: int) -> Block:
     return block
 
 
+def read(texts: list[bytes], order: int) -> Block:
+    return grams(*tokenise(texts), order)
+
+
 def count(block: Block, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the block and their counts in its training texts."""
+    """Hashes of all n-grams of the block and their counts in its training texts; those of single tokens are odd."""
     sizes = np.diff(np.append(block.starts, block.tokens.size))
     weight = np.repeat(train, sizes).astype(float)
     counts = []
     for gram, keys in zip(block.gram, block.keys, strict=True):
         there = gram >= 0
         counts.append(np.bincount(gram[there], weight[there], keys.size).astype(np.int64))
-    return np.concatenate(block.keys), np.concatenate(counts)
+    one = np.uint64(1)
+    return np.concatenate([block.keys[0] | one, *(k & ~one for k in block.keys[1:])]), np.concatenate(counts)
 
 
 class Automaton(NamedTuple):
@@ -197,10 +207,6 @@ def traverse(block: Block, a: Automaton, order: int) -> np.ndarray:
     return np.bincount(text, score, sizes.size)
 
 
-def _raw(table: pa.Table) -> list[bytes]:
-    return [t or b"" for t in table.column("raw").to_pylist()]
-
-
 def _pack(values: np.ndarray) -> bytes:
     """Numbers by their bytes of equal weight, compressed; small ones take little room."""
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
@@ -221,59 +227,108 @@ def _unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
+BLOCK_COLUMNS = "block long, n_tokens long, texts binary, tokens binary, hashes binary"
+
+
+def _deal(block_bytes: int):
+    """The texts of a task in blocks, one row each: ids and folds, token numbers, and the tokens' hashes."""
+
+    def packed(slices: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(slices)
+        tokens, sizes, hashes = tokenise([t.as_py() or b"" for t in table.column("raw")])
+        sink = pa.BufferOutputStream()
+        texts = pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "size": pa.array(sizes)})
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(texts)
+        block = (TaskContext.get().partitionId() << 32) + number
+        row = {"block": block, "n_tokens": tokens.size, "texts": sink.getvalue().to_pybytes(), "tokens": _pack(tokens), "hashes": hashes.tobytes()}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("texts", "tokens", "hashes")]]))
+
+    def fn(batches):
+        kept, size, number = [], 0, 0
+        for batch in batches:
+            sizes, first = np.array(pa.compute.binary_length(batch.column("raw")).fill_null(0)) + 16, 0
+            for k, n in enumerate(sizes.tolist()):
+                size += n
+                if size >= block_bytes:
+                    yield packed([*kept, batch.slice(first, k + 1 - first)], number)
+                    kept, size, number, first = [], 0, number + 1, k + 1
+            if first < batch.num_rows:
+                kept.append(batch.slice(first))
+        if kept:
+            yield packed(kept, number)
+
+    return fn
+
+
+def _unpacked(row: dict, order: int) -> tuple[pa.Table, Block]:
+    texts = pa.ipc.open_stream(row["texts"]).read_all()
+    return texts, grams(_unpack(row["tokens"]).astype(np.int64), np.array(texts.column("size")), np.frombuffer(row["hashes"], np.uint64), order)
+
+
 def _train(table: pa.Table) -> np.ndarray:
     return ~np.array(table.column("held_out").to_pylist(), bool)
 
 
-def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each range of hashes begins among ascending keys, and where the last ends."""
-    inner = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.int64)
-    return np.concatenate([[0], inner, [keys.size]]).astype(np.int64)
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of hashes that ascending keys fall into, and where each begins and the last ends."""
+    of = keys >> np.uint64(64 - bits) if bits else np.zeros(keys.size, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if keys.size else np.empty(0, np.int64)
+    return of[first].astype(np.int64), np.append(first, keys.size)
 
 
 def _count(order: int, bits: int):
-    """The packed n-grams of a block, one row for each range."""
-
-    def fn(table: pa.Table) -> pa.Table:
-        keys, counts = count(read(_raw(table), order), _train(table))
-        by = np.argsort(keys, kind="stable")
-        keys, counts = keys[by], counts[by]
-        cuts = _ranges(keys, bits)
-        parts = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        number = table.column("block")[0].as_py()
-        return pa.table({
-            "range": pa.array([r for r, _, _ in parts], pa.int64()), "block": pa.array([number] * len(parts), pa.int32()),
-            "keys": pa.array([_pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()), "counts": pa.array([_pack(counts[a:b]) for _, a, b in parts], pa.binary()),
-        })
+    """The packed n-grams of each block, one row for each range."""
+
+    def fn(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                texts, block = _unpacked(row, order)
+                keys, counts = count(block, _train(texts))
+                by = np.argsort(keys)
+                keys, counts = keys[by], counts[by]
+                of, cuts = _ranges(keys, bits)
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(of), pa.array(np.full(of.size, row["block"])), pa.array([_pack_keys(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in parts], pa.binary())],
+                    names=["range", "block", "keys", "counts"],
+                )
 
     return fn
 
 
 def _add(table: pa.Table) -> pa.Table:
-    """What the other blocks add to each count of a block's part of the range, in the order of its keys; nothing if all add nothing."""
+    """What the other blocks add to each count of a block's part of the range, in the order of its keys; nothing if all add nothing.
+
+    One more row, of no block, has the range's distinct tokens and the number of all.
+    """
     keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
     own = np.concatenate([_unpack(c) for c in table.column("counts").to_pylist()])
-    inverse = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    others = np.bincount(inverse, own).astype(np.uint64)[inverse] - own
-    out: list[list] = [[], [], []]
-    at, number = 0, table.column("range")[0].as_py()
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(inverse, own).astype(np.uint64)
+    others, single = totals[inverse] - own, found & np.uint64(1) == 1
+    number = table.column("range")[0].as_py()
+    out: list[list] = [[None], [number], [None], [int(np.count_nonzero(totals[single]))], [int(totals[single].sum())]]
+    at = 0
     for block, k in zip(table.column("block").to_pylist(), keys, strict=True):
         more = others[at : at + k.size]
         at += k.size
         if more.any():
-            for column, value in zip(out, (block, number, _pack(more)), strict=True):
+            for column, value in zip(out, (block, number, _pack(more), None, None), strict=True):
                 column.append(value)
-    return pa.table({"block": pa.array(out[0], pa.int32()), "range": pa.array(out[1], pa.int64()), "others": pa.array(out[2], pa.binary())})
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["block", "range", "others", "types", "tokens"])
 
 
 def _score(order: int, bits: int, tokens: int, types: int, prior: float):
-    def fn(texts: pa.Table, known: pa.Table) -> pa.Table:
-        block = read(_raw(texts), order)
+    def fn(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        texts, block = _unpacked(blocks.to_pylist()[0], order)
         keys, amounts = count(block, _train(texts))
-        by = np.argsort(keys, kind="stable")
-        cuts = _ranges(keys[by], bits)
+        by = np.argsort(keys)
+        of, cuts = _ranges(keys[by], bits)
         for r, others in zip(known.column("range").to_pylist(), known.column("others").to_pylist(), strict=True):
-            amounts[by[cuts[r] : cuts[r + 1]]] += _unpack(others).astype(np.int64)
+            k = int(np.searchsorted(of, r))
+            amounts[by[cuts[k] : cuts[k + 1]]] += _unpack(others).astype(np.int64)
         totals = np.split(amounts, np.cumsum([k.size for k in block.keys])[:-1])
         a = build(block, totals, tokens, types, prior)
         sizes = np.diff(np.append(block.starts, block.tokens.size))
@@ -291,28 +346,6 @@ def _score(order: int, bits: int, tokens: int, types: int, prior: float):
     return fn
 
 
-def _types(batches):
-    """Hashes of the distinct tokens of a task's training texts, as far as they fit, and their number of tokens."""
-    seen: set[bytes] = set()
-
-    def out(tokens):
-        keys = np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen))
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([tokens] + [0] * (keys.size - 1), pa.int64())], names=["key", "n"])
-
-    tokens = 0
-    for batch in batches:
-        for t in batch.column("raw"):
-            words = (t.as_py() or b"").lower().split()
-            seen.update(words)
-            seen.add(END)
-            tokens += len(words) + 1
-            if len(seen) > 1_000_000:
-                yield out(tokens)
-                seen, tokens = set(), 0
-    if seen:
-        yield out(tokens)
-
-
 def held_out(id_col, folds: int = FOLDS):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
@@ -322,21 +355,21 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``base_score`` uses
     single tokens alone; ``score`` is the automaton's log10 probability of the text. Null texts are empty: their only
-    token is the end. Rows without an id are trained on. Rows equal in id and text share a block. An empty table gives no rows; where
-    nothing is trained on, every token is unknown. N-grams are told apart by 64-bit hashes.
+    token is the end. Rows without an id are trained on. Repeated rows count and are scored as often as they stand there, and a text of any
+    length is in one block. Other columns are not looked at. An empty table gives no rows; where
+    nothing is trained on, every token is unknown. N-grams are told apart by 63 bits of a hash.
     """
-    out = held_out(F.col("doc_id"), folds)
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_bytes))
-    texts = docs.select(F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", raw.alias("raw"), out.alias("held_out"))
-    types = docs.where(~out).select(raw.alias("raw")).mapInArrow(_types, "key long, n long")
-    types = types.groupBy("key").agg(F.sum("n").alias("n")).agg(F.count("key").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    # a text of n bytes has fewer than n / 2 tokens, n / 5 in prose; each is the end of one n-gram of each order
-    bits = max(0, (int(size) // 5 * order // range_keys).bit_length())
-    counts = texts.groupBy("block").applyInArrow(_count(order, bits), "range long, block int, keys binary, counts binary")
-    others = counts.groupBy("range").applyInArrow(_add, "block int, range long, others binary")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
+    texts = docs.select("doc_id", raw, held_out(F.col("doc_id"), folds).alias("held_out"))
+    blocks = materialise(spark, texts.mapInArrow(_deal(block_bytes), BLOCK_COLUMNS), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    # each token is the end of one n-gram of each order
+    bits = max(0, (int(size) * order // range_keys).bit_length())
+    counts = blocks.mapInArrow(_count(order, bits), "range long, block long, keys binary, counts binary")
+    added = materialise(spark, counts.groupBy("range").applyInArrow(_add, "block long, range long, others binary, types long, tokens long"), "added")
+    total = added.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    others = added.where("block is not null").select("block", "range", "others")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score(order, bits, types.tokens, types.types, prior), schema)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(types.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score(order, bits, total.tokens, total.types, prior), schema)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score")
