@@ -13,7 +13,6 @@ part's size takes several passes over the documents, and none of it is left out.
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -26,6 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
+from corvane.llm.storage import materialise
+from corvane.llm.words import PUNCTUATION, word_hashes
+
 #: Words of an item that must be seen together, and the share of them that must agree.
 WINDOW, AGREE = 20, 0.8
 #: Items of fewer words match nothing.
@@ -65,15 +67,9 @@ def span_for(size: int, window: int, agree: float) -> int:
     return next(n for n in range(1, size + 1) if allowed(n, agree) == allowed(size, agree)) if size < window else size
 
 
-_FOLD = bytes.maketrans(
-    (string.ascii_uppercase + string.punctuation + "\x00").encode(), (string.ascii_lowercase + " " * (len(string.punctuation) + 1)).encode()
-)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
+def hashes_of(text: bytes) -> np.ndarray:
     """Hashes of the words: A-Z lower-cased, ASCII punctuation and blanks between them."""
-    words = text.translate(_FOLD).split()
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    return word_hashes(text, PUNCTUATION)[0]
 
 
 def _multipliers(seed: int, n: int) -> np.ndarray:
@@ -108,7 +104,7 @@ class Tests(NamedTuple):
 
 def index(items: list[tuple[object, bytes]], window: int = WINDOW, agree: float = AGREE) -> Tests:
     """Every place of an item where a window begins has the seeds of that window."""
-    words = [word_hashes(t) for _, t in items]
+    words = [hashes_of(t) for _, t in items]
     used, hashes, item, place = set(), [], [], []
     for k, w in enumerate(words):
         if w.size < LEAST:
@@ -129,13 +125,14 @@ def index(items: list[tuple[object, bytes]], window: int = WINDOW, agree: float
     return Tests([i for i, _ in items], np.concatenate(words) if words else np.empty(0, np.uint64), starts, tuple(sorted(used)), flat[0][order], flat[1][order], flat[2][order], present)
 
 
-def _verify(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray, window: int, agree: float) -> tuple[int, int, int] | None:
-    """The best window over all diagonals: matched words, its size, its first word in the document."""
+def _verify(doc: np.ndarray, test: np.ndarray, spans: list[tuple[int, int]], window: int, agree: float) -> tuple[int, int, int] | None:
+    """The best window over all diagonals of some spans (last one included): matched words, its size, its first word in the document."""
     size, best = min(test.size, window), None
     need = int(np.ceil(agree * size - 1e-9))
     lead = test.size
     padded = np.concatenate([np.zeros(lead, np.uint64), doc, np.zeros(lead, np.uint64)])
     inside = np.concatenate([np.zeros(lead, bool), np.ones(doc.size, bool), np.zeros(lead, bool)])
+    diagonals = np.concatenate([np.arange(a, b + 1) for a, b in spans])
     step = max(1, SLAB // test.size)
     for k in range(0, diagonals.size, step):
         at = diagonals[k : k + step, None] + lead + np.arange(test.size)
@@ -146,29 +143,80 @@ def _verify(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray, window: in
         row, col = divmod(top, in_window.shape[1])
         if (matched := int(in_window[row, col])) >= need and (best is None or matched > best[0]):
             best = matched, size, int(diagonals[k + row]) + col
+            if matched == size:
+                break
     return best
 
 
+def _runs(places: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """First and last of each run of places that follow each other, within a group; one column each."""
+    new = np.ones(places.size + 1, bool)
+    new[1:-1] = places[1:] != places[:-1] + 1
+    if groups is not None:
+        new[1:-1] |= groups[1:] != groups[:-1]
+    edges = np.flatnonzero(new)
+    return np.stack([edges[:-1], edges[1:] - 1])
+
+
+def _merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    by = np.argsort(low, kind="stable")
+    low, high = low[by], np.maximum.accumulate(high[by])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1] + 1]))
+    return list(zip(low[first].tolist(), high[np.append(first[1:], low.size) - 1].tolist(), strict=True))
+
+
+#: Runs of one hash in a text or an item beyond which the span of all its diagonals is verified in place of each.
+MANY = 64
+
+
+def _diagonals(h: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items and spans of diagonals on which a seed of the text is one of the item.
+
+    Words that repeat make runs of equal hashes. Two runs meet on a span of diagonals, so what is made grows with the runs and not
+    with the product of their lengths.
+    """
+    there = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
+    left = np.searchsorted(tests.hashes, h[there], "left")
+    known = left < tests.hashes.size
+    there, left = there[known], left[known]
+    there, left = (x[tests.hashes[left] == h[there]] for x in (there, left))
+    if not there.size:
+        return
+    by = np.lexsort((there, left))
+    there, left = there[by], left[by]
+    first, last = _runs(there, left)
+    # runs of the text by hash; a hash of many runs is taken as one
+    hash_of = left[first]
+    start = np.flatnonzero(np.concatenate([[True], hash_of[1:] != hash_of[:-1]]))
+    count = np.diff(np.append(start, hash_of.size))
+    for s, n in zip(start.tolist(), count.tolist(), strict=True):
+        low, high = there[first[s : s + n]], there[last[s : s + n]]
+        if n > MANY:
+            low, high = low[:1], high[-1:]
+        a, b = int(hash_of[s]), int(np.searchsorted(tests.hashes, tests.hashes[hash_of[s]], "right"))
+        f, e = _runs(tests.place[a:b], tests.item[a:b])
+        item, from_, to = tests.item[a + f], tests.place[a + f], tests.place[a + e]
+        if item.size > MANY:
+            item, at = np.unique(item, return_index=True)
+            from_, to = tests.place[a + f[at]], tests.place[a + e[np.append(at[1:], f.size) - 1]]
+        yield np.repeat(item, low.size), np.subtract.outer(low, to).T.ravel(), np.subtract.outer(high, from_).T.ravel()
+
+
 def find_hits(text: bytes, tests: Tests, window: int = WINDOW, agree: float = AGREE) -> list[dict]:
     """One entry for each item of which a window is in the text, in item order."""
-    doc = word_hashes(text)
+    doc = hashes_of(text)
     # windows may begin before the text or end after it by as many words as may differ
     edge = np.zeros(allowed(window, agree), np.uint64)
     padded = np.concatenate([edge, doc, edge])
-    found = []
-    for h in (h for span, wrong in tests.spans for h in seed_hashes(padded, span, wrong)):
-        at = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
-        left, right = np.searchsorted(tests.hashes, h[at], "left"), np.searchsorted(tests.hashes, h[at], "right")
-        counts = right - left
-        if counts.any():
-            flat = np.repeat(left, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            found.append(np.unique(np.stack([tests.item[flat], np.repeat(at, counts) - edge.size - tests.place[flat]]), axis=1))
+    found = [x for span, wrong in tests.spans for h in seed_hashes(padded, span, wrong) for x in _diagonals(h, tests)]
     if not found:
         return []
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
     hits = []
-    for k in np.unique(pairs[0]):
-        best = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], pairs[1][pairs[0] == k], window, agree)
+    for k in np.unique(item):
+        own = item == k
+        spans = _merged(low[own] - edge.size, high[own] - edge.size)
+        best = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], spans, window, agree)
         if best:
             hits.append({"item_id": tests.ids[k], "matched": best[0], "window": best[1], "start_word": best[2]})
     return hits
@@ -177,16 +225,21 @@ def find_hits(text: bytes, tests: Tests, window: int = WINDOW, agree: float = AG
 HIT = [("matched", T.LongType()), ("window", T.LongType()), ("start_word", T.LongType())]
 
 
-def passages(spark: SparkSession, benchmark: DataFrame, chars: int = PASS_CHARS, window: int = WINDOW, agree: float = AGREE) -> list:
-    """Broadcast parts of the benchmark, each of about ``chars`` characters.
+def parts(benchmark: DataFrame, chars: int = PASS_CHARS) -> tuple[DataFrame, int]:
+    """The items with the number of their part, and how many parts of about ``chars`` characters there are.
 
     Items go to a part by a hash of their text. A single item larger than that is a part with more.
     """
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // chars))
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("raw"), part.alias("part"))
-    return [spark.sparkContext.broadcast(index(sorted((r.item_id, bytes(r.raw)) for r in rows.where(F.col("part") == k).collect()), window, agree)) for k in range(n)]
+    return benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("raw"), part.alias("part")), n
+
+
+def passages(items: DataFrame, part: int, window: int = WINDOW, agree: float = AGREE):
+    """One part of the benchmark, broadcast."""
+    rows = items.where(F.col("part") == part).select("item_id", "raw").collect()
+    return items.sparkSession.sparkContext.broadcast(index(sorted(((r.item_id, bytes(r.raw)) for r in rows), key=lambda r: (r[0] is None, *r)), window, agree))
 
 
 def hits(text: Column, part, item_type: T.DataType, window: int = WINDOW, agree: float = AGREE) -> Column:
@@ -201,26 +254,36 @@ def hits(text: Column, part, item_type: T.DataType, window: int = WINDOW, agree:
     return found(text.cast("binary"))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE, chars: int = PASS_CHARS) -> DataFrame:
     """Rows ``doc_id, item_id, matched, window, start_word``, one for each document and item in it.
 
-    ``docs`` has ``doc_id, text``; ``benchmark`` has ``item_id, text``. An item is in a document if
+    ``docs`` has ``doc_id, text``; ``benchmark`` has ``item_id, text``; other columns are not looked at. An item is in a document if
     on some alignment a window of min(its length, ``window``) words agrees in the share ``agree`` or more; the best
-    window is reported. Substituted words are tolerated, also inside the seeds; insertions split a
-    passage into parts that count for themselves. Repeated rows give repeated results; null texts,
-    null items and empty tables give none.
+    window is reported, of equal ones the first in the document. Substituted words are tolerated, also inside the seeds; insertions split a
+    passage into parts that count for themselves. Items of less than five words match nothing. Repeated rows give repeated results, and so do equal items; null texts,
+    null items and empty tables give none. Texts of any length are searched whole. A benchmark of several parts takes a pass for each, one at a time.
     """
     item_type = benchmark.schema["item_id"].dataType
+    items, n = parts(benchmark, chars)
     out = None
-    for part in passages(spark, benchmark, window=window, agree=agree):
+    for k in range(n):
+        part = passages(items, k, window, agree)
         found = docs.select("doc_id", F.explode(hits(F.col("text"), part, item_type, window, agree)).alias("hit")).select("doc_id", "hit.*")
+        if n > 1:
+            found = materialise(spark, found, "hits")
+            part.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """``docs`` without the rows in which some benchmark passage is; all columns stay."""
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE, chars: int = PASS_CHARS) -> DataFrame:
+    """``docs`` without the rows in which some benchmark passage is, as in ``contaminated``; all columns stay, whatever their names."""
     item_type = benchmark.schema["item_id"].dataType
-    for part in passages(spark, benchmark, window=window, agree=agree):
+    items, n = parts(benchmark, chars)
+    for k in range(n):
+        part = passages(items, k, window, agree)
         docs = docs.where(F.size(hits(F.col("text"), part, item_type, window, agree)) == 0)
+        if n > 1:
+            docs = materialise(spark, docs, "clean")
+            part.destroy()
     return docs
