@@ -38,11 +38,16 @@ def directions(dim: int, arrays: int = ARRAYS, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, arrays))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their largest components are near 1: squares neither vanish nor overflow, and no cosine changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 class Block:
     """Sorted arrays of one block's vectors."""
 
     def __init__(self, vectors: np.ndarray, arrays: int = ARRAYS):
-        self.vectors = vectors
+        self.vectors = vectors = scaled(vectors)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.axes = directions(vectors.shape[1], arrays)
         values = (vectors / self.norms[:, None]) @ self.axes
@@ -56,6 +61,7 @@ class Block:
     def search(self, queries: np.ndarray, k: int, collide: float = COLLIDE, verify: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and cosines of all verified vectors, at least ``k`` if there are as many."""
         n, arrays = self.vectors.shape[0], self.values.shape[0]
+        queries = scaled(queries)
         enough = min(n, max(k, VERIFY + int(VERIFY_SHARE * n) if verify is None else verify))
         need = int(np.ceil(collide * arrays))
         at = np.ascontiguousarray(((queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.axes).T)

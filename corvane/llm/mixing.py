@@ -19,8 +19,8 @@ from corvane.llm.storage import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeated.
 WEIGHTS = (5, 2, 1)
-#: Hex digits of the key that name its bucket: 16^3 buckets a source.
-DIGITS = 3
+#: Hex digits of the key that name its bucket, at least and at most, and the documents of a bucket, about, where all are of one source.
+DIGITS, MOST_DIGITS, IN_BUCKET = 3, 6, 4096
 #: Decimals of a target, so that it doesn't depend on the order of a sum.
 DECIMALS = 6
 
@@ -64,6 +64,10 @@ def source_targets(spark: SparkSession, sizes: DataFrame, share: float, most: fl
     return filled.join(F.broadcast(chosen)).select("source", "source_size", target.alias("target"))
 
 
+def _digits(n: int) -> int:
+    return min(MOST_DIGITS, max(DIGITS, next(d for d in range(1, 17) if 16**d * IN_BUCKET >= n)))
+
+
 def mix(spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
     """``docs`` with ``size, source_size, target, taken`` added.
 
@@ -78,30 +82,34 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float =
     empty table gives no rows. The result depends on the rows and the seed alone.
     """
     added = ["size", "source_size", "target", "taken"]
-    clean = docs.drop(*added)
-    kept = [c for c in clean.columns]
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = clean.withColumn("size", size).withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, DIGITS))
-    narrow = materialise(spark, rows.select("source", "size", "_bucket"), "sizes")
+    kept = [c for c in docs.columns if c.lower() not in added]
+    text, id_ = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), id_, F.lit(":"), text)).alias("key")
+    # the row's own columns stay in one struct, so that their names mean nothing here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", "doc_id", size, key)
+    narrow = materialise(spark, rows.select("source", "size", "key"), "sizes")
+    digits = F.lit(_digits(narrow.count()))
+    bucket = F.substring("key", F.lit(1), digits).alias("bucket")
+    narrow = narrow.select("source", "size", bucket)
     targets = materialise(spark, source_targets(spark, narrow, share, most, weights), "targets")
     # the bucket of each source in which its cut falls
-    sums = narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    order = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("_words").over(order), F.lit(0)))
-    plan = targets.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("_rest", F.floor("target") - F.col("_epochs") * F.col("source_size"))
-    cut = before.join(plan.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s")))
-    cut = cut.where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words")))
-    cut = cut.select(F.col("source").alias("_c"), F.col("_bucket").alias("_cut"), F.col("_before").alias("_from"))
-    plan = materialise(spark, plan.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c").withColumnRenamed("source", "_source"), "plan")
-    known = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    at_cut = F.col("_cut").isNotNull() & (F.col("_bucket") == F.col("_cut"))
-    base = F.col("_epochs") * F.col("size")
-    # Words before this row within its source's cut bucket; only that bucket is sorted.
-    inner = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_from") - F.coalesce(F.sum("size").over(inner), F.lit(0))))
+    sums = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    plan = plan.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
+    cut = before.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
+    cut = cut.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+    cut = cut.select(F.col("source").alias("c"), F.col("bucket").alias("cut"), F.col("before").alias("from"))
+    plan = materialise(spark, plan.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").drop("c").withColumnRenamed("source", "planned"), "plan")
+    known = rows.withColumn("bucket", bucket).join(plan, F.col("source").eqNullSafe(F.col("planned")))
+    at_cut = F.col("cut").isNotNull() & (F.col("bucket") == F.col("cut"))
+    base = F.col("epochs") * F.col("size")
+    # words before this row within its source's cut bucket; only that bucket is sorted
+    inner = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("from") - F.coalesce(F.sum("size").over(inner), F.lit(0))))
     sorted_part = known.where(at_cut).withColumn("taken", (base + extra).cast("long"))
-    whole = F.when(F.col("_cut").isNull() | (F.col("_bucket") > F.col("_cut")), F.lit(0)).otherwise(F.col("size"))
+    whole = F.when(F.col("cut").isNull() | (F.col("bucket") > F.col("cut")), F.lit(0)).otherwise(F.col("size"))
     rest = known.where(~at_cut).withColumn("taken", (base + whole).cast("long"))
-    return rest.unionByName(sorted_part).select(*kept, *added)
+    return rest.unionByName(sorted_part).select("row.*", *added)

@@ -128,7 +128,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = FO
     def measured(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py(), good, bad) for t in texts], pa.list_(pa.float64()))
 
-    rows = text.join(F.broadcast(ids), "doc_id").select("y", measured(F.col("text").cast("binary")).alias("x")).limit(2 * curve_docs).collect()
+    rows = text.join(F.broadcast(ids), "doc_id").select("y", measured(F.col("text").cast("binary")).alias("x")).orderBy(F.xxhash64("x"), "y").limit(2 * curve_docs).collect()
     return Model(good, bad, fit_curve(np.array([r.x for r in rows]), np.array([r.y for r in rows], float)), prior)
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 MIXING = r"""
 WITH sizes AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weights AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0 * source_size AS most FROM sources),
 ranked AS (
@@ -20,7 +21,7 @@ plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs, CAST(floor(target) AS BIGINT) - epochs * source_size AS rest FROM targets),
 placed AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, p.epochs, p.rest,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
   FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed"""
 

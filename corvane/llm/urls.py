@@ -181,9 +181,12 @@ def judge(pages: DataFrame, model: Model, rules=RULES, threshold: float = THRESH
     decides, else the score, the probability that the URL is unwanted: ``block`` from
     ``threshold`` on. Null and odd URLs have empty hosts and are judged by the trees like any other.
     """
-    clean = pages.drop("host", "path", "rule", "verdict", "score")
+    added = ["host", "path", "rule", "verdict", "score"]
+    kept = [c for c in pages.columns if c.lower() not in added]
     host, path = host_and_path(F.col("url"))
-    rows = clean.withColumn("host", host).withColumn("path", path)
+    # the row's own columns stay in one struct, so that their names mean nothing here
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    rows = pages.select(row.alias("row"), "url", host.alias("host"), path.alias("path"))
     rows = _with_rates(rows, "host", model.suffix_rates, model.prior)
     found = features(F.col("url"), F.col("host"), F.col("path"), F.col("_rate"))
     rows = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in found.items()]))
@@ -193,4 +196,4 @@ def judge(pages: DataFrame, model: Model, rules=RULES, threshold: float = THRESH
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("score", 1 / (1 + F.exp(-margin)))
     by_score = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return rows.withColumn("verdict", F.coalesce(verdict, by_score)).select(*clean.columns, "host", "path", "rule", "verdict", "score")
+    return rows.withColumn("verdict", F.coalesce(verdict, by_score)).select("row.*", *added)
