@@ -41,6 +41,9 @@ LANE = 256
 #: The hash of the end token.
 END = np.uint64(xxh64_intdigest("end of text"))
 
+#: The bits by which n-grams of several tokens are told apart; what is left of a hash decides how much is sent.
+SHORT = np.uint64(0xFFFFFFFFFFFFFF00)
+
 _ODD = np.uint64(xxh64_intdigest("gram") | 1)
 
 
@@ -82,16 +85,18 @@ def tokenise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def grams(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int) -> Block:
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(tokens.size) - np.repeat(starts, sizes)
-    none = np.zeros(hashes.size, np.int64)
-    block = Block(tokens, starts, [tokens], [_mix(hashes)], [none], [np.arange(hashes.size)], [none])
+    # numbers within a block are below 2^31
+    small, tokens = np.int32, tokens.astype(np.int32)
+    place = (np.arange(tokens.size) - np.repeat(starts, sizes)).astype(small)
+    none = np.zeros(hashes.size, small)
+    block = Block(tokens, starts, [tokens], [_mix(hashes)], [none], [np.arange(hashes.size, dtype=small)], [none])
     for n in range(2, order + 1):
         at = np.flatnonzero(place >= n - 1)
-        pairs = block.gram[-1][at - 1] * hashes.size + tokens[at]
+        pairs = block.gram[-1][at - 1] * np.int64(hashes.size) + tokens[at]
         found, first, back = np.unique(pairs, return_index=True, return_inverse=True)
-        gram = np.full(tokens.size, -1, np.int64)
+        gram = np.full(tokens.size, -1, small)
         gram[at] = back
-        context, last = found // hashes.size, found % hashes.size
+        context, last = (found // hashes.size).astype(small), (found % hashes.size).astype(small)
         block.suffix.append(block.gram[-1][at[first]])
         block.gram.append(gram)
         block.keys.append(_mix(block.keys[-1][context] * _ODD + hashes[last] + np.uint64(n)))
@@ -105,15 +110,14 @@ def read(texts: list[bytes], order: int) -> Block:
 
 
 def count(block: Block, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the block and their counts in its training texts; those of single tokens are odd."""
+    """Hashes of all n-grams of the block and their counts in its training texts; those of single tokens are odd, those of more end in eight zero bits."""
     sizes = np.diff(np.append(block.starts, block.tokens.size))
-    weight = np.repeat(train, sizes).astype(float)
+    weight = np.repeat(train, sizes)
     counts = []
     for gram, keys in zip(block.gram, block.keys, strict=True):
         there = gram >= 0
         counts.append(np.bincount(gram[there], weight[there], keys.size).astype(np.int64))
-    one = np.uint64(1)
-    return np.concatenate([block.keys[0] | one, *(k & ~one for k in block.keys[1:])]), np.concatenate(counts)
+    return np.concatenate([block.keys[0] | np.uint64(1), *(k & SHORT for k in block.keys[1:])]), np.concatenate(counts)
 
 
 class Automaton(NamedTuple):
@@ -357,7 +361,7 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float
     single tokens alone; ``score`` is the automaton's log10 probability of the text. Null texts are empty: their only
     token is the end. Rows without an id are trained on. Repeated rows count and are scored as often as they stand there, and a text of any
     length is in one block. Other columns are not looked at. An empty table gives no rows; where
-    nothing is trained on, every token is unknown. N-grams are told apart by 63 bits of a hash.
+    nothing is trained on, every token is unknown. Tokens are told apart by 63 bits of a hash, n-grams of more by 56.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
     texts = docs.select("doc_id", raw, held_out(F.col("doc_id"), folds).alias("held_out"))
