@@ -2,8 +2,9 @@
 
 Features and scores are DataFrame expressions. The trees are fitted on a bounded
 sample of labelled URLs, whose few numbers a row go to the driver, and become
-nested conditions. The labels come from terms in the registered name that no
-feature looks at, so the trees judge unlisted hosts by their form.
+nested conditions. The labels come from terms in the host's name. Features see the form of a host (its
+length, hyphens, longest label, characters), not which words it has, so the trees judge hosts without a known term by how they
+look. Whole hosts are held out, so what is measured on them is about names that were not seen.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from corvane.llm.storage import materialise
 
 #: (host, path, verdict), fixed.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Terms of the registered name that mark a training URL as unwanted.
+#: Terms of a host's labels but the last that mark a training URL as unwanted.
 TERMS = ("casino", "bets", "betting", "poker", "pills", "pharma", "spam", "adult", "porn", "xxx", "ads", "track", "loans", "replica", "cheap", "hacked", "malware", "phish")
-#: Rows in the training sample at most; folds by crc32(page_id), of which fold 0 is held out.
+#: Rows in the training sample at most; folds by crc32 of the host, of which fold 0 is held out.
 SAMPLE, FOLDS = 20_000, 5
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 30, 3, 0.3, 32, 5, 1.0
 THRESHOLD = 0.5
@@ -55,9 +56,12 @@ def suffix(host: Column) -> Column:
 
 
 def labelled(host: Column) -> Column:
-    """1 for a host in whose registered name, the label before the last, stands a term."""
-    name = F.element_at(F.split(F.substring_index(host, ".", -3), r"\."), 1)
-    return F.when(name.rlike("(^|-)(" + "|".join(TERMS) + ")(-|$)"), 1.0).otherwise(0.0)
+    """1 for a host with a term, as a word between dots and hyphens, in some label but the last."""
+    return F.when(host.rlike("(^|[.-])(" + "|".join(TERMS) + r")[.-]"), 1.0).otherwise(0.0)
+
+
+def held_out(host: Column, fold: int = 0, folds: int = FOLDS) -> Column:
+    return F.crc32(host.cast("binary")) % folds == fold
 
 
 def features(url: Column, host: Column, path: Column, suffix_rate: Column) -> dict[str, Column]:
@@ -149,15 +153,15 @@ def _with_rates(rows: DataFrame, host: str, rates: DataFrame, prior: float) -> D
     return rows.withColumn("_suffix", suffix(F.col(host))).join(rates, "_suffix", "left").withColumn("_rate", F.coalesce("_rate", F.lit(prior)))
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trees of at most ``sample`` of the pages outside the held-out fold, in the order of a hash of url and id.
+def fit(pages: DataFrame, sample: int = SAMPLE, fold: int = 0) -> Model:
+    """Trees of at most ``sample`` of the pages outside the held-out fold of hosts, in the order of a hash of url and id.
 
     Suffix statistics are smoothed shares of unwanted URLs among all pages outside that fold; a suffix of
     fewer than ``LEAST`` has the mean.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.where("url is not null").withColumn("_host", host).withColumn("_path", path)
-    rows = rows.where(F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")) % FOLDS != 0, F.lit(False)))
+    rows = rows.where(~held_out(F.col("_host"), fold))
     counts = rows.groupBy(suffix(F.col("_host")).alias("_suffix")).agg(F.sum(labelled(F.col("_host"))).alias("unwanted"), F.count("*").alias("n"))
     counts = materialise(pages.sparkSession, counts, "suffixes")
     total = counts.agg(F.coalesce(F.sum("unwanted"), F.lit(0.0)).alias("unwanted"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -177,9 +181,10 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
 def judge(pages: DataFrame, model: Model, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, score`` added.
 
-    ``pages`` has ``url``; columns of the five names go, the others stay. The longest fitting rule
+    ``pages`` has ``url``; columns of the five names go, the others stay as they are, whatever their names. The longest fitting rule
     decides, else the score, the probability that the URL is unwanted: ``block`` from
-    ``threshold`` on. Null and odd URLs have empty hosts and are judged by the trees like any other.
+    ``threshold`` on. Null and odd URLs have empty hosts and are judged by the trees like any other. Repeated rows fare alike, URLs of any length are read
+    whole, and an empty table gives no rows.
     """
     added = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in pages.columns if c.lower() not in added]
