@@ -61,3 +61,15 @@ class NoEvidenceFits(EngineError):
 
 class GroundingFailed(EngineError):
     """An answer breaks a grounding rule."""
+
+
+class TimedOut(EngineError):
+    """A step took longer than allowed; its jobs were cancelled."""
+
+
+class QueueFull(EngineError):
+    """There is no room for more; nothing was staged."""
+
+
+class WriteNotSeen(EngineError):
+    """What was written is not what a reader finds."""

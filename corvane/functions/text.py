@@ -20,17 +20,27 @@ SUSPICIOUS = (
     "<evidence>",
     "</evidence>",
 )
+#: All blanks of Unicode, which a trim takes away; Java's own class of blanks is that of ASCII.
+BLANK = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def fold_name(name: Column) -> Column:
     """Trimmed of all blanks, not spaces alone, and lower-cased; how entity names are compared."""
-    return F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
+    return F.lower(trimmed(name))
+
+
+# Characters with a meaning in markup and their entities; the ampersand comes first.
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 
 def escape_markup(text: Column) -> Column:
-    """The five characters with a meaning in markup as entities; the ampersand first."""
-    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    """The five characters with a meaning in markup as entities."""
+    for raw, entity in ENTITIES:
         text = F.replace(text, F.lit(raw), F.lit(entity))
     return text
 
@@ -72,7 +82,7 @@ def content_hash(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Four tokens for three words, and one: the estimate where no vocabulary is at hand."""
-    words = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+    words = F.size(F.regexp_extract_all(text, F.lit(BLANK.replace("[", "[^", 1) + "+"), F.lit(0)))
     return F.floor(words * 4 / 3).cast("int") + 1
 
 
@@ -123,11 +133,15 @@ def unknown_keys(text: Column, known: list[str]) -> Column:
     return F.array_sort(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, known))))
 
 
+# Fixed value: the largest request body in bytes.
+MAX_BODY_BYTES = 32 * 1024
+
+
 def strict_json(text: Column, schema: str) -> Column:
-    """A JSON object of the schema's fields alone; anything else fails the query."""
+    """A JSON object of the schema's fields alone, of at most ``MAX_BODY_BYTES``; anything else fails the query."""
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema).fieldNames()
-    ok = valid_json(text) & F.coalesce(F.size(unknown_keys(text, fields)) == 0, F.lit(False))
+    ok = (F.octet_length(text) <= MAX_BODY_BYTES) & valid_json(text) & F.coalesce(F.size(unknown_keys(text, fields)) == 0, F.lit(False))
     parsed = F.from_json(text, schema, {"mode": "FAILFAST"})
-    return F.when(ok, parsed).otherwise(F.raise_error(F.concat(F.lit("malformed object or unknown key in: "), F.substring(text, 1, 80))))
+    return F.when(ok, parsed).otherwise(F.raise_error(F.concat(F.lit("malformed or too large object or unknown key in: "), F.substring(text, 1, 80))))

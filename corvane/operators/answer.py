@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.errors import GroundingFailed
-from corvane.functions.text import ascii_marker, excerpt, inline_markers, loose_markers
+from corvane.functions.text import ascii_marker, excerpt, inline_markers, loose_markers, trimmed
 from corvane.settings import GroundingLimits
 
 # Limits of an answer.
 MAX_ANSWER_CHARS, MAX_CITED, MAX_ID_CHARS, MAX_NOTES, MAX_NOTE_CHARS = 16_384, 64, 128, 32, 1_024
 #: Bases from the strongest to the weakest.
 BASES = ("retrieval", "mixed", "model_only")
-#: Severities by notice code.
-NOTICES = {"CITATION_REPAIRED": "info", "CITATION_DROPPED": "info", "BASIS_RECONCILED": "info", "MODEL_NOTICE": "info", "MODEL_WARNING": "warning", "NO_EVIDENCE": "info", "GRAPH_CONTEXT_FAILED": "warning"}
+# The codes of notices; all but a model's warning are for information.
+NOTICE_CODES = (
+    "UNSPECIFIED", "NO_EVIDENCE", "GRAPH_TIMEOUT", "GRAPH_DEGRADED", "MODEL_NOTICE", "MODEL_WARNING", "GRAPH_UNAVAILABLE", "RETRIEVAL_DEGRADED_DENSE", "CITATION_REPAIRED",
+    "CITATION_DROPPED", "MODEL_ONLY", "BASIS_RECONCILED", "RETRIEVAL_DEGRADED_BM25", "GRAPH_ABLATION", "INDEX_REBUILD_FAILED", "INDEX_STALE", "INDEX_GENERATION_MISMATCH",
+)
+NOTICES = {code: "warning" if code == "MODEL_WARNING" else "info" for code in NOTICE_CODES}
+
+
+#: What a citation shows of its evidence.
+SHOWN = ("chunk_id", "document_id", "title", "section_path", "provenance", "score", "rank", "content_type")
 
 
 def grounding_rules(limits: GroundingLimits) -> list[tuple[str, Column]]:
@@ -31,7 +39,7 @@ def grounding_rules(limits: GroundingLimits) -> list[tuple[str, Column]]:
     long = lambda items, most: F.exists(items, lambda x: F.length(x) > most)
     return [
         ("model_only_not_allowed", ~F.col("allow_model_only") & (F.col("answer_basis") == "model_only")),
-        ("answer_blank", F.col("answer").rlike(r"^\s*$")),
+        ("answer_blank", F.length(trimmed(F.col("answer"))) == 0),
         ("answer_too_long", F.length("answer") > MAX_ANSWER_CHARS),
         ("no_citation", (F.size(cited) == 0) & (~F.col("allow_model_only") | (F.col("answer_basis") != "model_only"))),
         ("too_many_citations", F.size(cited) > MAX_CITED),
@@ -121,25 +129,31 @@ def basis_notice(reported: Column, cited: Column) -> Column:
 
 
 def resolve_citations(cited: DataFrame, evidence: DataFrame, chars: int = 512) -> DataFrame:
-    """Citations with their excerpt: ``query_id, ordinal, marker_id, chunk_id, document_id, excerpt, is_truncated, score, rank``.
+    """Citations with their excerpt: ``query_id, ordinal, marker_id, chunk_id, document_id, title, section_path, provenance, excerpt, is_truncated, score, rank, content_type``.
 
     ``cited``: ``query_id, ordinal, raw_id``, the id with or without brackets, or a chunk's id. The first evidence in rank that has
-    the one or the other is meant; an evidence cited twice stays where it came first.
+    the one or the other is meant. A citation stays unless an earlier one that stayed has its marker or its chunk. A missing content type is plain text.
     """
     raw = F.col("raw_id")
-    bracketed = F.when(raw.startswith("[") & raw.endswith("]"), raw).otherwise(F.concat(F.lit("["), F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("]")))
-    e = evidence.select("query_id", F.col("id").alias("marker_id"), "chunk_id", "document_id", "text", "score", "rank")
+    bracketed = F.when(raw.startswith("[") & raw.endswith("]"), raw).otherwise(F.concat(F.lit("["), trimmed(raw), F.lit("]")))
+    e = evidence.select("query_id", F.col("id").alias("marker_id"), *SHOWN, "text")
     asked = cited.withColumn("_id", bracketed)
     by_id = asked.join(e, (asked["_id"] == e["marker_id"]) & (asked["query_id"] == e["query_id"])).drop(e["query_id"])
     by_chunk = asked.join(e, (asked["raw_id"] == e["chunk_id"]) & (asked["query_id"] == e["query_id"])).drop(e["query_id"])
     best = Window.partitionBy("query_id", "ordinal").orderBy("rank")
     rows = by_id.unionByName(by_chunk).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    for same in ("marker_id", "chunk_id"):
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", same).orderBy("ordinal"))).where("_n = 1")
+    # a fold over the at most MAX_CITED citations of an answer, as what stays depends on what stayed before
+    item = F.struct("ordinal", "marker_id", "chunk_id")
+    lists = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    fold = """aggregate(_all, filter(_all, x -> false),
+      (a, x) -> if(exists(a, y -> y.marker_id = x.marker_id or y.chunk_id = x.chunk_id), a, concat(a, array(x))))"""
+    kept = lists.select("query_id", F.explode(F.expr(fold)).alias("_k")).select("query_id", "_k.ordinal")
     cut = excerpt(F.col("text"), chars)
-    return rows.withColumn("_cut", cut).select(
-        "query_id", "ordinal", "marker_id", "chunk_id", "document_id", F.col("_cut.excerpt").alias("excerpt"), F.col("_cut.truncated").alias("is_truncated"), "score", "rank"
-    )
+    shown = ["document_id", "title", "section_path", "provenance"]
+    return rows.join(kept, ["query_id", "ordinal"]).withColumn("_cut", cut).select(
+        "query_id", "ordinal", "marker_id", "chunk_id", *shown, F.col("_cut.excerpt").alias("excerpt"), F.col("_cut.truncated").alias("is_truncated"), "score", "rank",
+        F.coalesce("content_type", F.lit("text/plain")).alias("content_type"),
+    )
 
 
 def distinct_notices(notices: DataFrame) -> DataFrame:

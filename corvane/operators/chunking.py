@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from corvane.functions.text import estimate_tokens
 
-#: Windows cut from one piece of a text, so that a long text isn't scanned anew for each.
-TOGETHER = 64
+#: Windows of a piece of a text, and of a piece of that, from which windows are cut, so that a long text isn't walked anew for each.
+TOGETHER = (512, 8)
 
 
 def fixed_windows(docs: DataFrame, text: str, size: int | Column, overlap: int | Column, keys: list[str]) -> DataFrame:
@@ -28,13 +28,14 @@ def fixed_windows(docs: DataFrame, text: str, size: int | Column, overlap: int |
     n = F.length(text)
     many = F.when((n > 0) & (size > 0), F.greatest(F.ceil((n - size) / step), F.lit(0)) + 1).otherwise(0)
     rows = docs.select(*keys, F.col(text).alias("_text"), size.cast("long").alias("_size"), step.cast("long").alias("_step"), many.cast("long").alias("_many")).where("_many > 0")
-    rows = rows.withColumn("_group", F.explode(F.expr(f"sequence(0L, (_many - 1) div {TOGETHER})")))
-    piece = F.expr(f"substring(_text, cast(1 + _group * {TOGETHER} * _step as int), cast({TOGETHER - 1} * _step + _size as int))")
-    rows = rows.withColumn("_text", piece).withColumn("_in", F.explode(F.expr(f"sequence(0L, least({TOGETHER}L, _many - _group * {TOGETHER}) - 1)")))
-    content = F.expr("substring(_text, cast(1 + _in * _step as int), cast(_size as int))")
-    index = F.col("_group") * TOGETHER + F.col("_in")
-    start = index * F.col("_step")
-    out = rows.select(*keys, index.cast("int").alias("chunk_index"), start.cast("int").alias("char_start"), content.alias("content"))
+    rows = rows.withColumn("_from", F.lit(0).cast("long"))
+    for together in (*TOGETHER, 1):
+        # _many windows from the window _from on are in _text
+        rows = rows.withColumn("_at", F.explode(F.expr(f"sequence(0L, greatest(_many - 1, 0L), {together}L)")))
+        piece = F.expr(f"substring(_text, cast(1 + _at * _step as int), cast({together - 1} * _step + _size as int))")
+        rows = rows.withColumns({"_text": piece, "_many": F.least(F.lit(together).cast("long"), F.col("_many") - F.col("_at")), "_from": F.col("_from") + F.col("_at")})
+    start = F.col("_from") * F.col("_step")
+    out = rows.select(*keys, F.col("_from").cast("int").alias("chunk_index"), start.cast("int").alias("char_start"), F.col("_text").alias("content"))
     return out.select(*keys, "chunk_index", "char_start", (F.col("char_start") + F.length("content")).alias("char_end"), "content")
 
 

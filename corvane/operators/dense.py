@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.errors import IndexBuildError, InvalidSettings
+from corvane.functions.text import trimmed
 from corvane.operators.lexical import DECIMALS, KEY, matches
 from corvane.settings import Filters
 
@@ -29,17 +34,61 @@ def query_vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+#: Queries that meet the chunks in one pass.
+TOGETHER = 1024
+
+
+def _pairs(vectors: np.ndarray, ids: list, id_type: pa.DataType, best: int | None):
+    """For each batch of chunks its keys, query and squared distance, for the ``best`` chunks of a query in the batch and those that tie with the last."""
+
+    def fn(batches):
+        for batch in batches:
+            lists = batch.column("embedding")
+            fits = np.flatnonzero(np.array(lists.value_lengths().fill_null(-1)) == vectors.shape[1])
+            own = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(fits.size, -1)
+            out = []
+            for q, vector in enumerate(vectors if fits.size else vectors[:0]):
+                d = np.square(own - vector).sum(1)
+                near = np.arange(d.size)
+                if best is not None and best < d.size:
+                    near = np.flatnonzero(~(d > np.partition(d, best - 1)[best - 1] + 10.0 ** -DECIMALS))
+                out.append((np.full(near.size, q), fits[near], d[near]))
+            q, at, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            keys = [batch.column(k).take(pa.array(at)) for k in batch.schema.names if k != "embedding"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), *keys, pa.array(d)], names=["query_id", *[k for k in batch.schema.names if k != "embedding"], "distance"])
+
+    return fn
+
+
+def distances(rows: DataFrame, queries: DataFrame, keys: tuple[str, ...], best: int | None = None) -> DataFrame:
+    """``query_id``, the keys and ``distance`` of chunks to the queries of as long a vector; with ``best`` a superset of so many nearest ones.
+
+    ``queries`` (``query_id, vector``) is a stated set; it goes out in parts of ``TOGETHER``, each of which takes one pass over ``rows``.
+    """
+    kind = queries.schema["query_id"].dataType
+    part = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / TOGETHER)
+    n = queries.count()
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = asked.withColumn("_part", part) if n > TOGETHER else asked.withColumn("_part", F.lit(0))
+    schema = T.StructType([T.StructField("query_id", kind), *[rows.schema[k] for k in keys], T.StructField("distance", T.DoubleType())])
+    out = rows.sparkSession.createDataFrame([], schema)
+    for k in range(-(-n // TOGETHER)):
+        here = asked.where(F.col("_part") == k).orderBy("query_id").collect()
+        for dim in sorted({len(r["vector"]) for r in here if r["vector"] is not None}):
+            own = [r for r in here if r["vector"] is not None and len(r["vector"]) == dim]
+            fn = _pairs(np.array([r["vector"] for r in own], np.float64), [r["query_id"] for r in own], to_arrow_type(kind), best)
+            out = out.unionByName(rows.select(*keys, "embedding").mapInArrow(fn, schema))
+    return out
+
+
 def search(chunks: DataFrame, queries: DataFrame, limit: int, filters: Filters | None = None, keys: tuple[str, ...] = KEY) -> DataFrame:
     """The nearest ``limit`` chunks of each query, filtered before the limit.
 
     ``chunks``: keys and ``embedding``; ``queries``: ``query_id, vector``, a stated set that meets all chunks.
-    Returns ``query_id``, the keys, ``distance``, ``score`` and ``rank``; ties by key. The row limit of each rank
-    is applied before the shuffle.
+    Returns ``query_id``, the keys, ``distance``, ``score`` and ``rank``; ties by key. Of each batch of chunks only the nearest leave the task.
     """
-    rows = chunks.where(matches(filters)) if filters else chunks
-    # no equality of one side's value with the other's: that would be a join by the length, with one key for all rows
-    pairs = rows.select(*keys, "embedding").join(queries.select("query_id", "vector"), F.size("embedding") - F.size("vector") == 0)
-    found = pairs.select("query_id", *keys, F.round(squared_distance(F.col("embedding"), F.col("vector")), DECIMALS).alias("distance"))
+    rows = chunks.where(matches(filters, fold=False)) if filters else chunks
+    found = distances(rows, queries, keys, limit).withColumn("distance", F.round("distance", DECIMALS))
     found = found.withColumn("score", dense_score(F.col("distance")))
     order = Window.partitionBy("query_id").orderBy("distance", *keys)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -48,7 +97,7 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int, filters: Filters |
 def check_rows(found: DataFrame) -> None:
     """An error that names the first result with a blank key or a distance that isn't finite."""
     for name in ("document_id", "chunk_id"):
-        row = found.where(F.coalesce(F.col(name).rlike(r"^\s*$"), F.lit(True))).first()
+        row = found.where(F.coalesce(F.length(trimmed(F.col(name))) == 0, F.lit(True))).first()
         if row:
             raise IndexBuildError(row["chunk_id"], name, "blank")
     bad = F.col("distance").isNull() | F.isnan("distance") | (F.abs("distance") == float("inf"))

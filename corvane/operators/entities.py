@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.errors import InvalidDocument
-from corvane.functions.text import fold_name
+from corvane.functions.text import fold_name, trimmed
 from corvane.settings import MAX_ENTITIES, MAX_RELATIONS, MIN_EXTRACTION_BYTES
 
 
 def extractable(chunks: DataFrame) -> DataFrame:
     """Chunks of enough trimmed bytes to extract from."""
-    return chunks.where(F.octet_length(F.regexp_replace("content", r"^\s+|\s+$", "")) >= MIN_EXTRACTION_BYTES)
+    return chunks.where(F.octet_length(trimmed(F.col("content"))) >= MIN_EXTRACTION_BYTES)
 
 
 def valid_output(entities: Column, relations: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from corvane.errors import GraphLimitExceeded, NotFound
 from corvane.functions.text import escape_markup, fold_name
-from corvane.operators.dense import dense_score, squared_distance
+from corvane.operators.dense import dense_score, distances
 from corvane.operators.lexical import DECIMALS
-from corvane.settings import MAX_EDGES, MAX_FRONTIER
+from corvane.settings import MAX_EDGES, MAX_FRONTIER, MAX_RELATION_BYTES, MAX_SEED_NAME_BYTES, bounded, hop_limit
 from corvane.sources.shared import stored
 
 EDGE = ("edge_id", "source_node_id", "target_node_id", "relation_type", "weight")
@@ -39,25 +39,44 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select("query_id", F.explode(F.array("source_node_id", "target_node_id")).alias("entity_id")).distinct()
 
 
+def _over(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """``query_id, message`` of the queries that have more rows than allowed."""
+    counts = rows.groupBy("query_id").count().where(F.col("count") > most)
+    return counts.select("query_id", F.format_string(f"%d {what}, more than {most}", "count").alias("message"))
+
+
+def within_limits(edges: DataFrame, seeds: DataFrame, hops: int, max_edges: int = MAX_EDGES, max_frontier: int = MAX_FRONTIER) -> tuple[DataFrame, DataFrame]:
+    """The seeds whose traversal stays within the limits, and ``query_id, message`` of the others, which are left out from the hop on that is too large."""
+    visited = frontier = seeds.select("query_id", "entity_id").distinct()
+    found, over = None, None
+    for hop in range(1, hop_limit(hops) + 1):
+        near = stored(touching(edges, frontier), "hop")
+        found = near if found is None else found.union(near).distinct()
+        frontier = ends(near).join(visited, ["query_id", "entity_id"], "left_anti")
+        worse = _over(found, max_edges, f"edges within {hop} hops").union(_over(frontier, max_frontier, f"new vertices at hop {hop}"))
+        worse = stored(worse.groupBy("query_id").agg(F.min("message").alias("message")), "over")
+        over = worse if over is None else over.union(worse)
+        visited, frontier, found = (df.join(worse.select("query_id"), "query_id", "left_anti") for df in (visited.union(frontier), frontier, found))
+    return seeds.join(over.select("query_id"), "query_id", "left_anti"), over
+
+
 def _check(rows: DataFrame, most: int, what: str) -> None:
-    worst = rows.groupBy("query_id").count().where(F.col("count") > most).first()
+    worst = _over(rows, most, what).first()
     if worst:
-        raise GraphLimitExceeded(f"query {worst['query_id']}: {worst['count']} {what}, more than {most}")
+        raise GraphLimitExceeded(f"query {worst['query_id']}: {worst['message']}")
 
 
 def neighbourhood(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, max_edges: int | None = MAX_EDGES, max_frontier: int | None = MAX_FRONTIER) -> Neighbourhood:
     """What is within ``hops`` edges of each seed, in either direction.
 
     Edges are those that touch a vertex reached before the last hop. More distinct edges or new vertices of a hop
-    than allowed for some seed is an error, also on the last hop; without limits nothing runs here. A
+    than allowed for some seed is an error, also on the last hop. Each hop is stored, as the next ones and the result use it. A
     seed without a vertex row is traversed all the same.
     """
     visited = frontier = seeds.select("query_id", "entity_id").distinct()
     found = None
-    for _ in range(hops):
-        hop = touching(edges, frontier)
-        if max_edges is not None or max_frontier is not None:
-            hop = stored(hop, "hop")  # it is counted now and used again
+    for _ in range(hop_limit(hops)):
+        hop = stored(touching(edges, frontier), "hop")
         found = hop if found is None else found.union(hop).distinct()
         frontier = ends(hop).join(visited, ["query_id", "entity_id"], "left_anti")
         if max_edges is not None:
@@ -115,6 +134,8 @@ def of_relation(near: Neighbourhood, relation: str) -> Neighbourhood:
 
 def query_graph(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, relation: str | None = None, **limits) -> Neighbourhood:
     """The graph query: neighbourhood, narrowed to confirmed vertices, then to one relation."""
+    if relation is not None:
+        bounded(relation, MAX_RELATION_BYTES, "relation")
     near = neighbourhood(vertices, edges, seeds, hops, **limits)
     # a path of so many edges lies within the neighbourhood, so it can be looked for among all edges
     near = narrow(near, seeds, confirmed(vertices, edges, seeds, hops))
@@ -130,6 +151,7 @@ def seeds_by_name(vertices: DataFrame, names: DataFrame) -> DataFrame:
 
 def seed_by_name(vertices: DataFrame, name: str) -> str:
     spark = vertices.sparkSession
+    bounded(name, MAX_SEED_NAME_BYTES, "name")
     row = seeds_by_name(vertices, spark.createDataFrame([(0, name)], "query_id int, name string")).first()
     if row is None:
         raise NotFound(f"no entity is named {name!r}")
@@ -138,8 +160,8 @@ def seed_by_name(vertices: DataFrame, name: str) -> str:
 
 def nearest_seed(vertices: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """``query_id, entity_id, score`` of the vertex whose ``name_vector`` is nearest, if its score is ``least`` or more."""
-    pairs = vertices.select("entity_id", "name_vector").join(queries.select("query_id", "vector"), F.size("name_vector") - F.size("vector") == 0)
-    rows = pairs.select("query_id", "entity_id", F.round(squared_distance(F.col("name_vector"), F.col("vector")), DECIMALS).alias("distance"))
+    named = vertices.select("entity_id", F.col("name_vector").alias("embedding"))
+    rows = distances(named, queries, ("entity_id",), 1).withColumn("distance", F.round("distance", DECIMALS))
     order = Window.partitionBy("query_id").orderBy("distance", "entity_id")
     best = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return best.select("query_id", "entity_id", dense_score(F.col("distance")).alias("score")).where(F.col("score") >= least)

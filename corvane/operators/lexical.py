@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.errors import IndexBuildError
 from corvane.functions.analyze import plain_terms
+from corvane.functions.text import trimmed
 from corvane.settings import Bm25Settings, Filters
+from corvane.sources.shared import stored
 
 FIELDS = ("content", "title", "section_path")
 KEY = ("document_id", "chunk_index", "chunk_id")
@@ -17,20 +19,20 @@ KEY = ("document_id", "chunk_index", "chunk_id")
 DECIMALS = 9
 
 
-def matches(filters: Filters) -> Column:
-    """Rows that the filters let pass; a null content type matches no filter on it."""
+def matches(filters: Filters, fold: bool = True) -> Column:
+    """Rows that the filters let pass; a null content type matches no filter on it. Lexical search folds the type's case, dense search doesn't."""
     ok = F.lit(True)
     if filters.document_ids:
         ok = ok & F.col("document_id").isin(*filters.document_ids)
     if filters.content_types:
-        ok = ok & F.coalesce(F.lower("content_type").isin(*filters.content_types), F.lit(False))
+        ok = ok & F.coalesce((F.lower("content_type") if fold else F.col("content_type")).isin(*filters.content_types), F.lit(False))
     return ok
 
 
 def check_rows(chunks: DataFrame) -> None:
     """An error that names the first row with a blank required field."""
     for name in ("document_id", "chunk_id", "content"):
-        blank = F.coalesce(F.col(name).cast("string").rlike(r"^\s*$"), F.lit(True))
+        blank = F.coalesce(F.length(trimmed(F.col(name).cast("string"))) == 0, F.lit(True))
         row = chunks.where(blank).orderBy("document_id", "chunk_index").select("document_id", "chunk_index").first()
         if row:
             raise IndexBuildError(tuple(row), name, "blank")
@@ -78,7 +80,8 @@ def scored(chunks: DataFrame, queries: DataFrame, settings: Bm25Settings | None
     boosts = {"content": s.content_boost, "title": s.title_boost, "section_path": s.section_boost}
     tok = tokens(chunks, analyzer, fields)
     asked = queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term"))
-    post = postings(tok, fields, asked.select("term").distinct())
+    # two passes over the chunks: one for their postings of these terms, which are few, and one for lengths
+    post = stored(postings(tok, fields, asked.select("term").distinct()), "postings")
     rows = post.join(document_frequency(post), "term").join(asked, "term").join(F.broadcast(statistics(tok, fields)))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boost, average = F.lit(0.0), F.lit(1.0)
@@ -99,5 +102,5 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int, filters: Filters |
     """Top chunks of each query. Filters act on the rows alone, never on the statistics."""
     found = scored(chunks, queries, settings, analyzer, fields)
     if filters and (filters.document_ids or filters.content_types):
-        found = found.join(chunks.where(matches(filters)).select("chunk_id"), "chunk_id", "left_semi")
+        found = stored(found, "scores").join(chunks.where(matches(filters)).select("chunk_id"), "chunk_id", "left_semi")
     return top(found, limit)

@@ -71,13 +71,14 @@ def replaced(old: DataFrame, new: DataFrame, key: str = "document_id", also: Dat
 def frames_joined(frames: DataFrame, most: int) -> DataFrame:
     """Uploads out of frames (``upload_id, seq, document_id, data``): ``upload_id, document_id, raw_content, error``.
 
-    The first frame names the document. Errors: ``metadata_repeated`` (a later frame names one, too), ``too_large``, ``empty``.
+    The first frame names the document. Errors: ``metadata_missing``, ``document_changed`` (a later frame names another one), ``metadata_repeated``
+    (a later frame names it again), ``too_large``, ``empty``.
     """
     rows = frames.groupBy("upload_id").agg(
-        F.min_by("document_id", "seq").alias("document_id"), F.count("document_id").alias("_named"), F.sum(F.octet_length("data")).alias("_bytes"),
+        F.min_by("document_id", "seq").alias("document_id"), F.count("document_id").alias("_named"), F.countDistinct("document_id").alias("_ids"), F.sum(F.octet_length("data")).alias("_bytes"),
         F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("_parts"),
     )
-    error = F.when(F.col("document_id").isNull(), "metadata_missing").when(F.col("_named") > 1, "metadata_repeated").when(F.col("_bytes") > most, "too_large").when(F.coalesce("_bytes", F.lit(0)) == 0, "empty")
+    error = F.when(F.col("document_id").isNull(), "metadata_missing").when(F.col("_ids") > 1, "document_changed").when(F.col("_named") > 1, "metadata_repeated").when(F.col("_bytes") > most, "too_large").when(F.coalesce("_bytes", F.lit(0)) == 0, "empty")
     content = F.aggregate("_parts", F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["data"], F.lit(b""))))
     return rows.select("upload_id", "document_id", F.when(error.isNull(), content).alias("raw_content"), error.alias("error"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.analyze import marker_form
-from corvane.operators import answer, lexical, prompt
-from corvane.plans.retrieval import _bm25
+from corvane.operators import answer, lexical, prompt, replies
+from corvane.plans.retrieval import ESTIMATE_SQL, _bm25
 from corvane.plans.tables import CHUNKS_SQL, asked, chunks, table
 from corvane.settings import GroundingLimits
+from corvane.sources.shared import stored
 
 LIMIT = 12
 
@@ -47,7 +48,7 @@ def model_only_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations as evidence and every third turn's successor as a fact, with made scores and tokens."""
-    turns = table(spark, d, "conversations").where("turn < 12")
+    turns = table(spark, d, "conversations")
     score = F.round((F.col("conv_id") * 7 + F.col("turn") * 13) % 17 / 17.0, 6)
     e = turns.select(F.col("conv_id").alias("query_id"), F.lit("evidence").alias("kind"), (F.col("turn") + 1).cast("int").alias("position"), score.alias("score"), tx.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
     g = turns.where("turn % 3 = 2").select(F.col("conv_id").alias("query_id"), F.lit("graph").alias("kind"), ((F.col("turn") + 1) / 3).cast("int").alias("position"), F.round(1 - score, 6).alias("score"), (F.col("turn") + 5).cast("long").alias("tokens"))
@@ -68,6 +69,39 @@ def score_normalization(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "kind", "position", F.round(prompt.normalised(F.col("score"), ["query_id", "kind"]), 9).alias("normalised"))
 
 
+PROMPT, ANSWER = 700, 100
+
+
+def prompt_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of conversations: the first turn asks, the model's turns are evidence, and what the others say are facts."""
+    turns = table(spark, d, "conversations").withColumn("query_id", F.col("conv_id"))
+    asked_first = turns.groupBy("query_id").agg(F.min_by("text", "turn").alias("question"))
+    score = F.round((F.col("conv_id") * 7 + F.col("turn") * 13) % 17 / 17.0, 6)
+    own = turns.where("role = 'assistant'").select(
+        "query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")).alias("rank"), F.format_string("c%d:%d", "conv_id", "turn").alias("chunk_id"), F.format_string("c%d", "conv_id").alias("document_id"),
+        F.col("turn").cast("int").alias("chunk_index"), F.when(F.col("turn") % 4 == 1, F.lit("It's <one>")).alias("title"), F.lit(None).cast("string").alias("section_path"), F.lit("text/plain").alias("content_type"), F.col("text").alias("content"), score.alias("fused_score"),
+    )
+    facts = turns.where("role <> 'assistant'").select("query_id", F.format_string("e%05d", "turn").alias("edge_id"), F.format_string("speaker %d", "conv_id").alias("entity_a"), F.lit("says").alias("relation_type"), tx.escape_markup(F.substring("text", 1, 30)).alias("entity_b"), F.round(1 - score, 6).alias("score"))
+    out, _ = prompt.assemble_each(asked_first, prompt.evidence(own), facts, 0.9, PROMPT, ANSWER)
+    return out.select("query_id", F.md5("prompt").alias("prompt_md5"), F.array_join("evidence_ids", ",").alias("evidence_ids"), F.col("n_facts").cast("int").alias("n_facts"))
+
+
+def generator_reply_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Replies with turns of conversations as answers, of which some break a rule."""
+    k = F.col("conv_id") * 31 + F.col("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("answer"), k.alias("k"))
+    nothing = F.array().cast("array<string>")
+    content = F.to_json(F.struct("answer", nothing.alias("cited_evidence_ids"), F.when(k % 11 == 5, "guess").otherwise("model_only").alias("answer_basis"), nothing.alias("notices"), nothing.alias("warnings")))
+    content = F.when(k % 11 == 6, F.replace(content, F.lit('"warnings"'), F.lit('"more"'))).when(k % 11 == 7, F.lit("plain text")).otherwise(content)
+    choice = F.struct(F.when(k % 11 != 3, F.when(k % 11 == 4, "length").otherwise("stop")).alias("finish_reason"), F.struct(content.alias("content")).alias("message"))
+    choices = F.when(k % 11 == 1, F.slice(F.array(choice), 1, 0)).when(k % 11 == 2, F.array(choice, choice)).otherwise(F.array(choice))
+    usage = F.struct((k * 40 % 9000).alias("prompt_tokens"), F.lit(20).alias("completion_tokens"), (k * 40 % 9000 + 20 - (k % 11 == 8).cast("int")).alias("total_tokens"))
+    body = F.to_json(F.struct(choices.alias("choices"), F.when(k % 2 == 0, usage).alias("usage")))
+    body = F.when(k % 11 == 0, F.concat(body, F.lit("}"))).otherwise(body)
+    bodies = stored(rows.select("conv_id", "turn", body.alias("body")), "replies")
+    return bodies.select("conv_id", "turn", replies.parsed(F.col("body")).alias("r")).select("conv_id", "turn", F.col("r.failure").alias("failure"), F.md5("r.reply.answer").alias("answer_md5"))
+
+
 # answers: turns of conversations with markers put in
 
 
@@ -83,7 +117,8 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
     """Five blocks a query; some queries lack the fourth, which another with the same form stands for twice."""
     rows = answers(spark, d).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
     ids = F.when((F.col("query_id") % 11 == 0) & (F.col("n") == 4), "(3)").otherwise(F.format_string("[%d]", "n"))
-    return rows.select("query_id", ids.alias("id"), F.col("n").alias("rank"), F.format_string("doc%d:%d", "query_id", "n").alias("chunk_id"), F.format_string("doc%d", "query_id").alias("document_id"), F.repeat(F.lit("évidence "), F.col("n") * 3).alias("text"), (1.0 / F.col("n")).alias("score"))
+    return rows.select("query_id", ids.alias("id"), F.col("n").alias("rank"), F.format_string("doc%d:%d", "query_id", "n").alias("chunk_id"), F.format_string("doc%d", "query_id").alias("document_id"), F.repeat(F.lit("évidence "), F.col("n") * 3).alias("text"), (1.0 / F.col("n")).alias("score"),
+                       F.when(F.col("n") > 1, F.format_string("Title %d", "n")).alias("title"), F.lit("/s").alias("section_path"), F.format_string("p%d", "n").alias("provenance"), F.when(F.col("n") > 2, "text/markdown").alias("content_type"))
 
 
 def inline_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -141,14 +176,14 @@ def notice_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_blocks_provenance, suspicious_flag, html_escape, excerpt_truncate, model_only_prompt, minmax_interleave_order, greedy_pack, score_normalization,
+        evidence_blocks_provenance, suspicious_flag, html_escape, excerpt_truncate, model_only_prompt, minmax_interleave_order, greedy_pack, score_normalization, prompt_assembled, generator_reply_rules,
         inline_markers, marker_resolution, citation_repair, citation_resolve, grounding_check, answer_basis_reconcile, notice_dedup,
     )
 }
 
-_E = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_E = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 _SUSPICIOUS = "regexp_matches(lower({}), 'ignore previous instructions|system prompt:|</?system>|override policy|you are now|execute command|</?evidence>')"
-_ESTIMATE = r"CAST(floor(len(regexp_extract_all({}, '\S+')) * 4 / 3.0) AS BIGINT) + 1"
+_ESTIMATE = ESTIMATE_SQL.replace("INTEGER", "BIGINT")
 
 RANKED_SQL = f"""{_bm25(limit=LIMIT)},
 ranked AS (
@@ -161,7 +196,7 @@ blocks AS (
   FROM ranked),
 flagged AS (SELECT *, {_SUSPICIOUS.format("content")} OR {_SUSPICIOUS.format("provenance")} AS suspicious FROM blocks)"""
 
-CANDIDATES_SQL = f"""turns AS (SELECT *, round((conv_id * 7 + turn * 13) % 17 / 17.0, 6) AS score FROM conversations WHERE turn < 12),
+CANDIDATES_SQL = f"""turns AS (SELECT *, round((conv_id * 7 + turn * 13) % 17 / 17.0, 6) AS score FROM conversations),
 candidates AS (
   SELECT conv_id AS query_id, 'evidence' AS kind, CAST(turn + 1 AS INTEGER) AS position, score, {_ESTIMATE.format("text")} AS tokens FROM turns
   UNION ALL SELECT conv_id, 'graph', CAST((turn + 1) / 3 AS INTEGER), round(1 - score, 6), turn + 5 FROM turns WHERE turn % 3 = 2)"""
@@ -179,7 +214,8 @@ answers AS (
          || CASE WHEN k % 7 = 0 THEN ' [77]' ELSE '' END || '.' AS answer FROM keyed),
 ids AS (
   SELECT query_id, CASE WHEN query_id % 11 = 0 AND n = 4 THEN '(3)' ELSE '[' || n || ']' END AS id, CAST(n AS INTEGER) AS rank, 'doc' || query_id || ':' || n AS chunk_id,
-         'doc' || query_id AS document_id, repeat('évidence ', n * 3) AS text, 1.0 / n AS score
+         'doc' || query_id AS document_id, repeat('évidence ', n * 3) AS text, 1.0 / n AS score,
+         CASE WHEN n > 1 THEN 'Title ' || n END AS title, '/s' AS section_path, 'p' || n AS provenance, CASE WHEN n > 2 THEN 'text/markdown' END AS content_type
   FROM (SELECT query_id, unnest(range(1, 6)) AS n FROM answers)),
 marked AS (SELECT query_id, answer, regexp_extract_all(answer, '\\[[ \\t\\n\\f\\r]*[0-9]+[ \\t\\n\\f\\r]*\\]') AS ms FROM answers),
 marks AS (SELECT query_id, CAST(i - 1 AS INTEGER) AS ordinal, ms[i] AS marker FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM marked)),
@@ -197,7 +233,52 @@ cited AS (
   FROM answers),
 judged AS (SELECT *, list_distinct(regexp_extract_all(answer, '\\[[0-9]+\\]')) AS inline, ['[1]', '[2]', '[3]', '[4]', '[5]'] AS known FROM cited)"""
 
+_Q = lambda text: "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+PROMPT_SQL = f"""turns AS (SELECT *, round((conv_id * 7 + turn * 13) % 17 / 17.0, 6) AS s FROM conversations),
+questions AS (SELECT conv_id AS query_id, arg_min(text, turn) AS question FROM conversations GROUP BY 1),
+own AS (
+  SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position, s AS score, CASE WHEN turn % 4 = 1 THEN 'It''s <one>' ELSE 'Untitled Document' END AS title, text,
+         'document_id=c' || conv_id || ', chunk_index=' || turn || ', title="' || title || '", section="Root"' AS provenance FROM turns WHERE role = 'assistant'),
+flags AS (SELECT *, {_SUSPICIOUS.format("text")} OR {_SUSPICIOUS.format("provenance")} AS suspicious FROM own),
+facts AS (
+  SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY round(1 - s, 6) DESC, printf('e%05d', turn)) AS INTEGER) AS position, round(1 - s, 6) AS score,
+         'speaker ' || conv_id AS a, {_E.format("substring(text, 1, 30)")} AS b FROM turns WHERE role <> 'assistant'),
+candidates AS (
+  SELECT query_id, 'evidence' AS kind, position, score,
+         '<EVIDENCE id="[' || position || ']" suspicious="' || suspicious || '">' || chr(10) || '<TITLE>' || {_E.format("title")} || '</TITLE>' || chr(10) || '<SECTION>Root</SECTION>' || chr(10)
+         || '<PROVENANCE>' || {_E.format("provenance")} || '</PROVENANCE>' || chr(10) || '<CONTENT_TYPE>text/plain</CONTENT_TYPE>' || chr(10) || '<TEXT>' || chr(10) || {_E.format("text")}
+         || chr(10) || '</TEXT>' || chr(10) || '</EVIDENCE>' || chr(10) || chr(10) AS body FROM flags
+  UNION ALL
+  SELECT query_id, 'graph', position, score, '<GRAPH_FACT entity_a="' || a || '" relation="says" entity_b="' || b || '" score="' || printf('%.4f', score) || '">' || chr(10)
+         || a || ' —says→ ' || b || chr(10) || '</GRAPH_FACT>' || chr(10) || chr(10) FROM facts),
+sides AS (SELECT query_id, bool_or(kind = 'graph') AS with_facts FROM candidates GROUP BY 1 HAVING bool_or(kind = 'evidence')),
+bases AS (
+  SELECT query_id, {_Q(prompt.POLICY)} || CASE WHEN with_facts THEN {_Q(prompt.GRAPH_POLICY)} ELSE '' END || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Evidence:' || chr(10) AS base
+  FROM questions JOIN sides USING (query_id)),
+allowed AS (SELECT query_id, base, greatest(0, {PROMPT - ANSWER} - ({_ESTIMATE.format("base")})) AS allowed FROM bases),
+parts AS (SELECT *, {_ESTIMATE.format("body")} AS tokens, CASE WHEN kind = 'evidence' AND position = 1 THEN 'first' ELSE kind END AS part FROM candidates JOIN allowed USING (query_id)),
+weights AS (
+  SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END * CASE kind WHEN 'graph' THEN 0.9 ELSE 1.0 END AS weighted
+  FROM parts WINDOW w AS (PARTITION BY query_id, part)),
+ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part = 'first' DESC, weighted DESC, kind = 'graph', position) - 1 AS INTEGER) AS priority FROM weights),
+fold AS (
+  SELECT query_id, -1 AS priority, CAST(0 AS BIGINT) AS used, FALSE AS header, FALSE AS kept FROM (SELECT query_id FROM ordered WHERE priority = 0 AND tokens <= allowed)
+  UNION ALL
+  SELECT f.query_id, o.priority, CASE WHEN f.used + o.tokens + CASE WHEN o.kind = 'graph' AND NOT f.header THEN 7 ELSE 0 END <= o.allowed THEN f.used + o.tokens + CASE WHEN o.kind = 'graph' AND NOT f.header THEN 7 ELSE 0 END ELSE f.used END,
+         f.header OR (o.kind = 'graph' AND f.used + o.tokens + CASE WHEN NOT f.header THEN 7 ELSE 0 END <= o.allowed),
+         f.used + o.tokens + CASE WHEN o.kind = 'graph' AND NOT f.header THEN 7 ELSE 0 END <= o.allowed
+  FROM fold f JOIN ordered o ON o.query_id = f.query_id AND o.priority = f.priority + 1),
+kept AS (SELECT o.* FROM fold f JOIN ordered o ON o.query_id = f.query_id AND o.priority = f.priority WHERE f.kept)"""
+
 SQL = {
+    "prompt_assembled": f"""WITH RECURSIVE {PROMPT_SQL}
+SELECT query_id, md5(any_value(base) || string_agg(body, '' ORDER BY priority) FILTER (kind = 'evidence')
+  || coalesce('## Related Entities & Relationships' || chr(10) || string_agg(body, '' ORDER BY priority) FILTER (kind = 'graph'), '')) AS prompt_md5,
+  string_agg('[' || position || ']', ',' ORDER BY priority) FILTER (kind = 'evidence') AS evidence_ids, CAST(count(*) FILTER (kind = 'graph') AS INTEGER) AS n_facts FROM kept GROUP BY query_id""",
+    "generator_reply_rules": """WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS answer, conv_id * 31 + turn AS k, (conv_id * 31 + turn) * 40 % 9000 AS p FROM conversations),
+f AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'wrapper' WHEN k % 11 IN (1, 2) THEN 'choices' WHEN k % 11 IN (3, 4) THEN 'unfinished' WHEN k % 11 IN (5, 6, 7) THEN 'content'
+  WHEN k % 2 = 0 AND p > 8192 THEN 'prompt_tokens' WHEN k % 2 = 0 AND k % 11 = 8 THEN 'total_tokens' END AS failure FROM r)
+SELECT conv_id, turn, failure, CASE WHEN failure IS NULL THEN md5(answer) END AS answer_md5 FROM f""",
     "evidence_blocks_provenance": f"""WITH {RANKED_SQL}
 SELECT query_id, id, chunk_id, document_id, chunk_index, title, section_path, content_type, provenance, md5(content) AS text, score, rank, suspicious,
   md5('<EVIDENCE id="' || id || '" suspicious="' || suspicious || '">' || chr(10) || '<TITLE>' || {_E.format("coalesce(title, 'Untitled Document')")} || '</TITLE>' || chr(10)
@@ -248,7 +329,7 @@ hits AS (
    AND (i.id = CASE WHEN raw LIKE '[%]' THEN raw ELSE '[' || trim(raw) || ']' END OR i.chunk_id = raw)
   QUALIFY row_number() OVER (PARTITION BY r.query_id, r.ordinal ORDER BY i.rank) = 1),
 once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY ordinal) = 1)
-SELECT query_id, ordinal, id AS marker_id, chunk_id, document_id, substring(text, 1, 20) AS excerpt, length(text) > 20 AS is_truncated, round(score, 9) AS score, rank FROM once""",
+SELECT query_id, ordinal, id AS marker_id, chunk_id, document_id, substring(text, 1, 20) AS excerpt, length(text) > 20 AS is_truncated, round(score, 9) AS score, rank, title, section_path, provenance, coalesce(content_type, 'text/plain') AS content_type FROM once""",
     "grounding_check": f"""WITH {JUDGED_SQL}
 SELECT query_id, CASE
   WHEN NOT allowed AND basis = 'model_only' THEN 'model_only_not_allowed' WHEN trim(answer) = '' THEN 'answer_blank' WHEN length(answer) > 16384 THEN 'answer_too_long'

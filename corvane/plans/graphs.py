@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import entities, graph
-from corvane.plans.tables import asked_vectors, table
+from corvane.plans.tables import BLANK_SQL, asked_vectors, table
 
 FREE = {"max_edges": None, "max_frontier": None}
 
@@ -68,6 +68,12 @@ def graph_frontier_counts(spark: SparkSession, d: str) -> DataFrame:
     return near.edges.groupBy("query_id").agg(F.count("*").alias("n_edges")).join(counts, "query_id", "left").select("query_id", "n_edges", F.coalesce("new_vertices", F.lit(0)).alias("new_vertices"))
 
 
+def graph_limits_over(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds whose traversal meets more edges or new vertices than allowed; the others go on."""
+    fine, over = graph.within_limits(edges(spark, d), seeds(spark, d), 3, max_edges=40, max_frontier=30)
+    return fine.select("query_id", F.lit("within").alias("outcome")).union(over.select("query_id", F.lit("over")))
+
+
 def graph_directed_confirm(spark: SparkSession, d: str) -> DataFrame:
     return graph.confirmed(vertices(spark, d), edges(spark, d), seeds(spark, d), 3)
 
@@ -98,12 +104,12 @@ def named_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_nearest_seed(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d, 20), 0.4)
+    found = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d), 0.4)
     return found.withColumn("score", F.round("score", 9))
 
 
 def graph_facts_scored(spark: SparkSession, d: str) -> DataFrame:
-    start = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d, 20), 0.4)
+    start = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d), 0.4)
     found = graph.facts(vertices(spark, d), edges(spark, d), start, **FREE)
     return found.withColumns({"fact": graph.render_fact(), "line": graph.render_fact("dashes"), "score": F.round("score", 9)})
 
@@ -121,7 +127,7 @@ def edge_integrity_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey % 20 = 3").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     doc = F.col("l_orderkey").cast("string")
     base = lines.select(doc.alias("document_id"), F.concat_ws(":", doc, "l_linenumber").alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"), "l_partkey", "p_brand", "p_type")
     brand = base.select("document_id", "chunk_id", "chunk_index", F.col("l_partkey").alias("pos"), F.when(F.col("chunk_index") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.lit(" "), "p_brand")).alias("name"), F.lit("brand").alias("entity_type"))
@@ -130,13 +136,13 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known_entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_partkey <= 40").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
     return rows.select(F.concat(F.lit("known:"), "k").alias("entity_id"), F.col("p_brand").alias("name"), F.lit("maker").alias("entity_type"), F.array(F.concat_ws(":", F.lit("old"), "k")).alias("source_chunk_ids"))
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
     """Brand to type within a line; every seventh part's type is that of no mention."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 20 = 3").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     doc = F.col("l_orderkey").cast("string")
     return lines.select(
         doc.alias("document_id"), F.concat_ws(":", doc, "l_linenumber").alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("pos"),
@@ -176,7 +182,7 @@ def extractable_chunks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_neighborhood_1hop, graph_neighborhood_2hop, graph_neighborhood_3hop, graph_frontier_counts, graph_directed_confirm, graph_query_narrowed, graph_relation_filter_endpoints,
+        graph_neighborhood_1hop, graph_neighborhood_2hop, graph_neighborhood_3hop, graph_frontier_counts, graph_limits_over, graph_directed_confirm, graph_query_narrowed, graph_relation_filter_endpoints,
         graph_fixed_hop_pattern, graph_fixed_hop_relation, graph_variable_length_pattern, graph_nearest_seed, graph_facts_scored, graph_seed_by_name, edge_integrity_anti,
         entity_resolution_fold, entity_source_chunks, relation_endpoint_join, relation_unmapped_anti, edge_count_regression, extractable_chunks,
     )
@@ -221,20 +227,20 @@ _NEAREST_SQL = """pairs AS (
   SELECT q.vec_id AS query_id, 'c:' || x.vec_id AS entity_id,
          round(list_sum(list_transform(list_zip(x.embedding, q.embedding),
                lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 9) AS distance
-  FROM embeddings x JOIN v ON v.id = 'c:' || x.vec_id, (SELECT * FROM embeddings WHERE vec_id < 20) q),
+  FROM embeddings x JOIN v ON v.id = 'c:' || x.vec_id, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
 nearest AS (
   SELECT query_id, entity_id, 1 / (1 + greatest(distance, 0)) AS score FROM pairs
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, entity_id) = 1)"""
-_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
-_FOLD = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+_FOLD = f"lower(regexp_replace({{}}, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g'))"
 
-MENTIONS_SQL = f"""lines AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 3),
+MENTIONS_SQL = f"""lines AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey),
 mentions AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_orderkey || ':' || l_linenumber AS chunk_id, l_linenumber AS chunk_index, l_partkey AS pos,
          CASE WHEN l_linenumber % 2 = 0 THEN upper(p_brand) ELSE ' ' || p_brand END AS name, 'brand' AS entity_type FROM lines
   UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_orderkey || ':' || l_linenumber, l_linenumber, l_partkey + 1000000,
          CASE WHEN l_linenumber % 3 = 0 THEN lower(p_type) ELSE p_type END, 'type' FROM lines),
-known AS (SELECT 'known:' || min(p_partkey) AS entity_id, p_brand AS name, 'old:' || min(p_partkey) AS chunk FROM part WHERE p_partkey <= 40 GROUP BY p_brand),
+known AS (SELECT 'known:' || min(p_partkey) AS entity_id, p_brand AS name, 'old:' || min(p_partkey) AS chunk FROM part GROUP BY p_brand),
 folded AS (SELECT *, {_FOLD.format("name")} AS folded FROM mentions),
 firsts AS (SELECT folded, arg_min(name, (document_id, chunk_index, pos)) AS name, arg_min(entity_type, (document_id, chunk_index, pos)) AS entity_type FROM folded GROUP BY folded),
 resolved AS (
@@ -250,6 +256,12 @@ SQL = {
     "graph_frontier_counts": f"""WITH {GRAPH_SQL},
 {_hops(2)}
 SELECT query_id, count(*) AS n_edges, (SELECT count(*) FROM (SELECT * FROM v2 EXCEPT SELECT * FROM v1) x WHERE x.query_id = e2.query_id) AS new_vertices FROM e2 GROUP BY query_id""",
+    "graph_limits_over": f"""WITH {GRAPH_SQL},
+{_hops(3)},
+counts AS (
+  {" UNION ALL ".join(f"SELECT query_id, count(*) > 40 AS over FROM (SELECT * FROM {' UNION SELECT * FROM '.join(f'e{j}' for j in range(1, k + 1))}) GROUP BY query_id" for k in (1, 2, 3))}
+  UNION ALL {" UNION ALL ".join(f"SELECT query_id, count(*) > 30 FROM (SELECT * FROM v{k} EXCEPT SELECT * FROM v{k - 1}) GROUP BY query_id" for k in (1, 2, 3))})
+SELECT query_id, CASE WHEN coalesce(bool_or(over), FALSE) THEN 'over' ELSE 'within' END AS outcome FROM seeds LEFT JOIN counts USING (query_id) GROUP BY query_id""",
     "graph_directed_confirm": f"WITH {GRAPH_SQL},\n{_paths(3)},\n{_paths(3, 't', 's', name='b')}\nSELECT query_id, id AS entity_id FROM p UNION SELECT query_id, id FROM b",
     "graph_query_narrowed": f"WITH {_NARROWED_SQL}\nSELECT query_id, 'node' AS kind, id FROM (SELECT * FROM v2 INTERSECT SELECT * FROM ok) JOIN v USING (id) UNION ALL SELECT query_id, 'edge', edge_id FROM ne",
     "graph_relation_filter_endpoints": f"""WITH {_NARROWED_SQL}, re AS (SELECT * FROM ne WHERE relation_type = 'part_of')
@@ -277,6 +289,6 @@ WHERE EXISTS (FROM folded f WHERE f.chunk_id = r.chunk_id AND f.folded = r.sourc
     "relation_unmapped_anti": f"""WITH {MENTIONS_SQL} SELECT document_id, chunk_id, pos, target FROM relations r
 WHERE NOT (EXISTS (FROM folded f WHERE f.chunk_id = r.chunk_id AND f.folded = r.source) AND EXISTS (FROM folded f WHERE f.chunk_id = r.chunk_id AND f.folded = {_FOLD.format("r.target")}))""",
     "edge_count_regression": f"""WITH {MENTIONS_SQL} SELECT document_id, count(*) AS prior, count(*) FILTER (pos % 5 <> 0) AS written FROM relations GROUP BY 1 HAVING written < prior""",
-    "extractable_chunks": r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, unnest(range(0, len(ls))) AS k, unnest(ls) AS content FROM x)
-SELECT doc_id, CAST(k AS INTEGER) AS line, CAST(strlen(content) AS INTEGER) AS n_bytes FROM y WHERE strlen(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 40""",
+    "extractable_chunks": f"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT doc_id, unnest(range(0, len(ls))) AS k, unnest(ls) AS content FROM x)
+SELECT doc_id, CAST(k AS INTEGER) AS line, CAST(strlen(content) AS INTEGER) AS n_bytes FROM y WHERE strlen(regexp_replace(content, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')) >= 40""",
 }

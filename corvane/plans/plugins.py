@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -11,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.errors import InvalidQuery
 from corvane.settings import MAX_VARIANTS
+from corvane.sources.shared import stored
 
 
 class Embedder(Protocol):
@@ -39,29 +43,148 @@ class Extractor(Protocol):
     def extract(self, chunks: DataFrame) -> DataFrame: ...
 
 
+class Retriever(Protocol):
+    """Ranked chunks (``query_id``, the chunk's keys, ``score``) of ``queries`` (``query_id, text``)."""
+
+    def search(self, queries: DataFrame, limit: int) -> DataFrame: ...
+
+
+class EntityResolver(Protocol):
+    """One row for each entity out of mentions and the known entities, as ``operators.entities.resolve`` gives."""
+
+    def resolve(self, extracted: DataFrame, known: DataFrame) -> DataFrame: ...
+
+
+class Node(Protocol):
+    """A step of a workflow: its name, its limit in seconds, and what it adds to the run's context."""
+
+    name: str
+    seconds: float
+
+    def run(self, context: dict) -> dict: ...
+
+
+class CheckpointSink(Protocol):
+    """Where checkpoint rows (``trace_id, sequence_ordinal, node_name, context_snapshot``) go; a row may come twice."""
+
+    def write(self, rows: DataFrame) -> None: ...
+
+
+class MemorySink:
+    """Checkpoints in memory, for tests: the last row of each trace and ordinal."""
+
+    def __init__(self):
+        self.rows: dict[tuple, tuple[str, str]] = {}
+
+    def write(self, rows: DataFrame) -> None:
+        for r in rows.collect():
+            self.rows[r["trace_id"], r["sequence_ordinal"]] = (r["node_name"], r["context_snapshot"])
+
+
+class TableSink:
+    """Checkpoints in a Parquet folder, read back with one row for each trace and ordinal."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def read(self, spark) -> DataFrame:
+        return spark.read.parquet(self.path).dropDuplicates(["trace_id", "sequence_ordinal"])
+
+
 class TransientError(Exception):
     """A provider's failure that may pass: a time-out, a full queue, a broken connection."""
 
 
+def is_transient(error: Exception) -> bool:
+    """A transient failure, or a job that one of its tasks ended with."""
+    return isinstance(error, TransientError) or TransientError.__name__ in str(error)
+
+
 def with_retries(call, attempts: int, first_wait: float = 1.0, sleep=time.sleep):
     """``call()`` with up to ``attempts`` tries, the same each time; only transient failures are tried again, after doubling waits."""
     for k in range(attempts):
         try:
             return call()
-        except TransientError:
-            if k + 1 == attempts:
+        except Exception as error:
+            if k + 1 == attempts or not is_transient(error):
                 raise
             sleep(first_wait * 2**k)
 
 
 class RetryingGenerator:
-    """A generator that is asked again once after a transient failure."""
+    """A generator that is asked again once after a transient failure. An attempt runs to its end, so its failure is seen."""
 
     def __init__(self, generator: Generator, attempts: int = 2, first_wait: float = 1.0):
         self.generator, self.attempts, self.first_wait = generator, attempts, first_wait
 
     def answer(self, prompts: DataFrame) -> DataFrame:
-        return with_retries(lambda: self.generator.answer(prompts), self.attempts, self.first_wait)
+        return with_retries(lambda: stored(self.generator.answer(prompts), "attempt"), self.attempts, self.first_wait)
+
+
+# Calls to a provider at a time, retries after the first call, and seconds before the first of them.
+CALLS, RETRIES, WAIT = 5, 3, 1.0
+
+
+def _in_order(call, values: list, attempts: int, wait: float) -> list:
+    """``call`` of each value, ``CALLS`` at a time and in the order of the values, with retries."""
+    with ThreadPoolExecutor(CALLS) as pool:
+        return list(pool.map(lambda v: with_retries(lambda: call(v), attempts, wait), values))
+
+
+class CallingEmbedder:
+    """Vectors from a function of one text, such as a provider's; a vector of another length or with a component that isn't finite is an error."""
+
+    def __init__(self, call: Callable[[str], list[float]], dimension: int, model: str, wait: float = WAIT):
+        self.call, self.dimension, self.model, self.wait = call, dimension, model, wait
+
+    def embed(self, text: Column) -> Column:
+        call, dimension, wait = self.call, self.dimension, self.wait
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def vectors(texts: pa.Array) -> pa.Array:
+            found = [np.asarray(v, np.float32) for v in _in_order(call, [t or "" for t in texts.to_pylist()], 1 + RETRIES, wait)]
+            for v in found:
+                if v.shape != (dimension,) or not np.isfinite(v).all():
+                    raise ValueError(f"an embedding must be one vector of {dimension} finite numbers")
+            return pa.array(found, pa.list_(pa.float32()))
+
+        return vectors(text)
+
+
+ENTITY = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("entity_type", T.StringType())]))
+RELATION = T.ArrayType(T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("relation_type", T.StringType()), T.StructField("confidence", T.FloatType())]))
+EXTRACTED = T.StructType([T.StructField("entities", ENTITY), T.StructField("relations", RELATION)])
+
+
+class CallingExtractor:
+    """Entities and relations from a function of one text, tried up to three times; a chunk whose tries all fail is skipped.
+
+    An output with more than allowed is no output: it is refused by ``entities.valid_output``, not cut.
+    """
+
+    def __init__(self, call: Callable[[str], dict], attempts: int = 3, wait: float = WAIT):
+        self.call, self.attempts, self.wait = call, attempts, wait
+
+    def extract(self, chunks: DataFrame) -> DataFrame:
+        """``document_id, chunk_id, chunk_index, entities, relations`` of each chunk that has an output."""
+        call, attempts, wait, arrow = self.call, self.attempts, self.wait, to_arrow_type(EXTRACTED)
+
+        def tried(text: str) -> dict | None:
+            try:
+                return with_retries(lambda: call(text), attempts, wait)
+            except Exception:  # whatever it is: one chunk's failure is that chunk's alone
+                return None
+
+        @F.arrow_udf(EXTRACTED)
+        def found(texts: pa.Array) -> pa.Array:
+            with ThreadPoolExecutor(CALLS) as pool:
+                return pa.array(list(pool.map(tried, [t or "" for t in texts.to_pylist()])), arrow)
+
+        rows = chunks.select("document_id", "chunk_id", "chunk_index", found(F.col("content")).alias("_x"))
+        return rows.where("_x is not null").select("document_id", "chunk_id", "chunk_index", "_x.entities", "_x.relations")
 
 
 class HashEmbedder:
@@ -121,34 +244,21 @@ class FirstSentences:
         )
 
 
-class CapitalisedNames:
-    """Runs of capitalised words as entities, and neighbours within a sentence as relations."""
+def capitalised_names(text: str) -> dict:
+    names: list[str] = []
+    links = []
+    for sentence in re.split(r"[.!?\n]", text):
+        own = re.findall(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*", sentence)
+        names += [n for n in own if n not in names]
+        links += [{"source": a, "target": b, "relation_type": "near", "confidence": 0.5} for a, b in zip(own, own[1:], strict=False)]
+    return {"entities": [{"name": n, "entity_type": "name"} for n in names], "relations": links}
 
-    def extract(self, chunks: DataFrame) -> DataFrame:
-        """``document_id, chunk_id, chunk_index, entities, relations`` of each chunk."""
-        entity = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("entity_type", T.StringType())]))
-        relation = T.ArrayType(T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("relation_type", T.StringType()), T.StructField("confidence", T.FloatType())]))
-        kind = T.StructType([T.StructField("entities", entity), T.StructField("relations", relation)])
 
-        @F.arrow_udf(kind)
-        def found(texts: pa.Array) -> pa.Array:
-            out = []
-            for t in texts:
-                names: list[str] = []
-                links = []
-                for sentence in re.split(r"[.!?\n]", t.as_py() or ""):
-                    own = re.findall(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*", sentence)
-                    names += [n for n in own if n not in names]
-                    links += [{"source": a, "target": b, "relation_type": "near", "confidence": 0.5} for a, b in zip(own, own[1:], strict=False)]
-                out.append({"entities": [{"name": n, "entity_type": "name"} for n in names[:32]], "relations": links[:64]})
-            arrow = pa.struct([
-                ("entities", pa.list_(pa.struct([("name", pa.string()), ("entity_type", pa.string())]))),
-                ("relations", pa.list_(pa.struct([("source", pa.string()), ("target", pa.string()), ("relation_type", pa.string()), ("confidence", pa.float32())]))),
-            ])
-            return pa.array(out, arrow)
+class CapitalisedNames(CallingExtractor):
+    """Runs of capitalised words as entities, and neighbours within a sentence as relations."""
 
-        rows = chunks.select("document_id", "chunk_id", "chunk_index", found(F.col("content")).alias("_x"))
-        return rows.select("document_id", "chunk_id", "chunk_index", "_x.entities", "_x.relations")
+    def __init__(self):
+        super().__init__(capitalised_names, attempts=1)
 
 
 def check_variants(variants: DataFrame) -> None:

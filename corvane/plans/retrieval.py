@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.functions.analyze import plain_terms
 from corvane.operators import chunking, dense, fusion, lexical
-from corvane.plans.tables import CHUNKS_SQL, DENSE_SQL, FILENAME_SQL, OVERLAP, SIZE, TYPE_SQL, asked, asked_vectors, chunks, filename, table, vectors
+from corvane.plans.tables import BLANK_SQL, CHUNKS_SQL, DENSE_SQL, FILENAME_SQL, OVERLAP, SIZE, TYPE_SQL, asked, asked_vectors, chunks, filename, table, vectors
 from corvane.settings import Bm25Settings, Filters, RetrievalSettings
+from corvane.sources.shared import spread, stored
 
 PLAIN_FILTER = Filters(content_types=("text/markdown", "text/plain"))
 SETTINGS = RetrievalSettings(candidate_limit=20)
+#: What the variants of a question add to it.
+VARIANTS = ("", " src3 fr", " src11 en")
 
 
 # chunks
@@ -49,7 +52,7 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
         tx.content_type(filename()).alias("content_type"), tx.chunk_strategy(filename(), F.lit("structure_aware")).alias("strategy"),
         F.lit(400).alias("chunk_size"), F.lit(40).alias("chunk_overlap"),
     )
-    return chunking.chunk_documents(docs).withColumn("content", tx.content_hash(F.col("content")))
+    return chunking.chunk_documents(spread(docs)).withColumn("content", tx.content_hash(F.col("content")))
 
 
 def content_type_strategy(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +71,7 @@ def token_estimate_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
     post = lexical.postings(lexical.tokens(chunks(spark, d)))
-    return post.select("chunk_id", "field", "length", "term", "tf").where(F.col("tf") > 2)
+    return post.select("chunk_id", "field", "length", "term", "tf")
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -103,14 +106,22 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(vectors(spark, d), asked_vectors(spark, d), 32, Filters(content_types=("text/plain",)))
 
 
+def dense_topk_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    """A dense filter takes content types as they are written; half of the texts have theirs in capitals."""
+    rows = vectors(spark, d).withColumn("content_type", F.when(F.col("document_id").cast("int") % 2 == 0, F.upper("content_type")).otherwise(F.col("content_type")))
+    return dense.search(rows, asked_vectors(spark, d), 8, Filters(content_types=("text/plain",)))
+
+
 # fusion
 
 
 def ranked_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Dense results for variant 0; lexical ones for the variants 0 to 2, which are benchmark items, of one query."""
-    vector = dense.search(vectors(spark, d), asked_vectors(spark, d, 1), 20).select(F.lit(0).alias("variant"), F.lit("vector").alias("source"), *lexical.KEY, "score")
-    words = lexical.search(chunks(spark, d).where("chunk_index = 0"), asked(spark, d), 20).select(F.col("query_id").cast("int").alias("variant"), F.lit("bm25").alias("source"), *lexical.KEY, "score")
-    return vector.unionByName(words).withColumn("query_id", F.lit(0)).select("query_id", "variant", "source", *lexical.KEY, "score")
+    """Dense results for variant 0; lexical ones for three variants of each question."""
+    vector = dense.search(vectors(spark, d), asked_vectors(spark, d), 20).select("query_id", F.lit(0).alias("variant"), F.lit("vector").alias("source"), *lexical.KEY, "score")
+    asked_so = F.posexplode(F.array(*[F.concat("text", F.lit(more)) for more in VARIANTS])).alias("variant", "text")
+    joint = asked(spark, d).select("query_id", asked_so).select(F.struct("query_id", "variant").alias("query_id"), "text")
+    words = lexical.search(chunks(spark, d), joint, 20).select("query_id.query_id", "query_id.variant", F.lit("bm25").alias("source"), *lexical.KEY, "score")
+    return stored(vector.unionByName(words), "lists")
 
 
 def _plain(fused: DataFrame) -> DataFrame:
@@ -137,7 +148,7 @@ def cross_variant_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def fusion_provenance(spark: SparkSession, d: str) -> DataFrame:
     both = fusion.fuse_variants(fusion.fuse(ranked_lists(spark, d), SETTINGS), SETTINGS)
-    rows = both.select("chunk_id", F.explode("provenance").alias("p")).select("chunk_id", "p.*")
+    rows = both.select("query_id", "chunk_id", F.explode("provenance").alias("p")).select("query_id", "chunk_id", "p.*")
     return rows.withColumns({"score": F.round("score", 9), "contribution": F.round("contribution", 12)})
 
 
@@ -150,13 +161,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_fixed_size, chunk_paragraph_inclusive, chunk_structure_aware, chunk_edges_next_same_section, document_chunks, content_type_strategy, token_estimate_fallback,
-        term_frequency, document_frequency, avg_field_length, bm25_topk, bm25_topk_filtered_global_idf, bm25_fielded_boosts, dense_topk, dense_topk_filtered,
+        term_frequency, document_frequency, avg_field_length, bm25_topk, bm25_topk_filtered_global_idf, bm25_fielded_boosts, dense_topk, dense_topk_filtered, dense_topk_case_sensitive,
         rrf_hybrid, rrf_zero_weight_source, rrf_dedup_first, cross_variant_rrf, fusion_provenance, final_limit_snapshot_hash,
     )
 }
 
 TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-ESTIMATE_SQL = r"CAST(floor(len(regexp_extract_all({}, '\S+')) * 4 / 3.0) AS INTEGER) + 1"
+ESTIMATE_SQL = f"CAST(floor(len(regexp_extract_all({{}}, '{BLANK_SQL.replace('[', '[^', 1)}+')) * 4 / 3.0) AS INTEGER) + 1"
 
 TOKENS_SQL = f"""tokens AS (
   SELECT document_id, chunk_index, chunk_id, content_type, 'content' AS field, {TERMS.format("content")} AS terms FROM chunks
@@ -167,21 +178,21 @@ postings AS (
   FROM (SELECT *, len(terms) AS length, unnest(terms) AS term FROM tokens) GROUP BY ALL)"""
 
 
-def _bm25(where: str = "TRUE", extra: str = "", k1=1.2, b=0.75, boosts=(1.0, 2.0, 1.5), chunks_sql=CHUNKS_SQL, limit=32, n=3) -> str:
-    return f"""{chunks_sql}, {TOKENS_SQL},
-asked AS (SELECT DISTINCT query_id, term FROM (
-  SELECT item_id AS query_id, unnest({TERMS.format("text || '" + extra + "'")}) AS term FROM benchmark WHERE item_id < {n})),
+def _bm25(where: str = "TRUE", extra: str = "", k1=1.2, b=0.75, boosts=(1.0, 2.0, 1.5), limit=32, variants="") -> str:
+    text = f"(SELECT item_id, variant, text || more AS text FROM benchmark, (VALUES {variants or f"(0, '{extra}')"}) v(variant, more) WHERE item_id % 20 = 0)"
+    return f"""{CHUNKS_SQL}, {TOKENS_SQL},
+asked AS (SELECT DISTINCT query_id, variant, term FROM (SELECT item_id AS query_id, CAST(variant AS INTEGER) AS variant, unnest({TERMS.format("text")}) AS term FROM {text})),
 averages AS (SELECT field, greatest(1.0, sum(len(terms)) / CAST(count(*) AS DOUBLE)) AS average FROM tokens GROUP BY field),
 frequency AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term),
 total AS (SELECT count(*) AS n FROM chunks),
 scores AS (
-  SELECT query_id, document_id, chunk_index, chunk_id, round(sum(
+  SELECT query_id, variant, document_id, chunk_index, chunk_id, round(sum(
     CASE field WHEN 'content' THEN {boosts[0]} WHEN 'title' THEN {boosts[1]} ELSE {boosts[2]} END
     * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * ({k1} + 1)) / (tf + {k1} * (1 - {b} + {b} * length / average))), 9) AS score
   FROM postings JOIN asked USING (term) JOIN frequency USING (term) JOIN averages USING (field), total
   WHERE {where} GROUP BY ALL),
 bm25 AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index, chunk_id) AS INTEGER) AS rank
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, document_id, chunk_index, chunk_id) AS INTEGER) AS rank
   FROM scores WHERE score > 0 QUALIFY rank <= {limit})"""
 
 
@@ -193,11 +204,10 @@ dense AS (
   FROM distances WHERE {where} QUALIFY rank <= {limit})"""
 
 
-FIRST_CHUNKS_SQL = CHUNKS_SQL.replace("FROM windows)", "FROM windows WHERE k = 0)")
-LISTS_SQL = f"""{_bm25(chunks_sql=FIRST_CHUNKS_SQL, limit=20)}, {_dense(limit=20)},
+LISTS_SQL = f"""{_bm25(limit=20, variants=", ".join(f"({k}, '{more}')" for k, more in enumerate(VARIANTS)))}, {_dense(limit=20)},
 lists AS (
-  SELECT 0 AS query_id, 0 AS variant, 'vector' AS source, document_id, chunk_index, chunk_id, score FROM dense WHERE query_id = 0
-  UNION ALL SELECT 0, CAST(query_id AS INTEGER), 'bm25', document_id, chunk_index, chunk_id, score FROM bm25)"""
+  SELECT query_id, CAST(0 AS INTEGER) AS variant, 'vector' AS source, document_id, chunk_index, chunk_id, score FROM dense
+  UNION ALL SELECT query_id, variant, 'bm25', document_id, chunk_index, chunk_id, score FROM bm25)"""
 
 
 def _fuse(vector: float = 1.0, bm25: float = 1.0, lists: str = "lists") -> str:
@@ -231,8 +241,8 @@ crossed AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, best_rank, first_variant, document_id, chunk_index, chunk_id) AS INTEGER) AS rank
   FROM across)"""
 
-BLANK_SQL = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
-PARTS_SQL = f"""parts AS (SELECT *, regexp_extract_all({BLANK_SQL}, '(?s).*?\\n\\n|.+') AS ps FROM documents WHERE length(text) > 0),
+BROKEN_SQL = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
+PARTS_SQL = f"""parts AS (SELECT *, regexp_extract_all({BROKEN_SQL}, '(?s).*?\\n\\n|.+') AS ps FROM documents WHERE length(text) > 0),
 placed AS (
   SELECT doc_id, source, p, ps[p] AS part, length(ps[p]) AS n, sum(length(ps[p])) OVER (PARTITION BY doc_id ORDER BY p) - length(ps[p]) AS begin_at
   FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS p FROM parts))"""
@@ -264,7 +274,7 @@ SELECT document_id || ':edge:' || (chunk_index - 1) AS edge_id, chunk_id AS sour
        CASE WHEN section IS NOT NULL AND n > 1 THEN head ELSE before END AS target_node_id,
        CASE WHEN section IS NOT NULL AND n > 1 THEN 'same_section' ELSE 'next_chunk' END AS relation_type, CAST(1 AS FLOAT) AS weight, document_id
 FROM seen WHERE before IS NOT NULL""",
-    "document_chunks": f"""WITH {_cut(400, 40)}, texts AS (SELECT doc_id, source, {BLANK_SQL} AS text, length({BLANK_SQL}) AS n FROM documents WHERE length(text) > 0),
+    "document_chunks": f"""WITH {_cut(400, 40)}, texts AS (SELECT doc_id, source, {BROKEN_SQL} AS text, length({BROKEN_SQL}) AS n FROM documents WHERE length(text) > 0),
 fixed AS (
   SELECT doc_id, source, CAST(k AS INTEGER) AS chunk_index, k * 360 AS char_start, substring(text, 1 + k * 360, 400) AS content
   FROM (SELECT *, unnest(range(0, CASE WHEN n <= 400 THEN 1 ELSE CAST(ceil((n - 400) / 360.0) AS BIGINT) + 1 END)) AS k FROM texts) WHERE doc_id % 3 = 1),
@@ -275,23 +285,24 @@ SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id || ':' || chunk_index AS c
     "content_type_strategy": f"""SELECT doc_id, {TYPE_SQL} AS content_type,
   CASE WHEN doc_id % 3 = 1 OR doc_id % 2 = 0 THEN 'fixed_size' ELSE 'structure_aware' END AS strategy, sha256(text) AS content_hash FROM documents""",
     "token_estimate_fallback": f"SELECT doc_id, {ESTIMATE_SQL.format('text')} AS tokens FROM documents",
-    "term_frequency": f"WITH {CHUNKS_SQL}, {TOKENS_SQL} SELECT chunk_id, field, CAST(length AS INTEGER) AS length, term, tf FROM postings WHERE tf > 2",
+    "term_frequency": f"WITH {CHUNKS_SQL}, {TOKENS_SQL} SELECT chunk_id, field, CAST(length AS INTEGER) AS length, term, tf FROM postings",
     "document_frequency": f"WITH {CHUNKS_SQL}, {TOKENS_SQL} SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term",
     "avg_field_length": f"""WITH {CHUNKS_SQL}, {TOKENS_SQL}, a AS (SELECT field, round(greatest(1.0, sum(len(terms)) / CAST(count(*) AS DOUBLE)), 9) AS v FROM tokens GROUP BY field)
 SELECT (SELECT count(*) FROM chunks) AS n, max(v) FILTER (field = 'content') AS avg_content, max(v) FILTER (field = 'title') AS avg_title,
        max(v) FILTER (field = 'section_path') AS avg_section_path FROM a""",
-    "bm25_topk": f"WITH {_bm25()} SELECT * FROM bm25",
-    "bm25_topk_filtered_global_idf": f"WITH {_bm25(where=chr(39).join(['content_type IN (', 'text/markdown', ', ', 'text/plain', ')']))} SELECT * FROM bm25",
-    "bm25_fielded_boosts": f"WITH {_bm25(extra=' src3 src11 fr', k1=1.5, b=0.6, boosts=(0.5, 3.0, 0.25))} SELECT * FROM bm25",
+    "bm25_topk": f"WITH {_bm25()} SELECT * EXCLUDE (variant) FROM bm25",
+    "bm25_topk_filtered_global_idf": f"WITH {_bm25(where=chr(39).join(['content_type IN (', 'text/markdown', ', ', 'text/plain', ')']))} SELECT * EXCLUDE (variant) FROM bm25",
+    "bm25_fielded_boosts": f"WITH {_bm25(extra=' src3 src11 fr', k1=1.5, b=0.6, boosts=(0.5, 3.0, 0.25))} SELECT * EXCLUDE (variant) FROM bm25",
     "dense_topk": f"WITH {_dense()} SELECT * FROM dense",
     "dense_topk_filtered": f"WITH {_dense(where=chr(39).join(['content_type = ', 'text/plain', '']))} SELECT * FROM dense",
+    "dense_topk_case_sensitive": f"WITH {_dense(where="content_type = 'text/plain' AND CAST(document_id AS INTEGER) % 2 = 1", limit=8)} SELECT * FROM dense",
     "rrf_hybrid": f"WITH {LISTS_SQL}, {_fuse()} SELECT {_ROUNDED} FROM fused",
     "rrf_zero_weight_source": f"WITH {LISTS_SQL}, {_fuse(vector=0.0)} SELECT {_ROUNDED} FROM fused",
     "rrf_dedup_first": f"""WITH {LISTS_SQL}, twice AS (SELECT * FROM lists UNION ALL SELECT * REPLACE (score / 2 AS score) FROM lists), {_fuse(bm25=2.0, lists="twice")}
 SELECT {_ROUNDED} FROM fused""",
     "cross_variant_rrf": f"WITH {CROSS_SQL} SELECT {_ROUNDED} FROM crossed",
     "fusion_provenance": f"""WITH {CROSS_SQL}
-SELECT s.chunk_id, s.variant, s.source, CAST(s.rank AS INTEGER) AS rank, round(s.score, 9) AS score, round(s.contribution, 12) AS contribution
+SELECT s.query_id, s.chunk_id, s.variant, s.source, CAST(s.rank AS INTEGER) AS rank, round(s.score, 9) AS score, round(s.contribution, 12) AS contribution
 FROM steps s JOIN fused f USING (query_id, variant, chunk_id) WHERE f.rank <= 20""",
     "final_limit_snapshot_hash": f"""WITH {CROSS_SQL}
 SELECT query_id, sha256(string_agg(chunk_id || chr(0), '' ORDER BY rank)) AS result_hash FROM crossed WHERE rank <= 8 GROUP BY query_id""",

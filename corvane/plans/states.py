@@ -60,9 +60,9 @@ def staged_row_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replace_document(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks after some documents came anew with larger windows and one came empty."""
+    """Chunks after the documents of one language came anew with larger windows and one came empty."""
     old = chunks(spark, d).select("document_id", "chunk_id", "chunk_index", F.length("content").alias("n_chars"))
-    docs = table(spark, d, "documents").where("doc_id % 10 = 4").withColumn("document_id", F.col("doc_id").cast("string"))
+    docs = table(spark, d, "documents").where("lang = 'en'").withColumn("document_id", F.col("doc_id").cast("string"))
     new = chunking.fixed_windows(docs, "text", 900, 100, ["document_id"])
     new = new.select("document_id", F.concat_ws(":", "document_id", "chunk_index").alias("chunk_id"), "chunk_index", F.length("content").alias("n_chars"))
     empty = spark.createDataFrame([("5",)], "document_id string")
@@ -70,10 +70,10 @@ def replace_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upload_frames(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey % 50 < 5").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     named = (F.col("l_linenumber") == 1) | ((F.col("l_orderkey") % 50 == 2) & (F.col("l_linenumber") == 3))
     frames = rows.select(
-        F.col("l_orderkey").alias("upload_id"), F.col("l_linenumber").alias("seq"), F.when(named, F.concat(F.lit("d"), "l_orderkey")).alias("document_id"),
+        F.col("l_orderkey").alias("upload_id"), F.col("l_linenumber").alias("seq"), F.when(named, F.concat(F.when((F.col("l_orderkey") % 50 == 2) & (F.col("l_orderkey") % 4 == 0) & (F.col("l_linenumber") == 3), "x").otherwise("d"), "l_orderkey")).alias("document_id"),
         F.when(F.col("l_orderkey") % 50 == 3, F.lit("")).otherwise(F.concat(F.lit("part "), "p", F.lit(";"))).cast("binary").alias("data"),
     )
     out = state.frames_joined(frames, 40)
@@ -103,7 +103,7 @@ def sse_json_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
     """Orders as intents: due by their date, retried by their priority."""
-    rows = table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    rows = table(spark, d, "orders")
     return rows.select(F.col("o_orderkey").alias("document_id"), F.lit("failed").alias("desired_status"), F.col("o_orderpriority").alias("reason_class"), F.substring("o_orderpriority", 1, 1).cast("int").alias("retry_count"), F.col("o_orderdate").alias("next_attempt_at"))
 
 
@@ -124,7 +124,7 @@ def reconcile_lease(spark: SparkSession, d: str) -> DataFrame:
 
 def reconcile_create(spark: SparkSession, d: str) -> DataFrame:
     current = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("completed").alias("status"))
-    ask = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit("engine_lost").alias("reason_class"), F.lit("1999-01-01").cast("timestamp_ntz").alias("now"))
+    ask = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("engine_lost").alias("reason_class"), F.lit("1999-01-01").cast("timestamp_ntz").alias("now"))
     return state.created_intents(current, intents(spark, d), ask).select("document_id", "reason_class", "retry_count")
 
 
@@ -148,7 +148,7 @@ def count_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.safe_header(F.substring("text", 1, 300), 64).alias("header"))
+    return table(spark, d, "documents").select("doc_id", tx.safe_header(F.col("text"), 64).alias("header"))
 
 
 def lossy_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _latest(rows: str = "updates") -> str:
 
 
 STAGED_SQL = "staged AS (SELECT o_custkey AS document_id, o_orderkey AS generation, o_orderstatus || '.txt' AS filename, round(o_totalprice, 2) AS size FROM orders)"
-INTENTS_SQL = "intents AS (SELECT o_orderkey AS document_id, o_orderpriority AS reason_class, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS retry_count, o_orderdate AS next_attempt_at FROM orders WHERE o_orderkey % 7 = 0)"
+INTENTS_SQL = "intents AS (SELECT o_orderkey AS document_id, o_orderpriority AS reason_class, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS retry_count, o_orderdate AS next_attempt_at FROM orders)"
 NODES_SQL = f"{CHUNKS_SQL}, nodes AS (SELECT *, CAST(document_id AS INTEGER) AS n FROM chunks WHERE chunk_id <> '3:1')"
 
 SQL = {
@@ -233,14 +233,14 @@ SELECT o_orderkey, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-' || CAS
        o_orderkey % 3 = 0 AND size >= 1 AND overlap >= 0 AND overlap < size AS valid FROM x""",
     "replace_document": f"""WITH {CHUNKS_SQL},
 n AS (SELECT document_id, CAST(k AS INTEGER) AS chunk_index, substring(text, 1 + k * 800, 900) AS content
-      FROM (SELECT *, unnest(range(0, CASE WHEN n <= 900 THEN 1 ELSE CAST(ceil((n - 900) / 800.0) AS BIGINT) + 1 END)) AS k FROM docs WHERE doc_id % 10 = 4))
-SELECT document_id, chunk_id, chunk_index, CAST(length(content) AS INTEGER) AS n_chars FROM chunks WHERE CAST(document_id AS BIGINT) % 10 <> 4 AND document_id <> '5'
+      FROM (SELECT *, unnest(range(0, CASE WHEN n <= 900 THEN 1 ELSE CAST(ceil((n - 900) / 800.0) AS BIGINT) + 1 END)) AS k FROM docs WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')))
+SELECT document_id, chunk_id, chunk_index, CAST(length(content) AS INTEGER) AS n_chars FROM chunks WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en') AND document_id <> '5'
 UNION ALL SELECT document_id, document_id || ':' || chunk_index, chunk_index, CAST(length(content) AS INTEGER) FROM n""",
-    "upload_frames": """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS seq, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 50 < 5 GROUP BY 1, 2),
-f AS (SELECT k, seq, CASE WHEN seq = 1 OR (k % 50 = 2 AND seq = 3) THEN 'd' || k END AS document_id, CASE WHEN k % 50 = 3 THEN '' ELSE 'part ' || p || ';' END AS data FROM r),
-u AS (SELECT k AS upload_id, first(document_id ORDER BY seq) AS document_id, count(document_id) AS named, sum(strlen(data)) AS n, string_agg(data, '' ORDER BY seq) AS content FROM f GROUP BY k)
+    "upload_frames": """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS seq, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+f AS (SELECT k, seq, CASE WHEN seq = 1 OR (k % 50 = 2 AND seq = 3) THEN CASE WHEN k % 50 = 2 AND k % 4 = 0 AND seq = 3 THEN 'x' ELSE 'd' END || k END AS document_id, CASE WHEN k % 50 = 3 THEN '' ELSE 'part ' || p || ';' END AS data FROM r),
+u AS (SELECT k AS upload_id, first(document_id ORDER BY seq) AS document_id, count(document_id) AS named, count(DISTINCT document_id) AS ids, sum(strlen(data)) AS n, string_agg(data, '' ORDER BY seq) AS content FROM f GROUP BY k)
 SELECT upload_id, document_id, CASE WHEN error IS NULL THEN md5(content) END AS content_md5, error FROM (
-  SELECT *, CASE WHEN document_id IS NULL THEN 'metadata_missing' WHEN named > 1 THEN 'metadata_repeated' WHEN n > 40 THEN 'too_large' WHEN n = 0 THEN 'empty' END AS error FROM u)""",
+  SELECT *, CASE WHEN document_id IS NULL THEN 'metadata_missing' WHEN ids > 1 THEN 'document_changed' WHEN named > 1 THEN 'metadata_repeated' WHEN n > 40 THEN 'too_large' WHEN n = 0 THEN 'empty' END AS error FROM u)""",
     "event_ordinals_terminal_once": """WITH x AS (SELECT user_id AS trace_id, event_id, event_type, row_number() OVER w AS ordinal,
   coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -253,7 +253,7 @@ SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"trace_id":' || u
     "reconcile_backoff": f"WITH {INTENTS_SQL} SELECT document_id, retry_count * 3 - 3 AS retry_count, CAST(least(pow(2, least(retry_count * 3 - 3, 10)), 60) AS INTEGER) AS seconds FROM intents",
     "reconcile_lease": f"""WITH {INTENTS_SQL}, due AS (SELECT document_id FROM intents WHERE next_attempt_at <= TIMESTAMP '1998-01-01' ORDER BY next_attempt_at, document_id LIMIT 10)
 SELECT CASE WHEN document_id IN (FROM due) THEN TIMESTAMP '1998-01-01 00:00:30' ELSE next_attempt_at END AS next_attempt_at, count(*) AS n FROM intents GROUP BY 1""",
-    "reconcile_create": f"""WITH {INTENTS_SQL}, new AS (SELECT o_orderkey AS document_id FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus = 'O')
+    "reconcile_create": f"""WITH {INTENTS_SQL}, new AS (SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'O')
 SELECT document_id, reason_class, retry_count FROM intents WHERE document_id NOT IN (FROM new) UNION ALL SELECT document_id, 'engine_lost', 0 FROM new""",
     "store_inspection_facts": f"""WITH {NODES_SQL},
 n AS (SELECT document_id, any_value(n) AS k, count(*) AS c, min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AS contiguous FROM nodes GROUP BY 1),
@@ -263,7 +263,7 @@ f AS (SELECT n.document_id, n.c AS chunk_count, coalesce(e.c, 0) AS edge_count,
 SELECT document_id, chunk_count, edge_count, contiguous, finite, stale_ends, contiguous AND finite AND stale_ends = 0 AND one AS sound FROM f""",
     "count_consistency": f"""WITH {NODES_SQL}, a AS (SELECT document_id, count(*) AS gateway FROM chunks GROUP BY 1), b AS (SELECT document_id, count(*) AS store FROM nodes GROUP BY 1)
 SELECT document_id, gateway, gateway + CASE WHEN document_id LIKE '%7' THEN 1 ELSE 0 END AS metadata, store FROM a LEFT JOIN b USING (document_id) WHERE document_id LIKE '%7' OR store IS DISTINCT FROM gateway""",
-    "header_sanitize": "SELECT doc_id, substring(regexp_replace(substring(text, 1, 300), '[^!-~]', '', 'g'), 1, 64) AS header FROM documents",
+    "header_sanitize": "SELECT doc_id, substring(regexp_replace(text, '[^!-~]', '', 'g'), 1, 64) AS header FROM documents",
     "lossy_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "legacy_migration": "SELECT o_orderkey AS document_id, o_orderstatus AS filename, CAST(1 AS BIGINT) AS generation FROM orders",
     "count_rows_predicate": f"WITH {CHUNKS_SQL} SELECT count(*) AS n FROM chunks WHERE document_id = '7' AND content_type = 'application/json' UNION ALL SELECT count(*) FROM chunks WHERE chunk_index > 3",

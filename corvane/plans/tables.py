@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import content_type
 from corvane.operators.chunking import fixed_windows
+from corvane.sources.shared import spread
 
 SIZE, OVERLAP = 500, 50
 
@@ -25,7 +26,7 @@ TYPE_SQL = "CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("document_id", F.col("doc_id").cast("string"))
     docs = docs.select("document_id", "text", F.col("source").alias("title"), F.concat(F.lit("/"), "lang").alias("section_path"), content_type(filename()).alias("content_type"))
     rows = fixed_windows(docs, "text", SIZE, OVERLAP, ["document_id", "title", "section_path", "content_type"])
     return rows.withColumn("chunk_id", F.concat_ws(":", "document_id", "chunk_index"))
@@ -43,9 +44,15 @@ chunks AS (
   FROM windows)"""
 
 
-def asked(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """The first benchmark items as queries."""
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+#: The stated query set of a search: rows whose id is divisible by this.
+EVERY = 20
+#: All blanks of Unicode, as ``functions.text.BLANK`` in DuckDB's form.
+BLANK_SQL = "[\\x09-\\x0D\\x20\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries."""
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +64,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asked_vectors(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 DENSE_SQL = """vectors AS (
@@ -68,4 +75,4 @@ distances AS (
   SELECT q.vec_id AS query_id, document_id, chunk_index, chunk_id, content_type,
          round(list_sum(list_transform(list_zip(v.embedding, q.embedding),
                lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 9) AS distance
-  FROM vectors v, (SELECT * FROM embeddings WHERE vec_id < 3) q)"""
+  FROM vectors v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""

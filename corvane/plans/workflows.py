@@ -7,30 +7,57 @@ from pyspark.sql import functions as F
 
 from corvane.plans import plugins, workflow
 from corvane.plans.graphs import edges, vertices
+from corvane.plans.retrieval import _bm25
 from corvane.plans.tables import asked, chunks
 from corvane.settings import GraphSettings, RetrievalSettings, Settings
 
+CANDIDATES, FINAL = 16, 4
+
 
 def _answered(spark: SparkSession, d: str) -> workflow.Answered:
-    embedder = plugins.HashEmbedder()
-    corpus = workflow.Corpus(
-        chunks(spark, d).withColumn("embedding", embedder.embed(F.col("content"))),
-        vertices(spark, d).where("entity_type in ('region', 'nation')").withColumn("name_vector", embedder.embed(F.col("name"))),
-        edges(spark, d).where("relation_type = 'part_of'"),
-    )
+    """Answers of the offline generator to benchmark items, from lexical retrieval alone."""
     questions = asked(spark, d).withColumnRenamed("text", "question")
-    settings = Settings(retrieval=RetrievalSettings(candidate_limit=16, final_limit=4), graph=GraphSettings(seed_match_min_score=0.1))
-    return workflow.ask(corpus, questions, settings, embedder=embedder)
+    settings = Settings(retrieval=RetrievalSettings(candidate_limit=CANDIDATES, final_limit=FINAL, vector_weight=0.0))
+    return workflow.ask(workflow.Corpus(chunks(spark, d)), questions, settings, graph_context=False)
 
 
 def workflow_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of the offline generator to the first benchmark items."""
-    return _answered(spark, d).answers
+    found = _answered(spark, d).answers
+    return found.select("query_id", "answer", F.array_join("cited_evidence_ids", ",").alias("cited"), "answer_basis", F.array_join("notices", "; ").alias("notices"))
 
 
 def workflow_citations(spark: SparkSession, d: str) -> DataFrame:
-    return _answered(spark, d).citations
+    return _answered(spark, d).citations.withColumn("score", F.round("score", 9))
 
 
-QUERIES = {f.__name__: f for f in (workflow_answers, workflow_citations)}
-SQL: dict[str, str] = {}
+def workflow_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of a run with all of its parts: dense retrieval and the whole graph beside the lexical lists."""
+    embedder = plugins.HashEmbedder()
+    corpus = workflow.Corpus(
+        chunks(spark, d).withColumn("embedding", embedder.embed(F.col("content"))), vertices(spark, d).withColumn("name_vector", embedder.embed(F.col("name"))), edges(spark, d)
+    )
+    questions = asked(spark, d).withColumnRenamed("text", "question")
+    settings = Settings(retrieval=RetrievalSettings(candidate_limit=CANDIDATES, final_limit=FINAL), graph=GraphSettings(seed_match_min_score=0.1))
+    return workflow.ask(corpus, questions, settings, embedder=embedder).events
+
+
+QUERIES = {f.__name__: f for f in (workflow_answers, workflow_citations, workflow_events)}
+
+_FOUND = f"""{_bm25(limit=CANDIDATES)},
+found AS (
+  SELECT b.query_id, b.rank, c.* EXCLUDE (content_type), c.content_type, 1 / (60.0 + b.rank) AS score, '[' || b.rank || ']' AS id, rtrim(regexp_extract(c.content, '(?s)^[^.!?]{{0,200}}')) AS sentence,
+         regexp_extract(c.content, '(?s)^[^.!?]{{0,200}}') || ' [' || b.rank || ']' AS said
+  FROM bm25 b JOIN chunks c USING (chunk_id) WHERE b.rank <= 2)"""
+SQL = {
+    "workflow_answers": f"""WITH {_FOUND}
+SELECT query_id, string_agg(said, '. ' ORDER BY rank) AS answer, string_agg(id, ',' ORDER BY rank) AS cited, 'retrieval' AS answer_basis, '{workflow.ABLATION}' AS notices FROM found GROUP BY query_id""",
+    "workflow_citations": f"""WITH {_FOUND}
+SELECT query_id, CAST(rank - 1 AS INTEGER) AS ordinal, id AS marker_id, chunk_id, document_id, title, section_path,
+       'document_id=' || document_id || ', chunk_index=' || chunk_index || ', title="' || title || '", section="' || section_path || '"' AS provenance,
+       substring(content, 1, 512) AS excerpt, length(content) > 512 AS is_truncated, round(score, 9) AS score, rank, content_type FROM found""",
+    "workflow_events": f"""WITH steps AS (SELECT unnest([{", ".join(f"'{s}'" for s in workflow.STEPS)}]) AS node, unnest(range(1, {len(workflow.STEPS) + 1})) AS k),
+every AS (
+  SELECT 2 * k - 1 AS ordinal, 'node_started' AS event, node FROM steps UNION ALL SELECT 2 * k, 'node_completed', node FROM steps
+  UNION ALL SELECT * FROM (VALUES (11, 'answer_chunk', ''), (12, 'final_answer', ''), (13, 'workflow_completed', '')) x)
+SELECT item_id AS trace_id, CAST(ordinal AS INTEGER) AS ordinal, event, node FROM benchmark, every WHERE item_id % 20 = 0""",
+}

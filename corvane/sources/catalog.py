@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.errors import InvalidDocument, MissingTable, SchemaDrift
+from corvane.errors import InvalidDocument, MissingTable, QueueFull, SchemaDrift, WriteNotSeen
 from corvane.operators.state import next_generation, replaced
 from corvane.sources.schemas import BUCKETED_BY, LEGACY_STAGED, SCHEMAS
+from corvane.sources.shared import stored
 
 BUCKETS, SPREAD = 64, 4
 
@@ -161,10 +162,25 @@ class Store:
     def _change(self, **entries: dict) -> None:
         self._commit({**self.manifest["tables"], **entries})
 
-    def stage(self, new: DataFrame) -> None:
-        """Stage uploads, each with the generation after its document's last one, which it replaces."""
-        rows = next_generation(new, self.table("staged_documents"))
-        self._change(staged_documents=self._rewritten("staged_documents", new.select("document_id"), rows))
+    def stage(self, new: DataFrame, capacity: int | None = None) -> None:
+        """Stage uploads, each with the generation after its document's last one, which it replaces.
+
+        More than ``capacity`` documents waiting is an error before anything is written; so is a row that is written and not found again, before it counts.
+        """
+        rows = stored(next_generation(new, self.table("staged_documents")), "staged")
+        if capacity is not None:
+            waiting = self.table("staged_documents").select("document_id").union(rows.select("document_id")).distinct().count()
+            if waiting > capacity:
+                raise QueueFull(f"{waiting} documents would wait, more than {capacity}")
+        entry = self._rewritten("staged_documents", new.select("document_id"), rows)
+        seen = self._frame(SCHEMAS["staged_documents"], entry["parts"])
+        lost = rows.select("document_id", "generation").exceptAll(seen.select("document_id", "generation")).first()
+        if lost:
+            raise WriteNotSeen(f"generation {lost['generation']} of document {lost['document_id']} was not found after it was written")
+        self._change(staged_documents=entry)
+
+    def unstage(self, ids: DataFrame) -> None:
+        self._change(staged_documents=self._rewritten("staged_documents", ids.select("document_id"), self.spark.createDataFrame([], SCHEMAS["staged_documents"])))
 
     def replace_documents(self, docs: DataFrame, chunks: DataFrame, edges: DataFrame, now: int = 0, model: str = "none") -> None:
         """Replace documents with their chunks and chunk edges and clear their staging, all in one commit.
@@ -184,17 +200,20 @@ class Store:
             staged_documents=self._rewritten("staged_documents", ids, self.spark.createDataFrame([], SCHEMAS["staged_documents"])),
         )
 
-    def upsert_graph(self, document_ids: DataFrame, entities: DataFrame, edges: DataFrame) -> None:
-        """Replace the entities given and all entity edges of the documents, in one commit.
+    def upsert_graph(self, document_ids: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[int, int]:
+        """Replace the entities given and all entity edges of the documents, in one commit. Returns the documents' edges before and after.
 
-        Entities of earlier versions of a document stay, as others may refer to them.
+        Entities of earlier versions of a document stay, as others may refer to them. Edges that are written and not found again are an error; the store is then as before.
         """
+        prior = self.table("entity_edges").join(document_ids, "document_id", "left_semi").count()
         ends = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("entity_id")).distinct()
         known = self.table("entities").select("entity_id").union(entities.select("entity_id"))
         stray = ends.join(known, "entity_id", "left_anti").first()
         if stray:
             raise InvalidDocument(f"edge end {stray['entity_id']} is no entity")
-        self._change(
-            entities=self._rewritten("entities", entities.select("entity_id"), entities),
-            entity_edges=self._rewritten("entity_edges", document_ids, edges),
-        )
+        entry = self._rewritten("entity_edges", document_ids, edges)
+        written = self._frame(SCHEMAS["entity_edges"], entry["parts"]).join(document_ids, "document_id", "left_semi").count()
+        if written != (expected := edges.count()):
+            raise WriteNotSeen(f"{written} entity edges were found of {expected} written")
+        self._change(entities=self._rewritten("entities", entities.select("entity_id"), entities), entity_edges=entry)
+        return prior, written

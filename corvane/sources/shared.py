@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Makes Spark remove a query's shuffle files at its end; it is read when a frame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -18,12 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="corvane-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="corvane-")
+    return _own[app]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it has fewer partitions than there are; a large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: what is used several times is computed once, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        own = df.select("*")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    own.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
