@@ -4,7 +4,8 @@ Vectors of length one are projected on random directions; each projection is
 an array sorted by value. A query opens a window around its own value in every array and widens all of
 them together (virtual rehashing). A vector that falls into a window collides once
 for that array; the ones that collide often enough are verified with their exact cosine.
-The windows widen until a base and a share of the vectors have been verified.
+The windows widen until their radius reaches the distance of the last neighbour wanted: one that is as near
+has then collided often enough with a probability of about 0.93, nearer ones more surely.
 
 Vectors are dealt out by hash into blocks of bounded size, and the queries into
 chunks; a task holds one block, its arrays and one chunk of queries. Equal vectors
@@ -24,12 +25,10 @@ from corvane.llm.storage import materialise
 BLOCK, CHUNK = 16384, 4096
 #: Arrays, and the collisions from which a vector is verified, as a share of them.
 ARRAYS, COLLIDE = 128, 0.6
-#: Radii (lengths are 1): the first, and the growth from one to the next.
-RADIUS, GROWTH = 0.6, 1.08
+#: Radii (lengths are 1): the first, and the most and the least growth from one to the next.
+RADIUS, GROWTH, STEP = 0.1, 1.3, 1.02
 #: Half the width of a window over the radius; a vector at the radius collides with probability 0.66.
 HALF_WIDTH = 0.95
-#: Vectors verified for each query and block, at least: a base and a share of the block.
-VERIFY, VERIFY_SHARE = 256, 0.04
 #: Queries whose collision counts are held at a time.
 TOGETHER = 128
 
@@ -58,30 +57,36 @@ class Block:
         dots = (self.vectors[which] * query).sum(1)
         return dots / (self.norms[which] * np.sqrt((query * query).sum()))
 
-    def search(self, queries: np.ndarray, k: int, collide: float = COLLIDE, verify: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, k: int, collide: float = COLLIDE) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and cosines of all verified vectors, at least ``k`` if there are as many."""
         n, arrays = self.vectors.shape[0], self.values.shape[0]
         queries = scaled(queries)
-        enough = min(n, max(k, VERIFY + int(VERIFY_SHARE * n) if verify is None else verify))
-        need = int(np.ceil(collide * arrays))
+        k, need = min(n, k), int(np.ceil(collide * arrays))
         at = np.ascontiguousarray(((queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.axes).T)
-        counts, done = np.zeros((len(queries), n), np.int32), np.zeros((len(queries), n), bool)
-        open_, radius, low, high = np.arange(len(queries)), RADIUS, None, None
+        counts, done = np.zeros((len(queries), n), np.uint8 if arrays < 256 else np.int32), np.zeros((len(queries), n), bool)
+        radius, last = np.full(len(queries), RADIUS), np.full(len(queries), np.inf)
+        low = np.stack([np.searchsorted(v, x, "left") for v, x in zip(self.values, at, strict=True)], axis=1)
+        high, open_ = low.copy(), np.arange(len(queries))
+        found: list[tuple[list, list]] = [([], []) for _ in queries]
         while open_.size:
-            left = np.stack([np.searchsorted(v, x[open_] - HALF_WIDTH * radius, "left") for v, x in zip(self.values, at, strict=True)], axis=1)
-            right = np.stack([np.searchsorted(v, x[open_] + HALF_WIDTH * radius, "right") for v, x in zip(self.values, at, strict=True)], axis=1)
-            if low is None:
-                low = high = left
-            more = np.ones(open_.size, bool)
+            reach = HALF_WIDTH * radius[open_]
+            left = np.stack([np.searchsorted(v, x[open_] - reach, "left") for v, x in zip(self.values, at, strict=True)], axis=1)
+            right = np.stack([np.searchsorted(v, x[open_] + reach, "right") for v, x in zip(self.values, at, strict=True)], axis=1)
             for i, q in enumerate(open_.tolist()):
-                bounds = zip(left[i].tolist(), low[i].tolist(), high[i].tolist(), right[i].tolist(), strict=True)
+                bounds = zip(left[i].tolist(), low[q].tolist(), high[q].tolist(), right[i].tolist(), strict=True)
                 opened = [part for row, (a, b, c, d) in zip(self.order, bounds, strict=True) for part in (row[a:b], row[c:d])]
-                counts[q] += np.bincount(np.concatenate(opened), minlength=n).astype(np.int32)
-                done[q] = counts[q] >= need
-                more[i] = np.count_nonzero(done[q]) < enough
-            open_, low, high = open_[more], left[more], right[more]
-            radius *= GROWTH
-        return [(places, self.cosines(q, places)) for q, places in ((q, np.flatnonzero(d)) for q, d in zip(queries, done, strict=True))]
+                counts[q] += np.bincount(np.concatenate(opened), minlength=n).astype(counts.dtype)
+                new = np.flatnonzero((counts[q] >= need) & ~done[q])
+                done[q, new] = True
+                found[q][0].append(new)
+                found[q][1].append(self.cosines(queries[q], new))
+                cosines = np.concatenate(found[q][1])
+                if cosines.size >= k:
+                    last[q] = np.sqrt(max(0.0, 2 - 2 * np.partition(cosines, cosines.size - k)[cosines.size - k]))
+            low[open_], high[open_] = left, right
+            open_ = open_[(last[open_] > radius[open_]) & ~done[open_].all(1)]
+            radius[open_] = np.minimum(radius[open_] * GROWTH, np.maximum(radius[open_] * STEP, last[open_]))
+        return [(np.concatenate(places), np.concatenate(cosines)) for places, cosines in found]
 
 
 def _search(k: int, keep: int):
@@ -121,7 +126,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     smaller id, and a row never answers its own id. Vectors that are null, empty, zero or hold null
     or non-finite components take no part on either side, and only vectors of equal length are compared. If there
     are fewer candidates, all are returned. Rows with a null id take no part; an id in several rows
-    counts as several vectors and is asked once. Empty tables give no rows.
+    counts as several vectors and is asked once. Other columns are not looked at. Empty tables give no rows.
     """
     keep = k + 1
     typed = lambda df, name: usable(df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias(name), F.col("v").cast("array<double>").alias("v")))

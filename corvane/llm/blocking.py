@@ -2,9 +2,9 @@
 
 Rows (bucket, item) are sorted by bucket and numbered as they stream by: an item that is
 alone says nothing and is dropped, and every ``block`` items of a bucket are a part. A bucket of one part is
-searched as it is, one of more as pairs of parts over many tasks. Buckets that hold a large
-share of all rows are found by a sketch beforehand; their items are first split by a
-further key that no link crosses, if the caller has one, and dealt into parts by hash, so no task sees
+searched as it is; one of more is first cut by a further key that no link crosses, and what is then still large is searched
+as pairs of parts over many tasks. Buckets that hold a large
+share of all rows are found by a sketch beforehand and dealt into parts by hash, so no task sees
 such a bucket whole. A search goes from a first item outwards, against those not reached yet, and only the spanning
 links come out: at most one less than the items. No link is lost.
 """
@@ -116,12 +116,10 @@ def _numbered(block: int):
     return fn
 
 
-def candidates(spark: SparkSession, rows: DataFrame, block: int = BLOCK, split: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Items of buckets with two different items or more, each once for every pair of parts it is in.
+def candidates(spark: SparkSession, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Items of buckets with two different items or more, stored: ``bucket, item, part``.
 
-    ``rows``: ``bucket`` and ``item`` (long, not null), repeats allowed. ``split(bucket, item)`` is an array of keys of which
-    any two items that should link share one; buckets of a large share of the rows are cut by it.
-    Returns ``bucket, item, i, j``; a task of ``linked`` takes one bucket, i, j, which has no more than about two blocks.
+    ``rows``: ``bucket`` and ``item`` (long, not null), repeats allowed. A part has about ``block`` items at most.
     """
     rows = rows.select("bucket", "item")
     top = rows.agg(F.expr(f"approx_top_k(bucket, {HOT}, {TRACKED})").alias("top")).first().top or []
@@ -130,23 +128,49 @@ def candidates(spark: SparkSession, rows: DataFrame, block: int = BLOCK, split:
     numbered = cold.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_numbered(block), NUMBERED)
     if hot:
         own = materialise(spark, rows.where(F.col("bucket").isin(hot)).distinct(), "hot")
-        if split is None:
-            sizes = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).alias("parts"))
-            dealt = own.join(F.broadcast(sizes), "bucket")  # at most HOT rows
-            numbered = numbered.unionByName(dealt.select("bucket", "item", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part")))
-    found = materialise(spark, numbered, "buckets")
+        sizes = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).alias("parts"))
+        dealt = own.join(F.broadcast(sizes), "bucket")  # at most HOT rows
+        numbered = numbered.unionByName(dealt.select("bucket", "item", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part")))
+    return materialise(spark, numbered, "buckets")
+
+
+def paired(spark: SparkSession, found: DataFrame, block: int = BLOCK, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of ``candidates`` once for every pair of parts that an item is in: ``bucket, item, i, j``.
+
+    A task of ``linked`` takes one bucket, i, j, which has no more than about two parts. ``cut`` makes buckets of several parts into smaller ones
+    (``bucket, item``), of which any two items that link share one; what is then still large is paired by parts.
+    """
     large = found.where("part > 0").groupBy("bucket").agg((F.max("part") + 1).alias("parts"))
+    if cut is not None:
+        large = materialise(spark, large, "large")
+        small = found.join(large, "bucket", "left_anti").select("bucket", "item", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        if large.isEmpty():
+            return small
+        return small.unionByName(paired(spark, candidates(spark, cut(found.join(large.select("bucket"), "bucket").select("bucket", "item")), block), block))
     other = F.explode(F.when(F.col("parts").isNull(), F.array("part")).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))).alias("other")
     pairs = found.join(large, "bucket", "left").select("bucket", "item", "part", other)
-    pairs = pairs.select("bucket", "item", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    if hot and split is not None:
-        cut = own.select(F.explode(split(F.col("bucket"), F.col("item"))).alias("bucket"), "item")
-        pairs = pairs.unionByName(candidates(spark, cut, block))
-    return pairs
+    return pairs.select("bucket", "item", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+
+def by_rare_shingles(spark: SparkSession, sets: DataFrame, similar: float) -> Callable[[DataFrame], DataFrame]:
+    """Cuts buckets of sets (``item, shingles``) by their rare members.
+
+    With the members of each set in the order of how many sets of the bucket have them, two sets of a Jaccard similarity of
+    ``similar`` or more have a common one among the first n - ceil(similar n) + 1 of each; those are the new buckets.
+    """
+
+    def cut(rows: DataFrame) -> DataFrame:
+        flat = materialise(spark, rows.join(sets, "item").select("bucket", "item", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "members")
+        counts = flat.groupBy("bucket", "s").agg(F.count("*").alias("c"))
+        listed = flat.join(counts, ["bucket", "s"]).groupBy("bucket", "item", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+        first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * similar - 1e-9).cast("int") + 1)
+        return listed.select("bucket", "item", F.explode(first).alias("x")).select(F.xxhash64("bucket", "x.s").alias("bucket"), "item")
+
+    return cut
 
 
 def linked(found: DataFrame, near_in: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """Spanning links ``a, b`` within each bucket, i, j of ``candidates``.
+    """Spanning links ``a, b`` within each bucket, i, j of ``paired``.
 
     ``near_in(table)`` gets the rows of one task's bucket and returns the
     ``near`` of ``spanning_links``.

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from corvane.llm.storage import materialise
-from corvane.llm.words import PUNCTUATION, word_hashes
+from corvane.llm.words import PUNCTUATION, joined, slabs, word_hashes
 
 #: Words of an item that must be seen together, and the share of them that must agree.
 WINDOW, AGREE = 20, 0.8
@@ -34,7 +34,8 @@ WINDOW, AGREE = 20, 0.8
 LEAST = 5
 #: Characters of benchmark text in one pass; each word has up to 15 seeds.
 PASS_CHARS = 1_600_000
-SLAB = 1 << 20
+#: Words compared at a time, and bytes of text that are searched together.
+SLAB, SLAB_BYTES = 1 << 20, 1 << 18
 
 
 def allowed(size: int, agree: float) -> int:
@@ -169,28 +170,30 @@ def _merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 MANY = 64
 
 
-def _diagonals(h: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Items and spans of diagonals on which a seed of the text is one of the item.
+def _diagonals(place: np.ndarray, seed: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Items and spans of diagonals on which a seed of a text is one of the item; ``seed`` is the first place of its hash in ``tests``.
 
     Words that repeat make runs of equal hashes. Two runs meet on a span of diagonals, so what is made grows with the runs and not
     with the product of their lengths.
     """
-    there = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
-    left = np.searchsorted(tests.hashes, h[there], "left")
-    known = left < tests.hashes.size
-    there, left = there[known], left[known]
-    there, left = (x[tests.hashes[left] == h[there]] for x in (there, left))
-    if not there.size:
+    following = np.minimum(seed + 1, tests.hashes.size - 1)
+    several = (tests.hashes[following] == tests.hashes[seed]) & (following > seed)
+    if not several.all():
+        # a hash that is once among the items: its places are as many diagonals
+        at = tests.place[seed[~several]]
+        yield tests.item[seed[~several]], place[~several] - at, place[~several] - at
+    place, seed = place[several], seed[several]
+    if not place.size:
         return
-    by = np.lexsort((there, left))
-    there, left = there[by], left[by]
-    first, last = _runs(there, left)
+    by = np.lexsort((place, seed))
+    place, seed = place[by], seed[by]
+    first, last = _runs(place, seed)
     # runs of the text by hash; a hash of many runs is taken as one
-    hash_of = left[first]
+    hash_of = seed[first]
     start = np.flatnonzero(np.concatenate([[True], hash_of[1:] != hash_of[:-1]]))
     count = np.diff(np.append(start, hash_of.size))
     for s, n in zip(start.tolist(), count.tolist(), strict=True):
-        low, high = there[first[s : s + n]], there[last[s : s + n]]
+        low, high = place[first[s : s + n]], place[last[s : s + n]]
         if n > MANY:
             low, high = low[:1], high[-1:]
         a, b = int(hash_of[s]), int(np.searchsorted(tests.hashes, tests.hashes[hash_of[s]], "right"))
@@ -202,24 +205,44 @@ def _diagonals(h: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.nda
         yield np.repeat(item, low.size), np.subtract.outer(low, to).T.ravel(), np.subtract.outer(high, from_).T.ravel()
 
 
+def find_all(texts: list[bytes], tests: Tests, window: int = WINDOW, agree: float = AGREE) -> list[list[dict]]:
+    """For each text one entry for each item of which a window is in it, in item order."""
+    hashes, text, _, _ = joined(texts, PUNCTUATION)
+    sizes = np.bincount(text, minlength=len(texts))
+    # windows may begin before a text or end after it by as many words as may differ
+    edge = allowed(window, agree)
+    starts = edge + np.cumsum(sizes + edge) - sizes - edge
+    padded = np.zeros(int(sizes.sum()) + edge * (len(texts) + 1), np.uint64)
+    padded[np.arange(hashes.size) + edge * (text + 1)] = hashes
+    places, seeds = [], []
+    for span, wrong in tests.spans:
+        for h in seed_hashes(padded, span, wrong):
+            there = np.flatnonzero(tests.present[(h >> np.uint64(42)).astype(np.int64)])
+            seed = np.searchsorted(tests.hashes, h[there])
+            seed[seed == tests.hashes.size] = 0
+            same = tests.hashes[seed] == h[there]
+            places.append(there[same])
+            seeds.append(seed[same])
+    out: list[list[dict]] = [[] for _ in texts]
+    place, seed = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, seeds))
+    owner = np.searchsorted(starts - edge, place, "right") - 1
+    by = np.argsort(owner, kind="stable")
+    place, seed, owner = place[by], seed[by], owner[by]
+    edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if owner.size else np.empty(0, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        t = int(owner[a])
+        doc = padded[starts[t] : starts[t] + sizes[t]]
+        item, low, high = (np.concatenate(x) for x in zip(*_diagonals(place[a:b] - starts[t], seed[a:b], tests), strict=True))
+        for k in np.unique(item):
+            own = item == k
+            best = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], _merged(low[own], high[own]), window, agree)
+            if best:
+                out[t].append({"item_id": tests.ids[k], "matched": best[0], "window": best[1], "start_word": best[2]})
+    return out
+
+
 def find_hits(text: bytes, tests: Tests, window: int = WINDOW, agree: float = AGREE) -> list[dict]:
-    """One entry for each item of which a window is in the text, in item order."""
-    doc = hashes_of(text)
-    # windows may begin before the text or end after it by as many words as may differ
-    edge = np.zeros(allowed(window, agree), np.uint64)
-    padded = np.concatenate([edge, doc, edge])
-    found = [x for span, wrong in tests.spans for h in seed_hashes(padded, span, wrong) for x in _diagonals(h, tests)]
-    if not found:
-        return []
-    item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-    hits = []
-    for k in np.unique(item):
-        own = item == k
-        spans = _merged(low[own] - edge.size, high[own] - edge.size)
-        best = _verify(doc, tests.words[tests.starts[k] : tests.starts[k + 1]], spans, window, agree)
-        if best:
-            hits.append({"item_id": tests.ids[k], "matched": best[0], "window": best[1], "start_word": best[2]})
-    return hits
+    return find_all([text], tests, window, agree)[0]
 
 
 HIT = [("matched", T.LongType()), ("window", T.LongType()), ("start_word", T.LongType())]
@@ -249,7 +272,7 @@ def hits(text: Column, part, item_type: T.DataType, window: int = WINDOW, agree:
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([find_hits(t.as_py() or b"", part.value, window, agree) for t in texts], arrow)
+        return pa.array([found for _, group in slabs(texts, SLAB_BYTES) for found in find_all(group, part.value, window, agree)], arrow)
 
     return found(text.cast("binary"))
 

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.blocking import BLOCK, candidates, linked, same
+from corvane.llm.blocking import BLOCK, by_rare_shingles, candidates, linked, paired, same
 from corvane.llm.components import connected_components
 from corvane.llm.storage import discard, materialise
-from corvane.llm.words import joined, mix, powers
+from corvane.llm.words import joined, mix, powers, slabs
 
 #: Words on either side among which a cut is the smallest, so that paragraphs within a line have more words than that.
 AROUND = 7
@@ -131,19 +131,6 @@ def cut(texts: list[bytes], banded: bool = True) -> Cut:
     return Cut(text, no, start - first[text], end - start, content, np.concatenate([whole, np.ones(int(line.sum()), bool)]), line, keys, start, shingles)
 
 
-def _slabs(texts: pa.Array, size: int = 1 << 20):
-    """Places and values of some texts at a time, of about ``size`` bytes in all or one text."""
-    group, total = [], 0
-    for k, t in enumerate(texts):
-        group.append(t.as_py() or b"")
-        total += len(group[-1])
-        if total >= size:
-            yield k + 1 - len(group), group
-            group, total = [], 0
-    if group:
-        yield len(texts) - len(group), group
-
-
 PARAGRAPHS = "id long, text_hash long, no int, whole boolean, start_word long, n_words long, content long, keys array<long>"
 
 
@@ -151,7 +138,7 @@ def _cut_all(batches):
     """All paragraphs of each text, and its lines that are no single paragraph, which have no number; of equal ones in a task the first has keys."""
     seen: set[int] = set()
     for batch in batches:
-        for begin, texts in _slabs(batch.column("raw")):
+        for begin, texts in slabs(batch.column("raw")):
             c = cut(texts)
             content, owner = c.content.view(np.int64), pa.array(c.text + begin)
             fresh = np.zeros(content.size, bool)
@@ -178,7 +165,7 @@ def _cut_all(batches):
 def _shingles_of(batches):
     """The sorted distinct shingles of the wanted paragraphs of each text."""
     for batch in batches:
-        for begin, texts in _slabs(batch.column("raw")):
+        for begin, texts in slabs(batch.column("raw")):
             c = cut(texts, banded=False)
             content = c.content.view(np.int64)
             wanted = batch.column("wanted").slice(begin, len(texts)).flatten().to_numpy()
@@ -238,7 +225,7 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     n_words, class_id`` (equal for similar paragraphs), ``first_doc_id`` and ``removed`` (false for the
     occurrence of the smallest doc_id and paragraph, which stays). A paragraph counts if its class is at two
     places or more, of one document or of several, and it stands in a run of such paragraphs of ``run`` words or more in all, or in ``run``
-    words that are repeated as they are, or if it is a whole line of ``line_run`` words or more; ``run=0`` takes all.
+    words that stand as they are around another repeat, or if it is a whole line of ``line_run`` words or more; ``run=0`` takes all.
     Words are split at ASCII blanks, A-Z lower-cased. Null and empty texts, and those of less than five words, have no
     paragraphs. A document is an id with a text: rows equal in both count once, so a text repeated under one id is no repeat, and different texts of
     an id are different documents. Rows without an id come after all others. Other columns are not looked at; an empty table gives no rows.
@@ -248,7 +235,7 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     at = lambda *more: F.struct(F.col("id").isNull().alias("no_id"), *doc, *more)
     all_ = materialise(spark, texts.mapInArrow(_cut_all, PARAGRAPHS), "paragraphs")
     rows = all_.select(F.explode("keys").alias("bucket"), F.col("content").alias("item"))
-    found = materialise(spark, candidates(spark, rows, block), "candidates")
+    found = candidates(spark, rows, block)
     # only what stands at two places or shares a band with something else can be in a class that counts
     items = found.select(F.col("item").alias("content")).distinct()
     several = all_.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
@@ -262,7 +249,8 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     wanted = spread.join(items, "content").groupBy("first.id", "first.text_hash").agg(F.collect_set("content").alias("wanted"))
     looked_up = texts.alias("l").join(wanted.alias("r"), same("l", "r", *doc)).select("l.raw", "r.wanted")
     sets = materialise(spark, looked_up.mapInArrow(_shingles_of, "item long, shingles array<long>").dropDuplicates(["item"]), "shingles")
-    links = linked(found.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
+    pairs = paired(spark, found, block, by_rare_shingles(spark, sets, similar))
+    links = linked(pairs.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
     classes = materialise(spark, connected_components(spark, links), "classes")
     spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
     # a line and a paragraph in it can be of one class: two places are where one begins after the other ended
@@ -276,13 +264,16 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     runs = hits.where("no is not null").withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*doc).orderBy("no")))
     runs = materialise(spark, runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*doc, "run"))), "runs")
     counts = (F.col("run_words") >= run) | (F.col("whole") & (F.col("n_words") >= line_run))
-    short = runs.where(~counts).groupBy(*doc).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    looked_up = texts.alias("l").join(short.alias("r"), same("l", "r", *doc)).select("l.id", "l.text_hash", "l.raw", "r.spans")
+    # words around those that don't count yet are compared with the words around all of the same class
+    short = runs.where(~counts)
+    alike = runs.join(short.select("class_id").distinct(), "class_id", "left_semi")
+    spans = alike.groupBy(*doc).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    looked_up = texts.alias("l").join(spans.alias("r"), same("l", "r", *doc)).select("l.id", "l.text_hash", "l.raw", "r.spans")
     around = materialise(spark, looked_up.mapInArrow(_around(run), "id long, text_hash long, start_word long, at long, window long"), "around")
     again = around.groupBy("window").agg(F.min(at("at")).alias("a"), F.max(at("at")).alias("b")).where("a <> b").select("window")
     longer = around.join(again, "window").select(*doc, "start_word").distinct()
     columns = ["id", "no", "start_word", "n_words", "class_id", "first", "removed"]
-    extended = runs.where(~counts).alias("l").join(longer.alias("r"), same("l", "r", *doc, "start_word"), "left_semi").select(*columns)
+    extended = short.alias("l").join(longer.alias("r"), same("l", "r", *doc, "start_word"), "left_semi").select(*columns)
     lines = hits.where(F.col("no").isNull() & (F.col("n_words") >= line_run))
     out = runs.where(counts).select(*columns).unionByName(extended).unionByName(lines.select(*columns))
     return out.select(F.col("id").alias("doc_id"), F.col("no").alias("paragraph"), "start_word", "n_words", "class_id", F.col("first").alias("first_doc_id"), "removed")

@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage: each applies an operator to its whole table."""
+"""The registered queries of this subpackage: each applies an operator to its whole table.
+
+Null ids, null and empty texts, repeated rows, empty tables and further columns are treated as the operator's docstring says; a query drops no row of its own.
+"""
 
 from __future__ import annotations
 
@@ -13,18 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and lines of five words or more; texts without any have no row."""
     return paragraphs.repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), line_run=paragraphs.SHINGLE)
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score, one row each, also for null and empty texts."""
     return lm.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices; texts without any have no row."""
     return licenses.notices(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, one row each, also for null and empty texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pii.pii_spans(F.col("text")).alias("found"))
 
@@ -39,26 +46,31 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents; clean documents have no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on URLs, one row each, also for null URLs."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components, one row each; the fingerprint of null and empty texts is zero."""
     near = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, one row each; null and empty texts have size 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores, one row each, also for null and empty texts; the first label by size counts where an id has several."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id"), quality.FOLDS).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
@@ -66,6 +78,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of each query; vectors that take no part, null ids among them, have no row."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return ann.nearest(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0))
 

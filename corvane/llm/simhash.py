@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corvane.llm.blocking import BLOCK, candidates, linked, same
+from corvane.llm.blocking import BLOCK, candidates, linked, paired, same
 from corvane.llm.components import connected_components
 from corvane.llm.similar import SIMILAR, similar_groups
 from corvane.llm.storage import materialise
@@ -82,10 +82,11 @@ def _near(radius: int):
     return near_in
 
 
-def _splits(radius: int):
-    """Fingerprints within the radius agree in at least one of radius + 1 parts of their bits."""
+def _by_parts(radius: int):
+    """Cuts buckets of fingerprints: those within the radius agree in at least one of radius + 1 parts of their bits."""
     parts = [sum(1 << b for b in range(p, 64, radius + 1)) for p in range(radius + 1)]
-    return lambda bucket, fp: F.array(*[F.xxhash64(bucket, F.lit(k), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(parts)])
+    keys = [F.xxhash64("bucket", F.lit(k), F.col("item").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(parts)]
+    return lambda rows: rows.select(F.explode(F.array(*keys)).alias("bucket"), "item")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -100,8 +101,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     prints = materialise(spark, fingerprints(docs, id_col, text_col, words), "prints")
     first = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius))])
-    found = candidates(spark, first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block, _splits(radius))
-    groups = materialise(spark, connected_components(spark, linked(found, _near(radius))), "groups")
+    found = candidates(spark, first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block)
+    groups = materialise(spark, connected_components(spark, linked(paired(spark, found, block, _by_parts(radius)), _near(radius))), "groups")
     smallest = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
     ids = materialise(

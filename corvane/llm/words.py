@@ -9,6 +9,7 @@ from __future__ import annotations
 import string
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 _BASE = np.uint64(xxh64_intdigest("word base") | 5)
@@ -62,3 +63,16 @@ def joined(texts: list[bytes], values: np.ndarray = BLANKS) -> tuple[np.ndarray,
     hashes, start = word_hashes(text, values)
     first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
     return hashes, np.searchsorted(first, start, "right") - 1, start, text
+
+
+def slabs(texts: pa.Array, size: int = 1 << 20):
+    """Places and values of some texts at a time, of about ``size`` bytes in all or one text."""
+    group, total = [], 0
+    for k, t in enumerate(texts):
+        group.append(t.as_py() or b"")
+        total += len(group[-1])
+        if total >= size:
+            yield k + 1 - len(group), group
+            group, total = [], 0
+    if group:
+        yield len(texts) - len(group), group

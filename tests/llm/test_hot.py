@@ -25,7 +25,8 @@ def test_every_pair_of_a_bucket_meets(spark, block):
     want = {}
     for b, i in rows:
         want.setdefault(b, set()).add(i)
-    got = groups(blocking.candidates(spark, spark.createDataFrame(rows, "bucket long, item long"), block).collect())
+    found = blocking.candidates(spark, spark.createDataFrame(rows, "bucket long, item long"), block)
+    got = groups(blocking.paired(spark, found, block).collect())
     met = {(b, *sorted(p)) for (b, _, _), items in got.items() for p in combinations(items, 2)}
     assert met == {(b, *sorted(p)) for b, items in want.items() for p in combinations(items, 2)}
     assert {b for b, _, _ in got} == {b for b, items in want.items() if len(items) > 1}
@@ -34,23 +35,41 @@ def test_every_pair_of_a_bucket_meets(spark, block):
 
 def test_a_hot_bucket_is_dealt_out(spark):
     rows = spark.range(200_000).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("item")).union(spark.range(60_000).selectExpr("id div 2", "id"))
-    sizes = blocking.candidates(spark, rows, 20_000).groupBy("bucket", "i", "j").count().where("bucket = 7").collect()
+    sizes = blocking.paired(spark, blocking.candidates(spark, rows, 20_000), 20_000).groupBy("bucket", "i", "j").count().where("bucket = 7").collect()
     assert len(sizes) == 45 and max(r["count"] for r in sizes) < 1.1 * 40_000
 
 
-def test_a_split_loses_no_link(spark):
+def cut_pairs(spark, rows, block, cut):
+    found = blocking.candidates(spark, spark.createDataFrame(rows, "bucket long, item long"), block)
+    got = groups(blocking.paired(spark, found, block, cut).collect())
+    return {tuple(sorted(p)) for items in got.values() for p in combinations(items, 2)}
+
+
+def test_a_cut_by_bits_loses_no_link(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
     flipped = lambda n: centre ^ sum(1 << b for b in rng.sample(range(64), n))
     prints = sorted({flipped(rng.randrange(1, 9)) for _ in range(300)})
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    rows = spark.createDataFrame([(1, p) for p in signed], "bucket long, item long")
-    got = groups(blocking.candidates(spark, rows, 20, simhash._splits(4)).collect())
-    met = {tuple(sorted(p)) for items in got.values() for p in combinations(items, 2)}
+    met = cut_pairs(spark, [(1, p) for p in signed], 20, simhash._by_parts(4))
     near = {tuple(sorted((signed[a], signed[b]))) for a, b in combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4}
     assert near <= met and len(met) < len(prints) * (len(prints) - 1) / 2
 
 
+@pytest.mark.parametrize("similar", [0.5, 0.8, 1.0])
+def test_a_cut_by_rare_shingles_loses_no_link(spark, similar):
+    rng = random.Random(5)
+    sets = {}
+    for i in range(200):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.6 else {rng.randrange(500) for _ in range(rng.randrange(1, 30))} | set(range(1000, 1000 + rng.randrange(3)))
+        own = {x for x in base if rng.random() > 0.1} | {rng.randrange(500) for _ in range(rng.randrange(3))}
+        sets[i] = own or {1}
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "item long, shingles array<long>")
+    met = cut_pairs(spark, [(1, i) for i in sets] + [(2, i) for i in range(4)], 20, blocking.by_rare_shingles(spark, frame, similar))
+    near = {p for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) >= similar * len(sets[p[0]] | sets[p[1]]) - 1e-9}
+    assert near <= met and len(met) < 0.9 * 200 * 199 / 2 and len(near) > 20
+
+
 def test_items_leave_as_they_come():
     read = []
 
