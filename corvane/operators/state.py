@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.errors import InvalidDocument
-from corvane.functions.text import backoff_seconds, valid_json
+from corvane.functions.text import backoff_seconds, chunk_strategy, trimmed, valid_json
+from corvane.settings import MAX_CHUNK_SIZE, MAX_DOCUMENT_BYTES, ChunkSettings
 
 OPEN, TERMINAL = ("queued", "processing"), ("completed", "failed")
 LEASE_SECONDS, BATCH = 30, 10
@@ -83,6 +84,25 @@ def frames_joined(frames: DataFrame, most: int) -> DataFrame:
     return rows.select("upload_id", "document_id", F.when(error.isNull(), content).alias("raw_content"), error.alias("error"))
 
 
+def frames_of(uploads: DataFrame, size: int) -> DataFrame:
+    """Frames of at most ``size`` bytes out of ``upload_id, document_id, raw_content``, as ``frames_joined`` takes them; empty content is one empty frame."""
+    n = F.greatest(F.ceil(F.octet_length("raw_content") / size), F.lit(1)).cast("int")
+    rows = uploads.select("upload_id", "document_id", "raw_content", F.explode(F.sequence(F.lit(1), n)).alias("seq"))
+    return rows.select("upload_id", "seq", F.when(F.col("seq") == 1, F.col("document_id")).alias("document_id"), F.expr(f"substring(raw_content, (seq - 1) * {size} + 1, {size})").alias("data"))
+
+
+def validated_uploads(uploads: DataFrame, most: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """``uploads`` (``filename, n_bytes, chunk_strategy, chunk_size, chunk_overlap``) with the strategy that holds and ``error``, the first rule broken or null.
+
+    JSON files are cut by size whatever was asked for.
+    """
+    name, size, overlap = F.col("filename"), F.col("chunk_size"), F.col("chunk_overlap")
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    error = F.when(bad(F.length(trimmed(name)) > 0), "filename").when(bad(F.col("n_bytes") > 0), "empty").when(bad(F.col("n_bytes") <= most), "too_large")
+    error = error.when(bad(F.col("chunk_strategy").isin(*ChunkSettings.STRATEGIES)), "chunk_strategy").when(bad(size.between(1, MAX_CHUNK_SIZE)), "chunk_size").when(bad((overlap >= 0) & (overlap < size)), "chunk_overlap")
+    return uploads.withColumns({"chunk_strategy": chunk_strategy(name, F.col("chunk_strategy")), "error": error})
+
+
 def event_stream(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), terminal: Column | None = None) -> DataFrame:
     """Events of each trace numbered from 1; what follows the first terminal event is left out."""
     w = Window.partitionBy("trace_id").orderBy(*order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -187,6 +188,19 @@ class CallingExtractor:
         return rows.where("_x is not null").select("document_id", "chunk_id", "chunk_index", "_x.entities", "_x.relations")
 
 
+class Preflight:
+    """A check that has to pass once before a provider is used. Callers that come together wait for one check; a failure is not remembered."""
+
+    def __init__(self, check: Callable[[], None]):
+        self._check, self._lock, self._passed = check, threading.Lock(), False
+
+    def ready(self) -> None:
+        with self._lock:
+            if not self._passed:
+                self._check()
+                self._passed = True
+
+
 class HashEmbedder:
     """Signed hashing of words into a vector of length one; of no words, the first unit vector."""
 

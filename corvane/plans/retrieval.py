@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.analyze import plain_terms
+from corvane.functions.analyze import plain_terms, unicode_terms
 from corvane.operators import chunking, dense, fusion, lexical
 from corvane.plans.tables import BLANK_SQL, CHUNKS_SQL, DENSE_SQL, FILENAME_SQL, OVERLAP, SIZE, TYPE_SQL, asked, asked_vectors, chunks, filename, table, vectors
 from corvane.settings import Bm25Settings, Filters, RetrievalSettings
@@ -39,6 +39,22 @@ def chunk_structure_aware(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", "char_start", "char_end", F.md5("content").alias("content_md5"), "section_path")
 
 
+def chunk_headings_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with headings of both styles and a skipped level: a region as title, its nations as sections with a deeper part each."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    part = F.concat(F.lit("## "), "n_name", F.lit("\n\nIn "), "r_name", F.lit(".\n\n#### Deep `"), F.col("n_nationkey"), F.lit("`\nend\n"))
+    texts = nation.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("t")))), lambda x: x["t"]), "").alias("parts"))
+    docs = texts.select("r_regionkey", F.concat("r_name", F.lit("\n===\nintro\n\n"), "parts").alias("text"))
+    out = chunking.markdown_chunks(docs, "text", 400, 0, ["r_regionkey"])
+    return out.select("r_regionkey", "chunk_index", "content", "section_path")
+
+
+def unicode_terms_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Compatibility forms, full case folding, and the parts of identifiers."""
+    text = F.concat(F.lit("ＦＯＯ Straße OpenRouter"), "p_partkey", F.lit("_"), "p_brand")
+    return table(spark, d, "part").select("p_partkey", F.array_join(unicode_terms(text), " ").alias("terms"))
+
+
 def chunk_edges_next_same_section(spark: SparkSession, d: str) -> DataFrame:
     rows = chunks(spark, d)
     section = F.when(F.col("chunk_index") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("/s"), (F.col("chunk_index") % 2).cast("string")))
@@ -160,7 +176,7 @@ def final_limit_snapshot_hash(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_fixed_size, chunk_paragraph_inclusive, chunk_structure_aware, chunk_edges_next_same_section, document_chunks, content_type_strategy, token_estimate_fallback,
+        chunk_fixed_size, chunk_paragraph_inclusive, chunk_structure_aware, chunk_headings_sections, unicode_terms_identifiers, chunk_edges_next_same_section, document_chunks, content_type_strategy, token_estimate_fallback,
         term_frequency, document_frequency, avg_field_length, bm25_topk, bm25_topk_filtered_global_idf, bm25_fielded_boosts, dense_topk, dense_topk_filtered, dense_topk_case_sensitive,
         rrf_hybrid, rrf_zero_weight_source, rrf_dedup_first, cross_variant_rrf, fusion_provenance, final_limit_snapshot_hash,
     )
@@ -264,6 +280,16 @@ SELECT doc_id, CAST(p - 1 AS INTEGER) AS paragraph, CAST(n AS INTEGER) AS n_char
     "chunk_structure_aware": f"""WITH {_cut(SIZE, OVERLAP)}
 SELECT doc_id, chunk_index, CAST(char_start AS INTEGER) AS char_start, CAST(char_start + length(content) AS INTEGER) AS char_end, md5(content) AS content_md5,
        CAST(NULL AS VARCHAR) AS section_path FROM numbered""",
+    "chunk_headings_sections": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+x AS (
+  SELECT DISTINCT r_regionkey, 0 AS chunk_index, r_name || chr(10) || '===' || chr(10) AS content, '/' || r_name AS section_path FROM n
+  UNION ALL SELECT DISTINCT r_regionkey, 1, 'intro' || chr(10) || chr(10), '/' || r_name FROM n
+  UNION ALL SELECT r_regionkey, 4 * k - 2, '## ' || n_name || chr(10), '/' || r_name || '/' || n_name FROM n
+  UNION ALL SELECT r_regionkey, 4 * k - 1, chr(10) || 'In ' || r_name || '.' || chr(10) || chr(10), '/' || r_name || '/' || n_name FROM n
+  UNION ALL SELECT r_regionkey, 4 * k, '#### Deep `' || n_nationkey || '`' || chr(10), '/' || r_name || '/' || n_name || '/Deep ' || n_nationkey FROM n
+  UNION ALL SELECT r_regionkey, 4 * k + 1, 'end' || chr(10), '/' || r_name || '/' || n_name || '/Deep ' || n_nationkey FROM n)
+SELECT r_regionkey, CAST(chunk_index AS INTEGER) AS chunk_index, content, section_path FROM x""",
+    "unicode_terms_identifiers": """SELECT p_partkey, 'foo strasse openrouter' || p_partkey || '_brand open router' || p_partkey || ' brand ' || substring(p_brand, 7) AS terms FROM part""",
     "chunk_edges_next_same_section": f"""WITH {CHUNKS_SQL},
 sections AS (SELECT *, CASE WHEN chunk_index % 3 = 0 THEN NULL ELSE '/s' || (chunk_index % 2) END AS section FROM chunks),
 seen AS (

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import chunking, state
 from corvane.plans.tables import CHUNKS_SQL, chunks, table
+from corvane.plans import workflow
+from corvane.sources.catalog import Store
+from corvane.sources.schemas import SCHEMAS
+from corvane.sources.shared import shared_dir, spread
 from corvane.streaming import jobs
 
 NOW = "2024-01-10 00:00:00"
@@ -80,6 +88,23 @@ def upload_frames(spark: SparkSession, d: str) -> DataFrame:
     return out.select("upload_id", "document_id", F.md5("raw_content").alias("content_md5"), "error")
 
 
+def upload_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into frames of 1,000 bytes and joined again."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("upload_id"), F.concat(F.lit("d"), "doc_id").alias("document_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw_content"))
+    out = state.frames_joined(state.frames_of(spread(docs), 1000), 10_000_000)
+    return out.select("upload_id", "document_id", F.md5("raw_content").alias("content_md5"), "error")
+
+
+def upload_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads made of orders, some of which break a rule."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 13 == 0, " \t").when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".JSON"))).otherwise(F.concat(k.cast("string"), F.lit(".md"))).alias("filename"), ((k % 17) * 1_000_000).alias("n_bytes"),
+        F.when(k % 11 == 0, "guess").when(k % 2 == 0, "fixed_size").otherwise("structure_aware").alias("chunk_strategy"), (k % 900 - 20).alias("chunk_size"), (k % 70 - 3).alias("chunk_overlap"),
+    )
+    return state.validated_uploads(rows).select("o_orderkey", "chunk_strategy", "error")
+
+
 def traced(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("trace_id", F.col("user_id"))
 
@@ -147,6 +172,29 @@ def count_consistency(spark: SparkSession, d: str) -> DataFrame:
     return state.disagreeing([("gateway", own), ("metadata", off), ("store", counted(nodes(spark, d)))])
 
 
+def store_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table of a store after nations were staged twice and ingested, with an upload that failed before it took effect."""
+    store = Store.initialise(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=2)
+    docs = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("document_id"), F.concat("n_name", F.lit(".txt")).alias("filename"), F.concat("n_name", F.lit(" "), "n_name").cast("binary").alias("raw_content"),
+        F.lit("fixed_size").alias("chunk_strategy"), F.lit(10).alias("chunk_size"), F.lit(0).alias("chunk_overlap"),
+    )
+    for _ in range(2):
+        store.stage(docs)
+    top = store.table("staged_documents").agg(F.max("generation").alias("n")).select(F.lit("generation").alias("name"), F.col("n").cast("long").alias("n"))
+    top = spark.createDataFrame(top.collect(), top.schema)
+    workflow.replay(store)
+
+    def fail(name: str) -> None:
+        raise OSError(name)
+
+    store.before_write = fail
+    with contextlib.suppress(OSError):
+        store.stage(docs)
+    counts = [store.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in SCHEMAS]
+    return reduce(DataFrame.union, counts, top)
+
+
 def header_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.safe_header(F.col("text"), 64).alias("header"))
 
@@ -202,7 +250,7 @@ QUERIES = {
     for f in (
         status_state_machine, status_merge_replay, status_lookup, staged_latest_generation, staged_successor_generation, staged_row_validation, replace_document, upload_frames,
         event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
-        store_inspection_facts, count_consistency, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, stream_status_available_now, stream_event_windows,
+        store_inspection_facts, upload_round_trip, upload_validation, count_consistency, store_ingest_counts, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, stream_status_available_now, stream_event_windows,
     )
 }
 
@@ -241,6 +289,11 @@ f AS (SELECT k, seq, CASE WHEN seq = 1 OR (k % 50 = 2 AND seq = 3) THEN CASE WHE
 u AS (SELECT k AS upload_id, first(document_id ORDER BY seq) AS document_id, count(document_id) AS named, count(DISTINCT document_id) AS ids, sum(strlen(data)) AS n, string_agg(data, '' ORDER BY seq) AS content FROM f GROUP BY k)
 SELECT upload_id, document_id, CASE WHEN error IS NULL THEN md5(content) END AS content_md5, error FROM (
   SELECT *, CASE WHEN document_id IS NULL THEN 'metadata_missing' WHEN ids > 1 THEN 'document_changed' WHEN named > 1 THEN 'metadata_repeated' WHEN n > 40 THEN 'too_large' WHEN n = 0 THEN 'empty' END AS error FROM u)""",
+    "upload_round_trip": """SELECT doc_id AS upload_id, 'd' || doc_id AS document_id, CASE WHEN coalesce(text, '') <> '' THEN md5(text) END AS content_md5, CASE WHEN coalesce(text, '') = '' THEN 'empty' END AS error FROM documents""",
+    "upload_validation": """WITH x AS (SELECT o_orderkey, o_orderkey % 13 = 0 AS blank, o_orderkey % 3 = 0 AND NOT blank AS is_json, o_orderkey % 17 * 1000000 AS n, CASE WHEN o_orderkey % 11 = 0 THEN 'guess' WHEN o_orderkey % 2 = 0 THEN 'fixed_size' ELSE 'structure_aware' END AS s,
+  o_orderkey % 900 - 20 AS size, o_orderkey % 70 - 3 AS overlap FROM orders)
+SELECT o_orderkey, CASE WHEN is_json OR s = 'fixed_size' THEN 'fixed_size' ELSE 'structure_aware' END AS chunk_strategy,
+       CASE WHEN blank THEN 'filename' WHEN n = 0 THEN 'empty' WHEN n > 10485760 THEN 'too_large' WHEN s = 'guess' THEN 'chunk_strategy' WHEN size < 1 THEN 'chunk_size' WHEN overlap < 0 OR overlap >= size THEN 'chunk_overlap' END AS error FROM x""",
     "event_ordinals_terminal_once": """WITH x AS (SELECT user_id AS trace_id, event_id, event_type, row_number() OVER w AS ordinal,
   coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -263,6 +316,9 @@ f AS (SELECT n.document_id, n.c AS chunk_count, coalesce(e.c, 0) AS edge_count,
 SELECT document_id, chunk_count, edge_count, contiguous, finite, stale_ends, contiguous AND finite AND stale_ends = 0 AND one AS sound FROM f""",
     "count_consistency": f"""WITH {NODES_SQL}, a AS (SELECT document_id, count(*) AS gateway FROM chunks GROUP BY 1), b AS (SELECT document_id, count(*) AS store FROM nodes GROUP BY 1)
 SELECT document_id, gateway, gateway + CASE WHEN document_id LIKE '%7' THEN 1 ELSE 0 END AS metadata, store FROM a LEFT JOIN b USING (document_id) WHERE document_id LIKE '%7' OR store IS DISTINCT FROM gateway""",
+    "store_ingest_counts": """WITH n AS (SELECT ceil((2 * length(n_name) + 1) / 10.0) AS k FROM nation)
+SELECT 'generation' AS name, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'documents', count(*) FROM n UNION ALL SELECT 'nodes', CAST(sum(k) AS BIGINT) FROM n UNION ALL SELECT 'edges', CAST(sum(k - 1) AS BIGINT) FROM n
+UNION ALL SELECT unnest(['entities', 'entity_edges', 'staged_documents', 'communities']), 0""",
     "header_sanitize": "SELECT doc_id, substring(regexp_replace(text, '[^!-~]', '', 'g'), 1, 64) AS header FROM documents",
     "lossy_decode": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "legacy_migration": "SELECT o_orderkey AS document_id, o_orderstatus AS filename, CAST(1 AS BIGINT) AS generation FROM orders",

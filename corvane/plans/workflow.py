@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -326,6 +327,18 @@ def replay(store, **kwargs) -> DataFrame | None:
     return None if staged.isEmpty() else ingest(store, staged, **kwargs)
 
 
+@contextmanager
+def cancelled_when_left(spark):
+    """Jobs that are started within, also by threads that outlive it, are cancelled when it is left, as when nobody waits for a stream any more."""
+    tag = f"corvane-{uuid.uuid4().hex}"
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield tag
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def with_time_limit(spark, seconds: float, run):
     """``run()`` with its Spark jobs cancelled once the time is over, which is an error of its own."""
     tag, over = f"corvane-{uuid.uuid4().hex}", threading.Event()

@@ -34,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: what is used several times is computed once, and survives lost executors."""
+    """``df`` written once and read back: what is used several times is computed once, and survives lost executors. Its folder is ``_stored_at``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -44,4 +44,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     own.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out

@@ -12,6 +12,8 @@ NAMES = (
     "chunk_structure_aware", "chunk_edges_next_same_section", "bm25_topk", "bm25_topk_filtered_global_idf", "dense_topk_filtered", "cross_variant_rrf", "fusion_provenance",
     "graph_neighborhood_2hop", "graph_directed_confirm", "graph_facts_scored", "entity_resolution_fold", "relation_unmapped_anti", "evidence_blocks_provenance", "greedy_pack",
     "citation_repair", "grounding_check", "status_state_machine", "replace_document", "checkpoint_ordering", "store_inspection_facts", "stream_status_available_now",
+    "prompt_assembled", "chunk_headings_sections", "unicode_terms_identifiers", "store_ingest_counts", "workflow_answers", "workflow_citations", "generator_reply_rules", "graph_limits_over", "dense_topk_case_sensitive",
+    "upload_frames", "reconcile_create", "extractable_chunks", "html_escape",
 )
 
 

@@ -4,6 +4,7 @@ import json
 import threading
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from corvane.errors import QueueFull
@@ -241,3 +242,41 @@ def test_ingestion_that_fails(spark, tmp_path):
     assert workflow.replay(store, embedder=EMBEDDER).isEmpty() and store.count("staged_documents") == 1
     broken = set()
     assert workflow.replay(store, embedder=EMBEDDER).first().status == "completed" and store.count("staged_documents") == 0
+
+
+def test_preflight_passes_once():
+    calls = []
+
+    def check():
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError
+
+    p = plugins.Preflight(check)
+    with pytest.raises(OSError):
+        p.ready()
+    threads = [threading.Thread(target=p.ready) for _ in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(calls) == 2
+
+
+def test_jobs_end_when_nobody_waits(spark):
+    slow = F.udf(lambda x: __import__("time").sleep(60) or x, "long")
+    ended = []
+
+    def read():
+        try:
+            spark.range(2).select(slow("id")).collect()
+        except Exception as error:
+            ended.append(error)
+
+    with workflow.cancelled_when_left(spark):
+        t = InheritableThread(target=read)
+        t.start()
+        t.join(3)
+        assert t.is_alive()
+    t.join(30)
+    assert ended and not t.is_alive()
