@@ -134,16 +134,17 @@ def candidates(spark: SparkSession, rows: DataFrame, block: int = BLOCK) -> Data
     return materialise(spark, numbered, "buckets")
 
 
-def paired(spark: SparkSession, found: DataFrame, block: int = BLOCK, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def paired(spark: SparkSession, found: DataFrame, block: int = BLOCK, cut: Callable[[DataFrame], DataFrame] | None = None, cut_from: int = 1) -> DataFrame:
     """The rows of ``candidates`` once for every pair of parts that an item is in: ``bucket, item, i, j``.
 
-    A task of ``linked`` takes one bucket, i, j, which has no more than about two parts. ``cut`` makes buckets of several parts into smaller ones
-    (``bucket, item``), of which any two items that link share one; what is then still large is paired by parts.
+    A task of ``linked`` takes one bucket, i, j, which has no more than about two parts. ``cut`` makes buckets of more than ``cut_from`` parts into smaller ones
+    (``bucket, item``), of which any two items that link share one; what is then still large is paired by parts. Pairing copies an item once
+    for each other part, and cutting once for each of its new buckets, so ``cut_from`` is how many those are, about.
     """
     large = found.where("part > 0").groupBy("bucket").agg((F.max("part") + 1).alias("parts"))
     if cut is not None:
-        large = materialise(spark, large, "large")
-        small = found.join(large, "bucket", "left_anti").select("bucket", "item", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        large = materialise(spark, large.where(F.col("parts") > cut_from), "large")
+        small = paired(spark, found.join(large, "bucket", "left_anti"), block)
         if large.isEmpty():
             return small
         return small.unionByName(paired(spark, candidates(spark, cut(found.join(large.select("bucket"), "bucket").select("bucket", "item")), block), block))

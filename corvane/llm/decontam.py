@@ -34,8 +34,8 @@ WINDOW, AGREE = 20, 0.8
 LEAST = 5
 #: Characters of benchmark text in one pass; each word has up to 15 seeds.
 PASS_CHARS = 1_600_000
-#: Words compared at a time, and bytes of text that are searched together.
-SLAB, SLAB_BYTES = 1 << 20, 1 << 18
+#: Words compared at a time.
+SLAB = 1 << 20
 
 
 def allowed(size: int, agree: float) -> int:
@@ -272,7 +272,7 @@ def hits(text: Column, part, item_type: T.DataType, window: int = WINDOW, agree:
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([found for _, group in slabs(texts, SLAB_BYTES) for found in find_all(group, part.value, window, agree)], arrow)
+        return pa.array([found for _, group in slabs(texts) for found in find_all(group, part.value, window, agree)], arrow)
 
     return found(text.cast("binary"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corvane.llm.storage import materialise
-from corvane.llm.words import joined
+from corvane.llm.words import words_of
 
 ORDER, PRIOR, ADDED = 3, 4.0, 0.1
 FOLDS = 10
@@ -71,7 +71,7 @@ def tokenise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Lower-cases A-Z, splits at ASCII blanks and adds the end token to each text.
     """
-    found, text, _, _ = joined(texts)
+    found, text = words_of(texts)
     sizes = np.bincount(text, minlength=len(texts)) + 1
     ends = np.cumsum(sizes) - 1
     all_ = np.full(found.size + len(texts), END)

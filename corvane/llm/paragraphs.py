@@ -31,6 +31,8 @@ AROUND = 7
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^2)^4 = 0.983, one at 0.9 with 0.999.
 BANDS, ROWS = 4, 2
+#: Parts from which a bucket is cut: a paragraph has about as many rare shingles.
+CUT_FROM = 4
 #: Words of a run of repeated paragraphs from which it counts.
 RUN = 16
 
@@ -249,18 +251,21 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     wanted = spread.join(items, "content").groupBy("first.id", "first.text_hash").agg(F.collect_set("content").alias("wanted"))
     looked_up = texts.alias("l").join(wanted.alias("r"), same("l", "r", *doc)).select("l.raw", "r.wanted")
     sets = materialise(spark, looked_up.mapInArrow(_shingles_of, "item long, shingles array<long>").dropDuplicates(["item"]), "shingles")
-    pairs = paired(spark, found, block, by_rare_shingles(spark, sets, similar))
+    pairs = paired(spark, found, block, by_rare_shingles(spark, sets, similar), CUT_FROM)
     links = linked(pairs.join(sets, "item").select("bucket", "i", "j", "item", "shingles"), _near(similar))
     classes = materialise(spark, connected_components(spark, links), "classes")
-    spread = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
+    discard(spark, found, sets)
+    classed = spread.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("class_id", F.coalesce("component", "content"))
     # a line and a paragraph in it can be of one class: two places are where one begins after the other ended
-    wide = spread.groupBy("class_id").agg(F.min("first").alias("at"), F.max("last").alias("last"), F.min("ended").alias("ended"))
+    wide = classed.groupBy("class_id").agg(F.min("first").alias("at"), F.max("last").alias("last"), F.min("ended").alias("ended"))
     apart = ~(F.struct("last.id", "last.text_hash").eqNullSafe(F.struct("ended.id", "ended.text_hash")))
     wide = wide.where(apart | (F.col("last.start_word") >= F.col("ended.end"))).select("class_id", "at")
-    known = materialise(spark, spread.select("content", "class_id").join(wide, "class_id"), "repeated")
+    known = materialise(spark, classed.select("content", "class_id").join(wide, "class_id"), "repeated")
+    discard(spark, spread, classes)
     hits = near.join(known, "content").dropDuplicates([*doc, "start_word", "n_words"])
     stays = F.struct(*doc).eqNullSafe(F.struct("at.id", "at.text_hash")) & (F.col("start_word") < F.col("at.end"))
     hits = materialise(spark, hits.withColumn("removed", ~stays).withColumn("first", F.col("at.id")).drop("at"), "hits")
+    discard(spark, near, known)
     runs = hits.where("no is not null").withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*doc).orderBy("no")))
     runs = materialise(spark, runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*doc, "run"))), "runs")
     counts = (F.col("run_words") >= run) | (F.col("whole") & (F.col("n_words") >= line_run))
@@ -270,7 +275,8 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     spans = alike.groupBy(*doc).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
     looked_up = texts.alias("l").join(spans.alias("r"), same("l", "r", *doc)).select("l.id", "l.text_hash", "l.raw", "r.spans")
     around = materialise(spark, looked_up.mapInArrow(_around(run), "id long, text_hash long, start_word long, at long, window long"), "around")
-    again = around.groupBy("window").agg(F.min(at("at")).alias("a"), F.max(at("at")).alias("b")).where("a <> b").select("window")
+    # stored, so that both sides of the join are plain exchanges, whose large partitions can be split
+    again = materialise(spark, around.groupBy("window").agg(F.min(at("at")).alias("a"), F.max(at("at")).alias("b")).where("a <> b").select("window"), "again")
     longer = around.join(again, "window").select(*doc, "start_word").distinct()
     columns = ["id", "no", "start_word", "n_words", "class_id", "first", "removed"]
     extended = short.alias("l").join(longer.alias("r"), same("l", "r", *doc, "start_word"), "left_semi").select(*columns)

@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 from corvane.llm.blocking import BLOCK, candidates, linked, paired, same
 from corvane.llm.components import connected_components
 from corvane.llm.similar import SIMILAR, similar_groups
-from corvane.llm.storage import materialise
+from corvane.llm.storage import discard, materialise
 
 SEED = 42
 #: Shingles hashed at a time, which bounds the memory of a very long text.
@@ -102,7 +102,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
     tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius))])
     found = candidates(spark, first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block)
-    groups = materialise(spark, connected_components(spark, linked(paired(spark, found, block, _by_parts(radius)), _near(radius))), "groups")
+    groups = materialise(spark, connected_components(spark, linked(paired(spark, found, block, _by_parts(radius), radius + 1), _near(radius))), "groups")
+    discard(spark, found)
     smallest = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
     ids = materialise(
@@ -110,6 +111,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         first.join(named.withColumn("grouped", F.lit(True)), "fp", "left").select("fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")),
         "ids",
     )
+    discard(spark, first, groups)
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 

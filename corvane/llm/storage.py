@@ -7,53 +7,18 @@ shuffle files of a written table go once it stands.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Makes Spark remove a query's shuffle files at its end; it is read when a frame is made.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where that is unset and the session runs in one JVM (tests), a temporary
-    folder is used. On a cluster an unset folder is an error, as a
-    machine-local path would not be visible to the other machines.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="corvane-")
-    return _local[app]
+from corvane.sources.shared import stored
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a frame that reads it."""
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        own = df.select("*")
-    finally:
-        spark.conf.set(CLEANUP, before)
-    own.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored._stored_at = path
-    return stored
+    return stored(df, name)
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for these frames."""
+    """Delete what ``materialise`` wrote for these frames; nothing that is yet to run may read them."""
     for df in frames:
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

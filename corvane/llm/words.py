@@ -38,7 +38,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (_BASE, _INVERSE))
 
 
-_known = _powers(1 << 21)
+_known = _powers(1 << 19)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,14 +65,20 @@ def joined(texts: list[bytes], values: np.ndarray = BLANKS) -> tuple[np.ndarray,
     return hashes, np.searchsorted(first, start, "right") - 1, start, text
 
 
-def slabs(texts: pa.Array, size: int = 1 << 20):
-    """Places and values of some texts at a time, of about ``size`` bytes in all or one text."""
+def slabs(texts: pa.Array | list[bytes], size: int = 1 << 18):
+    """The first place and the values of some texts at a time, of about ``size`` bytes in all or one text."""
     group, total = [], 0
     for k, t in enumerate(texts):
-        group.append(t.as_py() or b"")
+        group.append(t if isinstance(t, bytes) else t.as_py() or b"")
         total += len(group[-1])
         if total >= size:
             yield k + 1 - len(group), group
             group, total = [], 0
     if group:
         yield len(texts) - len(group), group
+
+
+def words_of(texts: list[bytes], values: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """As ``joined``, without the places, for texts of any size in all."""
+    parts = [(h, text + begin) for begin, group in slabs(texts) for h, text, _, _ in (joined(group, values),)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
