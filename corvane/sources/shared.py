@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if it has fewer partitions than there are; a large table is left as it is read."""
+    """A table over all cores, if it has fewer partitions than there are; a large one is left as it is read. Not for frames with a shuffle, which would run here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
