@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.markdown import headings
 from corvane.functions.text import estimate_tokens
 
 #: Windows of a piece of a text, and of a piece of that, from which windows are cut, so that a long text isn't walked anew for each.
@@ -44,52 +44,6 @@ def paragraphs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s).*?\n\n|.+"), F.lit(0))
 
 
-class Heading(NamedTuple):
-    start: int
-    end: int
-    level: int
-    title: str
-
-
-_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
-_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_NOT_TEXT = re.compile(r" {0,3}(?:>|[-+*][ \t]|\d{1,9}[.)][ \t]|#{1,6}(?:[ \t]|$)|(?:[-*_][ \t]*){3,}$)|[ \t]{4}|[ \t]*$")
-
-
-def _plain_title(raw: str) -> str:
-    raw = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", raw.strip())
-    raw = re.sub(r"(`+)\s?(.+?)\s?\1", r"\2", raw)
-    raw = re.sub(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1", r"\2", raw)
-    raw = re.sub(r"(?<![\w*])[*_](?=\S)(.+?)(?<=\S)[*_](?![\w*])", r"\1", raw)
-    return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", raw).strip()
-
-
-def headings(text: str) -> list[Heading]:
-    """Headings in the two styles of Markdown, outside fenced code; a heading's end takes in its line break."""
-    found, at, fence, paragraph = [], 0, "", None
-    for line in text.splitlines(keepends=True):
-        bare, end = line.rstrip("\r\n"), at + len(line)
-        if fence:
-            if re.fullmatch(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}[ \t]*", bare):
-                fence = ""
-            paragraph = None
-        elif m := _FENCE.match(bare):
-            fence, paragraph = m[1], None
-        elif m := _ATX.fullmatch(bare):
-            found.append(Heading(at + len(bare) - len(bare.lstrip(" ")), end, len(m[1]), _plain_title(m[2] or "")))
-            paragraph = None
-        elif paragraph is not None and (m := _SETEXT.fullmatch(bare)):
-            found.append(Heading(paragraph, end, 1 if m[1][0] == "=" else 2, _plain_title(" ".join(text[paragraph:at].split()))))
-            paragraph = None
-        elif _NOT_TEXT.match(bare) and (paragraph is None or not bare.strip() or not bare.startswith(("    ", "\t"))):
-            paragraph = None
-        elif paragraph is None:
-            paragraph = at + len(bare) - len(bare.lstrip(" "))
-        at = end
-    return found
-
-
 def section_path(names: list[str]) -> str | None:
     named = [n for n in names if n.strip()]
     return "/" + "/".join(named) if named else None

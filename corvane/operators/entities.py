@@ -89,8 +89,13 @@ def unmapped_relations(relations: DataFrame, extracted: DataFrame) -> DataFrame:
     return rows.join(both.select("chunk_id", "pos"), ["chunk_id", "pos"], "left_anti").select(relations.columns)
 
 
+def fewer(prior: DataFrame, written: DataFrame) -> DataFrame:
+    """``document_id, prior, written`` of documents whose count (``document_id, n``) is less than before; one without a row has none."""
+    rows = prior.withColumnRenamed("n", "prior").join(written.withColumnRenamed("n", "written"), "document_id", "left")
+    return rows.withColumn("written", F.coalesce("written", F.lit(0))).where("written < prior")
+
+
 def regressed(prior: DataFrame, written: DataFrame) -> DataFrame:
     """``document_id, prior, written`` of documents that have fewer edges than before."""
-    count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
-    rows = count(prior, "prior").join(count(written, "written"), "document_id", "left")
-    return rows.withColumn("written", F.coalesce("written", F.lit(0))).where("written < prior")
+    count = lambda df: df.groupBy("document_id").agg(F.count("*").alias("n"))
+    return fewer(count(prior), count(written))

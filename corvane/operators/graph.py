@@ -7,6 +7,7 @@ the union of two equi-joins, never a join on OR.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -17,8 +18,10 @@ from corvane.functions.text import escape_markup, fold_name
 from corvane.operators.dense import dense_score, distances
 from corvane.operators.lexical import DECIMALS
 from corvane.settings import MAX_EDGES, MAX_FRONTIER, MAX_RELATION_BYTES, MAX_SEED_NAME_BYTES, bounded, hop_limit
-from corvane.sources.shared import stored
+from corvane.sources.shared import shared_dir, stored
 
+# Facts in words.
+FACT_FORMS = {"arrow": "%s —%s→ %s", "dashes": "%s -- %s -- %s"}
 EDGE = ("edge_id", "source_node_id", "target_node_id", "relation_type", "weight")
 
 
@@ -29,8 +32,35 @@ class Neighbourhood(NamedTuple):
     edges: DataFrame
 
 
-def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+class Adjacency(NamedTuple):
+    """Edges, and ``by_end``: each once for each of its ends as ``entity_id``, in files by a hash of it, so that a hop moves its frontier alone."""
+
+    edges: DataFrame
+    by_end: DataFrame
+
+
+#: Rows of a bucket of an adjacency; there are as many buckets as shuffle partitions at least, as Spark else moves both sides.
+ROWS_A_BUCKET, MOST_BUCKETS = 4_000_000, 1 << 15
+
+
+def adjacency(edges: DataFrame, columns: tuple[str, ...] = EDGE) -> Adjacency:
+    """Store edges by both of their ends, sorted within buckets. An edge from a vertex to itself stands once."""
+    spark = edges.sparkSession
+    kept = stored(edges, "edges")
+    ends = F.explode(F.array_distinct(F.array("source_node_id", "target_node_id")))
+    rows = kept.select(ends.alias("entity_id"), *columns)
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * kept.count() // ROWS_A_BUCKET))
+    name = f"corvane_adjacency_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane/{name}"
+    # one file a bucket
+    rows.repartition(buckets, "entity_id").write.bucketBy(buckets, "entity_id").sortBy("entity_id").option("path", path).saveAsTable(name)
+    return Adjacency(kept, spark.table(name))
+
+
+def touching(edges: DataFrame | Adjacency, ids: DataFrame) -> DataFrame:
     """``query_id`` and edges of which an end is among ``ids`` (``query_id, entity_id``), each once."""
+    if isinstance(edges, Adjacency):
+        return edges.by_end.join(ids, "entity_id").select("query_id", *EDGE).distinct()
     by = [edges.join(ids.withColumnRenamed("entity_id", end), end).select("query_id", *EDGE) for end in ("source_node_id", "target_node_id")]
     return by[0].union(by[1]).distinct()
 
@@ -45,7 +75,7 @@ def _over(rows: DataFrame, most: int, what: str) -> DataFrame:
     return counts.select("query_id", F.format_string(f"%d {what}, more than {most}", "count").alias("message"))
 
 
-def within_limits(edges: DataFrame, seeds: DataFrame, hops: int, max_edges: int = MAX_EDGES, max_frontier: int = MAX_FRONTIER) -> tuple[DataFrame, DataFrame]:
+def within_limits(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, max_edges: int = MAX_EDGES, max_frontier: int = MAX_FRONTIER) -> tuple[DataFrame, DataFrame]:
     """The seeds whose traversal stays within the limits, and ``query_id, message`` of the others, which are left out from the hop on that is too large."""
     visited = frontier = seeds.select("query_id", "entity_id").distinct()
     found, over = None, None
@@ -66,7 +96,7 @@ def _check(rows: DataFrame, most: int, what: str) -> None:
         raise GraphLimitExceeded(f"query {worst['query_id']}: {worst['message']}")
 
 
-def neighbourhood(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, max_edges: int | None = MAX_EDGES, max_frontier: int | None = MAX_FRONTIER) -> Neighbourhood:
+def neighbourhood(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, max_edges: int | None = MAX_EDGES, max_frontier: int | None = MAX_FRONTIER) -> Neighbourhood:
     """What is within ``hops`` edges of each seed, in either direction.
 
     Edges are those that touch a vertex reached before the last hop. More distinct edges or new vertices of a hop
@@ -87,35 +117,39 @@ def neighbourhood(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops:
     return Neighbourhood(vertices.join(visited, "entity_id").select("query_id", *vertices.columns), found)
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"source_node_id": "_s", "target_node_id": "source_node_id"}).withColumnRenamed("_s", "target_node_id")
+def _along(edges: DataFrame | Adjacency, backward: bool) -> DataFrame:
+    """``entity_id, to``: the steps along the edges or against them."""
+    one, other = ("target_node_id", "source_node_id") if backward else ("source_node_id", "target_node_id")
+    if isinstance(edges, Adjacency):
+        return edges.by_end.where(F.col("entity_id") == F.col(one)).select("entity_id", F.col(other).alias("to"))
+    return edges.select(F.col(one).alias("entity_id"), F.col(other).alias("to"))
 
 
-def walk(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def walk(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, backward: bool = False) -> DataFrame:
     """``query_id, entity_id, hop`` of every directed path of 1 to ``hops`` edges whose vertices all exist; a row each."""
+    steps = _along(edges, backward)
     known = vertices.select("entity_id")
     at, out = seeds.select("query_id", "entity_id").join(known, "entity_id", "left_semi"), None
     for hop in range(1, hops + 1):
-        step = at.join(edges.select(F.col("source_node_id").alias("entity_id"), "target_node_id"), "entity_id")
-        at = step.select("query_id", F.col("target_node_id").alias("entity_id")).join(known, "entity_id", "left_semi")
+        at = steps.join(at, "entity_id").select("query_id", F.col("to").alias("entity_id")).join(known, "entity_id", "left_semi")
         rows = at.withColumn("hop", F.lit(hop))
         out = rows if out is None else out.union(rows)
     return out
 
 
-def fixed_hop(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, relation: str | None = None) -> DataFrame:
+def fixed_hop(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, relation: str | None = None) -> DataFrame:
     """Pattern (seed)-[r]->(n): ``query_id, entity_id, relation_type``, a row for each edge; with ``relation`` only its edges."""
-    chosen = edges if relation is None else edges.where(F.col("relation_type") == relation)
-    start = seeds.select("query_id", F.col("entity_id").alias("source_node_id"))
+    chosen = edges.by_end.where(F.col("entity_id") == F.col("source_node_id")) if isinstance(edges, Adjacency) else edges.withColumn("entity_id", F.col("source_node_id"))
+    chosen = chosen if relation is None else chosen.where(F.col("relation_type") == relation)
     known = vertices.select(F.col("entity_id"))
-    rows = chosen.join(start, "source_node_id").join(known.withColumnRenamed("entity_id", "source_node_id"), "source_node_id", "left_semi")
+    rows = chosen.join(seeds.select("query_id", "entity_id"), "entity_id").drop("entity_id").join(known.withColumnRenamed("entity_id", "source_node_id"), "source_node_id", "left_semi")
     return rows.select("query_id", F.col("target_node_id").alias("entity_id"), "relation_type").join(known, "entity_id", "left_semi")
 
 
-def confirmed(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+def confirmed(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, hops: int) -> DataFrame:
     """``query_id, entity_id`` that a path in one direction reaches, wholly forward or wholly backward."""
     forward = walk(vertices, edges, seeds, hops)
-    backward = walk(vertices, reversed_edges(edges), seeds, hops)
+    backward = walk(vertices, edges, seeds, hops, backward=True)
     return forward.union(backward).select("query_id", "entity_id").distinct()
 
 
@@ -132,7 +166,7 @@ def of_relation(near: Neighbourhood, relation: str) -> Neighbourhood:
     return Neighbourhood(near.vertices.join(ends(edges), ["query_id", "entity_id"], "left_semi"), edges)
 
 
-def query_graph(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int, relation: str | None = None, **limits) -> Neighbourhood:
+def query_graph(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, relation: str | None = None, **limits) -> Neighbourhood:
     """The graph query: neighbourhood, narrowed to confirmed vertices, then to one relation."""
     if relation is not None:
         bounded(relation, MAX_RELATION_BYTES, "relation")
@@ -167,7 +201,7 @@ def nearest_seed(vertices: DataFrame, queries: DataFrame, least: float) -> DataF
     return best.select("query_id", "entity_id", dense_score(F.col("distance")).alias("score")).where(F.col("score") >= least)
 
 
-def facts(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, **limits) -> DataFrame:
+def facts(vertices: DataFrame, edges: DataFrame | Adjacency, seeds: DataFrame, **limits) -> DataFrame:
     """Facts around each scored seed: one hop in either direction, narrowed, with names in place of ids.
 
     The orientation stays as stored; names are escaped here, once. Score: the seed's times the edge's weight.
@@ -176,16 +210,20 @@ def facts(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, **limits) ->
     named = lambda id_, name: vertices.select(F.col("entity_id").alias(id_), escape_markup(F.col("name")).alias(name))
     rows = near.edges.join(named("source_node_id", "entity_a"), "source_node_id").join(named("target_node_id", "entity_b"), "target_node_id")
     rows = rows.join(seeds.select("query_id", F.col("score").alias("_seed")), "query_id")
+    summary = F.lit(None).cast("string")
+    every = edges.edges if isinstance(edges, Adjacency) else edges
+    if "summary" in every.columns:
+        rows, summary = rows.join(every.select("edge_id", F.col("summary").alias("_summary")), "edge_id", "left"), escape_markup(F.col("_summary"))
     return rows.select(
-        "query_id", "edge_id", "entity_a", escape_markup(F.col("relation_type")).alias("relation_type"), "entity_b",
+        "query_id", "edge_id", "entity_a", escape_markup(F.col("relation_type")).alias("relation_type"), "entity_b", summary.alias("edge_summary"),
         (F.col("_seed") * F.col("weight").cast("double")).alias("score"),
     )
 
 
 def render_fact(form: str = "arrow"):
-    """A fact in words: for the prompt (``arrow``) or for a context line (``dashes``)."""
-    pattern = "%s —%s→ %s" if form == "arrow" else "%s -- %s -- %s"
-    return F.format_string(pattern, "entity_a", "relation_type", "entity_b")
+    """A fact in words: for the prompt (``arrow``), for a context line (``dashes``), or as the edge's summary where it has one (``summary``)."""
+    words = F.format_string(FACT_FORMS["dashes" if form == "dashes" else "arrow"], "entity_a", "relation_type", "entity_b")
+    return F.coalesce(F.col("edge_summary"), words) if form == "summary" else words
 
 
 def dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ FILLED_BY = (
     ("assembled_prompt",),
     ("answer", "citations", "answer_basis", "structured_citations", "notices"),
 )
+# What a snapshot shows of evidence and of citations, and the numbers of an answer's basis and a notice's severity.
+EVIDENCE = ("id", "chunk_id", "document_id", "chunk_index", "title", "section_path", "content_type", "provenance", "text", "score", "rank", "suspicious")
+CITED = ("chunk_id", "document_id", "title", "section_path", "excerpt", "is_truncated", "score", "rank", "content_type")
+BASIS_NUMBERS = {"retrieval": 1, "mixed": 2, "model_only": 3}
+SEVERITY_NUMBERS = {"info": 1, "warning": 2, "error": 3}
 DIGEST = T.StructType([T.StructField("dimension", T.IntegerType()), T.StructField("hash", T.StringType())])
 
 
@@ -36,14 +43,27 @@ def digest(vector: Column) -> Column:
 
 
 def _empty(kind: T.DataType) -> Column:
-    value = F.array() if isinstance(kind, T.ArrayType) else F.lit("") if isinstance(kind, T.StringType) else F.lit(None)
+    value = F.array() if isinstance(kind, T.ArrayType) else F.lit("") if isinstance(kind, T.StringType) else F.lit(0) if isinstance(kind, T.IntegerType) else F.lit(None)
     return value.cast(kind)
 
 
+def number(name: Column, numbers: dict[str, int]) -> Column:
+    """The number of a name; 0 for one that has none."""
+    return F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in numbers.items()], F.lit(0))
+
+
+def side_by_side(frames: list[DataFrame], key: str) -> DataFrame:
+    """The first frame's rows with the columns of all others, each of which has a row a key at most, by one union and grouping in place of many joins."""
+    columns = {f.name: f.dataType for df in frames for f in df.schema.fields if f.name != key}
+    wide = [df.select(key, F.lit(k == 0).alias("_first"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]) for k, df in enumerate(frames)]
+    rows = reduce(DataFrame.unionByName, wide).groupBy(key).agg(F.bool_or("_first").alias("_first"), *[F.first(c, ignorenulls=True).alias(c) for c in columns])
+    return rows.where("_first").drop("_first")
+
+
 def snapshots(contexts: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     """``trace_id, sequence_ordinal, node_name, context_snapshot`` after each step, from one row of all ``KEYS`` a question.
 
-    A key that a later step fills is empty before: an empty list or text, else null. Every key stands in every snapshot.
+    A key that a later step fills is empty before: an empty list or text, 0, else null. Every key stands in every snapshot.
     """
     rows, kinds = None, {f.name: f.dataType for f in contexts.schema.fields}
     for k, step in enumerate(steps):
@@ -60,6 +80,7 @@ def step_events(questions: DataFrame, steps: tuple[str, ...], failed: DataFrame)
 
     A run without failure ends with its answer and its completion.
     """
+    # fixed values: the names of events
     named = [(e, s) for s in steps for e in ("node_started", "node_completed")] + [("answer_chunk", ""), ("final_answer", ""), ("workflow_completed", "")]
     order = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(e).alias("event"), F.lit(s).alias("node")) for k, (e, s) in enumerate(named, 1)])
     end = failed.groupBy("query_id").agg(F.min(F.coalesce(*[F.when(F.col("node") == s, F.lit(2 * k + 2)) for k, s in enumerate(steps)])).alias("end"))

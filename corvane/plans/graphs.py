@@ -32,6 +32,17 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.union(of("supplier", "s_suppkey", "s:", "s_nationkey", "n:", "based_in", F.col("s_acctbal") / 10000))
 
 
+_kept: dict[tuple[str, str], graph.Adjacency] = {}
+
+
+def kept_edges(spark: SparkSession, d: str) -> graph.Adjacency:
+    """The edges by both ends, stored for the first traversal and kept for all of the session."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _kept:
+        _kept[at] = graph.adjacency(edges(spark, d))
+    return _kept[at]
+
+
 def seeds(spark: SparkSession, d: str) -> DataFrame:
     """Some customers, a nation and a supplier; none of them by number of rows."""
     rows = [(0, "c:7"), (1, "c:42"), (2, "n:3"), (3, "s:5"), (4, "x:0")]
@@ -44,7 +55,7 @@ def _listed(near: graph.Neighbourhood) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str, hops: int) -> graph.Neighbourhood:
-    return graph.neighbourhood(vertices(spark, d), edges(spark, d), seeds(spark, d), hops, **FREE)
+    return graph.neighbourhood(vertices(spark, d), kept_edges(spark, d), seeds(spark, d), hops, **FREE)
 
 
 def graph_neighborhood_1hop(spark: SparkSession, d: str) -> DataFrame:
@@ -70,32 +81,32 @@ def graph_frontier_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_limits_over(spark: SparkSession, d: str) -> DataFrame:
     """Seeds whose traversal meets more edges or new vertices than allowed; the others go on."""
-    fine, over = graph.within_limits(edges(spark, d), seeds(spark, d), 3, max_edges=40, max_frontier=30)
+    fine, over = graph.within_limits(kept_edges(spark, d), seeds(spark, d), 3, max_edges=40, max_frontier=30)
     return fine.select("query_id", F.lit("within").alias("outcome")).union(over.select("query_id", F.lit("over")))
 
 
 def graph_directed_confirm(spark: SparkSession, d: str) -> DataFrame:
-    return graph.confirmed(vertices(spark, d), edges(spark, d), seeds(spark, d), 3)
+    return graph.confirmed(vertices(spark, d), kept_edges(spark, d), seeds(spark, d), 3)
 
 
 def graph_query_narrowed(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(graph.query_graph(vertices(spark, d), edges(spark, d), seeds(spark, d), 2, **FREE))
+    return _listed(graph.query_graph(vertices(spark, d), kept_edges(spark, d), seeds(spark, d), 2, **FREE))
 
 
 def graph_relation_filter_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(graph.query_graph(vertices(spark, d), edges(spark, d), seeds(spark, d), 2, "part_of", **FREE))
+    return _listed(graph.query_graph(vertices(spark, d), kept_edges(spark, d), seeds(spark, d), 2, "part_of", **FREE))
 
 
 def graph_fixed_hop_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return graph.fixed_hop(vertices(spark, d), edges(spark, d), seeds(spark, d))
+    return graph.fixed_hop(vertices(spark, d), kept_edges(spark, d), seeds(spark, d))
 
 
 def graph_fixed_hop_relation(spark: SparkSession, d: str) -> DataFrame:
-    return graph.fixed_hop(vertices(spark, d), edges(spark, d), seeds(spark, d), "located_in")
+    return graph.fixed_hop(vertices(spark, d), kept_edges(spark, d), seeds(spark, d), "located_in")
 
 
 def graph_variable_length_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return graph.walk(vertices(spark, d), graph.reversed_edges(edges(spark, d)), seeds(spark, d).where("query_id = 2").union(spark.createDataFrame([(9, "r:1")], "query_id int, entity_id string")), 2)
+    return graph.walk(vertices(spark, d), kept_edges(spark, d), seeds(spark, d).where("query_id = 2").union(spark.createDataFrame([(9, "r:1")], "query_id int, entity_id string")), 2, backward=True)
 
 
 def named_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +119,17 @@ def graph_nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 9))
 
 
+def graph_facts_summarised(spark: SparkSession, d: str) -> DataFrame:
+    """Facts as the summaries of their edges, where an edge has one, else in words."""
+    summary = F.when(F.col("target_node_id").isin("n:2", "n:4", "n:8"), F.concat(F.lit("<seen> in "), "target_node_id"))
+    start = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d), 0.4)
+    found = graph.facts(vertices(spark, d), edges(spark, d).withColumn("summary", summary), start, **FREE)
+    return found.select("query_id", "edge_id", graph.render_fact("summary").alias("fact"))
+
+
 def graph_facts_scored(spark: SparkSession, d: str) -> DataFrame:
     start = graph.nearest_seed(named_vectors(spark, d), asked_vectors(spark, d), 0.4)
-    found = graph.facts(vertices(spark, d), edges(spark, d), start, **FREE)
+    found = graph.facts(vertices(spark, d), kept_edges(spark, d), start, **FREE).drop("edge_summary")
     return found.withColumns({"fact": graph.render_fact(), "line": graph.render_fact("dashes"), "score": F.round("score", 9)})
 
 
@@ -183,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_neighborhood_1hop, graph_neighborhood_2hop, graph_neighborhood_3hop, graph_frontier_counts, graph_limits_over, graph_directed_confirm, graph_query_narrowed, graph_relation_filter_endpoints,
-        graph_fixed_hop_pattern, graph_fixed_hop_relation, graph_variable_length_pattern, graph_nearest_seed, graph_facts_scored, graph_seed_by_name, edge_integrity_anti,
+        graph_fixed_hop_pattern, graph_fixed_hop_relation, graph_variable_length_pattern, graph_nearest_seed, graph_facts_summarised, graph_facts_scored, graph_seed_by_name, edge_integrity_anti,
         entity_resolution_fold, entity_source_chunks, relation_endpoint_join, relation_unmapped_anti, edge_count_regression, extractable_chunks,
     )
 }
@@ -270,6 +289,9 @@ SELECT query_id, 'edge' AS kind, edge_id AS id FROM re UNION ALL SELECT query_id
     "graph_fixed_hop_relation": f"WITH {GRAPH_SQL} SELECT query_id, e.t AS entity_id, relation_type FROM seeds q JOIN v a USING (id) JOIN e ON e.s = q.id JOIN v b ON b.id = e.t WHERE relation_type = 'located_in'",
     "graph_variable_length_pattern": f"WITH {GRAPH_SQL}, own AS (SELECT * FROM seeds WHERE query_id = 2 UNION ALL SELECT 9, 'r:1'),\n{_paths(2, 't', 's', 'own')}\nSELECT query_id, id AS entity_id, hop FROM p",
     "graph_nearest_seed": f"WITH {GRAPH_SQL}, {_NEAREST_SQL} SELECT query_id, entity_id, round(score, 9) AS score FROM nearest WHERE score >= 0.4",
+    "graph_facts_summarised": f"""WITH {GRAPH_SQL}, {_NEAREST_SQL}
+SELECT query_id, edge_id, CASE WHEN e.t IN ('n:2', 'n:4', 'n:8') THEN '&lt;seen&gt; in ' || e.t ELSE {_ESCAPED.format("a.name")} || ' —' || relation_type || '→ ' || {_ESCAPED.format("b.name")} END AS fact
+FROM nearest n JOIN e ON e.s = n.entity_id OR e.t = n.entity_id JOIN v a ON a.id = e.s JOIN v b ON b.id = e.t WHERE n.score >= 0.4""",
     "graph_facts_scored": f"""WITH {GRAPH_SQL}, {_NEAREST_SQL},
 facts AS (
   SELECT query_id, edge_id, {_ESCAPED.format("a.name")} AS entity_a, relation_type, {_ESCAPED.format("b.name")} AS entity_b, round(n.score * CAST(weight AS DOUBLE), 9) AS score

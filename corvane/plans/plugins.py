@@ -83,16 +83,19 @@ class MemorySink:
 
 
 class TableSink:
-    """Checkpoints in a Parquet folder, read back with one row for each trace and ordinal."""
+    """Checkpoints in a Parquet folder, a numbered part for each write; of a trace and ordinal the row that was written last is read back."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.writes = path, time.time_ns()
 
     def write(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+        self.writes = max(self.writes + 1, time.time_ns())
+        rows.withColumn("write", F.lit(self.writes)).write.mode("append").parquet(self.path)
 
     def read(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path).dropDuplicates(["trace_id", "sequence_ordinal"])
+        last = F.max_by(F.struct("node_name", "context_snapshot"), F.struct("write", "context_snapshot"))
+        rows = spark.read.parquet(self.path).groupBy("trace_id", "sequence_ordinal").agg(last.alias("r"))
+        return rows.select("trace_id", "sequence_ordinal", "r.*")
 
 
 class TransientError(Exception):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.analyze import plain_terms, unicode_terms
 from corvane.operators import chunking, dense, fusion, lexical
-from corvane.plans.tables import BLANK_SQL, CHUNKS_SQL, DENSE_SQL, FILENAME_SQL, OVERLAP, SIZE, TYPE_SQL, asked, asked_vectors, chunks, filename, table, vectors
+from corvane.plans.tables import BLANK_SQL, CHUNKS_SQL, DENSE_SQL, FILENAME_SQL, OVERLAP, SIZE, TYPE_SQL, asked, asked_vectors, chunks, chunks_of, filename, kept_index, table, vectors
 from corvane.settings import Bm25Settings, Filters, RetrievalSettings
-from corvane.sources.shared import spread, stored
+from corvane.sources.index import InvertedIndex
+from corvane.sources.shared import shared_dir, spread, stored
 
 PLAIN_FILTER = Filters(content_types=("text/markdown", "text/plain"))
 SETTINGS = RetrievalSettings(candidate_limit=20)
@@ -99,16 +102,39 @@ def avg_field_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(chunks(spark, d), asked(spark, d), 32)
+    return kept_index(spark, d).search(asked(spark, d), 32)
 
 
 def bm25_topk_filtered_global_idf(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(chunks(spark, d), asked(spark, d), 32, PLAIN_FILTER)
+    return kept_index(spark, d).search(asked(spark, d), 32, PLAIN_FILTER)
 
 
 def bm25_fielded_boosts(spark: SparkSession, d: str) -> DataFrame:
     queries = asked(spark, d).withColumn("text", F.concat("text", F.lit(" src3 src11 fr")))
-    return lexical.search(chunks(spark, d), queries, 32, settings=Bm25Settings(k1=1.5, b=0.6, content_boost=0.5, title_boost=3.0, section_boost=0.25))
+    return kept_index(spark, d).search(queries, 32, settings=Bm25Settings(k1=1.5, b=0.6, content_boost=0.5, title_boost=3.0, section_boost=0.25))
+
+
+def _changed_index(spark: SparkSession, d: str) -> InvertedIndex:
+    """An index that was changed twice: some texts got longer, then some of them and others were written anew or lost all their text."""
+    docs = table(spark, d, "documents")
+    one = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" src3 fr"))).otherwise(F.col("text")))
+    two = one.withColumn("text", F.when(F.col("doc_id") % 20 == 7, "").when(F.col("doc_id") % 15 == 3, F.concat(F.lit("src11 "), "text")).otherwise(F.col("text")))
+    index = InvertedIndex.build(spark, f"{shared_dir(spark)}/corvane/index-{uuid.uuid4().hex}", chunks_of(spread(docs)))
+    for before, after, some in ((docs, one, "doc_id % 10 = 3"), (one, two, "doc_id % 20 = 7 or doc_id % 15 = 3")):
+        index = index.changed(chunks_of(spread(after).where(some)), chunks_of(spread(before).where(some)))
+    return index
+
+
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    """What an index that was changed twice says of each term: its chunks, and its places in each field."""
+    index = _changed_index(spark, d)
+    sums = index.postings().groupBy("term").agg(F.count("*").alias("n_chunks"), *[F.sum(f"tf_{f}").alias(f"in_{f}") for f in lexical.FIELDS])
+    return index.frequencies().join(sums, "term", "full_outer")
+
+
+def bm25_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of an index that was changed twice."""
+    return _changed_index(spark, d).search(asked(spark, d), 32)
 
 
 # vectors
@@ -136,7 +162,7 @@ def ranked_lists(spark: SparkSession, d: str) -> DataFrame:
     vector = dense.search(vectors(spark, d), asked_vectors(spark, d), 20).select("query_id", F.lit(0).alias("variant"), F.lit("vector").alias("source"), *lexical.KEY, "score")
     asked_so = F.posexplode(F.array(*[F.concat("text", F.lit(more)) for more in VARIANTS])).alias("variant", "text")
     joint = asked(spark, d).select("query_id", asked_so).select(F.struct("query_id", "variant").alias("query_id"), "text")
-    words = lexical.search(chunks(spark, d), joint, 20).select("query_id.query_id", "query_id.variant", F.lit("bm25").alias("source"), *lexical.KEY, "score")
+    words = kept_index(spark, d).search(joint, 20).select("query_id.query_id", "query_id.variant", F.lit("bm25").alias("source"), *lexical.KEY, "score")
     return stored(vector.unionByName(words), "lists")
 
 
@@ -177,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_fixed_size, chunk_paragraph_inclusive, chunk_structure_aware, chunk_headings_sections, unicode_terms_identifiers, chunk_edges_next_same_section, document_chunks, content_type_strategy, token_estimate_fallback,
-        term_frequency, document_frequency, avg_field_length, bm25_topk, bm25_topk_filtered_global_idf, bm25_fielded_boosts, dense_topk, dense_topk_filtered, dense_topk_case_sensitive,
+        term_frequency, document_frequency, avg_field_length, bm25_topk, bm25_topk_filtered_global_idf, bm25_fielded_boosts, index_postings, bm25_topk_indexed, dense_topk, dense_topk_filtered, dense_topk_case_sensitive,
         rrf_hybrid, rrf_zero_weight_source, rrf_dedup_first, cross_variant_rrf, fusion_provenance, final_limit_snapshot_hash,
     )
 }
@@ -257,6 +283,9 @@ crossed AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, best_rank, first_variant, document_id, chunk_index, chunk_id) AS INTEGER) AS rank
   FROM across)"""
 
+_CHANGED_SQL = """one AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN text || ' src3 fr' ELSE text END AS text) FROM documents),
+changed AS (SELECT * REPLACE (CASE WHEN doc_id % 20 = 7 THEN '' WHEN doc_id % 15 = 3 THEN 'src11 ' || text ELSE text END AS text) FROM one)"""
+
 BROKEN_SQL = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
 PARTS_SQL = f"""parts AS (SELECT *, regexp_extract_all({BROKEN_SQL}, '(?s).*?\\n\\n|.+') AS ps FROM documents WHERE length(text) > 0),
 placed AS (
@@ -319,6 +348,10 @@ SELECT (SELECT count(*) FROM chunks) AS n, max(v) FILTER (field = 'content') AS
     "bm25_topk": f"WITH {_bm25()} SELECT * EXCLUDE (variant) FROM bm25",
     "bm25_topk_filtered_global_idf": f"WITH {_bm25(where=chr(39).join(['content_type IN (', 'text/markdown', ', ', 'text/plain', ')']))} SELECT * EXCLUDE (variant) FROM bm25",
     "bm25_fielded_boosts": f"WITH {_bm25(extra=' src3 src11 fr', k1=1.5, b=0.6, boosts=(0.5, 3.0, 0.25))} SELECT * EXCLUDE (variant) FROM bm25",
+    "index_postings": f"""WITH {_CHANGED_SQL}, {CHUNKS_SQL.replace("FROM documents", "FROM changed")}, {TOKENS_SQL}
+SELECT term, count(DISTINCT chunk_id) AS df, count(DISTINCT chunk_id) AS n_chunks, CAST(coalesce(sum(tf) FILTER (field = 'content'), 0) AS BIGINT) AS in_content,
+       CAST(coalesce(sum(tf) FILTER (field = 'title'), 0) AS BIGINT) AS in_title, CAST(coalesce(sum(tf) FILTER (field = 'section_path'), 0) AS BIGINT) AS in_section_path FROM postings GROUP BY term""",
+    "bm25_topk_indexed": f"WITH {_CHANGED_SQL}, {_bm25().replace('FROM documents', 'FROM changed')} SELECT * EXCLUDE (variant) FROM bm25",
     "dense_topk": f"WITH {_dense()} SELECT * FROM dense",
     "dense_topk_filtered": f"WITH {_dense(where=chr(39).join(['content_type = ', 'text/plain', '']))} SELECT * FROM dense",
     "dense_topk_case_sensitive": f"WITH {_dense(where="content_type = 'text/plain' AND CAST(document_id AS INTEGER) % 2 = 1", limit=8)} SELECT * FROM dense",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.operators import chunking, state
+from corvane.operators import chunking, privacy, state
 from corvane.plans.tables import CHUNKS_SQL, chunks, table
 from corvane.plans import workflow
 from corvane.sources.catalog import Store
@@ -235,11 +235,25 @@ def strict_json_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.array_join(tx.unknown_keys(props, ["k"]), ",").alias("unknown"))
 
 
+def privacy_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Sensitive fields in properties, nested in lists and objects, by class."""
+    props = F.col("props")
+    nested = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": [1, {"userCredentials": '), props, F.lit('}], "raw-content": "x", "ok": {"apiKey": null, "k": [[{"X-Header": 1}]]}}')))
+    nested = nested.when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"bearer": {"secrets": '), props, F.lit("}}]"))).otherwise(props)
+    found = privacy.sensitive(table(spark, d, "events").select("event_id", nested.alias("body")), "event_id", "body")
+    return found.groupBy("event_id", "category").agg(F.count("*").alias("n"))
+
+
 def stream_status_available_now(spark: SparkSession, d: str) -> DataFrame:
     """The state machine run as a stream over the events until all are read."""
     return jobs.run_status(spark, d).select("document_id", "status", "seq")
 
 
+def stream_event_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user numbered up to the first purchase by state in a stream."""
+    return jobs.run_numbers(spark, d).select("trace_id", "event_id", "event_type", F.col("ordinal").cast("int").alias("ordinal"))
+
+
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums in windows of an hour, as a stream with a watermark."""
     return jobs.run_windows(spark, d)
@@ -250,7 +264,7 @@ QUERIES = {
     for f in (
         status_state_machine, status_merge_replay, status_lookup, staged_latest_generation, staged_successor_generation, staged_row_validation, replace_document, upload_frames,
         event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
-        store_inspection_facts, upload_round_trip, upload_validation, count_consistency, store_ingest_counts, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, stream_status_available_now, stream_event_windows,
+        store_inspection_facts, upload_round_trip, upload_validation, count_consistency, store_ingest_counts, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, privacy_fields, stream_status_available_now, stream_event_ordinals, stream_event_windows,
     )
 }
 
@@ -269,6 +283,11 @@ STAGED_SQL = "staged AS (SELECT o_custkey AS document_id, o_orderkey AS generati
 INTENTS_SQL = "intents AS (SELECT o_orderkey AS document_id, o_orderpriority AS reason_class, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS retry_count, o_orderdate AS next_attempt_at FROM orders)"
 NODES_SQL = f"{CHUNKS_SQL}, nodes AS (SELECT *, CAST(document_id AS INTEGER) AS n FROM chunks WHERE chunk_id <> '3:1')"
 
+ORDINALS_SQL = """WITH x AS (SELECT user_id AS trace_id, event_id, event_type, row_number() OVER w AS ordinal,
+  coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT trace_id, event_id, event_type, CAST(ordinal AS INTEGER) AS ordinal FROM x WHERE ended = 0"""
+
 SQL = {
     "status_state_machine": f"WITH {UPDATES_SQL} FROM {_latest()}",
     "status_merge_replay": f"WITH {UPDATES_SQL} FROM {_latest()}",
@@ -294,10 +313,8 @@ SELECT upload_id, document_id, CASE WHEN error IS NULL THEN md5(content) END AS
   o_orderkey % 900 - 20 AS size, o_orderkey % 70 - 3 AS overlap FROM orders)
 SELECT o_orderkey, CASE WHEN is_json OR s = 'fixed_size' THEN 'fixed_size' ELSE 'structure_aware' END AS chunk_strategy,
        CASE WHEN blank THEN 'filename' WHEN n = 0 THEN 'empty' WHEN n > 10485760 THEN 'too_large' WHEN s = 'guess' THEN 'chunk_strategy' WHEN size < 1 THEN 'chunk_size' WHEN overlap < 0 OR overlap >= size THEN 'chunk_overlap' END AS error FROM x""",
-    "event_ordinals_terminal_once": """WITH x AS (SELECT user_id AS trace_id, event_id, event_type, row_number() OVER w AS ordinal,
-  coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT trace_id, event_id, event_type, CAST(ordinal AS INTEGER) AS ordinal FROM x WHERE ended = 0""",
+    "event_ordinals_terminal_once": ORDINALS_SQL,
+    "stream_event_ordinals": ORDINALS_SQL,
     "checkpoint_ordering": """SELECT user_id AS trace_id, CAST(row_number AS INTEGER) AS sequence_ordinal, 'post_' || event_type AS node_name, props AS context_snapshot
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number FROM events) WHERE event_id % 9 <> 0""",
     "sse_json_projection": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'click')
@@ -327,5 +344,10 @@ UNION ALL SELECT unnest(['entities', 'entity_edges', 'staged_documents', 'commun
     "response_json_projection": """SELECT conv_id, turn, '{"answer":' || to_json(substring(text, 1, 30)) || ',"citations":["[1]"],"snapshot":{"document_count":' || conv_id || ',"model":"assistant"}}' AS response
 FROM conversations WHERE role = 'assistant'""",
     "strict_json_keys": """SELECT event_id, array_to_string(list_sort(list_filter(json_keys(CASE WHEN event_id % 3 = 0 THEN '{"z": 1, "a": 2, ' || substring(props, 2, 99) ELSE props END), lambda x: x <> 'k')), ',') AS unknown FROM events""",
+    "privacy_fields": f"""WITH x AS (SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN '{{"a": [1, {{"userCredentials": ' || props || '}}], "raw-content": "x", "ok": {{"apiKey": null, "k": [[{{"X-Header": 1}}]]}}}}'
+  WHEN 1 THEN '[{{"bearer": {{"secrets": ' || props || '}}}}]' ELSE props END AS JSON) AS body FROM events),
+k AS (SELECT event_id, regexp_replace(lower(regexp_replace(t.key, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]', '_', 'g') AS w FROM x, json_tree(x.body) t WHERE t.key IS NOT NULL AND NOT regexp_matches(t.fullkey, '\\]$')),
+c AS (SELECT event_id, CASE {" ".join("WHEN " + " OR ".join(f"contains(w, '{k}') OR contains(replace(w, '_', ''), '{k.replace('_', '')}')" for k in keys) + f" THEN '{name}'" for name, keys in privacy.CATEGORIES)} END AS category FROM k)
+SELECT event_id, category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY ALL""",
     "stream_event_windows": """SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 }

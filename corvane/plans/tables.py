@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_type
 from corvane.operators.chunking import fixed_windows
-from corvane.sources.shared import spread
+from corvane.sources.index import InvertedIndex
+from corvane.sources.shared import shared_dir, spread
 
 SIZE, OVERLAP = 500, 50
 
@@ -26,12 +29,28 @@ TYPE_SQL = "CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("document_id", F.col("doc_id").cast("string"))
+    return chunks_of(spread(table(spark, sf_dir, "documents")))
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """Chunks of rows like those of ``documents``."""
+    docs = docs.withColumn("document_id", F.col("doc_id").cast("string"))
     docs = docs.select("document_id", "text", F.col("source").alias("title"), F.concat(F.lit("/"), "lang").alias("section_path"), content_type(filename()).alias("content_type"))
     rows = fixed_windows(docs, "text", SIZE, OVERLAP, ["document_id", "title", "section_path", "content_type"])
     return rows.withColumn("chunk_id", F.concat_ws(":", "document_id", "chunk_index"))
 
 
+_indexes: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The index of the chunks, built for the first search and kept for all of the session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        _indexes[at] = InvertedIndex.build(spark, f"{shared_dir(spark)}/corvane/index-{uuid.uuid4().hex}", chunks(spark, sf_dir))
+    return _indexes[at]
+
+
 CHUNKS_SQL = f"""docs AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS document_id, text, length(text) AS n, source AS title, '/' || lang AS section_path,
          {TYPE_SQL} AS content_type

@@ -21,6 +21,7 @@ from corvane.functions.text import chunk_strategy, content_type, lossy_text, tri
 from corvane.operators import answer, chunking, dense, entities, fusion, graph, lexical, prompt, snapshot, state
 from corvane.plans.plugins import CapitalisedNames, FirstSentences, HashEmbedder, KeepOrder, RetryingGenerator, SameQuestion
 from corvane.settings import MAX_VARIANTS, Filters, Settings, Timeouts
+from corvane.sources.index import InvertedIndex
 from corvane.sources.shared import stored
 
 STEPS = ("ReformulateQuery", "ExtractGraphContext", "RetrieveHybrid", "AssemblePrompt", "GenerateAnswer")
@@ -34,11 +35,13 @@ ABLATION = "Graph context disabled by caller request"
 
 @dataclass
 class Corpus:
-    """``chunks`` with embeddings, and the entity graph, which may be missing."""
+    """``chunks`` with embeddings; the entity graph and a kept index of the chunks may be missing. ``generation`` names the state of the corpus."""
 
     chunks: DataFrame
     vertices: DataFrame | None = None
     edges: DataFrame | None = None
+    index: InvertedIndex | None = None
+    generation: str = "unversioned"
 
 
 @dataclass
@@ -99,7 +102,7 @@ def ask(
 
     Dense retrieval takes the first variant only; each variant has its lexical list. Without any evidence the last two steps are
     left out unless model-only answers are allowed. With ``timeouts`` a step that takes longer is cancelled: graph context and sources of retrieval degrade, any
-    other step ends the run; without, a batch takes as long as it needs. ``sink`` gets the checkpoints.
+    other step ends the run; without, a batch takes as long as it needs. ``sink`` gets the checkpoints. A kept index of the corpus has its own analyzer.
     """
     s, spark = settings or Settings(), questions.sparkSession
     embedder, reformulator = embedder or HashEmbedder(), reformulator or SameQuestion()
@@ -170,7 +173,9 @@ def ask(
     answers = stored(answers.join(said, "query_id", "left").withColumn("notices", F.coalesce("notices", nothing)), "answers")
     cited = answers.select("query_id", F.posexplode("cited_evidence_ids").alias("ordinal", "raw_id"))
     citations = answer.resolve_citations(cited, used, s.excerpt_chars)
-    contexts = _contexts(live, session_id, filters, variants, vectors, facts, lists, fused, blocks, packed, answers, citations, notices)
+    final = fusion.final(fused, s.retrieval.final_limit)
+    facts_of_run = _snapshot(corpus, s, embedder.model, filters, variants, final)
+    contexts = _contexts(live, session_id, filters, variants, vectors, facts, lists, final, blocks, packed, answers, citations, notices, facts_of_run)
     checkpoints = snapshot.snapshots(contexts, STEPS)
     if sink is not None:
         sink.write(checkpoints)
@@ -212,7 +217,7 @@ def _lists(corpus: Corpus, variants: DataFrame, vectors: DataFrame, s: Settings,
     def words(rows: DataFrame) -> DataFrame:
         # the variants' lists come from one search, told apart by a joint key
         joint = rows.select(F.struct("query_id", "variant").alias("query_id"), "text")
-        found = lexical.search(corpus.chunks, joint, limit, filters, s.bm25, analyzer)
+        found = corpus.index.search(joint, limit, filters, s.bm25) if corpus.index else lexical.search(corpus.chunks, joint, limit, filters, s.bm25, analyzer)
         return stored(found.select("query_id.query_id", "query_id.variant", F.lit("bm25").alias("source"), *lexical.KEY, "score"), "words")
 
     def near() -> DataFrame:
@@ -241,37 +246,59 @@ def _lists(corpus: Corpus, variants: DataFrame, vectors: DataFrame, s: Settings,
     return reduce(DataFrame.unionByName, [rows.select(*columns) for rows in lists])
 
 
-def _contexts(live, session_id, filters, variants, vectors, facts, lists, fused, blocks, packed, answers, citations, notices) -> DataFrame:
+def _filter(filters: Filters | None) -> Column:
+    if not filters:
+        return F.lit(None).cast("struct<document_ids: array<string>, content_types: array<string>>")
+    return F.struct(*[F.array(*map(F.lit, v)).cast("array<string>").alias(k) for k, v in (("document_ids", filters.document_ids), ("content_types", filters.content_types))])
+
+
+def _texts(df: DataFrame, name: str, order: list, value: Column) -> DataFrame:
+    """Of each question the values in order, as one list."""
+    return df.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("_value")))), lambda x: x["_value"]).alias(name))
+
+
+def _snapshot(corpus: Corpus, s: Settings, model: str, filters: Filters | None, variants: DataFrame, final: DataFrame) -> DataFrame:
+    """``query_id, snapshot``: what a question's retrieval was controlled by and what it gave."""
+    r = s.retrieval
+    names = _texts(variants, "variant_identities", ["variant"], F.col("text"))
+    rows = names.join(fusion.result_hash(final), "query_id", "left")
+    none = F.sha2(F.lit(b""), 256)  # of no result
+    body = F.struct(
+        F.lit(corpus.generation).alias("index_generation"), F.lit(model).alias("embedding_model"), F.lit(float(r.vector_weight)).alias("vector_weight"), F.lit(float(r.bm25_weight)).alias("bm25_weight"), F.lit(int(r.rrf_k)).alias("rrf_k"),
+        F.lit(int(r.candidate_limit)).alias("candidate_limit"), F.lit(int(r.final_limit)).alias("final_limit"), _filter(filters).alias("active_filter"), F.coalesce("result_hash", none).alias("result_hash"),
+        F.size("variant_identities").alias("variant_count"), "variant_identities",
+    )
+    return rows.select("query_id", body.alias("snapshot"))
+
+
+def _contexts(live, session_id, filters, variants, vectors, facts, lists, final, blocks, packed, answers, citations, notices, snapshots) -> DataFrame:
     """One row a question with all keys of a snapshot."""
-    listed = lambda df, name, order, value: df.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, value.alias("_value")))), lambda x: x["_value"]).alias(name))
-    ids = lambda df, name, *order: listed(df, name, order, F.col("chunk_id"))
-    filter_ = F.lit(None).cast("struct<document_ids: array<string>, content_types: array<string>>")
-    if filters:
-        filter_ = F.struct(*[F.array(*map(F.lit, v)).cast("array<string>").alias(k) for k, v in (("document_ids", filters.document_ids), ("content_types", filters.content_types))])
-    rows = live.select("query_id", F.lit(session_id).alias("session_id"), F.col("query_id").cast("string").alias("trace_id"), F.col("question").alias("original_query"), filter_.alias("filter"))
+    ids = lambda df, name, *order: _texts(df, name, list(order), F.col("chunk_id"))
     down = F.col("score") * -1
     order = [down.alias("_a"), F.col("edge_id").alias("_b")]
     if facts is None:
-        facts = live.select("query_id", *[F.lit("").alias(c) for c in ("edge_id", "entity_a", "relation_type", "entity_b")], F.lit(0.0).alias("score")).limit(0)
+        facts = live.select("query_id", *[F.lit("").alias(c) for c in ("edge_id", "entity_a", "relation_type", "entity_b", "edge_summary")], F.lit(0.0).alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id", "variant", "source").orderBy(F.desc("score"), *lexical.KEY))
     ranked = lists.withColumn("_rank", rank)
-    summary = fusion.result_hash(fused).join(variants.groupBy("query_id").agg(F.count("*").alias("variant_count")), "query_id")
+    shown = F.struct(F.struct(F.col("entity_a").alias("entity_a_name"), "relation_type", F.col("entity_b").alias("entity_b_name"), "edge_summary", "score").alias("fact"))
+    cited = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c in ("title", "section_path", "content_type") else F.col(c) for c in snapshot.CITED])
     parts = [
-        listed(variants, "variants", ["variant"], F.col("text")),
+        _texts(variants, "variants", ["variant"], F.col("text")),
         vectors.select("query_id", snapshot.digest(F.col("vector")).alias("query_embedding")),
-        listed(facts, "graph_facts", order, F.struct("edge_id", "entity_a", "relation_type", "entity_b", "score")),
+        _texts(facts, "graph_facts", order, shown),
         facts.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, graph.render_fact("dashes").alias("_line")))), lambda x: x["_line"]), "\n").alias("graph_context")),
         ids(ranked.where("source = 'vector'"), "vector_results", "_rank"),
         ids(ranked.where("source = 'bm25'"), "bm25_results", "variant", "_rank"),
-        ids(fused, "final_candidates", "rank"),
-        listed(blocks, "evidence_blocks", ["rank"], F.struct("id", "chunk_id", "document_id", "title", "section_path", "provenance", "content_type", "text", "score", "suspicious")),
+        ids(final, "final_candidates", "rank"),
+        _texts(blocks, "evidence_blocks", ["rank"], F.struct(*snapshot.EVIDENCE)),
         packed.select("query_id", F.col("prompt").alias("assembled_prompt")),
-        answers.select("query_id", "answer", F.col("cited_evidence_ids").alias("citations"), "answer_basis"),
-        listed(citations, "structured_citations", ["ordinal"], F.struct("marker_id", *[c for c in answer.SHOWN], "excerpt", "is_truncated")),
-        listed(notices, "notices", ["ordinal"], F.struct("code", "message", "severity")),
-        summary.select("query_id", F.struct("variant_count", "result_hash").alias("snapshot")),
+        answers.select("query_id", "answer", F.col("cited_evidence_ids").alias("citations"), snapshot.number(F.col("answer_basis"), snapshot.BASIS_NUMBERS).alias("answer_basis")),
+        _texts(citations, "structured_citations", ["ordinal"], cited),
+        _texts(notices, "notices", ["ordinal"], F.struct("code", "message", snapshot.number(F.col("severity"), snapshot.SEVERITY_NUMBERS).alias("severity"))),
+        snapshots,
     ]
-    return reduce(lambda df, part: df.join(part, "query_id", "left"), parts, rows)
+    rows = live.select("query_id", F.lit(session_id).alias("session_id"), F.col("query_id").cast("string").alias("trace_id"), F.col("question").alias("original_query"), _filter(filters).alias("filter"))
+    return snapshot.side_by_side([rows, *parts], "query_id")
 
 
 def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0) -> DataFrame:
@@ -301,13 +328,15 @@ def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0
             return status("queued", "").limit(0)
         return status("failed", _reason(error))
     try:
-        _extract(store, ids, embedder, extractor)
+        fewer = _extract(store, ids, embedder, extractor)
     except Exception as error:
         return status("completed", f"graph: {_reason(error)}")
-    return status("completed", None)
+    told = fewer.select("document_id", F.format_string("graph: %d edges, fewer than the %d before", "written", "prior").alias("_fewer"))
+    return status("completed", None).join(told, "document_id", "left").select("document_id", "status", F.col("_fewer").alias("message"))
 
 
-def _extract(store, ids: DataFrame, embedder, extractor) -> None:
+def _extract(store, ids: DataFrame, embedder, extractor) -> DataFrame:
+    """Write the entities and edges of the documents. Returns ``document_id, prior, written`` of those that have fewer edges than before."""
     own = store.table("nodes").join(ids, "document_id", "left_semi")
     found = extractor.extract(entities.extractable(own))
     found = stored(found.where(entities.valid_output(F.col("entities"), F.col("relations"))), "extracted")
@@ -318,7 +347,10 @@ def _extract(store, ids: DataFrame, embedder, extractor) -> None:
     old = store.table("entities").select("entity_id", F.col("name_vector").alias("_v"))
     rows = resolved.join(old, "entity_id", "left").withColumn("name_vector", F.coalesce("_v", embedder.embed(F.col("name")))).drop("_v")
     rows = stored(rows, "entities")
+    before = stored(store.table("entity_edges").join(ids, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("n")), "edges-before")
     store.upsert_graph(ids, rows, entities.mapped_relations(related, named, resolved))
+    after = store.table("entity_edges").join(ids, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
+    return stored(entities.fewer(before, after), "edges-fewer")
 
 
 def replay(store, **kwargs) -> DataFrame | None:

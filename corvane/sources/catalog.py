@@ -12,12 +12,14 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.errors import InvalidDocument, MissingTable, QueueFull, SchemaDrift, WriteNotSeen
-from corvane.operators.state import next_generation, replaced
+from corvane.functions.analyze import plain_terms
+from corvane.operators.state import next_generation
+from corvane.sources.index import InvertedIndex
 from corvane.sources.schemas import BUCKETED_BY, LEGACY_STAGED, SCHEMAS
 from corvane.sources.shared import stored
 
@@ -29,6 +31,8 @@ class Store:
         self.spark, self.root, self.manifest = spark, root.rstrip("/"), manifest
         #: Called with a table's name before its new folders are written; tests make it fail.
         self.before_write: Callable[[str], None] = lambda name: None
+        #: Of the kept index.
+        self.analyzer: Callable[[Column], Column] = plain_terms
 
     # opening
 
@@ -89,9 +93,11 @@ class Store:
         text = self.spark.read.text(f"{self.root}/_manifests/{names[-1]}", wholetext=True).first()[0]
         return json.loads(text)
 
-    def _commit(self, tables: dict) -> None:
+    def _commit(self, tables: dict, index: dict | None = None) -> None:
         """Add the next manifest. If another writer has added it, this one's change is void."""
         manifest = {**self.manifest, "version": self.manifest["version"] + 1, "tables": tables}
+        if index is not None:
+            manifest["index"] = index
         target, fs = self._fs(f"{self.root}/_manifests/{manifest['version']:012d}.json")
         draft, _ = self._fs(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
         out = fs.create(draft, False)
@@ -117,6 +123,18 @@ class Store:
         rows = self.table(name)
         return (rows.where(condition) if condition else rows).count()
 
+    # the kept index
+
+    def index(self, analyzer: Callable[[Column], Column] = plain_terms) -> InvertedIndex | None:
+        """The index of this snapshot's chunks, if the store keeps one. The analyzer is the one that it was enabled with."""
+        entry = self.manifest.get("index")
+        return InvertedIndex(self.spark, f"{self.root}/_index", entry, analyzer) if entry is not None else None
+
+    def enable_index(self, analyzer: Callable[[Column], Column] = plain_terms) -> None:
+        """Index the chunks that there are; from now on each replacement of documents changes the index in the same commit."""
+        self.analyzer = analyzer
+        self._commit(self.manifest["tables"], InvertedIndex.build(self.spark, f"{self.root}/_index", self.table("nodes"), analyzer).entry)
+
     # writing
 
     def _bucket(self, name: str):
@@ -142,21 +160,25 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
         return {n.removeprefix("_bucket="): f"{folder}/{n}" for n in names}
 
-    def _rewritten(self, name: str, keys: DataFrame, new: DataFrame, key: str | None = None) -> dict:
+    def _touched(self, name: str, keys: DataFrame) -> dict[str, str]:
+        """The folders of the buckets in which these keys are."""
+        buckets = {str(r[0]) for r in keys.distinct().toDF(BUCKETED_BY[name]).select(self._bucket(name)).distinct().collect()}
+        return {b: p for b, p in self.manifest["tables"][name]["parts"].items() if b in buckets}
+
+    def _rewritten(self, name: str, keys: DataFrame, new: DataFrame, key: str | None = None, counts: tuple[Observation, Observation] | None = None) -> dict:
         """The table's entry after the rows of ``keys`` gave way to ``new``.
 
-        With the bucketing column as key only the buckets of these keys are read and written; with another one, all are.
+        With the bucketing column as key only the buckets of these keys are read and written; with another one, all are. ``counts`` get ``n``, the rows that went and those that came, from the job that writes.
         """
         entry, key = self.manifest["tables"][name], key or BUCKETED_BY[name]
-        parts = entry["parts"]
-        touched = dict(parts)
-        if key == BUCKETED_BY[name]:
-            of = keys.select(key).union(new.select(key)).distinct().withColumnRenamed(key, BUCKETED_BY[name])
-            buckets = {str(r[0]) for r in of.select(self._bucket(name)).distinct().collect()}
-            touched = {b: p for b, p in parts.items() if b in buckets}
-        old = self._frame(SCHEMAS[name], touched)
-        rows = replaced(old, new.select(*[c for c in SCHEMAS[name].fieldNames() if c in new.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields if f.name not in new.columns]), key, keys)
-        written = self._write(name, rows)
+        parts, fields = entry["parts"], SCHEMAS[name].fields
+        touched = self._touched(name, keys.select(key).union(new.select(key))) if key == BUCKETED_BY[name] else dict(parts)
+        own = new.select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        gone = new.select(key).union(keys.select(key)).distinct().withColumn("_gone", F.lit(True))
+        old = self._frame(SCHEMAS[name], touched).join(gone, key, "left")
+        if counts:
+            old, own = old.observe(counts[0], F.count("_gone").alias("n")), own.observe(counts[1], F.count(F.lit(1)).alias("n"))
+        written = self._write(name, old.where("_gone is null").select(own.columns).unionByName(own))
         return {**entry, "parts": {**{b: p for b, p in parts.items() if b not in touched}, **written}}
 
     def _change(self, **entries: dict) -> None:
@@ -193,27 +215,36 @@ class Store:
         for name, value in (("embedding", F.array().cast("array<float>")), ("embedding_model", F.lit(model)), ("ingested_at", F.lit(now).cast("long"))):
             if name not in full.columns:
                 full = full.withColumn(name, value)
-        self._change(
-            edges=self._rewritten("edges", ids, edges),
-            nodes=self._rewritten("nodes", ids, full),
-            documents=self._rewritten("documents", ids, docs),
-            staged_documents=self._rewritten("staged_documents", ids, self.spark.createDataFrame([], SCHEMAS["staged_documents"])),
-        )
+        entries = {
+            "edges": self._rewritten("edges", ids, edges),
+            "nodes": self._rewritten("nodes", ids, full),
+            "documents": self._rewritten("documents", ids, docs),
+            "staged_documents": self._rewritten("staged_documents", ids, self.spark.createDataFrame([], SCHEMAS["staged_documents"])),
+        }
+        index = self.index(self.analyzer)
+        if index is not None:
+            written = {b: p for b, p in entries["nodes"]["parts"].items() if self.manifest["tables"]["nodes"]["parts"].get(b) != p}
+            new = self._frame(SCHEMAS["nodes"], written).join(ids, "document_id", "left_semi")
+            old = self._frame(SCHEMAS["nodes"], self._touched("nodes", ids)).join(ids, "document_id", "left_semi")
+            index = index.changed(new, old)
+        self._commit({**self.manifest["tables"], **entries}, index.entry if index is not None else None)
 
     def upsert_graph(self, document_ids: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[int, int]:
         """Replace the entities given and all entity edges of the documents, in one commit. Returns the documents' edges before and after.
 
         Entities of earlier versions of a document stay, as others may refer to them. Edges that are written and not found again are an error; the store is then as before.
         """
-        prior = self.table("entity_edges").join(document_ids, "document_id", "left_semi").count()
         ends = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("entity_id")).distinct()
         known = self.table("entities").select("entity_id").union(entities.select("entity_id"))
         stray = ends.join(known, "entity_id", "left_anti").first()
         if stray:
             raise InvalidDocument(f"edge end {stray['entity_id']} is no entity")
-        entry = self._rewritten("entity_edges", document_ids, edges)
+        counts = Observation(), Observation()
+        entry = self._rewritten("entity_edges", document_ids, edges, counts=counts)
+        prior, expected = (o.get["n"] for o in counts)
         written = self._frame(SCHEMAS["entity_edges"], entry["parts"]).join(document_ids, "document_id", "left_semi").count()
-        if written != (expected := edges.count()):
+        # tasks that ran twice count twice, so what differs is counted anew
+        if written != expected and written != (expected := edges.count()):
             raise WriteNotSeen(f"{written} entity edges were found of {expected} written")
         self._change(entities=self._rewritten("entities", entities.select("entity_id"), entities), entity_edges=entry)
         return prior, written

@@ -6,6 +6,7 @@ up what is new. Micro-batches are applied by key and order, so one that is repea
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 import uuid
@@ -20,6 +21,7 @@ from corvane.operators import state
 from corvane.plans import workflow
 from corvane.settings import MAX_DOCUMENT_BYTES
 from corvane.sources.shared import shared_dir, stored
+from corvane.streaming import stateful
 
 #: Files of one micro-batch: the bound on what is admitted at a time.
 FILES_PER_BATCH = 100
@@ -41,31 +43,16 @@ def as_updates(events: DataFrame) -> DataFrame:
     return events.select((F.col("event_id") % 700).alias("document_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), status.alias("status"))
 
 
-class StatusTable:
-    """The state after each micro-batch, as snapshots of which the last complete one holds."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.last = spark, path, None
-
-    def apply(self, updates: DataFrame, epoch: int) -> None:
-        rows = state.latest_status(updates)
-        if self.last is not None:
-            rows = state.merge_status(self.read(), updates)
-        target = f"{self.path}/epoch-{epoch}-{uuid.uuid4().hex}"
-        rows.write.parquet(target)
-        self.last = target
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.last)
-
-
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status state machine over the event stream."""
-    root = work_dir(spark)
-    table = StatusTable(spark, f"{root}/state")
-    query = as_updates(event_source(spark, sf_dir)).writeStream.foreachBatch(table.apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return table.read()
+    changes = stateful.run_to_end(spark, stateful.status_changes(as_updates(event_source(spark, sf_dir))), work_dir(spark))
+    return stateful.latest_change(changes)
+
+
+def run_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user numbered up to the first purchase, as a stream."""
+    events = event_source(spark, sf_dir).withColumn("trace_id", F.col("user_id"))
+    return stateful.run_to_end(spark, stateful.numbered_events(events, "purchase"), work_dir(spark))
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -80,13 +67,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
-def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark)
-    name = f"windows_{uuid.uuid4().hex}"
+def run_windows(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Windows of the event stream. Each micro-batch writes the windows that it changed, and the last value of each holds; a repeated micro-batch writes the same folder anew."""
+    root = root or work_dir(spark)
     events = event_source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    query = windowed(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    def changed(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/windows/epoch={epoch}")
+
+    query = windowed(events).writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    rows = spark.read.parquet(f"{root}/windows").groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("w"))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "w.n", "w.total")
 
 
 def relative_path(path, folder: str):
@@ -137,13 +129,18 @@ def reconcile_tick(intents: DataFrame, now, attempt: Callable[[DataFrame], DataF
     return stored(state.replaced(held.join(done, "document_id", "left_anti"), later), "intents")
 
 
-def reconcile(intents: DataFrame, clock: Callable[[], Column], attempt: Callable[[DataFrame], DataFrame], ticks: int, wait: Callable[[], None] = lambda: time.sleep(1)) -> DataFrame:
-    """So many ticks with a wait between them; a tick that fails leaves the intents as they were."""
+def reconcile(
+    intents: DataFrame, clock: Callable[[], Column], attempt: Callable[[DataFrame], DataFrame], ticks: int, wait: Callable[[], None] = lambda: time.sleep(1), failed: Callable[[int, Exception], None] | None = None
+) -> DataFrame:
+    """So many ticks with a wait between them; a tick that fails leaves the intents as they were and is told to ``failed`` (number from 0, error), or logged."""
     for k in range(ticks):
         try:
             intents = reconcile_tick(intents, clock(), attempt)
-        except Exception:  # noqa: S110  the next tick finds the same intents due
-            pass
+        except Exception as error:  # the next tick finds the same intents due
+            if failed:
+                failed(k, error)
+            else:
+                logging.getLogger(__name__).exception("tick %d failed", k)
         if k + 1 < ticks:
             wait()
     return intents
