@@ -13,11 +13,14 @@ best ranges of each query first; ranges whose bound is below the last place that
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions.analyze import plain_terms
 from corvane.operators.lexical import DECIMALS, FIELDS, KEY, matches, top
@@ -33,6 +36,8 @@ CHUNKS_A_PART, LEAST_PARTS = 1 << 22, 4
 NAMED_TERMS = 4096
 #: A segment is merged with the one before if that has at most so many times its chunks.
 MERGE_UP_TO = 2
+#: Places up to which a search scores all ranges in one pass, as finding those to leave out would cost more.
+FEW_PLACES = 1 << 17
 #: Ranges that a search scores first at least.
 FIRST_RANGES = 4
 #: What sums of doubles may differ by.
@@ -47,8 +52,53 @@ def _tf(f: str) -> str:
     return f"tf_{f}"
 
 
-def _tagged(field: str, number: int) -> Column:
-    return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(number).alias("f")))
+def _blocks_of(fields: tuple[str, ...], bits: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks out of ``segment, place`` and the fields' terms. A range whose rows come in two tasks has two blocks of a term, which a search adds up."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranges = batch.column("place").to_numpy() >> bits
+            cut = int(np.flatnonzero(ranges != ranges[-1])[-1]) + 1 if (ranges != ranges[-1]).any() else 0
+            if cut or waiting and waiting[-1].column("place")[0].as_py() >> bits != ranges[-1]:
+                yield of(pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks())
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield of(pa.Table.from_batches(waiting).combine_chunks())
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        place = rows.column("place").to_numpy()
+        lists = [rows.column(f).combine_chunks() for f in fields]
+        lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        length = np.stack([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists], 1).astype(np.int64)
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        size = max(1, len(words.dictionary))
+        row = np.concatenate([np.repeat(np.arange(len(place)), n) for n in length.T])
+        field = np.repeat(np.arange(len(fields)), length.sum(0))
+        pair, which = np.unique(row * size + words.indices.to_numpy(), return_inverse=True)
+        tf = np.bincount(which * len(fields) + field, minlength=pair.size * len(fields)).reshape(-1, len(fields))
+        row, word = pair // size, pair % size
+        own = place[row] >> bits
+        order = np.lexsort((place[row], word, own))
+        row, word, own, tf = row[order], word[order], own[order], tf[order]
+        start = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+        entry = [place[row]] + [x[:, k] for k in range(len(fields)) for x in (tf, length[row])]
+        kinds = schema.field("entries").type.value_type
+        entries = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(entry, kinds, strict=True)], fields=list(kinds))
+        offsets = pa.array(np.append(start, row.size), pa.int32())
+        bounds = []
+        for k in range(len(fields)):
+            there = np.where(tf[:, k] > 0, length[row, k], np.iinfo(np.int64).max)
+            most, least = (np.maximum.reduceat(tf[:, k], start), np.minimum.reduceat(there, start)) if start.size else (tf[:0, k], there[:0])
+            bounds += [pa.array(most, pa.int32()), pa.array(np.where(most > 0, least, 0), pa.int32(), mask=most == 0)]
+        segment = np.full(start.size, rows.column("segment")[0].as_py())
+        columns = [words.dictionary.take(pa.array(word[start])), pa.array(segment, pa.int32()), pa.array(own[start]), pa.array(np.diff(np.append(start, row.size)), pa.int32()), *bounds, pa.ListArray.from_arrays(offsets, entries, type=schema.field("entries").type)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return made
 
 
 class InvertedIndex:
@@ -163,13 +213,8 @@ class InvertedIndex:
         sums = lambda df: df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(_length(f)), F.lit(0)).alias(f) for f in self.fields]).first()
         added = sums(self.spark.read.schema(self._schema("chunks")).parquet(f"{folder}/chunks"))
 
-        # all postings of a range lie in one task, and a range is small, so a frequent term is no burden; texts move once
-        lengths = [F.size(f).alias(_length(f)) for f in self.fields]
-        near = tok.select("segment", F.shiftright("place", RANGE_BITS).alias("range"), "place", *self.fields, *lengths).repartition("segment", "range")
-        tagged = F.concat(*[_tagged(f, k) for k, f in enumerate(self.fields)])
-        flat = near.select("segment", "range", "place", *map(_length, self.fields), F.explode(tagged).alias("t"))
-        counts = [F.sum((F.col("t.f") == k).cast("int")).cast("int").alias(_tf(f)) for k, f in enumerate(self.fields)]
-        entries = flat.groupBy("segment", "range", "place", F.col("t.term").alias("term"), *map(_length, self.fields)).agg(*counts)
+        # the places of a range follow each other in a file, so its blocks are made where they are read
+        blocks = tok.select("segment", "place", *self.fields).mapInArrow(_blocks_of(self.fields, RANGE_BITS, to_arrow_schema(self._schema("blocks"))), self._schema("blocks"))
 
         gone = None
         if replaced is not None and self.segments:
@@ -184,7 +229,7 @@ class InvertedIndex:
                 df = df.unionByName(old)
             return df.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
 
-        segment = self._written(folder, number, [number], added["n"], self._blocked(entries), terms, gone is not None)
+        segment = self._written(folder, number, [number], added["n"], blocks, terms, gone is not None)
         lost = sums(gone) if gone is not None else None
         segment["chunks"] = added["n"] - (lost["n"] if lost else 0)
         segment["lengths"] = {f: int(added[f]) - int(lost[f] if lost else 0) for f in self.fields}
@@ -233,7 +278,7 @@ class InvertedIndex:
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int] | None, list[str] | None]:
         """``query_id, term, idf`` of terms that some chunk holds; hashes and terms if they are few enough to be named."""
         n, _ = self.statistics()
-        asked = stored(queries.select("query_id", F.explode(F.array_distinct(self.analyzer(F.col("text")))).alias("term")), "asked")
+        asked = queries.select("query_id", F.explode(F.array_distinct(self.analyzer(F.col("text")))).alias("term"))
         found = asked.select("term").distinct().select("term", F.xxhash64("term").alias("h")).limit(NAMED_TERMS + 1).collect()
         few = len(found) <= NAMED_TERMS
         hashes, names = ([r["h"] for r in found], [r["term"] for r in found]) if few else (None, None)
@@ -253,10 +298,13 @@ class InvertedIndex:
         rows = blocks.drop("entries").join(asked, "term").groupBy("query_id", "segment", "range").agg(F.sum(bound).alias("bound"), F.count("*").alias("blocks"))
         return rows.withColumn("best", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "range")))
 
-    def _scores(self, asked: DataFrame, blocks: DataFrame, chosen: DataFrame, s: Bm25Settings, allowed: DataFrame | None) -> DataFrame:
-        """The chunks of the chosen ranges (``query_id, segment, range``) with their whole scores."""
-        wanted = chosen.select("query_id", "segment", "range").join(asked, "query_id")
-        rows = blocks.select("term", "segment", "range", "entries").join(wanted, ["term", "segment", "range"])
+    def _scores(self, asked: DataFrame, blocks: DataFrame, chosen: DataFrame | None, s: Bm25Settings, allowed: DataFrame | None) -> DataFrame:
+        """The chunks of the chosen ranges (``query_id, segment, range``), or of all, with their whole scores."""
+        if chosen is None:
+            rows = blocks.select("term", "segment", "entries").join(asked, "term")
+        else:
+            wanted = chosen.select("query_id", "segment", "range").join(asked, "query_id")
+            rows = blocks.select("term", "segment", "range", "entries").join(wanted, ["term", "segment", "range"])
         rows = rows.select("query_id", "segment", "idf", F.explode("entries").alias("e")).select("query_id", "segment", "idf", "e.*")
         if allowed is not None:
             rows = rows.join(allowed, ["segment", "place"], "left_semi")
@@ -288,7 +336,11 @@ class InvertedIndex:
         """
         s = settings or Bm25Settings()
         asked, hashes, names = self._asked(queries)
-        _, scores = self.chosen(asked, self._blocks(hashes, names), limit, s, self._allowed(filters))
+        blocks, allowed = self._blocks(hashes, names), self._allowed(filters)
+        if sum(x["places"] for x in self.segments) <= FEW_PLACES:
+            scores = self._scores(asked, blocks, None, s, allowed)
+        else:
+            _, scores = self.chosen(asked, blocks, limit, s, allowed)
         # with ties at the last place, whose order the keys decide
         near = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         best = stored(scores.withColumn("_r", near).where(F.col("_r") <= limit).drop("_r"), "best-scores")

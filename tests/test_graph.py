@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.errors import GraphLimitExceeded, NotFound
 from corvane.operators import entities, graph
@@ -80,3 +81,40 @@ def test_entities_resolve_and_relations_stay_in_their_chunk(spark):
     resolved = entities.resolve(named, known)
     assert [r.edge_id for r in entities.mapped_relations(related, named, resolved).collect()] == ["d:0:rel:0"]
     assert [r.chunk_id for r in entities.unmapped_relations(related, named).collect()] == ["d:1"]
+
+
+def test_adjacency_gives_the_same_and_moves_the_frontier_alone(spark):
+    rows = [(f"v{k}", "knows" if k % 2 else "likes", f"v{(k * 7 + 3) % 40}", 1.0) for k in range(60)] + [("v1", "self", "v1", 1.0)]
+    v, e = vertices(spark, *[f"v{k}" for k in range(60)]), edges(spark, *rows)
+    kept = graph.adjacency(e)
+    start = seed(spark, "v1").union(spark.createDataFrame([(1, "v12"), (2, "none")], "query_id int, entity_id string"))
+    free = {"max_edges": None, "max_frontier": None}
+    for hops in (1, 2, 3):
+        plain, own = graph.neighbourhood(v, e, start, hops, **free), graph.neighbourhood(v, kept, start, hops, **free)
+        for a, b in zip(plain, own, strict=True):
+            key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+            assert key(a) == key(b)
+        assert sorted(map(tuple, graph.confirmed(v, e, start, hops).collect())) == sorted(map(tuple, graph.confirmed(v, kept, start, hops).collect()))
+    assert sorted(map(tuple, graph.fixed_hop(v, e, start, "knows").select("query_id", "entity_id", "relation_type").collect())) == sorted(map(tuple, graph.fixed_hop(v, kept, start, "knows").select("query_id", "entity_id", "relation_type").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hop = kept.by_end.join(start, "entity_id").select("query_id", *graph.EDGE)
+        executed = hop._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = next(k for k, line in enumerate(executed.splitlines()) if "FileScan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines, parents, at = executed.splitlines(), [], scan
+    for k in range(scan - 1, -1, -1):
+        if depth(lines[k]) < depth(lines[at]):
+            parents.append(lines[k])
+            at = k
+    join = next(k for k, line in enumerate(parents) if "Join" in line)
+    assert "Exchange" in executed and not any("Exchange" in line for line in parents[:join])
+
+
+def test_summaries_stand_for_facts(spark):
+    v = vertices(spark, "a", "b", "c")
+    e = edges(spark, ("a", "r", "b", 0.5), ("a", "r", "c", 0.5)).withColumn("summary", F.when(F.col("target_node_id") == "b", "<i> of b"))
+    found = graph.facts(v, e, spark.createDataFrame([(0, "a", 1.0)], "query_id int, entity_id string, score double"))
+    assert sorted(r[0] for r in found.select(graph.render_fact("summary")).collect()) == ["&lt;i&gt; of b", "A —r→ C"]

@@ -39,6 +39,7 @@ def asked(spark):
 def small_ranges(monkeypatch):
     monkeypatch.setattr(kept, "RANGE_BITS", 2)
     monkeypatch.setattr(kept, "FIRST_RANGES", 1)
+    monkeypatch.setattr(kept, "FEW_PLACES", 0)
     monkeypatch.setattr(kept, "CHUNKS_A_BUCKET", 50)
 
 
@@ -57,6 +58,9 @@ def test_index_equals_a_plain_search_after_changes(spark, tmp_path, asked, small
         index = index.changed(frame(new) if new else old.limit(0), old)
     every = frame(now)
     assert rows_of(index.search(asked, 7)) == rows_of(lexical.search(every, asked, 7))
+    kept.FEW_PLACES = 1 << 17  # all ranges at once, which gives the same
+    assert rows_of(index.search(asked, 7)) == rows_of(lexical.search(every, asked, 7))
+    kept.FEW_PLACES = 0
     odd, filters = Bm25Settings(k1=1.7, b=0.2, content_boost=0.4, title_boost=3.0, section_boost=0.0), Filters(("d1", "d5", "d9", "d77"), ("text/plain",))
     assert rows_of(index.search(asked, 3, filters, odd)) == rows_of(lexical.search(every, asked, 3, filters, odd))
     tok = lexical.tokens(every)

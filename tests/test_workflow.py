@@ -54,8 +54,15 @@ def test_an_answer_with_facts_events_and_checkpoints(spark, corpus):
     assert bodies[0]["query_embedding"] is None and bodies[0]["variants"] == ["apples"] and bodies[0]["session_id"] == "s"
     vector = found.checkpoints.sparkSession.createDataFrame([("apples",)], "t string").select(EMBEDDER.embed(F.col("t")).alias("v")).first().v
     assert bodies[1]["query_embedding"] == {"dimension": 16, "hash": vector_digest(vector)}
-    assert bodies[1]["graph_context"] == "apples -- grow_on -- trees" and bodies[1]["graph_facts"][0]["relation_type"] == "grow_on"
-    assert bodies[2]["bm25_results"] == ["d:0"] and len(bodies[2]["final_candidates"]) == 3 and len(bodies[2]["evidence_blocks"]) == 2
+    fact = bodies[1]["graph_facts"][0]["fact"]
+    assert bodies[1]["graph_context"] == "apples -- grow_on -- trees" and (fact["entity_a_name"], fact["relation_type"], fact["entity_b_name"], fact["edge_summary"]) == ("apples", "grow_on", "trees", None)
+    assert [b["answer_basis"] for b in bodies] == [0, 0, 0, 0, 1] and [b["snapshot"] is None for b in bodies] == [True, True, False, False, False]
+    controls = bodies[2]["snapshot"]
+    assert tuple(controls) == ("index_generation", "embedding_model", "vector_weight", "bm25_weight", "rrf_k", "candidate_limit", "final_limit", "active_filter", "result_hash", "variant_count", "variant_identities")
+    assert controls["rrf_k"] == 60 and controls["variant_identities"] == ["apples"] and controls["variant_count"] == 1 and len(controls["result_hash"]) == 64 and controls["embedding_model"] == EMBEDDER.model
+    assert tuple(bodies[4]["evidence_blocks"][0]) == snapshot.EVIDENCE
+    assert tuple(bodies[4]["structured_citations"][0]) == snapshot.CITED
+    assert bodies[2]["bm25_results"] == ["d:0"] and len(bodies[2]["final_candidates"]) == 2 and len(bodies[2]["evidence_blocks"]) == 2
     assert bodies[4]["citations"] and bodies[4]["structured_citations"][0]["chunk_id"] == "d:0"
 
 
