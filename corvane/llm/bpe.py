@@ -36,9 +36,9 @@ BYTES = 256
 #: Symbols up to which a word is merged by looking through its pairs each time; longer ones take a heap.
 SHORT = 64
 #: Bytes of text that are cut into words at once, and one text at least.
-SLAB = 1 << 20
+SLAB = 3 << 18
 #: Words that a Python worker remembers at most in each of two generations, and the longest of them in characters.
-KNOWN_WORDS, KNOWN_LENGTH = 1 << 18, 48
+KNOWN_WORDS, KNOWN_LENGTH = 3 << 16, 48
 # Fixed value: how words are cut.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -339,15 +339,14 @@ class _Known:
         """The packed ids of each word."""
         if len(self.new) > KNOWN_WORDS:
             self.new, self.old = {}, self.new
-        missing = {w for w in words if w not in self.new}
-        self.new.update((w, self.old[w]) for w in missing if w in self.old)
-        unknown = [w for w in missing if w not in self.old]
-        if unknown:
-            self.new.update(zip(unknown, encode_words(self.v, unknown)[0], strict=True))
-        out = [self.new[w] for w in words]
-        for w in unknown:
-            if len(w) > KNOWN_LENGTH:
-                del self.new[w]
+        out = list(map(self.new.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for k in missing:
+            out[k] = self.old.get(words[k])
+        unknown = [k for k in missing if out[k] is None]
+        for k, ids in zip(unknown, encode_words(self.v, [words[k] for k in unknown])[0] if unknown else [], strict=True):
+            out[k] = ids
+        self.new.update((words[k], out[k]) for k in missing if len(words[k]) <= KNOWN_LENGTH)
         return out
 
 
