@@ -34,8 +34,8 @@ def query_vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-#: Queries that meet the chunks in one pass.
-TOGETHER = 1024
+#: Bytes of query vectors that meet the chunks in one pass: 60,000 of 64 components.
+TOGETHER = 32 << 20
 
 
 def _pairs(vectors: np.ndarray, ids: list, id_type: pa.DataType, best: int | None):
@@ -63,19 +63,20 @@ def _pairs(vectors: np.ndarray, ids: list, id_type: pa.DataType, best: int | Non
 def distances(rows: DataFrame, queries: DataFrame, keys: tuple[str, ...], best: int | None = None) -> DataFrame:
     """``query_id``, the keys and ``distance`` of chunks to the queries of as long a vector; with ``best`` a superset of so many nearest ones.
 
-    ``queries`` (``query_id, vector``) is a stated set; it goes out in parts of ``TOGETHER``, each of which takes one pass over ``rows``.
+    ``queries`` (``query_id, vector``) is a stated set; it goes out in parts of ``TOGETHER`` bytes, each of which takes one pass over ``rows``.
     """
     kind = queries.schema["query_id"].dataType
-    part = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / TOGETHER)
-    n = queries.count()
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = asked.withColumn("_part", part) if n > TOGETHER else asked.withColumn("_part", F.lit(0))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0)).alias("n")).first()["n"]
+    # parts by a hash, so no task sees all queries; twice as many as their sizes ask for, as they differ
+    parts = 1 if size <= TOGETHER else 2 * -(-size // TOGETHER)
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     schema = T.StructType([T.StructField("query_id", kind), *[rows.schema[k] for k in keys], T.StructField("distance", T.DoubleType())])
     out = rows.sparkSession.createDataFrame([], schema)
-    for k in range(-(-n // TOGETHER)):
-        here = asked.where(F.col("_part") == k).orderBy("query_id").collect()
-        for dim in sorted({len(r["vector"]) for r in here if r["vector"] is not None}):
-            own = [r for r in here if r["vector"] is not None and len(r["vector"]) == dim]
+    for k in range(parts):
+        here = asked.where(F.col("_part") == k).collect()
+        for dim in sorted({len(r["vector"]) for r in here}):
+            own = [r for r in here if len(r["vector"]) == dim]
             fn = _pairs(np.array([r["vector"] for r in own], np.float64), [r["query_id"] for r in own], to_arrow_type(kind), best)
             out = out.unionByName(rows.select(*keys, "embedding").mapInArrow(fn, schema))
     return out

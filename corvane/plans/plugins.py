@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import time
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.errors import InvalidQuery
-from corvane.settings import MAX_VARIANTS
+from corvane.errors import InvalidQuery, InvalidSettings
+from corvane.operators import replies
+from corvane.settings import MAX_VARIANTS, GroundingLimits
 from corvane.sources.shared import stored
 
 
@@ -191,6 +193,42 @@ class CallingExtractor:
         return rows.where("_x is not null").select("document_id", "chunk_id", "chunk_index", "_x.entities", "_x.relations")
 
 
+# The form that a chat model's answer has to have.
+ANSWER_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": list(replies.FIELDS),
+    "properties": {"answer": {"type": "string"}, "answer_basis": {"type": "string", "enum": list(replies.BASES)}} | {f: {"type": "array", "items": {"type": "string"}} for f in ("cited_evidence_ids", "notices", "warnings")},
+}
+
+
+class ChatGenerator:
+    """Answers of a chat model. ``complete`` sends the body of a request, which is JSON, and gives back the body of the reply; it is called on the executors, some at a time.
+
+    Each reply is read strictly; what is wrong with one is the ``failure`` of its question alone. A call that fails for good ends the step.
+    """
+
+    def __init__(self, complete: Callable[[str], str], model: str, temperature: float = 0.0, limits: GroundingLimits | None = None, attempts: int = 1 + RETRIES, wait: float = WAIT):
+        if not 0.0 <= temperature <= 2.0:
+            raise InvalidSettings("a temperature is from 0 to 2")
+        self.complete, self.model, self.temperature, self.limits, self.attempts, self.wait = complete, model, temperature, limits or GroundingLimits(), attempts, wait
+
+    def request(self, prompt: str) -> str:
+        """The body of a request for an answer of the one form."""
+        form = {"type": "json_schema", "json_schema": {"name": "grounded_answer", "strict": True, "schema": ANSWER_SCHEMA}}
+        return json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.limits.output_tokens, "stream": False, "response_format": form})
+
+    def answer(self, prompts: DataFrame) -> DataFrame:
+        """``query_id``, the fields of the answer, ``usage`` and ``failure``, the first rule of a reply that is broken, or null."""
+        complete, request, attempts, wait = self.complete, self.request, self.attempts, self.wait
+
+        @F.arrow_udf(T.StringType())
+        def sent(texts: pa.Array) -> pa.Array:
+            return pa.array(_in_order(complete, [request(t or "") for t in texts.to_pylist()], attempts, wait), pa.string())
+
+        bodies = stored(prompts.select("query_id", sent(F.col("prompt")).alias("body")), "replies")
+        rows = bodies.select("query_id", replies.parsed(F.col("body"), self.limits).alias("p"))
+        return rows.select("query_id", "p.reply.*", "p.usage", "p.failure")
+
+
 class Preflight:
     """A check that has to pass once before a provider is used. Callers that come together wait for one check; a failure is not remembered."""
 

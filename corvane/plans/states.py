@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import chunking, privacy, state
+from corvane.operators import events as client
 from corvane.plans.tables import CHUNKS_SQL, chunks, table
 from corvane.plans import workflow
 from corvane.sources.catalog import Store
@@ -126,6 +127,19 @@ def sse_json_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", state.sse_frame(F.col("event_type"), payload).alias("frame"))
 
 
+def sse_workflow_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of all kinds of events, errors of the stream among them; checkpoints are no client's."""
+    k, props = F.col("event_id"), F.concat(F.lit("<b> & "), "props")
+    kind = F.when(k % 41 == 0, "workflow_completed").when(k % 50 == 0, "stream_error")
+    for name, event in (("view", "node_started"), ("click", "node_completed"), ("error", "node_failed"), ("signup", "answer_chunk")):
+        kind = kind.when(F.col("event_type") == name, event)
+    rows = table(spark, d, "events").select(
+        "event_id", kind.otherwise("checkpoint").alias("event"), F.col("event_type").alias("node_name"), k.alias("sequence_ordinal"), props.alias("inputs_summary"), (k * 2).alias("duration_ms"), (k % 7).alias("error_kind"),
+        props.alias("error_message"), (k % 2 == 0).alias("retryable"), props.alias("chunk_text"), F.lit("LOST").alias("code"), props.alias("message"), F.lit(True).alias("success"), k.alias("total_duration_ms"), (k % 5).alias("vector_count"),
+    )
+    return client.frames(rows).select("event_id", "event", "frame")
+
+
 def intents(spark: SparkSession, d: str) -> DataFrame:
     """Orders as intents: due by their date, retried by their priority."""
     rows = table(spark, d, "orders")
@@ -263,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_state_machine, status_merge_replay, status_lookup, staged_latest_generation, staged_successor_generation, staged_row_validation, replace_document, upload_frames,
-        event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
+        event_ordinals_terminal_once, checkpoint_ordering, sse_json_projection, sse_workflow_frames, reconcile_due_topn, reconcile_backoff, reconcile_lease, reconcile_create,
         store_inspection_facts, upload_round_trip, upload_validation, count_consistency, store_ingest_counts, header_sanitize, lossy_decode, legacy_migration, count_rows_predicate, saturating_token_counts, response_json_projection, strict_json_keys, privacy_fields, stream_status_available_now, stream_event_ordinals, stream_event_windows,
     )
 }
@@ -319,6 +333,13 @@ SELECT o_orderkey, CASE WHEN is_json OR s = 'fixed_size' THEN 'fixed_size' ELSE
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number FROM events) WHERE event_id % 9 <> 0""",
     "sse_json_projection": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'click')
 SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"trace_id":' || user_id || ',"ordinal":' || n || ',"k":' || json_extract_string(props, '$.k') || ',"data":{"event_type":"' || event_type || '"}}' || chr(10) || chr(10) AS frame FROM x""",
+    "sse_workflow_frames": """WITH x AS (SELECT event_id AS k, event_type AS t, replace(replace(replace('<b> & ' || replace(props, '"', chr(92) || '"'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS p,
+  CASE WHEN event_id % 41 = 0 THEN 'workflow_completed' WHEN event_id % 50 = 0 THEN 'stream_error' WHEN event_type = 'view' THEN 'node_started' WHEN event_type = 'click' THEN 'node_completed' WHEN event_type = 'error' THEN 'node_failed'
+       WHEN event_type = 'signup' THEN 'answer_chunk' END AS event FROM events)
+SELECT k AS event_id, event, 'event: ' || event || chr(10) || 'data: ' || CASE event WHEN 'node_started' THEN '{"inputs_summary":"' || p || '","node_name":"view","sequence_ordinal":' || k || '}' WHEN 'node_completed' THEN '{"duration_ms":' || 2 * k || ',"node_name":"click","outputs_summary":""}'
+  WHEN 'node_failed' THEN '{"error_kind":' || k % 7 || ',"error_message":"' || p || '","node_name":"error","retryable":' || (k % 2 = 0) || '}' WHEN 'answer_chunk' THEN '{"chunk_text":"' || p || '","is_final":false}' WHEN 'stream_error' THEN '{"code":"LOST","message":"' || p || '"}'
+  ELSE '{"error_kind":' || k % 7 || ',"error_message":"' || p || '","notices":[],"metadata":{"bm25_count":0,"completed_at_ms":0,"completion_tokens":0,"degraded_mode":false,"graph_edge_count":0,"graph_node_count":0,"prompt_tokens":0,"reformulation_used":false,"started_at_ms":0,"vector_count":' || k % 5 || '},"success":true,"total_duration_ms":' || k || '}' END || chr(10) || chr(10) AS frame
+FROM x WHERE event IS NOT NULL""",
     "reconcile_due_topn": f"WITH {INTENTS_SQL} SELECT document_id, retry_count FROM intents WHERE next_attempt_at <= TIMESTAMP '1998-01-01' ORDER BY next_attempt_at, document_id LIMIT 10",
     "reconcile_backoff": f"WITH {INTENTS_SQL} SELECT document_id, retry_count * 3 - 3 AS retry_count, CAST(least(pow(2, least(retry_count * 3 - 3, 10)), 60) AS INTEGER) AS seconds FROM intents",
     "reconcile_lease": f"""WITH {INTENTS_SQL}, due AS (SELECT document_id FROM intents WHERE next_attempt_at <= TIMESTAMP '1998-01-01' ORDER BY next_attempt_at, document_id LIMIT 10)

@@ -148,6 +148,9 @@ def ask(
         given = given.unionByName(bare.select("query_id", prompt.model_only_prompt(F.col("question")).alias("prompt"), nothing.alias("evidence_ids"), nothing.alias("texts")))
         log.say(4, bare, "MODEL_ONLY", MODEL_ONLY)
     raw = timed("generate", lambda: generator.answer(given))
+    if "failure" in raw.columns:
+        log.fail(4, raw.where("failure is not null"), "malformed_reply", F.col("failure"))
+        raw = raw.where("failure is null").drop("failure")
     for code, name in (("MODEL_NOTICE", "notices"), ("MODEL_WARNING", "warnings")):
         log.say(4, raw.select("query_id", F.explode(name).alias("m")), code, F.col("m"))
     fixed = raw.withColumn("total_drop", F.lit(False))

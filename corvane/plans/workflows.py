@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import events
 from corvane.plans import plugins, workflow
 from corvane.plans.graphs import GRAPH_SQL, edges, vertices
 from corvane.plans.retrieval import _bm25
@@ -43,6 +44,15 @@ def workflow_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def workflow_responses(spark: SparkSession, d: str) -> DataFrame:
+    """What a client gets of each answer: its fields, without those of the variants."""
+    last = _answered(spark, d).checkpoints.where("node_name = 'post_GenerateAnswer'")
+    rows, at = last.select("trace_id", events.response(F.col("context_snapshot")).alias("r")), lambda path: F.get_json_object("r", f"$.{path}")
+    keys = lambda path: F.array_join(F.json_object_keys(at(path) if path else F.col("r")), ",")
+    return rows.select("trace_id", at("answer").alias("answer"), at("citations").alias("citations"), at("answer_basis").cast("int").alias("answer_basis"), F.json_array_length(at("structured_citations")).alias("n_cited"),
+                       at("notices[0].typed_code").cast("int").alias("typed_code"), keys("").alias("fields"), keys("snapshot").alias("controls"), at("snapshot.result_hash").alias("result_hash"))
+
+
 class LetterShares:
     """An embedder that SQL can repeat: the shares of some letters in a text."""
 
@@ -79,7 +89,7 @@ def workflow_events(spark: SparkSession, d: str) -> DataFrame:
     return workflow.ask(corpus, questions, settings, embedder=embedder).events
 
 
-QUERIES = {f.__name__: f for f in (workflow_answers, workflow_citations, workflow_checkpoints, workflow_graph_facts, workflow_events)}
+QUERIES = {f.__name__: f for f in (workflow_answers, workflow_citations, workflow_checkpoints, workflow_responses, workflow_graph_facts, workflow_events)}
 
 _FOUND = f"""{_bm25(limit=CANDIDATES)},
 found AS (
@@ -107,6 +117,11 @@ SELECT CAST(item_id AS VARCHAR) AS trace_id, CAST(k AS INTEGER) AS sequence_ordi
        CASE WHEN k >= 3 THEN 1 END AS variant_count, CASE WHEN k >= 3 THEN CAST(0 AS DOUBLE) END AS vector_weight, CASE WHEN k >= 3 THEN hash END AS result_hash, CASE WHEN k >= 3 THEN 'unversioned' END AS index_generation,
        CAST(CASE WHEN k >= 3 THEN n ELSE 0 END AS INTEGER) AS n_evidence, CASE WHEN k = 5 THEN 1 END AS cited_rank, text AS original_query, TRUE AS has_variants
 FROM benchmark JOIN f ON query_id = item_id, steps WHERE item_id % 20 = 0""",
+    "workflow_responses": f"""WITH {_FOUND},
+h AS (SELECT query_id, sha256(string_agg(chunk_id || chr(0), '' ORDER BY rank)) AS result_hash FROM bm25 WHERE rank <= {FINAL} GROUP BY query_id)
+SELECT CAST(query_id AS VARCHAR) AS trace_id, string_agg(said, '. ' ORDER BY rank) AS answer, '["' || string_agg(id, '","' ORDER BY rank) || '"]' AS citations, 1 AS answer_basis, CAST(count(*) AS INTEGER) AS n_cited, 18 AS typed_code,
+       'answer,citations,session_id,answer_basis,structured_citations,notices,snapshot' AS fields, 'index_generation,embedding_model,vector_weight,bm25_weight,rrf_k,candidate_limit,final_limit,active_filter,result_hash' AS controls, any_value(result_hash) AS result_hash
+FROM found JOIN h USING (query_id) GROUP BY query_id""",
     "workflow_graph_facts": f"""WITH {GRAPH_SQL},
 named AS (SELECT id AS entity_id, {_shares("name")} AS v FROM v),
 q AS (SELECT item_id AS query_id, {_shares("text")} AS v FROM benchmark WHERE item_id % 20 = 0),
