@@ -45,7 +45,7 @@ def _pairs(vectors: np.ndarray, ids: list, id_type: pa.DataType, best: int | Non
         for batch in batches:
             lists = batch.column("embedding")
             fits = np.flatnonzero(np.array(lists.value_lengths().fill_null(-1)) == vectors.shape[1])
-            own = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(fits.size, -1)
+            own = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(fits.size, vectors.shape[1])
             out = []
             for q, vector in enumerate(vectors if fits.size else vectors[:0]):
                 d = np.square(own - vector).sum(1)
