@@ -300,7 +300,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE, chars: int = PASS_CHARS) -> DataFrame:
-    """``docs`` without the rows in which some benchmark passage is, as in ``contaminated``; all columns stay, whatever their names."""
+    """``docs`` without the rows in which some benchmark passage is, as in ``contaminated``; all columns stay, whatever their names.
+
+    Rows with null and empty texts stay, and equal rows fare alike. Whole texts are searched, however long. An empty ``docs`` stays empty, and an empty benchmark removes nothing.
+    """
     item_type = benchmark.schema["item_id"].dataType
     items, n = parts(benchmark, chars)
     for k in range(n):

@@ -231,6 +231,7 @@ def repeats(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, run:
     Words are split at ASCII blanks, A-Z lower-cased. Null and empty texts, and those of less than five words, have no
     paragraphs. A document is an id with a text: rows equal in both count once, so a text repeated under one id is no repeat, and different texts of
     an id are different documents. Rows without an id come after all others. Other columns are not looked at; an empty table gives no rows.
+    Whole texts are cut into paragraphs, however long; a text's paragraphs are made in one task, in slabs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
     doc = ("id", "text_hash")

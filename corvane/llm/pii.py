@@ -122,7 +122,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def pii_spans(text: Column, threshold: float = THRESHOLD) -> Column:
-    """Array of the spans of a text column; null and empty texts have none."""
+    """Array of the spans of a text column; null and empty texts have none. Whole texts are searched, however long, in time proportional to their length but for long runs of digits, and equal texts have equal spans."""
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
@@ -135,7 +135,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets.
 
     Overlapping spans become one, named after the first. ``n_chars``, if there is such a column,
-    is the new length. Null texts stay null. All columns and rows stay.
+    is the new length. Null texts stay null, and empty ones empty. All columns and rows stay, repeated ones too; an empty table stays empty. Whole texts are searched, however long.
     """
 
     @F.arrow_udf(T.StringType())

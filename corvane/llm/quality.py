@@ -103,7 +103,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = FO
     The labelled rows form a bounded sample in the order of a hash of their id: the driver gets
     two blocks of each of ``dictionary_docs`` documents a class, and a few numbers for each of ``curve_docs``
     others, whose whole texts the executors compress. An id with several labels has their smallest;
-    null labels and ids teach nothing.
+    null labels and ids teach nothing, and null texts are empty ones. Empty tables, or labels of one class alone, give a model without dictionaries, by which every score is the smoothed share of good labels. Columns beside
+    those named are not looked at.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     known = known.where(~held_out(F.col("doc_id"), folds)).join(docs.select("doc_id"), "doc_id", "left_semi")

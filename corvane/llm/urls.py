@@ -157,7 +157,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE, fold: int = 0) -> Model:
     """Trees of at most ``sample`` of the pages outside the held-out fold of hosts, in the order of a hash of url and id.
 
     Suffix statistics are smoothed shares of unwanted URLs among all pages outside that fold; a suffix of
-    fewer than ``LEAST`` has the mean.
+    fewer than ``LEAST`` has the mean. Null URLs teach nothing, repeated rows count as often as they are there, and other columns are not looked at, but for ``page_id``. An empty
+    table, or one of a single class, gives no trees: every score is the mean.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.where("url is not null").withColumn("_host", host).withColumn("_path", path)
