@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.errors import InvalidDocument
 from corvane.functions.text import fold_name, trimmed
 from corvane.settings import MAX_ENTITIES, MAX_RELATIONS, MIN_EXTRACTION_BYTES
+from corvane.sources.shared import stored
 
 
 def extractable(chunks: DataFrame) -> DataFrame:
@@ -62,16 +63,17 @@ def _endpoints(relations: DataFrame) -> DataFrame:
     return relations.withColumn("_source", fold_name(F.col("source"))).withColumn("_target", fold_name(F.col("target")))
 
 
-def _in_chunk(extracted: DataFrame, name: str) -> DataFrame:
-    return extracted.select("chunk_id", fold_name(F.col("name")).alias(name)).distinct()
+def _in_chunk(extracted: DataFrame) -> DataFrame:
+    """The folded names of each chunk, folded once for both ends of the relations."""
+    return stored(extracted.select("chunk_id", fold_name(F.col("name")).alias("_name")).distinct(), "names")
 
 
 def mapped_relations(relations: DataFrame, extracted: DataFrame, resolved: DataFrame) -> DataFrame:
     """Graph edges of the relations whose two ends are names extracted from the same chunk."""
-    rows = _endpoints(relations)
+    rows, names = _endpoints(relations), _in_chunk(extracted)
     for end in ("_source", "_target"):
-        rows = rows.join(_in_chunk(extracted, end), ["chunk_id", end], "left_semi")
-    ids = resolved.select("folded", "entity_id")
+        rows = rows.join(names.withColumnRenamed("_name", end), ["chunk_id", end], "left_semi")
+    ids = stored(resolved.select("folded", "entity_id"), "resolved")
     rows = rows.join(ids.withColumnsRenamed({"folded": "_source", "entity_id": "source_node_id"}), "_source")
     rows = rows.join(ids.withColumnsRenamed({"folded": "_target", "entity_id": "target_node_id"}), "_target")
     return rows.select(
@@ -82,10 +84,10 @@ def mapped_relations(relations: DataFrame, extracted: DataFrame, resolved: DataF
 
 def unmapped_relations(relations: DataFrame, extracted: DataFrame) -> DataFrame:
     """The relations that are dropped, as an end is no name extracted from the same chunk."""
-    rows = _endpoints(relations)
+    rows, names = _endpoints(relations), _in_chunk(extracted)
     both = rows
     for end in ("_source", "_target"):
-        both = both.join(_in_chunk(extracted, end), ["chunk_id", end], "left_semi")
+        both = both.join(names.withColumnRenamed("_name", end), ["chunk_id", end], "left_semi")
     return rows.join(both.select("chunk_id", "pos"), ["chunk_id", "pos"], "left_anti").select(relations.columns)
 
 

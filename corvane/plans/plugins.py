@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.errors import InvalidQuery, InvalidSettings
-from corvane.operators import replies
-from corvane.settings import MAX_VARIANTS, GroundingLimits
+from corvane.operators import entities, replies
+from corvane.settings import MAX_VARIANTS, Bm25Settings, Filters, GroundingLimits
 from corvane.sources.shared import stored
 
 
@@ -47,9 +47,9 @@ class Extractor(Protocol):
 
 
 class Retriever(Protocol):
-    """Ranked chunks (``query_id``, the chunk's keys, ``score``) of ``queries`` (``query_id, text``)."""
+    """Ranked chunks (``query_id``, the chunk's keys, ``score``) of ``queries`` (``query_id, text``), as a kept index gives them."""
 
-    def search(self, queries: DataFrame, limit: int) -> DataFrame: ...
+    def search(self, queries: DataFrame, limit: int, filters: Filters | None = None, settings: Bm25Settings | None = None) -> DataFrame: ...
 
 
 class EntityResolver(Protocol):
@@ -58,15 +58,6 @@ class EntityResolver(Protocol):
     def resolve(self, extracted: DataFrame, known: DataFrame) -> DataFrame: ...
 
 
-class Node(Protocol):
-    """A step of a workflow: its name, its limit in seconds, and what it adds to the run's context."""
-
-    name: str
-    seconds: float
-
-    def run(self, context: dict) -> dict: ...
-
-
 class CheckpointSink(Protocol):
     """Where checkpoint rows (``trace_id, sequence_ordinal, node_name, context_snapshot``) go; a row may come twice."""
 
@@ -275,6 +266,13 @@ class SameQuestion:
         return questions.select("query_id", F.lit(0).alias("variant"), F.col("question").alias("text"))
 
 
+class FoldedNames:
+    """Entities of one folded name are one."""
+
+    def resolve(self, extracted: DataFrame, known: DataFrame) -> DataFrame:
+        return entities.resolve(extracted, known)
+
+
 class KeepOrder:
     def rerank(self, results: DataFrame) -> DataFrame:
         return results

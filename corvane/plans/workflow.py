@@ -11,7 +11,7 @@ import threading
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from corvane.errors import TimedOut
 from corvane.functions.text import chunk_strategy, content_type, lossy_text, trimmed
 from corvane.operators import answer, chunking, dense, entities, fusion, graph, lexical, prompt, snapshot, state
-from corvane.plans.plugins import CapitalisedNames, FirstSentences, HashEmbedder, KeepOrder, RetryingGenerator, SameQuestion
+from corvane.plans.plugins import CapitalisedNames, FirstSentences, FoldedNames, HashEmbedder, KeepOrder, Retriever, RetryingGenerator, SameQuestion
 from corvane.settings import MAX_VARIANTS, Filters, Settings, Timeouts
-from corvane.sources.index import InvertedIndex
 from corvane.sources.shared import stored
 
 STEPS = ("ReformulateQuery", "ExtractGraphContext", "RetrieveHybrid", "AssemblePrompt", "GenerateAnswer")
@@ -35,12 +34,12 @@ ABLATION = "Graph context disabled by caller request"
 
 @dataclass
 class Corpus:
-    """``chunks`` with embeddings; the entity graph and a kept index of the chunks may be missing. ``generation`` names the state of the corpus."""
+    """``chunks`` with embeddings; the entity graph and a retriever of the chunks, such as their kept index, may be missing. ``generation`` names the state of the corpus."""
 
     chunks: DataFrame
     vertices: DataFrame | None = None
     edges: DataFrame | None = None
-    index: InvertedIndex | None = None
+    index: Retriever | None = None
     generation: str = "unversioned"
 
 
@@ -94,6 +93,30 @@ def _reason(error: Exception) -> str:
     return (str(error).strip().splitlines() or [type(error).__name__])[0][:200]
 
 
+@contextmanager
+def cancelled_when_left(spark):
+    """Jobs that are started within, also by threads that outlive it, are cancelled when it is left, as when nobody waits for a stream any more."""
+    tag = f"corvane-{uuid.uuid4().hex}"
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield tag
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def _cancelling(run):
+    """A run after whose end, by whatever cause, none of its jobs goes on."""
+
+    @wraps(run)
+    def inner(corpus: Corpus, questions: DataFrame, *args, **kwargs) -> Answered:
+        with cancelled_when_left(questions.sparkSession):
+            return run(corpus, questions, *args, **kwargs)
+
+    return inner
+
+
+@_cancelling
 def ask(
     corpus: Corpus, questions: DataFrame, settings: Settings | None = None, filters: Filters | None = None, embedder=None, reformulator=None, reranker=None, generator=None,
     graph_context: bool = True, analyzer=lexical.plain_terms, timeouts: Timeouts | None = None, sink=None, session_id: str = "",
@@ -304,14 +327,14 @@ def _contexts(live, session_id, filters, variants, vectors, facts, lists, final,
     return snapshot.side_by_side([rows, *parts], "query_id")
 
 
-def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0) -> DataFrame:
+def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0, resolver=None) -> DataFrame:
     """Ingest staged documents: chunks, vectors, chunk edges, then entities and their edges.
 
     Returns ``document_id, status, message``. Documents are replaced in one commit and the graph in another. If the first fails the documents have failed and are
     unstaged; if they can't be unstaged either, they stay staged without a status, to be replayed. A failure of the second is told in the message, and the
     documents are complete.
     """
-    embedder, extractor = embedder or HashEmbedder(), extractor or CapitalisedNames()
+    embedder, extractor, resolver = embedder or HashEmbedder(), extractor or CapitalisedNames(), resolver or FoldedNames()
     docs = staged.select(
         "document_id", "filename", "raw_content", lossy_text(F.col("raw_content")).alias("content"), content_type(F.col("filename")).alias("content_type"),
         chunk_strategy(F.col("filename"), F.col("chunk_strategy")).alias("strategy"), "chunk_size", "chunk_overlap",
@@ -331,14 +354,14 @@ def ingest(store, staged: DataFrame, embedder=None, extractor=None, now: int = 0
             return status("queued", "").limit(0)
         return status("failed", _reason(error))
     try:
-        fewer = _extract(store, ids, embedder, extractor)
+        fewer = _extract(store, ids, embedder, extractor, resolver)
     except Exception as error:
         return status("completed", f"graph: {_reason(error)}")
     told = fewer.select("document_id", F.format_string("graph: %d edges, fewer than the %d before", "written", "prior").alias("_fewer"))
     return status("completed", None).join(told, "document_id", "left").select("document_id", "status", F.col("_fewer").alias("message"))
 
 
-def _extract(store, ids: DataFrame, embedder, extractor) -> DataFrame:
+def _extract(store, ids: DataFrame, embedder, extractor, resolver) -> DataFrame:
     """Write the entities and edges of the documents. Returns ``document_id, prior, written`` of those that have fewer edges than before."""
     own = store.table("nodes").join(ids, "document_id", "left_semi")
     found = extractor.extract(entities.extractable(own))
@@ -346,7 +369,7 @@ def _extract(store, ids: DataFrame, embedder, extractor) -> DataFrame:
     keys = ["document_id", "chunk_id", "chunk_index"]
     named = found.select(*keys, F.posexplode("entities").alias("pos", "e")).select(*keys, "pos", "e.*")
     related = found.select(*keys, F.posexplode("relations").alias("pos", "r")).select(*keys, "pos", "r.*")
-    resolved = entities.resolve(named, store.table("entities"))
+    resolved = resolver.resolve(named, store.table("entities"))
     old = store.table("entities").select("entity_id", F.col("name_vector").alias("_v"))
     rows = resolved.join(old, "entity_id", "left").withColumn("name_vector", F.coalesce("_v", embedder.embed(F.col("name")))).drop("_v")
     rows = stored(rows, "entities")
@@ -362,18 +385,6 @@ def replay(store, **kwargs) -> DataFrame | None:
     return None if staged.isEmpty() else ingest(store, staged, **kwargs)
 
 
-@contextmanager
-def cancelled_when_left(spark):
-    """Jobs that are started within, also by threads that outlive it, are cancelled when it is left, as when nobody waits for a stream any more."""
-    tag = f"corvane-{uuid.uuid4().hex}"
-    spark.sparkContext.addJobTag(tag)
-    try:
-        yield tag
-    finally:
-        spark.sparkContext.removeJobTag(tag)
-        spark.sparkContext.cancelJobsWithTag(tag)
-
-
 def with_time_limit(spark, seconds: float, run):
     """``run()`` with its Spark jobs cancelled once the time is over, which is an error of its own."""
     tag, over = f"corvane-{uuid.uuid4().hex}", threading.Event()

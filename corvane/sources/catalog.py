@@ -24,6 +24,8 @@ from corvane.sources.schemas import BUCKETED_BY, LEGACY_STAGED, SCHEMAS
 from corvane.sources.shared import stored
 
 BUCKETS, SPREAD = 64, 4
+#: Bytes of a bucket from which a table is dealt into twice as many, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 1 << 16
 
 
 class Store:
@@ -137,10 +139,24 @@ class Store:
 
     # writing
 
-    def _bucket(self, name: str):
-        return F.pmod(F.xxhash64(BUCKETED_BY[name]), F.lit(self.manifest["buckets"])).cast("int")
+    def _buckets(self, name: str) -> int:
+        return self.manifest["tables"].get(name, {}).get("buckets", self.manifest["buckets"])
 
-    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+    def _bucket(self, name: str, buckets: int | None = None):
+        return F.pmod(F.xxhash64(BUCKETED_BY[name]), F.lit(buckets or self._buckets(name))).cast("int")
+
+    def _wanted_buckets(self, name: str) -> int:
+        """As many buckets as the table has, or twice as many again and again until they are small."""
+        size = 0
+        for folder in set(self.manifest["tables"][name]["parts"].values()):
+            path, fs = self._fs(folder)
+            size += fs.getContentSummary(path).getLength()
+        buckets = self._buckets(name)
+        while buckets < MOST_BUCKETS and size > buckets * BUCKET_BYTES:
+            buckets *= 2
+        return buckets
+
+    def _write(self, name: str, rows: DataFrame, buckets: int | None = None) -> dict[str, str]:
         """Write rows as new folders, one a bucket, and return those."""
         self.before_write(name)
         folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
@@ -154,7 +170,7 @@ class Store:
             checked = checked.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{name}.{c} is null"))).otherwise(F.col(c)))
         # a few files for each bucket; a large one is dealt over as many tasks
         spread = F.pmod(F.xxhash64(*SCHEMAS[name].fieldNames()[:2]), F.lit(SPREAD))
-        dealt = checked.withColumn("_bucket", self._bucket(name)).repartition("_bucket", spread)
+        dealt = checked.withColumn("_bucket", self._bucket(name, buckets)).repartition("_bucket", spread)
         dealt.write.partitionBy("_bucket").parquet(folder)
         path, fs = self._fs(folder)
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
@@ -168,18 +184,20 @@ class Store:
     def _rewritten(self, name: str, keys: DataFrame, new: DataFrame, key: str | None = None, counts: tuple[Observation, Observation] | None = None) -> dict:
         """The table's entry after the rows of ``keys`` gave way to ``new``.
 
-        With the bucketing column as key only the buckets of these keys are read and written; with another one, all are. ``counts`` get ``n``, the rows that went and those that came, from the job that writes.
+        With the bucketing column as key only the buckets of these keys are read and written; with another one, or when the table has outgrown its buckets, all are. ``counts`` get ``n``, the rows that went and those that came, from the job that writes.
         """
         entry, key = self.manifest["tables"][name], key or BUCKETED_BY[name]
         parts, fields = entry["parts"], SCHEMAS[name].fields
-        touched = self._touched(name, keys.select(key).union(new.select(key))) if key == BUCKETED_BY[name] else dict(parts)
+        buckets = self._wanted_buckets(name)
+        some = key == BUCKETED_BY[name] and buckets == self._buckets(name)
+        touched = self._touched(name, keys.select(key).union(new.select(key))) if some else dict(parts)
         own = new.select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         gone = new.select(key).union(keys.select(key)).distinct().withColumn("_gone", F.lit(True))
         old = self._frame(SCHEMAS[name], touched).join(gone, key, "left")
         if counts:
             old, own = old.observe(counts[0], F.count("_gone").alias("n")), own.observe(counts[1], F.count(F.lit(1)).alias("n"))
-        written = self._write(name, old.where("_gone is null").select(own.columns).unionByName(own))
-        return {**entry, "parts": {**{b: p for b, p in parts.items() if b not in touched}, **written}}
+        written = self._write(name, old.where("_gone is null").select(own.columns).unionByName(own), buckets)
+        return {**entry, "buckets": buckets, "parts": {**{b: p for b, p in parts.items() if b not in touched}, **written}}
 
     def _change(self, **entries: dict) -> None:
         self._commit({**self.manifest["tables"], **entries})

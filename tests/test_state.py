@@ -67,3 +67,26 @@ def test_store_fails_closed(spark, tmp_path):
     with pytest.raises(SchemaDrift):
         Store.open(spark, store.root)
     assert Store.initialise(spark, store.root).count("staged_documents") == 0
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from corvane.sources import catalog
+
+    store = catalog.Store.initialise(spark, str(tmp_path / "s"), buckets=2)
+    docs = lambda ids: spark.createDataFrame([(f"d{k}", b"x" * 100) for k in ids], "document_id string, raw_content binary")
+    none = [spark.createDataFrame([], store.table(t).schema) for t in ("nodes", "edges")]
+    chunks, edges = none[0].drop("content_hash", "token_estimate_scheme", "token_estimate_version", "chunker_version", "embedding", "embedding_model", "ingested_at"), none[1]
+    store.replace_documents(docs(range(40)), chunks, edges)
+    before = set(store.manifest["tables"]["documents"]["parts"].values())
+    assert len(before) == 2
+    store.replace_documents(docs([1]), chunks, edges)
+    assert len(before & set(store.manifest["tables"]["documents"]["parts"].values())) == 1  # one bucket alone is written anew
+    monkeypatch.setattr(catalog, "BUCKET_BYTES", 500)
+    store.replace_documents(docs([2, 99]), chunks, edges)
+    monkeypatch.setattr(catalog, "BUCKET_BYTES", 1 << 40)
+    table = catalog.Store.open(spark, str(tmp_path / "s"))
+    assert table.manifest["tables"]["documents"]["buckets"] >= 8 and len(table.manifest["tables"]["documents"]["parts"]) > 4
+    assert sorted(r.document_id for r in table.table("documents").collect()) == sorted(f"d{k}" for k in [*range(40), 99])
+    kept = set(table.manifest["tables"]["documents"]["parts"].values())
+    table.replace_documents(docs([5]), chunks, edges)
+    assert len(kept - set(table.manifest["tables"]["documents"]["parts"].values())) == 1 and table.count("documents") == 41
