@@ -14,6 +14,7 @@ NAMES = (
     "citation_repair", "grounding_check", "status_state_machine", "replace_document", "checkpoint_ordering", "store_inspection_facts", "stream_status_available_now",
     "prompt_assembled", "chunk_headings_sections", "unicode_terms_identifiers", "store_ingest_counts", "workflow_answers", "workflow_citations", "generator_reply_rules", "graph_limits_over", "dense_topk_case_sensitive",
     "upload_frames", "reconcile_create", "extractable_chunks", "html_escape",
+    "index_postings", "bm25_topk_indexed", "privacy_fields", "stream_event_ordinals", "sse_workflow_frames", "graph_facts_summarised", "workflow_checkpoints",
 )
 
 
