@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -57,6 +57,11 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return found
 
 
+def covering(radius: int) -> Column:
+    """The buckets of ``fp``, one for each mask: two fingerprints within the radius share at least one."""
+    return F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius))])
+
+
 def _fingerprints(words: int):
     def fn(batches):
         for batch in batches:
@@ -100,8 +105,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     prints = materialise(spark, fingerprints(docs, id_col, text_col, words), "prints")
     first = materialise(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(radius))])
-    found = candidates(spark, first.select(F.explode(tables).alias("bucket"), F.col("fp").alias("item")), block)
+    found = candidates(spark, first.select(F.explode(covering(radius)).alias("bucket"), F.col("fp").alias("item")), block)
     groups = materialise(spark, connected_components(spark, linked(paired(spark, found, block, _by_parts(radius), radius + 1), _near(radius))), "groups")
     discard(spark, found)
     smallest = groups.join(first, groups["node"] == first["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
@@ -115,17 +119,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of smallest ``doc_id`` and text hash.
 
-    Texts link if their five-word shingles have a Jaccard similarity of ``similar`` or more; fingerprints
-    decide nothing here. A document is an id with a text: unrelated texts that share an id all stay. Rows
+    Fingerprints of five-word shingles within ``radius`` bits are candidates by the covering, further ones by bands; texts link
+    if these shingles have a Jaccard similarity of ``similar`` or more. A document is an id with a text: unrelated texts that share an id all stay. Rows
     without an id come last, so they go where an identified row is near. Null and empty texts are near each other.
     Of rows equal in id and text one stays. All columns stay, whatever their names; an empty table gives no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
-    groups = similar_groups(spark, rows.select("id", "text_hash", F.col("row.text").cast("binary").alias("raw")), similar)
+    groups = similar_groups(spark, rows.select("id", "text_hash", F.col("row.text").cast("binary").alias("raw")), fingerprint, covering(radius), similar)
     keep = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("kept")).select("kept.id", "kept.text_hash")
     once = Window.partitionBy("id", "text_hash").orderBy(F.xxhash64("row"))
     kept = rows.alias("l").join(keep.alias("r"), same("l", "r", "id", "text_hash")).select("l.*")

@@ -62,3 +62,22 @@ def test_unrelated_texts_of_one_id_stay(spark):
     rows = [(7, t, "a") for t in texts] + [(7, texts[0], "b"), (8, texts[1], "a"), (3, texts[2], "a")]
     kept = simhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, t) for k, t in enumerate(texts) if k != 2] + [(3, texts[2])])
+
+
+def test_the_covering_brings_together_all_within_its_radius(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(4), []
+    for k in range(30):
+        words = rng.choices(WORDS, k=400)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    texts = spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("raw"))
+    # without bands, so that only fingerprints bring texts together
+    items = similar.itemised(texts, simhash.fingerprint).withColumn("keys", F.array().cast("array<long>")).cache()
+    prints = {r.id: (r.item, r.fp & (1 << 64) - 1) for r in items.collect()}
+    assert all(prints[i][1] == simhash.fingerprint(t.encode(), similar.SHINGLE) for i, t in rows)
+    sharing = {}
+    for r in similar.buckets(items, simhash.covering(4)).collect():
+        sharing.setdefault(r.item, set()).add(r.bucket)
+    near = [(a, b) for k in range(30) for (a, x), (b, y) in [(prints[2 * k], prints[2 * k + 1])] if (x ^ y).bit_count() <= 4]
+    assert len(near) > 20 and all(len(sharing[a]) == 31 and sharing[a] & sharing[b] for a, b in near)
