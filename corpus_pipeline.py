@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, as ``simhash.drop_near_duplicates`` says; null and empty texts are one group."""
+    """One document of each group of near duplicates, by SimHash and its covering as ``simhash.drop_near_duplicates`` says; null and empty texts are one group."""
     return simhash.drop_near_duplicates(spark, docs)
 
 
