@@ -68,3 +68,18 @@ def test_small_functions(spark):
     assert one(spark, tx.safe_header(t, 3), t="a bécd") == "abc"
     assert [one(spark, tx.valid_json(t), t=x) for x in ('{"a":1}', "{", '{"a":1}}', "1,2", "1},{\"a\":2")] == [True, False, False, False, False]
     assert one(spark, tx.lossy_text(F.lit(b"a\xffb")), t="") == "a�b"
+
+
+def test_chunks_of_a_task_leave_in_small_batches():
+    import pyarrow as pa
+
+    from corvane.operators import chunking
+
+    schema = pa.schema([("k", pa.int64()), ("chunk_index", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("content", pa.string()), ("section_path", pa.string())])
+    texts = ["# A\n\n" + "word " * 600_000, None, "", "é\n\n" * 10]
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "t": texts, "s": pa.array([500, 500, 500, 2], pa.int32()), "o": pa.array([50, 50, 50, 1], pa.int32())})
+    out = list(chunking._markdown(schema)(iter([batch])))
+    assert len(out) >= 3 and max(sum(map(len, b.column("content").to_pylist())) for b in out) < 2 * chunking.CHARS_TOGETHER
+    rows = [(r["k"], r["chunk_index"], {k: r[k] for k in ("char_start", "char_end", "content", "section_path")}) for b in out for r in b.to_pylist()]
+    want = [(k, i, c) for k, t, s, o in zip([1, 2, 3, 4], texts, [500, 500, 500, 2], [50, 50, 50, 1], strict=True) for i, c in enumerate(chunking.cut_markdown(t or "", s, o))]
+    assert rows == want
