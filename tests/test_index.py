@@ -150,3 +150,25 @@ def test_store_keeps_its_index_in_step(spark, tmp_path, asked):
     with pytest.raises(OSError):
         replace([1])
     assert store.manifest["version"] == version and rows_of(store.index().search(asked, 6)) == rows_of(lexical.search(nodes, asked, 6))
+
+
+def test_blocks_of_a_folder_are_shuffled_as_one_row_and_come_back_whole(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rng, fields = random.Random(8), ("content", "title", "section_path")
+    schema = InvertedIndex(spark, "unused")._schema("blocks")
+    words = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    rows = [{"segment": 1, "place": p, "content": words(20), "title": words(p % 3), "section_path": []} for p in range(3000)]
+    tokens = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("segment", pa.int32()), ("place", pa.int64()), *[(f, pa.list_(pa.string())) for f in fields]]))
+    made = kept._blocks_of(fields, 7, to_arrow_schema(schema))
+    packed = kept._packed(schema, fields)
+    out = list(kept._packing(made, fields, 4, to_arrow_schema(packed))(iter([tokens])))
+    blocks = [b for batch in made(iter([tokens])) for b in batch.to_pylist()]
+    assert 0 < sum(b.num_rows for b in out) < len(blocks) / 50 and max(b.num_rows for b in out) <= 4
+    frame = spark.createDataFrame([tuple(r.values()) for b in out for r in b.to_pylist()], packed)
+    back = [r.asDict() for r in kept._unpacked(frame, schema, fields).drop("_bucket").collect()]
+    by = lambda b: (b["term"], b["range"])
+    assert sorted(back, key=by) == sorted(blocks, key=by)
+    at = {(b["term"], (b["range"] << 7) + p): n for b in blocks for p, n in zip(b["places"], b["tf_contents"] or [], strict=False) if n}
+    assert at == {(w, r["place"]): r["content"].count(w) for r in rows for w in r["content"]}
