@@ -134,3 +134,11 @@ def test_digests_of_chunk_ids_without_lists(spark):
     assert got == {name: (len(ids), hashlib.md5(",".join(x for x in ids if x is not None).encode()).hexdigest()) for name, ids in listed.items()}
     assert set(got) == {"acme", "other", "only known"} and got["only known"][0] == 1 and got["acme"][0] > 2 * entities.IDS_TOGETHER
     assert "collect_" not in digests._jdf.queryExecution().toString()
+
+
+def test_seeds_meet_the_vectors_once(spark):
+    v = vertices(spark, "a", "b", "c")
+    q = spark.createDataFrame([(0, [0.9, 0.0]), (1, [1.9, 0.0])], "query_id int, vector array<float>")
+    start = graph.nearest_seed(v, q, 0.1)
+    assert sorted((r.query_id, r.entity_id) for r in start.collect()) == [(0, "b"), (1, "c")]
+    assert "MapInArrow" not in start._jdf.queryExecution().toString()
