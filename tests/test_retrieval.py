@@ -95,3 +95,52 @@ def test_one_variant_passes_unchanged(spark):
     assert sorted((r.chunk_id, r.fused_score) for r in across.collect()) == sorted((r.chunk_id, r.fused_score) for r in fused.collect())
     with pytest.raises(InvalidSettings):
         fusion.check_variants(lists(spark, *((v, "bm25", "d", "c", 1.0) for v in range(9))))
+
+
+def test_nearest_rows_by_products_are_those_by_differences():
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(1)
+    odd = [[float("inf"), 0.0, 0.0], [float("nan"), 0.0, 0.0], [1e160, 0.0, 0.0]]
+    for offset, extra in ((0.0, []), (1e7, []), (0.0, odd)):
+        rows = [*(offset + random.integers(-3, 4, (500, 3)) / 8).tolist(), *extra]
+        asked = offset + random.integers(-3, 4, (150, 3)) / 8
+        batch = pa.RecordBatch.from_pydict({"id": list(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float64()))})
+        got = [x for b in dense._pairs(asked, list(range(150)), pa.int64(), 4)([batch]) for x in zip(*[b.column(c).to_pylist() for c in ("query_id", "id", "distance")], strict=True)]
+        for q in range(150):
+            d = np.square(np.array(rows) - asked[q]).sum(1)
+            last = np.partition(d, 3)[3] + 1e-9
+            near = [k for k, x in enumerate(d) if not x > last]
+            assert [k for o, k, _ in got if o == q] == near
+            np.testing.assert_array_equal([x for o, _, x in got if o == q], d[near])
+
+
+def test_queries_meet_a_batch_in_few_products(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    seen = []
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, k, **x: (seen.append(np.size(a)), real(a, k, **x))[1])
+    vectors = np.random.default_rng(2).normal(size=(2000, 8))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2000)), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    list(dense._pairs(vectors[:128], list(range(128)), pa.int64(), 5)([batch]))
+    assert sum(n == 2000 for n in seen) == 0  # no query is held against all rows one by one
+
+
+def test_terms_are_counted_where_a_chunk_is_read(spark):
+    def post(rows):
+        tok = spark.createDataFrame(rows, "document_id string, chunk_index int, chunk_id string, content array<string>, title array<string>, section_path array<string>")
+        out = lexical.postings(tok)
+        return out._jdf.queryExecution().toString(), sorted((r.chunk_id, r.field, r.length, r.term, r.tf) for r in out.collect())
+
+    one, other = ("a", 0, "a:0", ["y", "x", "y", "y"], ["x"], []), ("b", 0, "b:0", ["z"], [], ["z", "z"])
+    expected = [("a:0", "content", 4, "x", 1), ("a:0", "content", 4, "y", 3), ("a:0", "title", 1, "x", 1), ("b:0", "content", 1, "z", 1), ("b:0", "section_path", 2, "z", 2)]
+    plan, got = post([one, other])
+    assert got == expected and "Exchange" not in plan and "Aggregate" not in plan
+    # rows of one key: fields of the same length are one, others stay apart
+    twice = ("a", 0, "a:0", ["x", "x", "q", "y"], [], ["s"])
+    longer = ("a", 0, "a:0", ["x"], [], [])
+    _, got = post([one, other, twice, longer])
+    assert got == sorted([("a:0", "content", 1, "x", 1), ("a:0", "content", 4, "q", 1), ("a:0", "content", 4, "x", 3), ("a:0", "content", 4, "y", 4), ("a:0", "section_path", 1, "s", 1), *expected[2:]])
