@@ -26,30 +26,41 @@ DEEPEST = 64
 def category(name: Column) -> Column:
     """The class of a field's name, however its words are joined; null for a harmless one."""
     words = F.regexp_replace(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]", "_")
-    joined = F.replace(words, F.lit("_"), F.lit(""))
-    has = lambda k: F.contains(words, F.lit(k)) | F.contains(joined, F.lit(k.replace("_", "")))
-    return F.coalesce(*[F.when(reduce(Column.__or__, map(has, keys)), F.lit(c)) for c, keys in CATEGORIES])
+
+    def of(form: Column) -> Column:
+        has = lambda k: F.contains(form["words"], F.lit(k)) | F.contains(form["joined"], F.lit(k.replace("_", "")))
+        return F.coalesce(*[F.when(reduce(Column.__or__, map(has, keys)), F.lit(c)) for c, keys in CATEGORIES])
+
+    # bound to a variable, so that both forms are made once and not for each of the names
+    forms = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.replace(w, F.lit("_"), F.lit("")).alias("joined")))
+    return F.get(F.transform(forms, of), F.lit(0))
 
 
 def fields(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key, path, field`` of every field of the JSON in ``text``, at any depth: a path of ``.member`` and ``[index]`` steps from ``root``.
 
-    A level of all documents at a time: the members of one level's containers are the next level. Texts that are no JSON, and null ones, have no fields.
-    A document deeper than ``DEEPEST`` is an error.
+    A level of all documents at a time: the members of one level's containers are the next level. A level is stored with its fields, so it is made once.
+    Texts that are no JSON, and null ones, have no fields. A document deeper than ``DEEPEST`` is an error.
     """
-    level = rows.select(key, F.lit("root").alias("path"), F.try_parse_json(text).alias("value"))
-    found = []
-    for _ in range(DEEPEST):
-        level = stored(level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")), "level")
-        if level.isEmpty():
-            none = rows.select(key, F.lit("").alias("path"), F.lit("").alias("field")).limit(0)
-            return reduce(DataFrame.unionByName, found, none)
+    found = [rows.select(key, F.lit("").alias("path"), F.lit("").alias("field")).limit(0)]
+    level = _containers(rows.select(key, F.lit("root").alias("path"), F.lit(None).cast("string").alias("field"), F.try_parse_json(text).alias("value")))
+    for _ in range(DEEPEST - 1):
         members = level.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("_pos", "_key", "_member"))
-        step = F.when(F.col("_key").isNull(), F.format_string("[%d]", "_pos")).otherwise(F.lit(".member"))
-        level = members.select(key, F.concat("path", step).alias("path"), F.col("_key").alias("field"), F.col("_member").alias("value"))
-        found.append(level.where("field is not null").select(key, "path", "field"))
-        level = level.drop("field")
-    raise ValueError(f"JSON deeper than {DEEPEST} levels")
+        step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.lit(".member"))
+        below = stored(_containers(members.select(key, F.concat("path", step).alias("path"), F.col("_key").alias("field"), F.col("_member").alias("value"))), "level")
+        if below.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(below.where("field is not null").select(key, "path", "field"))
+        level = below.where("value is not null")
+    if not level.isEmpty():
+        raise ValueError(f"JSON deeper than {DEEPEST} levels")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _containers(rows: DataFrame) -> DataFrame:
+    """Rows that name a field or hold a container, with no other value."""
+    holds = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
+    return rows.withColumn("value", F.when(holds, F.col("value"))).where("field is not null or value is not null")
 
 
 def sensitive(rows: DataFrame, key: str, text: str) -> DataFrame:

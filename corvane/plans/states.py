@@ -254,7 +254,7 @@ def privacy_fields(spark: SparkSession, d: str) -> DataFrame:
     props = F.col("props")
     nested = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": [1, {"userCredentials": '), props, F.lit('}], "raw-content": "x", "ok": {"apiKey": null, "k": [[{"X-Header": 1}]]}}')))
     nested = nested.when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"bearer": {"secrets": '), props, F.lit("}}]"))).otherwise(props)
-    found = privacy.sensitive(table(spark, d, "events").select("event_id", nested.alias("body")), "event_id", "body")
+    found = privacy.sensitive(spread(table(spark, d, "events")).select("event_id", nested.alias("body")), "event_id", "body")
     return found.groupBy("event_id", "category").agg(F.count("*").alias("n"))
 
 

@@ -19,3 +19,11 @@ def test_documents_that_are_too_deep(spark, monkeypatch):
     monkeypatch.setattr(privacy, "DEEPEST", 3)
     with pytest.raises(ValueError, match="deeper"):
         privacy.fields(spark.createDataFrame([(1, "[[[[{}]]]]")], "id int, body string"), "id", "body")
+
+
+def test_levels_and_forms_of_a_name_are_made_once(spark):
+    rows = spark.createDataFrame([(1, DEEP), (2, "[[[1]]]")], "id int, body string")
+    plan = privacy.fields(rows, "id", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "variant_explode" not in plan and "Generate" not in plan
+    plan = rows.select(privacy.category(rows["body"]).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
