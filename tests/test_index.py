@@ -172,3 +172,11 @@ def test_blocks_of_a_folder_are_shuffled_as_one_row_and_come_back_whole(spark):
     assert sorted(back, key=by) == sorted(blocks, key=by)
     at = {(b["term"], (b["range"] << 7) + p): n for b in blocks for p, n in zip(b["places"], b["tf_contents"] or [], strict=False) if n}
     assert at == {(w, r["place"]): r["content"].count(w) for r in rows for w in r["content"]}
+
+
+def test_each_task_writes_as_many_folders(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('t', id) AS term", "id AS df")
+    folders = InvertedIndex(spark, str(tmp_path))._write_by_term(rows, "terms", str(tmp_path), 32, F.lit(0), 1, ["term"], 32 * kept.CHUNKS_A_TASK)
+    assert folders == list(range(32))
+    files = [f.name for f in (tmp_path / "terms").rglob("part-*.parquet")]
+    assert len(files) == 32 and len({f.split("-")[1] for f in files}) == 32  # no task has two
