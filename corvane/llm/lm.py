@@ -11,11 +11,13 @@ weights add up.
 No machine holds the model. Texts are dealt into blocks of bounded size as they are read, and each block is stored as tokens; it counts its
 own n-grams and sends them, packed, to ranges of n-gram hashes; a range adds up the counts of all
 blocks and sends back what the others add to each. With that and its own counts a block has the part of the
-automaton that its texts can visit.
+automaton that its texts can visit. Orders are counted one after the other, so the disk holds the packed n-grams
+of one order and not of all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -109,15 +111,12 @@ def read(texts: list[bytes], order: int) -> Block:
     return grams(*tokenise(texts), order)
 
 
-def count(block: Block, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the block and their counts in its training texts; those of single tokens are odd, those of more end in eight zero bits."""
-    sizes = np.diff(np.append(block.starts, block.tokens.size))
-    weight = np.repeat(train, sizes)
-    counts = []
-    for gram, keys in zip(block.gram, block.keys, strict=True):
-        there = gram >= 0
-        counts.append(np.bincount(gram[there], weight[there], keys.size).astype(np.int64))
-    return np.concatenate([block.keys[0] | np.uint64(1), *(k & SHORT for k in block.keys[1:])]), np.concatenate(counts)
+def count(block: Block, train: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the block's n-grams of one order and their counts in its training texts; those of single tokens are odd, those of more end in eight zero bits."""
+    weight = np.repeat(train, np.diff(np.append(block.starts, block.tokens.size)))
+    gram, keys = block.gram[n - 1], block.keys[n - 1]
+    there = gram >= 0
+    return keys & SHORT if n > 1 else keys | np.uint64(1), np.bincount(gram[there], weight[there], keys.size).astype(np.int64)
 
 
 class Automaton(NamedTuple):
@@ -223,7 +222,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending hashes by their differences."""
+    """Hashes by their differences, which are small where they ascend."""
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
@@ -245,7 +244,7 @@ def _deal(block_bytes: int):
         with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(texts)
         block = (TaskContext.get().partitionId() << 32) + number
-        row = {"block": block, "n_tokens": tokens.size, "texts": sink.getvalue().to_pybytes(), "tokens": _pack(tokens), "hashes": hashes.tobytes()}
+        row = {"block": block, "n_tokens": tokens.size, "texts": sink.getvalue().to_pybytes(), "tokens": _pack(tokens), "hashes": _pack_keys(hashes)}
         return pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.binary()) for c in ("texts", "tokens", "hashes")]]))
 
     def fn(batches):
@@ -267,7 +266,7 @@ def _deal(block_bytes: int):
 
 def _unpacked(row: dict, order: int) -> tuple[pa.Table, Block]:
     texts = pa.ipc.open_stream(row["texts"]).read_all()
-    return texts, grams(_unpack(row["tokens"]).astype(np.int64), np.array(texts.column("size")), np.frombuffer(row["hashes"], np.uint64), order)
+    return texts, grams(_unpack(row["tokens"]).astype(np.int64), np.array(texts.column("size")), _unpack_keys(row["hashes"]), order)
 
 
 def _train(table: pa.Table) -> np.ndarray:
@@ -281,15 +280,15 @@ def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return of[first].astype(np.int64), np.append(first, keys.size)
 
 
-def _count(order: int, bits: int):
-    """The packed n-grams of each block, one row for each range."""
+def _count(n: int, bits: int):
+    """The packed n-grams of order n of each block, one row for each range."""
 
     def fn(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                texts, block = _unpacked(row, order)
-                keys, counts = count(block, _train(texts))
+                texts, block = _unpacked(row, n)
+                keys, counts = count(block, _train(texts), n)
                 by = np.argsort(keys)
                 keys, counts = keys[by], counts[by]
                 of, cuts = _ranges(keys, bits)
@@ -327,13 +326,16 @@ def _add(table: pa.Table) -> pa.Table:
 def _score(order: int, bits: int, tokens: int, types: int, prior: float):
     def fn(blocks: pa.Table, known: pa.Table) -> pa.Table:
         texts, block = _unpacked(blocks.to_pylist()[0], order)
-        keys, amounts = count(block, _train(texts))
-        by = np.argsort(keys)
-        of, cuts = _ranges(keys[by], bits)
-        for r, others in zip(known.column("range").to_pylist(), known.column("others").to_pylist(), strict=True):
-            k = int(np.searchsorted(of, r))
-            amounts[by[cuts[k] : cuts[k + 1]]] += _unpack(others).astype(np.int64)
-        totals = np.split(amounts, np.cumsum([k.size for k in block.keys])[:-1])
+        train, totals = _train(texts), []
+        for n in range(1, order + 1):
+            keys, amounts = count(block, train, n)
+            by = np.argsort(keys)
+            of, cuts = _ranges(keys[by], bits)
+            own = known.filter(pa.compute.equal(known.column("n"), n))
+            for r, others in zip(own.column("range").to_pylist(), own.column("others").to_pylist(), strict=True):
+                k = int(np.searchsorted(of, r))
+                amounts[by[cuts[k] : cuts[k + 1]]] += _unpack(others).astype(np.int64)
+            totals.append(amounts)
         a = build(block, totals, tokens, types, prior)
         sizes = np.diff(np.append(block.starts, block.tokens.size))
         text = np.repeat(np.arange(sizes.size), sizes)
@@ -368,11 +370,15 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, prior: float
     blocks = materialise(spark, texts.mapInArrow(_deal(block_bytes), BLOCK_COLUMNS), "blocks")
     size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     # each token is the end of one n-gram of each order
-    bits = max(0, (int(size) * order // range_keys).bit_length())
-    counts = blocks.mapInArrow(_count(order, bits), "range long, block long, keys binary, counts binary")
-    added = materialise(spark, counts.groupBy("range").applyInArrow(_add, "block long, range long, others binary, types long, tokens long"), "added")
-    total = added.where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    others = added.where("block is not null").select("block", "range", "others")
+    bits = max(0, (int(size) // range_keys).bit_length())
+    added = []
+    for n in range(1, order + 1):
+        # the shuffle files of an order go once its sums are stored, while the next is counted
+        counts = blocks.mapInArrow(_count(n, bits), "range long, block long, keys binary, counts binary")
+        sums = counts.groupBy("range").applyInArrow(_add, "block long, range long, others binary, types long, tokens long")
+        added.append(materialise(spark, sums, f"added-{n}").withColumn("n", F.lit(n)))
+    total = added[0].where("block is null").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    others = reduce(DataFrame.unionByName, added).where("block is not null").select("block", "n", "range", "others")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score(order, bits, total.tokens, total.types, prior), schema)

@@ -53,6 +53,16 @@ def test_language_model_against_a_dictionary(spark, odd, order, block_bytes, ran
     assert {r.train_tokens for r in got} == {n}
 
 
+def test_counts_move_one_order_at_a_time(spark, monkeypatch):
+    """The packed n-grams of all orders are never on disk together: the sums of each are stored before the next is counted."""
+    stored, rng = [], random.Random(5)
+    monkeypatch.setattr(lm, "materialise", lambda s, df, name, own=lm.materialise: stored.append((name, own(s, df, name))) or stored[-1][1])
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS[:12], k=60))) for i in range(80)], "doc_id long, text string")
+    assert lm.score(spark, docs, 3, block_bytes=4_000, range_keys=1_000).count() == 80
+    sent = [df.agg(F.coalesce(F.sum(F.length("others")), F.lit(0))).first()[0] for name, df in stored if name.startswith("added")]
+    assert max(sent) <= 0.6 * sum(sent)
+
+
 def test_language_model_without_rows(spark, odd, empty):
     assert lm.score(spark, empty).count() == 0
     alone = odd.where("doc_id = 3").withColumn("doc_id", F.lit(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)).cast("long"))
