@@ -1,9 +1,12 @@
+import random
+
 import pytest
 
 from corvane.errors import IndexBuildError, InvalidSettings, NonFiniteScore
 from corvane.functions.analyze import unicode_terms
 from corvane.operators import dense, fusion, lexical
-from corvane.settings import Filters, RetrievalSettings
+from corvane.plans import retrieval, tables
+from corvane.settings import Bm25Settings, Filters, RetrievalSettings
 
 CHUNK = "document_id string, chunk_index int, chunk_id string, content string, title string, section_path string, content_type string"
 LIST = "query_id int, variant int, source string, document_id string, chunk_index int, chunk_id string, score double"
@@ -29,6 +32,38 @@ def test_filters_leave_statistics_alone(spark):
     assert lexical.search(rows, q, 9, Filters((), ("application/json",)), analyzer=unicode_terms).count() == 0
 
 
+def test_chunks_scored_where_they_are_read_equal_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 60}"
+    text = lambda: rng.choice([None, "", "!!", " ".join(word() for _ in range(rng.randint(1, 30))), "w1 w1 w2"])
+    rows = [(f"d{k % 40}", k, f"c{k}", text(), rng.choice([None, "w1 w1", word()]), rng.choice([None, "/w2", ""]), rng.choice([None, "text/plain", "Text/Markdown"])) for k in range(400)]
+    odd = [(None, None, "c-null", "w1 w3", None, None, None), ("d1", 1, "c-copy", "w1 w1 w2", "w1", None, "text/plain")]
+    q = spark.createDataFrame([(0, "w1"), (1, "w1 W2 w3 w1 none"), (None, "w2 w5"), (2, "!!"), (3, None), (4, "none"), (1, "w9 w1")], "query_id int, text string")
+    found = lambda df: sorted(((r.query_id is None, r.query_id or 0, r["rank"], r.document_id or "", r.chunk_index or 0, r.chunk_id or "", r.score) for r in df.collect()))
+    settings = Bm25Settings(k1=1.5, b=0.6, content_boost=0.5, title_boost=3.0, section_boost=0.0)
+    twice = [("d3", 3, "c3", "w1 w2", None, None, "text/plain"), ("d0", 9, None, "w1", None, None, None)]
+    kinds = (None, Filters((), ("text/markdown",)), Filters(("d1", "d2"), ("text/plain",)))
+    for chunks, filters, s, limit in ((rows + odd, kinds[0], None, 9), (rows + odd, kinds[1], settings, 3), (rows + odd, kinds[2], settings, 1), (rows + odd + twice, kinds[0], None, 500), ([], kinds[0], None, 5)):
+        frame = spark.createDataFrame(chunks, CHUNK).repartition(3)
+        each = []
+        for named, together in ((1 << 14, 1 << 20), (1 << 14, 40), (0, 1)):
+            monkeypatch.setattr(lexical, "NAMED_TERMS", named)
+            monkeypatch.setattr(lexical, "SCORES_TOGETHER", together)
+            each.append(found(lexical.search(frame, q, limit, filters, s)))
+        assert each[0] == each[1] and [x[:-1] for x in each[0]] == [x[:-1] for x in each[2]]
+        assert [x[-1] for x in each[0]] == pytest.approx([x[-1] for x in each[2]], abs=2e-9)
+        assert bool(each[0]) == bool(chunks)
+
+
+def test_common_words_take_no_index_and_no_shuffle_of_postings(spark, data, monkeypatch):
+    monkeypatch.setattr(tables, "_indexes", {})
+    found = retrieval.bm25_fielded_boosts(spark, data)
+    assert found.count() and not tables._indexes
+    q = tables.asked(spark, data)
+    plan = lexical.scored(tables.chunks(spark, data), q, limit=32)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
 def test_blank_chunk_stops_the_build(spark):
     with pytest.raises(IndexBuildError) as e:
         lexical.check_rows(spark.createDataFrame([chunk("d", 0, " \n\t ")], CHUNK))
