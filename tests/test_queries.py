@@ -43,3 +43,10 @@ def test_query_gives_the_rows_of_its_sql(spark, con, data, name):
 
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("name", ("bm25_topk",))
+def test_every_benchmark_item_is_a_question(spark, con, data, name):
+    items = {r[0] for r in con.execute("select item_id from benchmark").fetchall()}
+    found = {r[0] for r in registry.queries()[name](spark, data).select("query_id").distinct().collect()}
+    assert len(items) > 20 and {int(x) for x in found} == items
