@@ -45,7 +45,7 @@ def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", ("bm25_topk", "bm25_topk_filtered_global_idf"))
+@pytest.mark.parametrize("name", ("bm25_topk", "bm25_topk_filtered_global_idf", "workflow_citations"))
 def test_every_benchmark_item_is_a_question(spark, con, data, name):
     items = {r[0] for r in con.execute("select item_id from benchmark").fetchall()}
     found = {r[0] for r in registry.queries()[name](spark, data).select("query_id").distinct().collect()}
