@@ -75,6 +75,40 @@ def test_index_equals_a_plain_search_after_changes(spark, tmp_path, asked, small
     assert len(index.segments) < 4
 
 
+@pytest.mark.parametrize("ranges", (0, 1 << 19))
+def test_totals_and_merges_leave_out_dead_chunks_without_a_row_for_each_posting(spark, tmp_path, monkeypatch, ranges):
+    """Ranges of 128 places on both sides of 64, with and without dead ones; the last two segments are merged."""
+    monkeypatch.setattr(kept, "FEW_RANGES", ranges)
+    rng = random.Random(12)
+    now = {k: made(rng, k) for k in range(150)}
+    frame = lambda docs: spark.createDataFrame([c for d in docs for c in now[d]], CHUNK).coalesce(1)
+    index = InvertedIndex.build(spark, str(tmp_path / "i"), frame(now))
+    for some in (range(40, 60), range(50, 75)):
+        old = frame(some)
+        for d in some:
+            now[d] = made(rng, d)
+        index = index.changed(frame(some), old)
+    assert [s["covers"] for s in index.segments] == [[1], [2, 3]]
+    plain = {}
+    for chunk in (c for d in now for c in now[d]):
+        words = [re.findall(r"\w+", (chunk[k] or "").lower()) for k in (3, 4, 5)]
+        for term in {t for x in words for t in x}:
+            one = plain.setdefault(term, [0, 0, 0, 0])
+            plain[term] = [a + b for a, b in zip(one, (1, *[x.count(term) for x in words]), strict=True)]
+    totals = index.totals()
+    assert {r["term"]: list(r)[1:] for r in totals.collect()} == plain
+    own = {(r["term"], r["segment"], r["place"]): (r["tf_content"], r["length_content"]) for r in index.postings().where("segment > 1").collect()}
+    merged = index._read("blocks", index.segments[1:]).collect()
+    assert sum(b["n"] for b in merged) == len(own) and all(b["n"] == len(b["places"]) for b in merged)
+    for b in merged:
+        tf = [own[b["term"], b["segment"], (b["range"] << 7) + p] for p in b["places"]]
+        most = max(x for x, _ in tf)
+        assert b["most_content"] == most and b["least_content"] == (min(n for x, n in tf if x) if most else None)
+        assert (b["tf_contents"] is None) == (most == 0)
+    analysed = totals._jdf.queryExecution().analyzed().toString()
+    assert "Generate" not in analysed
+
+
 def test_blocks_below_the_last_place_are_left_unread(spark, tmp_path, small_ranges):
     """A few chunks are full of the rare term; the ranges of the others can't reach them."""
     rows = [(f"d{k}", 0, f"d{k}:0", "rare " * 30 if k % 100 == 7 else "common " * 20 + "rare" * (k % 3 == 0), None, None, "text/plain") for k in range(800)]
